@@ -8,6 +8,7 @@ from operator import add, or_
 from pyspark.sql import Column, functions as F
 
 from stockloom import constants as C
+from stockloom.functions.numbers import rounded
 
 #: Python's ``str.strip`` set as far as it occurs in feeds.
 _BLANKS = " \t\n\r\f\u000b 　"
@@ -63,7 +64,7 @@ def lexicon_score(title: Column, positive: list[str] = C.POSITIVE_WORDS,
                   negative: list[str] = C.NEGATIVE_WORDS) -> Column:
     """Balance of positive and negative words scaled to ±0.8; 0 without a hit."""
     good, bad = count_contained(title, positive), count_contained(title, negative)
-    score = F.round((good - bad) / F.nullif(good + bad, F.lit(0)) * C.LEXICON_SCALE, 2)
+    score = rounded((good - bad) / F.nullif(good + bad, F.lit(0)) * C.LEXICON_SCALE, 2)
     return F.coalesce(score, F.lit(0.0))
 
 

@@ -29,6 +29,11 @@ class Table:
     def columns(self) -> list[str]:
         return self.schema.fieldNames()
 
+    @property
+    def key_layout(self) -> list[str]:
+        """Partition columns that follow from the key, so equal keys share a partition."""
+        return [c for c, source in self.layout.items() if any(k in source for k in self.key)]
+
 
 _TABLES = [
     Table("company", _struct(
