@@ -70,39 +70,34 @@ def model_sentiment(df: DataFrame, make_scorer: Callable[[], Scorer] | None = No
     if make_scorer is None:
         return df.withColumn(output, fallback)
 
+    def ask(scorer: Scorer | None, titles: list[str]) -> list[tuple[str | None, float | None]]:
+        """The model's answers; a failing batch is asked again title by title."""
+        if scorer is not None:
+            try:
+                answers = [(str(label), float(confidence)) for label, confidence in scorer(titles)]
+                if len(answers) == len(titles):
+                    return answers
+            except Exception:
+                if len(titles) > 1:
+                    return [ask(scorer, [t])[0] for t in titles]
+        return [(None, None)] * len(titles)
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:
             scorer = make_scorer()
         except Exception:
             scorer = None
         for batch in batches:
-            answers = _answers(scorer, batch[title].fillna("").tolist())
+            answers = ask(scorer, batch[title].fillna("").tolist())
             yield batch.assign(label=[a[0] for a in answers], confidence=[a[1] for a in answers])
 
-    answered = df.mapInPandas(score, _with_answer(df))
+    fields = [f"`{name}` {kind}" for name, kind in df.dtypes]
+    answered = df.mapInPandas(score, ", ".join([*fields, "label string", "confidence double"]))
     value = F.when(F.col("label").isNull(), fallback).otherwise(
         label_score(F.col("label"), F.col("confidence")))
     return answered.withColumn(output, value).drop("label", "confidence")
 
 
-def _with_answer(df: DataFrame) -> str:
-    fields = [f"`{name}` {kind}" for name, kind in df.dtypes]
-    return ", ".join([*fields, "label string", "confidence double"])
-
-
-def _answers(scorer: Scorer | None, titles: list[str]) -> list[tuple[str | None, float | None]]:
-    """The model's answers; a failing batch is asked again title by title."""
-    if scorer is None:
-        return [(None, None)] * len(titles)
-    try:
-        answers = [(str(label), float(conf)) for label, conf in scorer(titles)]
-        if len(answers) == len(titles):
-            return answers
-    except Exception:
-        pass
-    return [_answers(scorer, [t])[0] if len(titles) > 1 else (None, None) for t in titles]
-
-
 def shown_news(news: DataFrame, scanned: int = C.NEWS_SCAN_ROWS, shown: int = C.NEWS_SHOWN_ROWS,
                rank_as: str | None = None) -> DataFrame:
     """The news list of each key: latest rows, repeated titles dropped, then cut.

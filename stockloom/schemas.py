@@ -7,8 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F, types as T
 
 
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "bigint": T.LongType(),
+          "smallint": T.ShortType(), "date": T.DateType(), "timestamp": T.TimestampType()}
+_TYPES |= {f"decimal({p},2)": T.DecimalType(p, 2) for p in (4, 5, 6, 8, 10, 18)}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Schema of "name type, name type, ..."; unlike DDL parsing it needs no session."""
+    pairs = [column.split() for column in text.split(", ")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 @dataclass(frozen=True)
@@ -144,7 +151,7 @@ _LANDINGS = [
 ]
 LANDINGS = {x.name: x for x in _LANDINGS}
 
-FEED_ENTRY = _struct("title string, published string, link string, source struct<title:string>")
+FEED_ENTRY = _struct("title string, published string, link string").add("source", _struct("title string"))
 FEED_ENVELOPE = T.StructType([
     T.StructField("stock_code", T.StringType()),
     T.StructField("entries", T.ArrayType(FEED_ENTRY)),
