@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 import carriers as data
 from stockloom.functions import dates, numbers, text
 from stockloom.operators import flows, indicators, keyed, news, ownership, statements
+from stockloom.operators.series import days_spanned
 from stockloom.plans import incremental, loads, reports, screener
 from stockloom.schemas import LANDINGS
 from stockloom.sinks.warehouse import Warehouse
@@ -124,7 +125,16 @@ histogram AS (
                JOIN histogram USING (stock_code, stock_date)""")
 def _(spark, sf_dir):
     prices = data.daily_price(spark, sf_dir).select("stock_code", "stock_date", "stock_close")
-    return indicators.indicators(prices).select("stock_code", "stock_date", *r4s(*indicators.INDICATORS))
+    return with_indicators(spark, sf_dir, prices).select("stock_code", "stock_date", *r4s(*indicators.INDICATORS))
+
+
+def price_days(spark: SparkSession, sf_dir: str) -> int:
+    """Days spanned by the daily prices, from the column they are grouped by."""
+    return days_spanned(data.table(spark, sf_dir, "lineitem"), day="l_shipdate")
+
+
+def with_indicators(spark: SparkSession, sf_dir: str, rows: DataFrame, names: list[str] = indicators.INDICATORS) -> DataFrame:
+    return indicators.indicators(rows, names, span=price_days(spark, sf_dir))
 
 
 def _family(name: str, columns: list[str], ctes: str, source: str) -> None:
@@ -132,7 +142,7 @@ def _family(name: str, columns: list[str], ctes: str, source: str) -> None:
            sql=f"SELECT stock_code, stock_date, {sql4(*columns)} FROM {source}")
     def _(spark, sf_dir):
         prices = data.daily_price(spark, sf_dir).select("stock_code", "stock_date", "stock_close")
-        return indicators.indicators(prices, columns).select("stock_code", "stock_date", *r4s(*columns))
+        return with_indicators(spark, sf_dir, prices, columns).select("stock_code", "stock_date", *r4s(*columns))
 
 
 _family("rolling_averages", ["ma20", "ma60"], AVERAGES, "averages")
@@ -199,7 +209,7 @@ def _(spark, sf_dir):
                FROM assembled JOIN averages USING (stock_code, stock_date) JOIN kd USING (stock_code, stock_date)
                JOIN strength USING (stock_code, stock_date) JOIN histogram USING (stock_code, stock_date)""")
 def _(spark, sf_dir):
-    daily = indicators.indicators(assembled(spark, sf_dir))
+    daily = with_indicators(spark, sf_dir, assembled(spark, sf_dir))
     return daily.select(*[c for c in daily.columns if c not in indicators.INDICATORS], *r4s(*indicators.INDICATORS))
 
 
@@ -222,7 +232,7 @@ def _(spark, sf_dir):
     prices = data.daily_price(spark, sf_dir).select("stock_code", "stock_date", "stock_close")
     history = prices.filter(F.col("stock_date") < F.lit(SPLIT_DAY))
     batch = prices.filter(F.col("stock_date") >= F.lit(SPLIT_DAY))
-    return indicators.update_indicators(history, batch).select(
+    return indicators.update_indicators(history, batch, span=price_days(spark, sf_dir)).select(
         "stock_code", "stock_date", *r4s("ma20", "ma60", "k_value", "d_value"))
 
 
@@ -238,7 +248,7 @@ def _(spark, sf_dir):
     prices = data.daily_price(spark, sf_dir).select("stock_code", "stock_date", "stock_close")
     history = prices.filter(F.col("stock_date") < F.lit(SPLIT_DAY))
     batch = prices.filter(F.col("stock_date") >= F.lit(SPLIT_DAY))
-    return indicators.update_indicators(history, batch, tail_rows=65).select(
+    return indicators.update_indicators(history, batch, tail_rows=65, span=price_days(spark, sf_dir)).select(
         "stock_code", "stock_date", *r4s("k_value", "d_value"))
 
 
@@ -533,14 +543,14 @@ def screened(spark, sf_dir):
 @query("screener_from_stored_metrics", needs=FACTOR_NEEDS, ctes=FACTORS, sql=FACTOR_ROW + " WHERE stock_close > ma60")
 def _(spark, sf_dir):
     """The screener over daily metrics that carry their averages, as they are stored."""
-    daily = indicators.indicators(assembled(spark, sf_dir), ["ma20", "ma60"])
+    daily = with_indicators(spark, sf_dir, assembled(spark, sf_dir), ["ma20", "ma60"])
     return factor_row(screener.screener(daily, data.statement_fact(spark, sf_dir), data.company(spark, sf_dir),
                                         ma_cross="ma60"))
 
 
 @query("factor_metrics_of_one_key", needs=FACTOR_NEEDS, ctes=FACTORS, sql=FACTOR_ROW + " WHERE stock_code = '7'")
 def _(spark, sf_dir):
-    daily = indicators.indicators(assembled(spark, sf_dir), ["ma20", "ma60"])
+    daily = with_indicators(spark, sf_dir, assembled(spark, sf_dir), ["ma20", "ma60"])
     return factor_row(screener.factor_metrics(daily, data.statement_fact(spark, sf_dir), data.company(spark, sf_dir), "7"))
 
 
@@ -1011,7 +1021,7 @@ def _(spark, sf_dir):
         (doc % 50).cast("string").alias("stock_code"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.timestamp_seconds(F.lit(1704067200) + doc * 3600).alias("publish_time"), doc.cast("string").alias("news_link"),
         F.lit(0.0).alias("sentiment_score"))
-    daily = indicators.indicators(assembled(spark, sf_dir), ["ma20", "k_value", "d_value"])
+    daily = with_indicators(spark, sf_dir, assembled(spark, sf_dir), ["ma20", "k_value", "d_value"])
     context = reports.analyst_context(
         data.company(spark, sf_dir), daily, ownership.weekly_concentration(data.holding(spark, sf_dir)),
         statements.warning_indicators(data.statement_fact(spark, sf_dir)), docs, TODAY)

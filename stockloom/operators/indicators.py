@@ -1,6 +1,6 @@
 """Technical indicators of daily close series, for all keys at once.
 
-Each family of indicators is a list of steps over a cut series, a step being
+Each family of indicators is a list of steps over distributed series, a step being
 columns that only need the steps before it; :func:`indicators` runs the families
 side by side. Frames count rows, not days: an average over 20 rows is NULL until 20
 rows are there, and also while one of them is NULL.
@@ -8,41 +8,48 @@ rows are there, and also while one of them is NULL.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stockloom import constants as C
 from stockloom.operators.keyed import latest_rows, union_keep_first
 from stockloom.operators.recurrence import Smoothing, carry_steps, position_steps, row_steps
-from stockloom.operators.series import LENGTH, CutSeries, SeriesLayout, cut_series
+from stockloom.operators.series import LENGTH, Series, SeriesLayout, days_spanned, distribute
 
 INDICATORS = ["ma20", "ma60", "k_value", "d_value", "rsi14", "macd_hist"]
 
 Steps = list[dict[str, Column]]
 
 
-def _full(series: CutSeries, value: str, n: int, aggregate) -> Column:
-    frame = series.rows_back(n)
-    return F.when(F.count(value).over(frame) == n, aggregate(value).over(frame))
-
-
-def moving_average_steps(series: CutSeries, value: str = "stock_close") -> Steps:
-    return [{"ma20": _full(series, value, C.MA_SHORT, F.avg),
-             "ma60": _full(series, value, C.MA_LONG, F.avg)}]
+def moving_average_steps(series: Series, value: str = "stock_close") -> Steps:
+    """Means over 20 and 60 rows; the long sum is put together from three short ones."""
+    short = series.rows_back(C.MA_SHORT)
+    before = [F.lag("sum20", C.MA_SHORT * i).over(series.ordered()) for i in range(1, C.MA_LONG // C.MA_SHORT)]
+    return [
+        {"n20": F.count(value).over(short), "total20": F.sum(value).over(short)},
+        {"sum20": F.when(F.col("n20") == C.MA_SHORT, F.col("total20"))},
+        {f"sum20_{i}": earlier for i, earlier in enumerate(before)},
+        {"ma20": F.col("sum20") / C.MA_SHORT,
+         "ma60": reduce(add, [F.col(f"sum20_{i}") for i in range(len(before))], F.col("sum20")) / C.MA_LONG},
+    ]
 
 
-def stochastic_steps(series: CutSeries, value: str = "stock_close") -> Steps:
+def stochastic_steps(series: Series, value: str = "stock_close") -> Steps:
     """K smooths the raw stochastic by thirds, D smooths K; both start from 50.
 
     The raw value is the place of the close in its 9-row range, 0-100, and 50
     where there is no range or no full frame.
     """
     third = Smoothing(1.0 / 3.0)
-    low, high = F.col("low9"), F.col("high9")
+    frame = series.rows_back(C.STOCHASTIC_ROWS)
+    place = F.try_divide(F.col(value) - F.col("low9"), F.col("high9") - F.col("low9")) * 100
     seed = C.STOCHASTIC_NEUTRAL
     return [
-        {"low9": _full(series, value, C.STOCHASTIC_ROWS, F.min),
-         "high9": _full(series, value, C.STOCHASTIC_ROWS, F.max), **series.numbered()},
-        {"rsv": F.coalesce(F.try_divide(F.col(value) - low, high - low) * 100, F.lit(seed))},
+        {"n9": F.count(value).over(frame), "low9": F.min(value).over(frame), "high9": F.max(value).over(frame),
+         **series.numbered()},
+        {"rsv": F.coalesce(F.when(F.col("n9") == C.STOCHASTIC_ROWS, place), F.lit(seed))},
         {"k_local": third.local(series, F.col("rsv"))},
         {"d_local": third.local(series, F.col("k_local"))},
         *carry_steps(series, {"k_carry": "k_local", "d_carry": "d_local"}),
@@ -53,22 +60,22 @@ def stochastic_steps(series: CutSeries, value: str = "stock_close") -> Steps:
     ]
 
 
-def relative_strength_steps(series: CutSeries, value: str = "stock_close",
+def relative_strength_steps(series: Series, value: str = "stock_close",
                             undefined: float | None = 0.0) -> Steps:
     """RSI over 14 rows. ``undefined`` is its value without a full frame or a loss."""
+    frame = series.rows_back(C.RSI_ROWS)
     delta = F.col("delta")
     strength = 100 - 100 / (1 + F.try_divide(F.col("gain14"), F.col("loss14")))
     return [
-        {"delta": F.col(value) - F.lag(value).over(series.ordered())},
+        {"delta": F.col(value) - F.lag(value).over(series.ordered()), **series.numbered()},
         {"gain": F.when(delta > 0, delta).otherwise(F.lit(0.0)),
          "loss": F.when(delta < 0, -delta).otherwise(F.lit(0.0))},
-        {"gain14": _full(series, "gain", C.RSI_ROWS, F.avg),
-         "loss14": _full(series, "loss", C.RSI_ROWS, F.avg)},
-        {"rsi14": F.coalesce(strength, F.lit(undefined).cast("double"))},
+        {"gain14": F.sum("gain").over(frame), "loss14": F.sum("loss").over(frame)},
+        {"rsi14": F.coalesce(F.when(row_steps() >= C.RSI_ROWS, strength), F.lit(undefined).cast("double"))},
     ]
 
 
-def macd_steps(series: CutSeries, value: str = "stock_close") -> Steps:
+def macd_steps(series: Series, value: str = "stock_close") -> Steps:
     """Histogram of the 12/26 exponential mean difference against its 9-row mean."""
     fast, slow, signal = (Smoothing.of_span(n) for n in (C.EMA_FAST, C.EMA_SLOW, C.EMA_SIGNAL))
     close = F.coalesce(F.col(value), F.lit(0.0))
@@ -97,15 +104,18 @@ _FAMILIES = {
 
 
 def indicators(prices: DataFrame, names: list[str] = INDICATORS,
-               layout: SeriesLayout = SeriesLayout(), rsi_undefined: float | None = 0.0) -> DataFrame:
+               layout: SeriesLayout = SeriesLayout(), rsi_undefined: float | None = 0.0,
+               span: int | None = None) -> DataFrame:
     """``prices`` (one row per key and day, ``stock_close``) with the named indicators.
 
+    ``span``, the days from first to last, is looked up in ``prices`` unless the
+    caller knows it from a cheaper place (see ``series``).
     A series of fewer than five rows has none: averages, RSI and MACD are NULL
     and K and D stay at 50.
     """
     columns = [c for c in prices.columns if c not in INDICATORS]
     source = prices.select(*columns).withColumn("stock_close", F.col("stock_close").cast("double"))
-    series = cut_series(source, layout)
+    series = distribute(source, layout, span)
     plans = [family(series, undefined=rsi_undefined) if family is relative_strength_steps else family(series)
              for family in dict.fromkeys(_FAMILIES[n] for n in names)]
     enough = F.col(LENGTH) >= C.SHORT_SERIES_ROWS
@@ -116,7 +126,7 @@ def indicators(prices: DataFrame, names: list[str] = INDICATORS,
 
 
 def update_indicators(history: DataFrame, batch: DataFrame, tail_rows: int | None = None,
-                      layout: SeriesLayout = SeriesLayout()) -> DataFrame:
+                      layout: SeriesLayout = SeriesLayout(), span: int | None = None) -> DataFrame:
     """Indicators of the batch's days, computed over history and batch together.
 
     The history's row wins where both have a day. By default the whole history
@@ -127,6 +137,8 @@ def update_indicators(history: DataFrame, batch: DataFrame, tail_rows: int | Non
     past = history.select(*base)
     if tail_rows:
         past = latest_rows(past, [layout.key], [layout.day], tail_rows)
+    if span is None:
+        span = days_spanned(history, batch, day=layout.day)
     joined = union_keep_first([past, batch.select(*base)], [layout.key, layout.day])
     days = batch.select(layout.key, layout.day).distinct()
-    return indicators(joined, layout=layout).join(days, [layout.key, layout.day], "left_semi")
+    return indicators(joined, layout=layout, span=span).join(days, [layout.key, layout.day], "left_semi")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from stockloom.operators.series import POSITION, ROW, CutSeries
+from stockloom.operators.series import POSITION, ROW, Series
 
 
 def _power(base: float, exponent: Column) -> Column:
@@ -47,7 +47,7 @@ class Smoothing:
     def of_span(cls, span: int) -> "Smoothing":
         return cls(2.0 / (span + 1))
 
-    def local(self, series: CutSeries, value: Column, from_first_value: bool = False) -> Column:
+    def local(self, series: Series, value: Column, from_first_value: bool = False) -> Column:
         """The recurrence within the stretch, starting from nothing.
 
         ``from_first_value``: the first row of the series counts in full.
@@ -74,7 +74,7 @@ class Smoothing:
         return factor * (_power(self.keep, position_steps()) - _power(other.keep, position_steps())) * carry
 
 
-def carry_steps(series: CutSeries, locals_: dict[str, str]) -> list[dict[str, Column]]:
+def carry_steps(series: Series, locals_: dict[str, str]) -> list[dict[str, Column]]:
     """Two steps giving each local column's value at the end of the previous stretch.
 
     ``locals_`` maps the new column to the local column; the first stretch of a

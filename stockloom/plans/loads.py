@@ -12,6 +12,7 @@ from stockloom.operators.flows import assemble_daily
 from stockloom.operators.indicators import update_indicators
 from stockloom.operators.keyed import keep_first, prefer, stable_order
 from stockloom.operators.news import as_news, merge_searches, model_sentiment
+from stockloom.operators.series import days_spanned
 from stockloom.operators.ownership import weekly_concentration
 from stockloom.operators.statements import as_facts
 from stockloom.plans.incremental import delta
@@ -55,7 +56,8 @@ def daily_metrics(price_rows: DataFrame, flow_rows: DataFrame, margin_rows: Data
                            one_per_day(delta(margins(margin_rows), marks, day, today)))
     numeric = [c for c, _ in batch.dtypes if c not in ("stock_code", "stock_date")]
     past = history.withColumns({c: F.col(c).cast("double") for c in numeric})
-    return update_indicators(past, batch, tail_rows)
+    span = days_spanned(past, prices(price_rows).filter(day <= F.lit(today)))
+    return update_indicators(past, batch, tail_rows, span=span)
 
 
 def weekly(levels: DataFrame, backup_levels: DataFrame | None = None) -> DataFrame:
