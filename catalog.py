@@ -16,6 +16,7 @@ from stockloom.schemas import LANDINGS
 from stockloom.sinks.warehouse import Warehouse
 from stockloom.session import fresh_path
 from stockloom.sources import files, landed, news_feed
+from stockloom.streaming import loads as stream_loads
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -664,6 +665,21 @@ def _(spark, sf_dir):
                        "news_link", "content", "news_id")
 
 
+@query("news_stream_load", needs=["feed"], ctes=CLEANED,
+       sql="""SELECT stock_code, title, strftime(published, '%Y-%m-%d %H:%M') AS publish_minute, link AS news_link FROM accepted""")
+def _(spark, sf_dir):
+    """Entries landed as JSON responses, streamed into the stored table, one response file at a time, twice over."""
+    entries = data.feed(spark, sf_dir).withColumn("source", F.struct(F.col("source_name").alias("title"))).drop("source_name")
+    landing, store = fresh_path(spark, "landing"), _store(spark)
+    response = F.array(F.struct("title", "published", "link", "source")).alias("entries")
+    entries.select("stock_code", response).repartition(3).write.json(landing)
+    for attempt in ("first", "again"):
+        rows = stream_loads.news_stream(spark, landing, files_per_batch=2)
+        stream_loads.append_stream(rows, store, "news", fresh_path(spark, f"checkpoint-{attempt}")).awaitTermination()
+    return store.read("news").select(
+        "stock_code", "title", dates.minute_text(F.col("publish_time")).alias("publish_minute"), "news_link")
+
+
 @query("latest_news", needs=["news"], ctes=SHOWN,
        sql="""SELECT stock_code, CAST(position AS INT) AS position, title, strftime(publish_time, '%Y-%m-%d %H:%M') AS publish_minute, news_link, sentiment_score FROM shown""")
 def _(spark, sf_dir):

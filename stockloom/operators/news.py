@@ -35,19 +35,22 @@ def merge_searches(recent: DataFrame, historical: DataFrame) -> DataFrame:
     return union_keep_first([recent, historical], ["stock_code", "link"])
 
 
-def as_news(entries: DataFrame, score: Column | None = None) -> DataFrame:
-    """Feed entries as stored news rows, one per key and link.
+def news_columns(entries: DataFrame) -> DataFrame:
+    """Feed entries in stored columns; scored with the lexicon unless they carry a score.
 
     The id is a digest of key and link, so loading an entry again gives the same row.
     """
-    scored = entries if score is None else entries.withColumn("sentiment_score", score)
-    if score is None and "sentiment_score" not in entries.columns:
-        scored = entries.withColumn("sentiment_score", lexicon_score(F.col("title")))
-    rows = scored.select(
+    if "sentiment_score" not in entries.columns:
+        entries = entries.withColumn("sentiment_score", lexicon_score(F.col("title")))
+    return entries.select(
         row_digest(F.col("stock_code"), F.col("link")).alias("news_id"), "stock_code", "title",
         F.lit("").alias("content"), feed_time(F.col("published")).alias("publish_time"),
         F.col("link").alias("news_link"), "sentiment_score")
-    return keep_first(rows, NEWS_KEY, [F.col("publish_time").desc_nulls_last(), F.col("title")])
+
+
+def as_news(entries: DataFrame) -> DataFrame:
+    """Stored news rows of feed entries, one per key and link."""
+    return keep_first(news_columns(entries), NEWS_KEY, [F.col("publish_time").desc_nulls_last(), F.col("title")])
 
 
 def label_score(label: Column, confidence: Column) -> Column:

@@ -71,7 +71,8 @@ class Warehouse:
         if missing:
             raise ValueError(f"batch for {name} lacks key columns {missing}")
         rows = conform(batch, table).dropna(subset=list(table.key))
-        rows = keep_first(rows, table.key, stable_order(rows, table.key))
+        given = rows.select(*[c for c in table.columns if c in batch.columns])
+        rows = keep_first(rows, table.key, stable_order(given, table.key))
         if name in REPLACED:
             self._replace(name, union_keep_first([self.read(name), rows], table.key))
             return
