@@ -149,6 +149,11 @@ STATEMENT_DEFAULT_YEARS = 2
 DIVIDEND_START = "2020-01-01"
 SENTIMENT_NEUTRAL_BAND = 0.1
 
+# Stored history read for new daily rows: the last years, or more for keys with fewer rows in them.
+HISTORY_YEARS = 4
+HISTORY_ROWS = 700
+HISTORY_KEY_LIST = 1000
+
 # Technical indicators.
 MA_SHORT, MA_LONG = 20, 60
 STOCHASTIC_ROWS = 9

@@ -11,10 +11,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stockloom import constants as C
-from stockloom.operators.keyed import latest_rows, union_keep_first
+from stockloom.operators.keyed import latest_rows
 from stockloom.operators.recurrence import Smoothing, carry_steps, position_steps, row_steps
 from stockloom.operators.series import LENGTH, Series, SeriesLayout, days_spanned, distribute
 
@@ -22,6 +22,8 @@ INDICATORS = ["ma20", "ma60", "k_value", "d_value", "rsi14", "macd_hist"]
 
 Steps = list[dict[str, Column]]
 
+_NEW, _RANK, _TOUCHED = "__new", "__rank", "__touched"
+
 
 def moving_average_steps(series: Series, value: str = "stock_close") -> Steps:
     """Means over 20 and 60 rows; the long sum is put together from three short ones."""
@@ -129,16 +131,23 @@ def update_indicators(history: DataFrame, batch: DataFrame, tail_rows: int | Non
                       layout: SeriesLayout = SeriesLayout(), span: int | None = None) -> DataFrame:
     """Indicators of the batch's days, computed over history and batch together.
 
-    The history's row wins where both have a day. By default the whole history
-    is used, so results do not depend on how the days were cut into batches;
-    ``tail_rows`` limits it to the latest rows of each key.
+    Each side has one row per key and day; the history's row wins where both have
+    one. By default the whole history is used, so results do not depend on how the
+    days were cut into batches; ``tail_rows`` limits it to the latest rows of each key.
     """
+    key, day = layout.key, layout.day
     base = [c for c in batch.columns if c not in INDICATORS]
     past = history.select(*base)
-    if tail_rows:
-        past = latest_rows(past, [layout.key], [layout.day], tail_rows)
     if span is None:
-        span = days_spanned(history, batch, day=layout.day)
-    joined = union_keep_first([past, batch.select(*base)], [layout.key, layout.day])
-    days = batch.select(layout.key, layout.day).distinct()
-    return indicators(joined, layout=layout, span=span).join(days, [layout.key, layout.day], "left_semi")
+        span = days_spanned(history, batch, day=day)
+    if tail_rows:
+        past = latest_rows(past, [key], [day], tail_rows)
+    both = past.withColumn(_NEW, F.lit(False)).unionByName(batch.select(*base).withColumn(_NEW, F.lit(True)))
+    # The shuffle the indicators need anyway also serves the choice between history and batch.
+    both = both.repartition(key) if span <= layout.whole_days else both.repartition(key, day)
+    of_day = Window.partitionBy(key, day).orderBy(_NEW)
+    merged = both.withColumns({
+        _RANK: F.row_number().over(of_day),
+        _TOUCHED: F.max(_NEW).over(of_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    }).filter(F.col(_RANK) == 1).drop(_NEW, _RANK)
+    return indicators(merged, layout=layout, span=span).filter(_TOUCHED).drop(_TOUCHED)

@@ -46,6 +46,28 @@ def delta(landed: DataFrame, marks: DataFrame, day: Column, today: dt.date) -> D
             .filter(F.col("__day") >= F.col("mark")).drop("__day", "mark"))
 
 
+def recent_history(daily: DataFrame, today: dt.date) -> DataFrame:
+    """The stored days that still matter to an indicator of a new one.
+
+    Exponential means forget: the rows before the latest 700 of a key change
+    nothing a double can hold. So the last years suffice, and only their
+    directories are read, except for keys with fewer rows in them. Older rows of
+    those are added: by a list the scan can skip files with, or by a join if
+    they are too many to list. Takes the table with its partition column.
+    """
+    first_year = today.year - C.HISTORY_YEARS
+    recent = daily.filter(F.col("stock_year") >= first_year)
+    older = daily.filter(F.col("stock_year") < first_year)
+    enough = recent.groupBy("stock_code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= C.HISTORY_ROWS)
+    short = older.select("stock_code").distinct().join(enough, "stock_code", "left_anti")
+    listed = [r["stock_code"] for r in short.limit(C.HISTORY_KEY_LIST + 1).collect()]
+    if not listed:
+        return recent
+    if len(listed) <= C.HISTORY_KEY_LIST:
+        return recent.unionByName(older.filter(F.col("stock_code").isin(listed)))
+    return recent.unionByName(older.join(short, "stock_code", "left_semi"))
+
+
 def row_counts(keys: DataFrame, daily: DataFrame, since: dt.date) -> DataFrame:
     """Rows per key from a day on, 0 included."""
     counts = (daily.filter(F.col("stock_date") >= F.lit(since)).groupBy("stock_code")

@@ -11,11 +11,11 @@ from stockloom.functions.numbers import number_or_zero
 from stockloom.operators.flows import assemble_daily
 from stockloom.operators.indicators import update_indicators
 from stockloom.operators.keyed import keep_first, prefer, stable_order
-from stockloom.operators.news import as_news, merge_searches, model_sentiment
+from stockloom.operators.news import model_sentiment, news_columns
 from stockloom.operators.series import days_spanned
 from stockloom.operators.ownership import weekly_concentration
 from stockloom.operators.statements import as_facts
-from stockloom.plans.incremental import delta
+from stockloom.plans.incremental import delta, recent_history
 from stockloom.sources.news_feed import company_keywords, search
 
 
@@ -48,14 +48,15 @@ def daily_metrics(price_rows: DataFrame, flow_rows: DataFrame, margin_rows: Data
                   marks: DataFrame, today: dt.date, tail_rows: int | None = None) -> DataFrame:
     """New daily rows from each key's mark on, assembled and with indicators over the history.
 
-    ``history`` are the stored daily metrics; the landed sets may cover any span.
+    ``history`` are the stored daily metrics with their partition column; the landed
+    sets may cover any span.
     """
     day = F.col("stock_date")
     batch = assemble_daily(one_per_day(delta(prices(price_rows), marks, day, today)),
                            delta(flows(flow_rows), marks, day, today),
                            one_per_day(delta(margins(margin_rows), marks, day, today)))
     numeric = [c for c, _ in batch.dtypes if c not in ("stock_code", "stock_date")]
-    past = history.withColumns({c: F.col(c).cast("double") for c in numeric})
+    past = recent_history(history, today).withColumns({c: F.col(c).cast("double") for c in numeric})
     span = days_spanned(past, prices(price_rows).filter(day <= F.lit(today)))
     return update_indicators(past, batch, tail_rows, span=span)
 
@@ -102,12 +103,17 @@ def facts(income: DataFrame, balance: DataFrame, cashflow: DataFrame) -> DataFra
             .unionByName(as_facts(cashflow, "cashflow")))
 
 
-def news(entries: DataFrame, company: DataFrame, marks: DataFrame, today: dt.date,
-         recent_days: int, make_scorer=None) -> DataFrame:
-    """Scored news rows of each company: the search since its mark and the recent search, merged."""
-    keywords = company_keywords(company)
-    found = search(entries, keywords, dt.date(1970, 1, 1), today)
-    day = F.to_date(feed_time(F.col("published")))
-    historical = delta(found, marks.withColumn("mark", F.col("history_start")), day, today)
-    recent = found.filter(day >= F.lit(today - dt.timedelta(days=recent_days)))
-    return as_news(model_sentiment(merge_searches(recent, historical), make_scorer))
+def news(entries: DataFrame, company: DataFrame, marks: DataFrame, stored: DataFrame, today: dt.date,
+         make_scorer=None) -> DataFrame:
+    """Scored news rows of each company that are not stored yet.
+
+    A mark covers both the search since the latest stored day and the search of
+    the last days, so one pass over the entries does. Repeats and stored links
+    are dropped before a model sees them.
+    """
+    published = feed_time(F.col("published"))
+    found = delta(search(entries, company_keywords(company), None, today), marks, F.to_date(published), today)
+    once = keep_first(found, ["stock_code", "link"], [published.desc_nulls_last(), F.col("title")])
+    known = stored.select("stock_code", F.col("news_link").alias("link"))
+    fresh = once.join(known, ["stock_code", "link"], "left_anti")
+    return news_columns(model_sentiment(fresh, make_scorer))

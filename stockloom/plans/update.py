@@ -68,7 +68,7 @@ def update_companies(store: Warehouse, zone: LandingZone, keys: DataFrame) -> No
 
 def update_daily(store: Warehouse, zone: LandingZone, keys: DataFrame, today: dt.date,
                  tail_rows: int | None = None) -> None:
-    stored = store.read("daily_metrics")
+    stored = store.read("daily_metrics", with_layout=True)
     marks = inc.high_water_marks(keys, stored, "stock_date", today, C.DAILY_DEFAULT_YEARS)
     store.append_new("daily_metrics", loads.daily_metrics(
         zone.dataset("price"), zone.dataset("investor"), zone.dataset("margin"), stored, marks, today, tail_rows))
@@ -100,8 +100,9 @@ def update_fundamentals(store: Warehouse, zone: LandingZone, keys: DataFrame, to
 def update_news(store: Warehouse, zone: LandingZone, today: dt.date,
                 make_scorer: Callable[[], Scorer] | None = None) -> None:
     company = store.read("company")
-    marks = inc.news_marks(company, store.read("news"), today)
-    store.append_new("news", loads.news(zone.entries(), company, marks, today, C.NEWS_RECENT_DAYS, make_scorer))
+    stored = store.read("news")
+    marks = inc.news_marks(company, stored, today)
+    store.append_new("news", loads.news(zone.entries(), company, marks, stored, today, make_scorer))
 
 
 def init_thresholds(store: Warehouse, keys: DataFrame) -> None:

@@ -29,11 +29,12 @@ def company_keywords(company: DataFrame) -> DataFrame:
         F.col("company_name_abbr"), F.col("company_name"), F.col("stock_code")).alias("keyword"))
 
 
-def search(entries: DataFrame, keywords: DataFrame, start: dt.date, end: dt.date,
+def search(entries: DataFrame, keywords: DataFrame, start: dt.date | None, end: dt.date,
            sources: list[str] = C.SOURCE_KEYWORDS) -> DataFrame:
     """Entries of each key whose title holds its keyword, within the days, from accepted sources."""
     day = F.to_date(feed_time(F.col("published")))
-    found = (entries.filter(day.between(F.lit(start), F.lit(end)))
+    inside = day <= F.lit(end) if start is None else day.between(F.lit(start), F.lit(end))
+    found = (entries.filter(inside)
              .join(keywords, "stock_code")
              .filter(F.contains(F.col("title"), F.col("keyword"))).drop("keyword"))
     return clean_entries(found, sources).drop("source_name")

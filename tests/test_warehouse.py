@@ -137,3 +137,14 @@ def test_news_marks(spark, rows):
     assert rows(inc.news_marks(keys, news, dt.date(2026, 7, 3))) == {
         ("a", dt.date(2026, 7, 1), dt.date(2026, 6, 26)), ("b", dt.date(2026, 5, 1), dt.date(2026, 5, 1)),
         ("c", dt.date(2026, 4, 4), dt.date(2026, 4, 4))}
+
+
+@pytest.mark.parametrize("list_limit", [1000, 0], ids=["listed", "joined"])
+def test_recent_history_reads_older_years_for_sparse_keys_only(spark, monkeypatch, list_limit):
+    monkeypatch.setattr(inc.C, "HISTORY_KEY_LIST", list_limit)
+    monkeypatch.setattr(inc.C, "HISTORY_ROWS", 3)
+    rows = [("dense", dt.date(2025, 1, d)) for d in (1, 2, 3)] + [("dense", dt.date(2010, 1, 1)), ("sparse", dt.date(2025, 1, 1)),
+            ("sparse", dt.date(2010, 1, 1)), ("gone", dt.date(2010, 1, 1))]
+    daily = spark.createDataFrame(rows, "stock_code string, stock_date date").withColumn("stock_year", F.year("stock_date"))
+    got = {(r["stock_code"], r["stock_date"].year) for r in inc.recent_history(daily, dt.date(2026, 7, 1)).collect()}
+    assert got == {("dense", 2025), ("sparse", 2025), ("sparse", 2010), ("gone", 2010)}
