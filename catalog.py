@@ -291,13 +291,16 @@ def _(spark, sf_dir):
 
 
 @query("ownership_fallback", needs=["holding"],
-       ctes="""chosen AS (SELECT * FROM holding WHERE CAST(stock_code AS INT) % 3 <> 0
-               UNION ALL SELECT stock_code, date, level, people * 10, percent FROM holding WHERE CAST(stock_code AS INT) % 3 = 0)""",
+       ctes="""covered AS (SELECT CAST(s_suppkey AS VARCHAR) AS stock_code FROM supplier WHERE s_acctbal > 0),
+chosen AS (SELECT * FROM holding WHERE stock_code IN (SELECT stock_code FROM covered)
+           UNION ALL SELECT stock_code, date, level, people * 10, percent FROM holding WHERE stock_code NOT IN (SELECT stock_code FROM covered))""",
        sql=CONCENTRATION.format(source="chosen"))
 def _(spark, sf_dir):
-    """Keys missing from the first source are taken from the second one, which here has all keys."""
+    """The first source only covers some keys; the others are taken from the second one, which has all."""
     levels = data.holding(spark, sf_dir)
-    first = levels.filter(F.col("stock_code").cast("int") % 3 != 0)
+    covered = data.table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(
+        F.col("s_suppkey").cast("string").alias("stock_code"))
+    first = keyed.restrict_keys(levels, covered)
     return loads.weekly(first, levels.withColumn("people", F.col("people") * 10))
 
 
@@ -417,9 +420,9 @@ CHANGED = {"min_earnings_quality_ratio": 50.0, "max_receivable_turnover_days": 6
            "max_inventory_turnover_days": 90.0, "max_debt_ratio": 75.0, "min_interest_coverage": 2.0}
 
 
-def _changes(facts: DataFrame) -> DataFrame:
-    """New thresholds for every second key, and for keys that have none to change."""
-    keys = facts.select("stock_code").distinct().filter(F.col("stock_code").cast("int") % 2 == 0)
+def _changes(limits: DataFrame) -> DataFrame:
+    """New thresholds for the keys with a high debt limit, and for keys that have none to change."""
+    keys = limits.filter("max_debt_ratio > 300").select("stock_code")
     unknown = keys.select(F.concat(F.lit("x"), "stock_code").alias("stock_code"))
     return keys.unionByName(unknown).withColumns({n: F.lit(v) for n, v in CHANGED.items()})
 
@@ -432,7 +435,7 @@ changed AS (
            CASE WHEN hit THEN 90 ELSE max_inventory_turnover_days END AS max_inventory_turnover_days,
            CASE WHEN hit THEN 75 ELSE max_debt_ratio END AS max_debt_ratio,
            CASE WHEN hit THEN 2 ELSE min_interest_coverage END AS min_interest_coverage, hit
-    FROM (SELECT *, CAST(stock_code AS INT) % 2 = 0 AS hit FROM limits))"""
+    FROM (SELECT *, max_debt_ratio > 300 AS hit FROM limits))"""
 
 
 def _limits(spark: SparkSession, facts: DataFrame) -> DataFrame:
@@ -445,7 +448,8 @@ def _limits(spark: SparkSession, facts: DataFrame) -> DataFrame:
                      max_debt_ratio, min_interest_coverage, hit AS stamped FROM changed""")
 def _(spark, sf_dir):
     facts = data.statement_fact(spark, sf_dir)
-    changed = statements.apply_threshold_changes(_limits(spark, facts), _changes(facts))
+    limits = _limits(spark, facts)
+    changed = statements.apply_threshold_changes(limits, _changes(limits))
     return changed.withColumn("stamped", F.col("last_updated").isNotNull()).drop("last_updated")
 
 
@@ -455,7 +459,8 @@ def _(spark, sf_dir):
                          eq="min_earnings_quality_ratio", debt="max_debt_ratio", source="joined"))
 def _(spark, sf_dir):
     facts = data.statement_fact(spark, sf_dir)
-    changed = statements.apply_threshold_changes(_limits(spark, facts), _changes(facts))
+    limits = _limits(spark, facts)
+    changed = statements.apply_threshold_changes(limits, _changes(limits))
     return statements.warning_indicators(facts, changed)
 
 
@@ -549,10 +554,11 @@ def _(spark, sf_dir):
                                         ma_cross="ma60"))
 
 
-@query("factor_metrics_of_one_key", needs=FACTOR_NEEDS, ctes=FACTORS, sql=FACTOR_ROW + " WHERE stock_code = '7'")
+@query("factor_metrics", needs=FACTOR_NEEDS, ctes=FACTORS, sql=FACTOR_ROW)
 def _(spark, sf_dir):
+    """Factor rows from stored metrics, of all keys."""
     daily = with_indicators(spark, sf_dir, assembled(spark, sf_dir), ["ma20", "ma60"])
-    return factor_row(screener.factor_metrics(daily, data.statement_fact(spark, sf_dir), data.company(spark, sf_dir), "7"))
+    return factor_row(screener.factor_metrics(daily, data.statement_fact(spark, sf_dir), data.company(spark, sf_dir)))
 
 
 @query("factor_labels", needs=FACTOR_NEEDS, ctes=FACTORS,
@@ -943,11 +949,12 @@ def _(spark, sf_dir):
     return keyed.duplicate_keys(data.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("orphan_keys", needs=["margin", "company"],
-       ctes="parents AS (SELECT stock_code FROM company WHERE CAST(stock_code AS INT) % 4 > 0)",
+@query("orphan_keys", needs=["margin"],
+       ctes="parents AS (SELECT CAST(s_suppkey AS VARCHAR) AS stock_code FROM supplier WHERE s_acctbal > 0)",
        sql="SELECT stock_code, count(*) AS n_rows FROM margin WHERE stock_code NOT IN (SELECT stock_code FROM parents) GROUP BY 1")
 def _(spark, sf_dir):
-    parents = data.company(spark, sf_dir).filter(F.col("stock_code").cast("int") % 4 > 0)
+    parents = data.table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(
+        F.col("s_suppkey").cast("string").alias("stock_code"))
     return keyed.orphans(data.margin(spark, sf_dir), parents)
 
 
@@ -990,15 +997,19 @@ def _(spark, sf_dir):
 
 
 @query("insert_missing_thresholds", needs=["statement_fact"],
-       sql="""SELECT DISTINCT stock_code, CAST(CASE WHEN CAST(stock_code AS INT) < 20 THEN 80 ELSE 50 END AS DOUBLE) AS min_earnings_quality_ratio
-              FROM statement_fact""")
+       sql="""SELECT stock_code, CAST(CASE WHEN bool_or(types = 'Liabilities') THEN 80 ELSE 50 END AS DOUBLE) AS min_earnings_quality_ratio
+              FROM statement_fact GROUP BY 1""")
 def _(spark, sf_dir):
     """Keys with thresholds keep them; the others get a row."""
-    keys = data.statement_fact(spark, sf_dir).select("stock_code").distinct()
-    defaults = keys.withColumns({n: F.lit(v) for n, v in statements.C.DEFAULT_THRESHOLDS.items()})
+    facts = data.statement_fact(spark, sf_dir)
+
+    def defaults(rows: DataFrame, quality: float) -> DataFrame:
+        limits = statements.C.DEFAULT_THRESHOLDS | {"min_earnings_quality_ratio": quality}
+        return rows.select("stock_code").distinct().withColumns({n: F.lit(v) for n, v in limits.items()})
+
     store = _store(spark)
-    store.append_new("warning_threshold", defaults.filter(F.col("stock_code").cast("int") < 20))
-    store.append_new("warning_threshold", defaults.withColumn("min_earnings_quality_ratio", F.lit(50.0)))
+    store.append_new("warning_threshold", defaults(facts.filter("types = 'Liabilities'"), 80.0))
+    store.append_new("warning_threshold", defaults(facts, 50.0))
     return store.read("warning_threshold").select(
         "stock_code", F.col("min_earnings_quality_ratio").cast("double").alias("min_earnings_quality_ratio"))
 
