@@ -630,24 +630,25 @@ def _(spark, sf_dir):
     return data.news(spark, sf_dir).select("stock_code", "news_link", "sentiment_score")
 
 
-def _length_scorer():
-    """Stands in for a headline model: long titles are positive, short ones negative; it refuses some."""
-    def score(titles):
-        if any("the" in t for t in titles):
-            raise ValueError("cannot score")
-        return [("Positive" if len(t) > 60 else "label_2" if len(t) < 30 else "Neutral", 0.5) for t in titles]
-    return score
-
-
 @query("model_scores",
        ctes="titles AS (SELECT CAST(doc_id AS VARCHAR) AS news_link, split_part(text, chr(10), 1) AS title FROM documents)",
        sql="""SELECT news_link, CASE WHEN contains(title, 'the') THEN 0.0 WHEN length(title) > 60 THEN 0.5
                                      WHEN length(title) < 30 THEN -0.5 ELSE 0.0 END::DOUBLE AS sentiment_score FROM titles""")
 def _(spark, sf_dir):
-    """Scores of a pluggable model; titles it fails on fall back to the lexicon (no hits here)."""
+    """Scores of a pluggable model; titles it fails on fall back to the lexicon (no hits here).
+
+    The stand-in model finds long titles positive, short ones negative, and refuses some.
+    """
+    def make_scorer():
+        def score(titles):
+            if any("the" in t for t in titles):
+                raise ValueError("cannot score")
+            return [("Positive" if len(t) > 60 else "label_2" if len(t) < 30 else "Neutral", 0.5) for t in titles]
+        return score
+
     titles = data.table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("news_link"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
-    return news.model_sentiment(titles, _length_scorer).drop("title")
+    return news.model_sentiment(titles, make_scorer).drop("title")
 
 
 @query("merged_searches", needs=["feed"],
