@@ -146,7 +146,6 @@ NEWS_DEFAULT_DAYS = 90
 NEWS_RECENT_DAYS = 7
 DAILY_DEFAULT_YEARS = 1
 STATEMENT_DEFAULT_YEARS = 2
-DIVIDEND_START = "2020-01-01"
 SENTIMENT_NEUTRAL_BAND = 0.1
 
 # Stored history read for new daily rows: the last years, or more for keys with fewer rows in them.

@@ -37,8 +37,11 @@ def zero_filled(df, columns: list[str] | None = None):
 
 
 def at_fixed(value: Column, decimals: int, signed: bool = False) -> Column:
-    """Text of a number with a fixed number of decimals, optionally signed."""
-    text = F.format_string(f"%{'+' if signed else ''}.{decimals}f", rounded(value.cast("double"), decimals))
+    """Text of a number with a fixed number of decimals; ``signed`` puts a plus before positive ones."""
+    shown = rounded(value.cast("double"), decimals)
+    text = F.format_string(f"%.{decimals}f", shown)
+    if signed:
+        text = F.when(shown > 0, F.concat(F.lit("+"), text)).otherwise(text)
     return F.when(value.isNotNull(), text)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stockloom import constants as C
 from stockloom.functions.dates import feed_time
+from stockloom.functions.numbers import at_fixed
 from stockloom.functions.text import (allowed_source, clean_source, clean_title, contains_any,
                                       lexicon_score, row_digest)
 from stockloom.operators.keyed import keep_first, top_rows, union_keep_first
@@ -129,7 +130,7 @@ def sentiment_label(score: Column) -> Column:
 def with_zscores(shown: DataFrame) -> DataFrame:
     """Labels and z-scores among each key's shown news (a bounded list).
 
-    Neutral rows, and lists without spread, have z-score 0.
+    Neutral rows, and lists without spread, have z-score 0. ``z_text`` shows the sign.
     """
     listed = Window.partitionBy("stock_code")
     score = F.coalesce(F.col("sentiment_score").cast("double"), F.lit(0.0))
@@ -137,8 +138,9 @@ def with_zscores(shown: DataFrame) -> DataFrame:
         "mean_score": F.avg("sentiment_score").over(listed),
         "std_score": F.stddev_samp("sentiment_score").over(listed),
         "label": sentiment_label(F.col("sentiment_score"))})
+    neutral = F.col("label") == "neutral"
     z = F.try_divide(F.col("sentiment_score") - F.col("mean_score"), F.col("std_score"))
-    return rated.withColumn(
-        "z_score", F.when(F.col("label") == "neutral", F.lit(0.0)).otherwise(F.coalesce(z, F.lit(0.0))))
+    rated = rated.withColumn("z_score", F.when(neutral, F.lit(0.0)).otherwise(F.coalesce(z, F.lit(0.0))))
+    return rated.withColumn("z_text", at_fixed(F.col("z_score"), 2, signed=True))
 
 

@@ -12,7 +12,6 @@ from stockloom.operators.flows import assemble_daily
 from stockloom.operators.indicators import update_indicators
 from stockloom.operators.keyed import keep_first, prefer, stable_order
 from stockloom.operators.news import model_sentiment, news_columns
-from stockloom.operators.series import days_spanned
 from stockloom.operators.ownership import weekly_concentration
 from stockloom.operators.statements import as_facts
 from stockloom.plans.incremental import delta, recent_history
@@ -57,8 +56,10 @@ def daily_metrics(price_rows: DataFrame, flow_rows: DataFrame, margin_rows: Data
                            one_per_day(delta(margins(margin_rows), marks, day, today)))
     numeric = [c for c, _ in batch.dtypes if c not in ("stock_code", "stock_date")]
     past = recent_history(history, today).withColumns({c: F.col(c).cast("double") for c in numeric})
-    span = days_spanned(past, prices(price_rows).filter(day <= F.lit(today)))
-    return update_indicators(past, batch, tail_rows, span=span)
+    first_year = history.agg(F.min("stock_year")).first()[0]
+    first_mark = marks.agg(F.min("mark")).first()[0] or today
+    first = first_mark if first_year is None else min(first_mark, dt.date(first_year, 1, 1))
+    return update_indicators(past, batch, tail_rows, span=max(0, (today - first).days + 1))
 
 
 def weekly(levels: DataFrame, backup_levels: DataFrame | None = None) -> DataFrame:

@@ -51,6 +51,12 @@ class Warehouse:
             df = df.filter(F.col("version") == self._version(df))
         return df if with_layout else df.select(*table.columns)
 
+    def sql(self, query: str, **parameters) -> DataFrame:
+        """A query over the stored tables by name, with bound ``:parameters``."""
+        for name in TABLES:
+            self.read(name).createOrReplaceTempView(name)
+        return self.spark.sql(query, args=parameters)
+
     def _layout_type(self, table: Table, column: str) -> str:
         empty = self.spark.createDataFrame([], table.schema)
         return empty.select(F.expr(table.layout[column])).schema[0].dataType.simpleString()

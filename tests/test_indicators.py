@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockloom.operators.indicators import INDICATORS, indicators, update_indicators
-from stockloom.operators.series import SeriesLayout
+from stockloom.operators.series import SeriesLayout, cut_series, days_spanned
 
 SCHEMA = "stock_code string, stock_date date, stock_close double"
 START = dt.date(1950, 1, 1)
@@ -157,3 +157,19 @@ def test_layout_is_checked():
         SeriesLayout(block_rows=512)
     with pytest.raises(ValueError):
         SeriesLayout(block_rows=8000)
+
+
+def test_no_block_of_a_dominant_key_outgrows_its_bound(spark):
+    days = spark.range(60000).selectExpr("'hot' AS stock_code", "date_add(DATE'1900-01-01', cast(id AS int)) AS stock_date",
+                                         "cast(id % 17 AS double) AS stock_close")
+    cold = spark.range(100).selectExpr("cast(id AS string) AS stock_code", "DATE'2000-01-01' AS stock_date", "1D AS stock_close")
+    series = cut_series(days.unionByName(cold), CUT)
+    sizes = [r["count"] for r in series.df.groupBy("stock_code", "__block").count().filter("stock_code = 'hot'").collect()]
+    assert len(sizes) == 8 and max(sizes) <= CUT.block_rows + CUT.lead_rows + 2 * CUT.bucket_days
+    own = series.df.filter("__block = __home")
+    assert own.count() == 60100
+
+
+def test_days_spanned(spark):
+    df = frame(spark, {"a": [1.0] * 10})
+    assert days_spanned(df) == 10 and days_spanned(df, df.limit(0)) == 10 and days_spanned(df.limit(0)) == 0

@@ -33,6 +33,7 @@ def test_zscores(spark):
     assert three["l0001"]["z_score"] == 0.0 and three["l0001"]["label"] == "neutral"
     assert three["l0000"]["z_score"] == pytest.approx((0.8 - 0.05 / 3) / 0.800156, abs=1e-3)
     assert three["l0002"]["label"] == "negative"
+    assert [three[f"l000{i}"]["z_text"] for i in range(3)] == ["+0.98", "0.00", "-1.02"]
 
 
 def test_daily_mean_leaves_out_rows_without_time(spark):

@@ -148,3 +148,11 @@ def test_recent_history_reads_older_years_for_sparse_keys_only(spark, monkeypatc
     daily = spark.createDataFrame(rows, "stock_code string, stock_date date").withColumn("stock_year", F.year("stock_date"))
     got = {(r["stock_code"], r["stock_date"].year) for r in inc.recent_history(daily, dt.date(2026, 7, 1)).collect()}
     assert got == {("dense", 2025), ("sparse", 2025), ("sparse", 2010), ("gone", 2010)}
+
+
+def test_parameterised_sql_over_stored_tables(spark, store, rows):
+    store.append_new("daily_metrics", closes(spark, (DAYS[0], 1), (DAYS[1], 2), (DAYS[2], 3)))
+    found = store.sql("SELECT stock_date FROM daily_metrics WHERE stock_code = :code AND stock_date BETWEEN :start AND :end",
+                      code="2330", start=DAYS[1], end=DAYS[2])
+    assert rows(found) == {(DAYS[1],), (DAYS[2],)}
+    assert store.sql("SELECT * FROM daily_metrics WHERE stock_code = :code", code="x' OR '1'='1").isEmpty()
