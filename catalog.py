@@ -747,6 +747,19 @@ def _(spark, sf_dir):
     return files.companies(raw, wanted).select("stock_code", "company_name", "listing_date", "company_class", "market_class")
 
 
+@query("company_backup_load",
+       sql="""SELECT CAST(s_suppkey AS VARCHAR) AS stock_code, s_name AS company_name, s_name AS company_name_abbr,
+                     make_date(1990 + s_nationkey, 3, 7) AS listing_date FROM supplier""")
+def _(spark, sf_dir):
+    """Suppliers as a Parquet backup of the company table, with text dates and without short names."""
+    path = fresh_path(spark, "backup")
+    data.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("StockCode"), F.col("s_name").alias("CompanyNameC"),
+        F.concat((F.lit(1990) + F.col("s_nationkey")).cast("string"), F.lit("-03-07 00:00:00")).alias("ListingDate"),
+        F.col("s_acctbal").alias("Dataid")).write.parquet(path)
+    return files.read_company_backup(spark, path)
+
+
 @query("company_record", needs=["company"], sql="SELECT * FROM company WHERE stock_code = '3'")
 def _(spark, sf_dir):
     return reports.company_record(data.company(spark, sf_dir), "3")

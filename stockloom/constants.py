@@ -133,6 +133,24 @@ COMPANY_FIELDS = {
     "住址": "company_address",
 }
 
+# Column of a company backup file -> stored column.
+COMPANY_BACKUP_FIELDS = {
+    "StockCode": "stock_code",
+    "CompanyNameC": "company_name",
+    "CompanyNameAbbr": "company_name_abbr",
+    "CompanyNameE": "company_name_en",
+    "ChairmanName": "chairman_name",
+    "EstablishmentDate": "establishment_date",
+    "ListingDate": "listing_date",
+    "CompanyClass": "company_class",
+    "Webside": "website",
+    "CompanyEmail": "company_email",
+    "GeneralManager": "general_manager",
+    "CompanyAddress": "company_address",
+    "MarketClass": "market_class",
+    "MainBusinessActivities": "main_business",
+}
+
 # Row limits and look-backs.
 INDICATOR_TAIL_ROWS = 65
 WEEKLY_HISTORY_ROWS = 52

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stockloom import constants as C
-from stockloom.functions.dates import compact_date, dashed_date
+from stockloom.functions.dates import compact_date, dashed_date, day_of
 from stockloom.functions.text import strip
 from stockloom.operators.keyed import restrict_keys
 
@@ -77,12 +77,15 @@ def read_companies(spark: SparkSession, path: str,
 
 
 def read_company_backup(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet copy of the stored company table; the short name falls back to the full name.
+    """A Parquet copy of the company table; the short name falls back to the full name.
 
-    Its dates may be text, and it may carry a record id or lack the short name.
+    Its columns may have their original or their stored names and its dates may
+    be text; columns the stored table does not know, such as a record id, are left out.
     """
     df = spark.read.parquet(path)
+    names = C.COMPANY_BACKUP_FIELDS | {stored: stored for stored in C.COMPANY_BACKUP_FIELDS.values()}
+    df = df.select(*[F.col(c).alias(names[c]) for c in df.columns if c in names])
     if "company_name_abbr" not in df.columns:
         df = df.withColumn("company_name_abbr", F.col("company_name"))
-    return df.withColumns({c: F.col(c).cast("string").try_cast("date")
-                           for c in ("establishment_date", "listing_date")}).drop("data_id")
+    return df.withColumns({c: day_of(F.col(c).cast("string"))
+                           for c in ("establishment_date", "listing_date") if c in df.columns})

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockloom.plans import loads
-from stockloom.plans.update import LandingZone, monitored, update_all
+from stockloom.plans.update import LandingZone, monitored, update_all, update_companies
 from stockloom.schemas import LANDINGS
 from stockloom.sinks.warehouse import Warehouse
 from stockloom.sources import files, landed, news_feed
@@ -82,12 +82,25 @@ def test_companies(spark, tmp_path):
     assert (got["2330"]["company_class"], got["1"]["company_class"]) == ("半導體業", "其他")
 
 
-def test_company_backup(spark, tmp_path):
-    spark.createDataFrame([("1", "full", "1987-02-21", None, "id")],
-                          "stock_code string, company_name string, establishment_date string, listing_date string, data_id string"
-                          ).write.parquet(str(tmp_path / "b"))
-    row = files.read_company_backup(spark, str(tmp_path / "b")).first()
-    assert (row["company_name_abbr"], row["establishment_date"]) == ("full", dt.date(1987, 2, 21))
+@pytest.mark.parametrize("columns", [
+    "StockCode string, CompanyNameC string, EstablishmentDate string, ListingDate string, Dataid string",
+    "stock_code string, company_name string, establishment_date string, listing_date string, other string"])
+def test_company_backup(spark, tmp_path, columns):
+    spark.createDataFrame([("1", "full", "1987-02-21 00:00:00", None, "id")], columns).write.parquet(str(tmp_path / "b"))
+    df = files.read_company_backup(spark, str(tmp_path / "b"))
+    row = df.first()
+    assert (row["stock_code"], row["company_name_abbr"], row["establishment_date"]) == ("1", "full", dt.date(1987, 2, 21))
+    assert df.columns == ["stock_code", "company_name", "establishment_date", "listing_date", "company_name_abbr"]
+
+
+def test_backup_is_used_where_there_is_no_master_file(spark, tmp_path):
+    spark.createDataFrame([("1", "full", "1987-02-21", "1990-01-01")],
+                          "StockCode string, CompanyNameC string, EstablishmentDate string, ListingDate string"
+                          ).write.parquet(str(tmp_path / "land" / "company_backup"))
+    store = Warehouse(spark, str(tmp_path / "store"))
+    update_companies(store, LandingZone(spark, str(tmp_path / "land")), monitored(spark))
+    row = store.read("company").first()
+    assert (row["company_name_abbr"], row["listing_date"], row["website"]) == ("full", dt.date(1990, 1, 1), None)
 
 
 def entry(title, day, link, source=None):
