@@ -78,7 +78,10 @@ def relative_strength_steps(series: Series, value: str = "stock_close",
 
 
 def macd_steps(series: Series, value: str = "stock_close") -> Steps:
-    """Histogram of the 12/26 exponential mean difference against its 9-row mean."""
+    """Histogram of the 12/26 exponential mean difference against its 9-row mean.
+
+    A missing close counts as 0, as it does in the assembled daily rows.
+    """
     fast, slow, signal = (Smoothing.of_span(n) for n in (C.EMA_FAST, C.EMA_SLOW, C.EMA_SIGNAL))
     close = F.coalesce(F.col(value), F.lit(0.0))
     fast_carry, slow_carry = F.col("fast_carry"), F.col("slow_carry")
@@ -116,7 +119,8 @@ def indicators(prices: DataFrame, names: list[str] = INDICATORS,
     and K and D stay at 50.
     """
     columns = [c for c in prices.columns if c not in INDICATORS]
-    source = prices.select(*columns).withColumn("stock_close", F.col("stock_close").cast("double"))
+    close = F.nanvl(F.col("stock_close").cast("double"), F.lit(None).cast("double"))
+    source = prices.select(*columns).withColumn("stock_close", close)
     series = distribute(source, layout, span)
     plans = [family(series, undefined=rsi_undefined) if family is relative_strength_steps else family(series)
              for family in dict.fromkeys(_FAMILIES[n] for n in names)]

@@ -44,6 +44,11 @@ class SeriesLayout:
             raise ValueError("block_rows must exceed lead_rows + bucket_days")
         if self.block_rows % self.stretch_rows:
             raise ValueError("block_rows must be a multiple of stretch_rows")
+        # Long enough for a carry to fade, short enough for scaled terms to stay in range.
+        if self.stretch_rows - self.bucket_days < 640 or self.stretch_rows + self.bucket_days > 1500:
+            raise ValueError("stretch_rows must leave 640 to 1500 rows, give or take a bucket")
+        if self.lead_rows < 640:
+            raise ValueError("lead_rows must be at least 640")
 
 
 _BUCKET, _BLOCK, _STRETCH = "__bucket", "__block", "__stretch"

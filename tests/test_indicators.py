@@ -107,6 +107,14 @@ def test_average_is_null_while_a_close_is_missing(spark):
     assert all(got[i]["ma20"] is None for i in range(25, 45))
 
 
+def test_not_a_number_is_a_missing_close(spark):
+    closes = [100.0 + i for i in range(50)]
+    closes[25] = float("nan")
+    got = by_key(indicators(frame(spark, {"a": closes})))["a"]
+    assert got[25]["stock_close"] is None and got[44]["ma20"] is None and got[45]["ma20"] is not None
+    assert all(r["macd_hist"] == r["macd_hist"] and r["k_value"] == r["k_value"] for r in got)
+
+
 def test_empty_series(spark):
     assert indicators(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -155,8 +163,9 @@ def test_cut_series_are_distributed_by_block(spark):
 def test_layout_is_checked():
     with pytest.raises(ValueError):
         SeriesLayout(block_rows=512)
-    with pytest.raises(ValueError):
-        SeriesLayout(block_rows=8000)
+    for wrong in ({"block_rows": 8000}, {"stretch_rows": 512}, {"stretch_rows": 4096}, {"lead_rows": 100}):
+        with pytest.raises(ValueError):
+            SeriesLayout(**wrong)
 
 
 def test_no_block_of_a_dominant_key_outgrows_its_bound(spark):
