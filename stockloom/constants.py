@@ -23,11 +23,11 @@ NEGATIVE_LABELS = ["NEG", "LABEL_2"]
 SOURCE_KEYWORDS = ["鉅亨", "cnyes", "moneydj", "yahoo股市", "奇摩", "cmoney"]
 TITLE_SOURCE_SEPARATOR = " - "
 
-# Investor class -> case-insensitive pattern of the investor name.
+# Investor class -> words in the investor name, in any case.
 INVESTOR_CLASSES = {
-    "foreign_net_buy": "Foreign|外資",
-    "trust_net_buy": "Trust|投信",
-    "dealer_net_buy": "Dealer|自營商",
+    "foreign_net_buy": ["Foreign", "外資"],
+    "trust_net_buy": ["Trust", "投信"],
+    "dealer_net_buy": ["Dealer", "自營商"],
 }
 
 # Ownership levels: small holders up to, large holders from.

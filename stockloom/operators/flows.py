@@ -28,8 +28,8 @@ def investor_summary(flows: DataFrame) -> DataFrame:
     a day's rows are combined before the shuffle.
     """
     net = net_buy(F.col("buy"), F.col("sell"))
-    sums = [F.coalesce(F.sum(F.when(name_matches(F.col("name"), pattern), net)), F.lit(0.0)).alias(column)
-            for column, pattern in C.INVESTOR_CLASSES.items()]
+    sums = [F.coalesce(F.sum(F.when(name_matches(F.col("name"), words), net)), F.lit(0.0)).alias(column)
+            for column, words in C.INVESTOR_CLASSES.items()]
     return flows.groupBy(*DAY_KEY).agg(*sums)
 
 
