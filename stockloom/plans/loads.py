@@ -55,7 +55,7 @@ def daily_metrics(price_rows: DataFrame, flow_rows: DataFrame, margin_rows: Data
                            delta(flows(flow_rows), marks, day, today),
                            one_per_day(delta(margins(margin_rows), marks, day, today)))
     numeric = [c for c, _ in batch.dtypes if c not in ("stock_code", "stock_date")]
-    past = recent_history(history, today).withColumns({c: F.col(c).cast("double") for c in numeric})
+    past = recent_history(marks, history, today).withColumns({c: F.col(c).cast("double") for c in numeric})
     first_year = history.agg(F.min("stock_year")).first()[0]
     first_mark = marks.agg(F.min("mark")).first()[0] or today
     first = first_mark if first_year is None else min(first_mark, dt.date(first_year, 1, 1))

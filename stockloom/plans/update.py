@@ -69,7 +69,7 @@ def update_companies(store: Warehouse, zone: LandingZone, keys: DataFrame) -> No
 def update_daily(store: Warehouse, zone: LandingZone, keys: DataFrame, today: dt.date,
                  tail_rows: int | None = None) -> None:
     stored = store.read("daily_metrics", with_layout=True)
-    marks = inc.high_water_marks(keys, stored, "stock_date", today, C.DAILY_DEFAULT_YEARS)
+    marks = inc.daily_marks(keys, stored, today)
     store.append_new("daily_metrics", loads.daily_metrics(
         zone.dataset("price"), zone.dataset("investor"), zone.dataset("margin"), stored, marks, today, tail_rows))
 

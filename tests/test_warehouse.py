@@ -144,10 +144,16 @@ def test_recent_history_reads_older_years_for_sparse_keys_only(spark, monkeypatc
     monkeypatch.setattr(inc.C, "HISTORY_KEY_LIST", list_limit)
     monkeypatch.setattr(inc.C, "HISTORY_ROWS", 3)
     rows = [("dense", dt.date(2025, 1, d)) for d in (1, 2, 3)] + [("dense", dt.date(2010, 1, 1)), ("sparse", dt.date(2025, 1, 1)),
-            ("sparse", dt.date(2010, 1, 1)), ("gone", dt.date(2010, 1, 1))]
+            ("sparse", dt.date(2010, 1, 1)), ("gone", dt.date(2010, 1, 1)), ("other", dt.date(2025, 1, 1))]
     daily = spark.createDataFrame(rows, "stock_code string, stock_date date").withColumn("stock_year", F.year("stock_date"))
-    got = {(r["stock_code"], r["stock_date"].year) for r in inc.recent_history(daily, dt.date(2026, 7, 1)).collect()}
+    keys = spark.createDataFrame([("dense",), ("sparse",), ("gone",), ("new",)], "stock_code string")
+    got = {(r["stock_code"], r["stock_date"].year) for r in inc.recent_history(keys, daily, dt.date(2026, 7, 1)).collect()}
     assert got == {("dense", 2025), ("sparse", 2025), ("sparse", 2010), ("gone", 2010)}
+    marks = {r["stock_code"]: r["mark"] for r in inc.daily_marks(keys, daily, dt.date(2026, 7, 1)).collect()}
+    assert marks == {"dense": dt.date(2025, 1, 3), "sparse": dt.date(2025, 1, 1), "gone": dt.date(2010, 1, 1),
+                     "new": dt.date(2025, 1, 1)}
+    alone = inc.recent_history(keys.filter("stock_code = 'dense'"), daily, dt.date(2026, 7, 1))
+    assert alone.count() == 3
 
 
 def test_parameterised_sql_over_stored_tables(spark, store, rows):
