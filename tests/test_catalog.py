@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+import catalog
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -34,7 +35,7 @@ def table(names, tuples):
     return [names[i] for i in order], sorted(cells, key=lambda t: [(v is None, str(type(v)), v if v is not None else 0) for v in t])
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_sql(spark, duck, name):
     df = entry_point.queries()[name](spark, SF_DIR)
     got = table(df.columns, [tuple(r) for r in df.collect()])
@@ -48,4 +49,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.SQL)
