@@ -1,27 +1,53 @@
-"""The training-data pipeline: each stage works on all documents its predecessor kept."""
+"""The training-data pipeline: each stage works on all documents its predecessor kept.
+
+Stages but the last return the columns of ``documents`` as they came (any extra ones
+too). Nulls, empty texts and repeated rows are handled as each operator states.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stockloom.llm import decontamination, simhash
+from stockloom.llm import decontamination, langid, packing, secrets, simhash
 from stockloom.llm.common import table
 from stockloom.session import fresh_path
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or that no learned language claims, go."""
+    return langid.known_language(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: one document of each group stays."""
+    """One document of each near-duplicate group stays, the one with the least doc_id."""
     return simhash.without_near_duplicates(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark passages by the rule of the operator go."""
+    """Documents with benchmark passages, by the rule of the operator, go."""
     return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("near_duplicates", near_duplicates), ("decontamination", decontaminated)]
+def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret found is masked in its text; no document goes."""
+    return secrets.without_secrets(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts as token sequences: a row for each piece."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", known_language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("secrets", secrets_masked),
+    ("packing", packed),
+]
 
-#: Language models, fingerprints and tokens have no SQL counterpart; tests compare with brute force.
+#: Kernels, fingerprints and tokens have no SQL counterpart; tests compare with brute force.
 ORACLE_SQL = None
 
 
