@@ -30,10 +30,12 @@ from stockloom.session import fresh_path
 
 END_ID = 2
 #: Words whose ids a task remembers; forgetting them costs time only.
-CACHE = 400_000
+CACHE = 800_000
 BLOCK_IDS, BLOCK_DOCS, FILE_BLOCKS = 1 << 20, 1 << 14, 8
 _HEADER = struct.Struct("<4sB3xIIIQQ")
 _MAGIC = b"TID1"
+#: ASCII punctuation but the apostrophe, which may begin a token of letters.
+_PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def bits_of(vocabulary: int) -> int:
@@ -45,7 +47,8 @@ class Encoder:
 
     Such a tokenizer (``word_bpe_49k.json`` drops white space before it splits) gives a
     text the ids of its white-space separated words, one after the other. Only words not
-    met before are encoded, in batches. ``ends`` is appended to every document.
+    met before are encoded: words of letters many at a time, as their last id alone ends
+    a word, all others each by itself. ``end`` is appended to every document.
     """
 
     def __init__(self, path: str, end: int | None = END_ID):
@@ -56,19 +59,82 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.end = b"" if end is None else np.array([end], self.dtype).tobytes()
+        self.last = np.zeros(self.vocabulary, bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {b"": b""}
+
+    @classmethod
+    def shared(cls, path: str, end: int | None = END_ID) -> Encoder:
+        """The one of this Python worker, which serves task after task and so knows its words."""
+        if (path, end) not in _ENCODERS:
+            _ENCODERS[path, end] = cls(path, end)
+        return _ENCODERS[path, end]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_stems(self, new: list[bytes]) -> None:
+        letters, others = [], []
+        for w in new:
+            (letters if w.isalpha() or w.decode("utf-8", "replace").isalpha() else others).append(w)
+        groups = [letters[i:i + 500] for i in range(0, len(letters), 500)]
+        for group, ids in zip(groups, self._ids([b" ".join(g).decode("utf-8", "replace") for g in groups]), strict=True):
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group) and (not len(ids) or ends[-1] == len(ids)):
+                data, at, step = ids.tobytes(), 0, self.dtype.itemsize
+                for w, e in zip(group, ends.tolist(), strict=True):
+                    self.stems[w] = data[at * step:e * step]
+                    at = e
+            else:
+                others += group
+        self.stems.update((w, i.tobytes()) for w, i in zip(others, self._ids([w.decode("utf-8", "replace") for w in others]), strict=True))
+
+    def _learn(self, words: set[bytes]) -> None:
+        # Letters with punctuation behind are two tokens of the splitter; the case of ASCII letters makes no difference.
+        stems, known, later, new = self.stems, self.known, [], set()
+        for w in words:
+            stem = w.rstrip(_PUNCTUATION)
+            if stem.isalpha():
+                stem = stem.lower()
+            elif not stem or stem.isascii() or not stem.decode("utf-8", "replace").lower().isalpha():
+                stem = w
+            tail = w[len(stem):]
+            if stem in stems and tail in stems:
+                known[w] = stems[stem] + stems[tail]
+            else:
+                later.append((w, stem, tail))
+                new.update((stem, tail))
+        self._learn_stems([x for x in new if x not in stems])
+        for w, stem, tail in later:
+            known[w] = stems[stem] + stems[tail]
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Ids of each text (UTF-8; None is empty) with the end id."""
-        for data in texts:
-            words = data.split() if data else []
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and size < 4_000_000:
+                data = texts[at] or b""
+                # Unless a combining mark or a special token could follow, ASCII letters may be lower-cased beforehand.
+                group.append((data if b"\xcc" in data or b"\xcd" in data or b"<|" in data else data.lower()).split())
+                size += len(data)
+                at += 1
             if len(self.known) > CACHE:
                 self.known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
+                self.stems = {b"": b""}
+            found = [list(map(self.known.get, words)) for words in group]
+            gaps = [[k for k, i in enumerate(ids) if i is None] for ids in found]
+            new = {words[k] for words, gap in zip(group, gaps, strict=True) for k in gap}
             if new:
-                found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-                self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(new, found, strict=True))
-            yield b"".join(map(self.known.__getitem__, words)) + self.end
+                self._learn(new)
+            for words, ids, gap in zip(group, found, gaps, strict=True):
+                for k in gap:
+                    ids[k] = self.known[words[k]]
+                yield b"".join(ids) + self.end
+
+
+_ENCODERS: dict[tuple[str, int | None], Encoder] = {}
 
 
 def crc32(ids: np.ndarray) -> int:
@@ -150,7 +216,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end: int | None = EN
     def make():
         from pyspark import TaskContext
 
-        encoder, task = Encoder(tokenizer, end), TaskContext.get().partitionId()
+        encoder, task = Encoder.shared(tokenizer, end), TaskContext.get().partitionId()
         bits = bits_of(encoder.vocabulary)
 
         def function(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -208,7 +274,7 @@ def token_files(docs: DataFrame, tokenizer: str, path: str | None = None) -> Dat
 def with_ids(docs: DataFrame, tokenizer: str, end: int | None = END_ID) -> DataFrame:
     """doc_id, ids (little-endian, two bytes each if the vocabulary allows, else four), n_tokens."""
     def make():
-        encoder = Encoder(tokenizer, end)
+        encoder = Encoder.shared(tokenizer, end)
 
         def function(texts: list[bytes | None]) -> Iterator[tuple]:
             return ((ids, len(ids) // encoder.dtype.itemsize) for ids in encoder.encode(texts))
