@@ -110,28 +110,30 @@ def statement_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(cashflow_fact(spark, sf_dir)))
 
 
+def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document as a headline: source, doc_id, link (document and line), title."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "title"))
+    return lines.select("source", "doc_id", F.concat_ws("-", "doc_id", "line").alias("link"), "title")
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as feed entries; the headline is the first line plus its publisher."""
+    """Headlines as feed entries, with their publisher behind."""
     doc = F.col("doc_id")
     publisher = F.when(doc % 3 == 0, "CMoney").when(doc % 3 == 1, "Yahoo股市").otherwise("Other News")
     time = F.timestamp_seconds(F.lit(1704067200) + doc * 3600)
-    return table(spark, sf_dir, "documents").select(
-        F.col("source").alias("stock_code"),
-        F.concat(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(" - "), publisher).alias("title"),
+    return headline(spark, sf_dir).select(
+        F.col("source").alias("stock_code"), F.concat("title", F.lit(" - "), publisher).alias("title"),
         F.concat(F.lit("Mon, "), F.date_format(time, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT")).alias("published"),
-        doc.cast("string").alias("link"),
-        F.when(doc % 2 == 0, F.lit("")).otherwise(publisher).alias("source_name"))
+        "link", F.when(doc % 2 == 0, F.lit("")).otherwise(publisher).alias("source_name"))
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as stored news rows, scored with a lexicon that occurs in them."""
+    """Headlines as stored news rows, scored with a lexicon that occurs in them."""
     from stockloom.functions.text import lexicon_score
-    doc = F.col("doc_id")
-    title = F.split_part("text", F.lit("\n"), F.lit(1))
-    return table(spark, sf_dir, "documents").select(
-        F.col("source").alias("stock_code"), title.alias("title"),
-        F.timestamp_seconds(F.lit(1704067200) + doc * 3600).alias("publish_time"),
-        doc.cast("string").alias("news_link"), lexicon_score(title, POSITIVE, NEGATIVE).alias("sentiment_score"))
+    return headline(spark, sf_dir).select(
+        F.col("source").alias("stock_code"), "title",
+        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).alias("publish_time"),
+        F.col("link").alias("news_link"), lexicon_score(F.col("title"), POSITIVE, NEGATIVE).alias("sentiment_score"))
 
 
 def news_price(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,21 +218,21 @@ CARRIER_SQL = {
               FROM orders) GROUP BY 2, 3, 4""",
     "statement_fact": """
         SELECT * FROM balance_fact UNION ALL SELECT * FROM income_fact UNION ALL SELECT * FROM cashflow_fact""",
+    "headline": """
+        SELECT source, doc_id, CAST(doc_id AS VARCHAR) || '-' || CAST(line AS VARCHAR) AS link, title
+        FROM (SELECT source, doc_id, unnest(range(len(lines))) AS line, unnest(lines) AS title
+              FROM (SELECT source, doc_id, string_split(text, chr(10)) AS lines FROM documents))""",
     "feed": """
-        SELECT source AS stock_code, split_part(text, chr(10), 1) || ' - ' || publisher AS title,
-               make_timestamp((1704067200 + doc_id * 3600) * 1000000) AS published, CAST(doc_id AS VARCHAR) AS link,
+        SELECT source AS stock_code, title || ' - ' || publisher AS title,
+               make_timestamp((1704067200 + doc_id * 3600) * 1000000) AS published, link,
                CASE WHEN doc_id % 2 = 0 THEN '' ELSE publisher END AS source_name
         FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'CMoney' WHEN 1 THEN 'Yahoo股市' ELSE 'Other News' END AS publisher
-              FROM documents)""",
+              FROM headline)""",
     "news_counts": """
-        SELECT source AS stock_code, split_part(text, chr(10), 1) AS title,
-               make_timestamp((1704067200 + doc_id * 3600) * 1000000) AS publish_time,
-               CAST(doc_id AS VARCHAR) AS news_link,
-               CAST(contains(split_part(text, chr(10), 1), 'ing') AS INT) + CAST(contains(split_part(text, chr(10), 1), 'tion') AS INT)
-                   + CAST(contains(split_part(text, chr(10), 1), 'eau') AS INT) AS good,
-               CAST(contains(split_part(text, chr(10), 1), 'ment') AS INT) + CAST(contains(split_part(text, chr(10), 1), 'the') AS INT)
-                   + CAST(contains(split_part(text, chr(10), 1), 'und') AS INT) AS bad
-        FROM documents""",
+        SELECT source AS stock_code, title, make_timestamp((1704067200 + doc_id * 3600) * 1000000) AS publish_time, link AS news_link,
+               CAST(contains(title, 'ing') AS INT) + CAST(contains(title, 'tion') AS INT) + CAST(contains(title, 'eau') AS INT) AS good,
+               CAST(contains(title, 'ment') AS INT) + CAST(contains(title, 'the') AS INT) + CAST(contains(title, 'und') AS INT) AS bad
+        FROM headline""",
     "news": """
         SELECT stock_code, title, publish_time, news_link,
                CASE WHEN good + bad = 0 THEN CAST(0 AS DOUBLE)
@@ -251,5 +253,7 @@ CARRIER_SQL = {
 CARRIER_NEEDS = {
     "income_fact": ["income_base"],
     "statement_fact": ["balance_fact", "income_fact", "cashflow_fact"],
+    "feed": ["headline"],
+    "news_counts": ["headline"],
     "news": ["news_counts"],
 }

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 import carriers as data
 from stockloom.functions import dates, numbers, text
 from stockloom.operators import flows, indicators, keyed, news, ownership, statements
-from stockloom.operators.series import days_spanned
-from stockloom.plans import incremental, loads, reports, screener
+from stockloom.plans import incremental, loads, reports, screener, update
 from stockloom.schemas import LANDINGS
 from stockloom.sinks.warehouse import Warehouse
 from stockloom.session import fresh_path
@@ -129,13 +128,8 @@ def _(spark, sf_dir):
     return with_indicators(spark, sf_dir, prices).select("stock_code", "stock_date", *r4s(*indicators.INDICATORS))
 
 
-def price_days(spark: SparkSession, sf_dir: str) -> int:
-    """Days spanned by the daily prices, from the column they are grouped by."""
-    return days_spanned(data.table(spark, sf_dir, "lineitem"), day="l_shipdate")
-
-
 def with_indicators(spark: SparkSession, sf_dir: str, rows: DataFrame, names: list[str] = indicators.INDICATORS) -> DataFrame:
-    return indicators.indicators(rows, names, span=price_days(spark, sf_dir))
+    return indicators.indicators(rows, names)
 
 
 def _family(name: str, columns: list[str], ctes: str, source: str) -> None:
@@ -225,16 +219,17 @@ def _(spark, sf_dir):
 SPLIT_DAY = dt.date(2001, 6, 1)
 
 
-@query("indicator_update", needs=["daily_price"], ctes=",\n".join([NUMBERED, AVERAGES, STOCHASTIC]),
-       sql=f"""SELECT stock_code, stock_date, {sql4('ma20', 'ma60', 'k_value', 'd_value')}
-               FROM averages JOIN kd USING (stock_code, stock_date) WHERE stock_date >= DATE '{SPLIT_DAY}'""")
+@query("indicator_update", needs=["daily_price"], ctes=",\n".join([NUMBERED, AVERAGES, STOCHASTIC, STRENGTH, HISTOGRAM]),
+       sql=f"""SELECT stock_code, stock_date, {sql4(*indicators.INDICATORS)}
+               FROM averages JOIN kd USING (stock_code, stock_date) JOIN strength USING (stock_code, stock_date)
+               JOIN histogram USING (stock_code, stock_date) WHERE stock_date >= DATE '{SPLIT_DAY}'""")
 def _(spark, sf_dir):
-    """History up to a day, batch from that day on: only the batch's days come out."""
+    """History up to a day, a batch that overlaps its last weeks with other prices: history wins, the batch's days come out."""
     prices = data.daily_price(spark, sf_dir).select("stock_code", "stock_date", "stock_close")
-    history = prices.filter(F.col("stock_date") < F.lit(SPLIT_DAY))
-    batch = prices.filter(F.col("stock_date") >= F.lit(SPLIT_DAY))
-    return indicators.update_indicators(history, batch, span=price_days(spark, sf_dir)).select(
-        "stock_code", "stock_date", *r4s("ma20", "ma60", "k_value", "d_value"))
+    history = prices.filter(F.col("stock_date") < F.lit(SPLIT_DAY + dt.timedelta(60)))
+    batch = prices.filter(F.col("stock_date") >= F.lit(SPLIT_DAY)).withColumn(
+        "stock_close", F.when(F.col("stock_date") < F.lit(SPLIT_DAY + dt.timedelta(60)), F.lit(1.0)).otherwise(F.col("stock_close")))
+    return indicators.update_indicators(history, batch).select("stock_code", "stock_date", *r4s(*indicators.INDICATORS))
 
 
 @query("indicator_update_tail", needs=["daily_price"],
@@ -249,11 +244,11 @@ def _(spark, sf_dir):
     prices = data.daily_price(spark, sf_dir).select("stock_code", "stock_date", "stock_close")
     history = prices.filter(F.col("stock_date") < F.lit(SPLIT_DAY))
     batch = prices.filter(F.col("stock_date") >= F.lit(SPLIT_DAY))
-    return indicators.update_indicators(history, batch, tail_rows=65, span=price_days(spark, sf_dir)).select(
+    return indicators.update_indicators(history, batch, tail_rows=65).select(
         "stock_code", "stock_date", *r4s("k_value", "d_value"))
 
 
-@query("history_wins", needs=["daily_price", "news_price"],
+@query("history_wins", needs=["daily_price"],
        sql="""SELECT coalesce(p.stock_code, q.stock_code) AS stock_code, coalesce(p.stock_date, q.stock_date) AS stock_date,
                      coalesce(p.stock_close, q.stock_close) AS stock_close
               FROM (SELECT stock_code, stock_date, stock_close FROM daily_price WHERE trading_volume > 25) p
@@ -278,6 +273,12 @@ CONCENTRATION = """
     FROM {source} GROUP BY 1, 2"""
 
 
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each key, day and level, as a response has."""
+    return data.holding(spark, sf_dir).groupBy("stock_code", "date", "HoldingSharesLevel").agg(
+        F.sum("people").alias("people"), F.sum("percent").alias("percent"))
+
+
 @query("weekly_concentration", needs=["holding"], sql=CONCENTRATION.format(source="holding"))
 def _(spark, sf_dir):
     return ownership.weekly_concentration(data.holding(spark, sf_dir))
@@ -297,7 +298,7 @@ chosen AS (SELECT * FROM holding WHERE stock_code IN (SELECT stock_code FROM cov
        sql=CONCENTRATION.format(source="chosen"))
 def _(spark, sf_dir):
     """The first source only covers some keys; the others are taken from the second one, which has all."""
-    levels = data.holding(spark, sf_dir)
+    levels = _levels(spark, sf_dir)
     covered = data.table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(
         F.col("s_suppkey").cast("string").alias("stock_code"))
     first = keyed.restrict_keys(levels, covered)
@@ -630,10 +631,9 @@ def _(spark, sf_dir):
     return data.news(spark, sf_dir).select("stock_code", "news_link", "sentiment_score")
 
 
-@query("model_scores",
-       ctes="titles AS (SELECT CAST(doc_id AS VARCHAR) AS news_link, split_part(text, chr(10), 1) AS title FROM documents)",
-       sql="""SELECT news_link, CASE WHEN contains(title, 'the') THEN 0.0 WHEN length(title) > 60 THEN 0.5
-                                     WHEN length(title) < 30 THEN -0.5 ELSE 0.0 END::DOUBLE AS sentiment_score FROM titles""")
+@query("model_scores", needs=["headline"],
+       sql="""SELECT link AS news_link, CASE WHEN contains(title, 'the') THEN 0.0 WHEN length(title) > 60 THEN 0.5
+                                     WHEN length(title) < 30 THEN -0.5 ELSE 0.0 END::DOUBLE AS sentiment_score FROM headline""")
 def _(spark, sf_dir):
     """Scores of a pluggable model; titles it fails on fall back to the lexicon (no hits here).
 
@@ -646,8 +646,7 @@ def _(spark, sf_dir):
             return [("Positive" if len(t) > 60 else "label_2" if len(t) < 30 else "Neutral", 0.5) for t in titles]
         return score
 
-    titles = data.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("news_link"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+    titles = data.headline(spark, sf_dir).select(F.col("link").alias("news_link"), "title")
     return news.model_sentiment(titles, make_scorer).drop("title")
 
 
@@ -713,11 +712,14 @@ def _(spark, sf_dir):
 @query("news_zscores", needs=["news"], ctes=SHOWN + """,
 spread AS (SELECT stock_code, avg(sentiment_score) AS m, stddev_samp(sentiment_score) AS s FROM shown GROUP BY 1)""",
        sql="""SELECT stock_code, news_link, CASE WHEN sentiment_score > 0.1 THEN 'positive' WHEN sentiment_score < -0.1 THEN 'negative' ELSE 'neutral' END AS label,
-                     floor(CASE WHEN sentiment_score BETWEEN -0.1 AND 0.1 OR s IS NULL OR s = 0 THEN 0 ELSE (sentiment_score - m) / s END * 10000 + 0.5) / 10000 AS z_score
+                     floor(CASE WHEN sentiment_score BETWEEN -0.1 AND 0.1 OR s IS NULL OR s = 0 THEN 0 ELSE (sentiment_score - m) / s END * 10000 + 0.5) / 10000 AS z_score,
+                     CASE WHEN sentiment_score BETWEEN -0.1 AND 0.1 THEN '0.00' WHEN s IS NULL OR s = 0 THEN '+0.00'
+                          ELSE CASE WHEN sentiment_score < m THEN '-' ELSE '+' END
+                               || printf('%.2f', floor(abs((sentiment_score - m) / s) * 100 + 0.5) / 100) END AS z_text
               FROM shown JOIN spread USING (stock_code)""")
 def _(spark, sf_dir):
     shown = news.shown_news(data.news(spark, sf_dir))
-    return news.with_zscores(shown).select("stock_code", "news_link", "label", r4("z_score"))
+    return news.with_zscores(shown).select("stock_code", "news_link", "label", r4("z_score"), "z_text")
 
 
 # --- company and landed files -------------------------------------------------------------------
@@ -981,8 +983,7 @@ def _store(spark: SparkSession) -> Warehouse:
               FROM daily_price WHERE trading_volume > 25 OR trading_volume < 35""")
 def _(spark, sf_dir):
     """Two overlapping batches, the second one sent twice: existing rows stay, new ones are added once."""
-    prices = data.daily_price(spark, sf_dir).withColumn(
-        "stock_close", F.least("stock_close", F.lit(99_999_999.0))).select("stock_code", "stock_date", "stock_close", "trading_volume")
+    prices = data.daily_price(spark, sf_dir).select("stock_code", "stock_date", "stock_close", "trading_volume")
     store = _store(spark)
     second = prices.filter("trading_volume < 35").withColumn("stock_close", F.lit(1.0))
     store.append_new("daily_metrics", prices.filter("trading_volume > 25"))
@@ -994,8 +995,7 @@ def _(spark, sf_dir):
 @query("upsert_warnings", needs=["statement_fact"],
        ctes=f"{RATIOS},\njudged AS ({DEFAULTS})",
        sql="""SELECT stock_code, year, quarter, debt_ratio,
-                     CASE WHEN year >= 1999 THEN debt_ratio > 75 ELSE is_debt_warning END AS is_debt_warning FROM judged
-              WHERE abs(debt_ratio) < 999999""")
+                     CASE WHEN year >= 1999 THEN debt_ratio > 75 ELSE is_debt_warning END AS is_debt_warning FROM judged""")
 def _(spark, sf_dir):
     """Quarters judged by default, then the later ones again with other thresholds: the new row wins."""
     facts = data.statement_fact(spark, sf_dir)
@@ -1083,3 +1083,86 @@ def _(spark, sf_dir):
     companies = data.table(spark, sf_dir, "nation").select(
         F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("stock_code"), F.col("n_name").alias("company_name"))
     return reports.news_context(companies, data.news_price(spark, sf_dir), data.news(spark, sf_dir)).drop("company_name")
+
+
+# --- the nightly update over landed files -------------------------------------------------------
+
+LOAD_DAY, LOAD_MIDDLE = dt.date(1998, 12, 31), dt.date(1998, 6, 30)
+LOAD_YEAR = "BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'"
+
+
+def _land(rows: DataFrame, root: str, name: str) -> None:
+    """Rows as responses of a landing folder, twice over, as overlapping requests leave them."""
+    for _ in range(2):
+        rows.select(F.array(F.struct(*rows.columns)).alias("data")).write.mode("append").json(f"{root}/{name}")
+
+
+def _zone(spark: SparkSession) -> update.LandingZone:
+    return update.LandingZone(spark, fresh_path(spark, "landing"))
+
+
+@query("daily_load", needs=DAILY_NEEDS, ctes=ASSEMBLED, sql=f"SELECT * FROM assembled WHERE stock_date {LOAD_YEAR}")
+def _(spark, sf_dir):
+    """Prices, flows and margins landed twice, then loaded in two runs from the first day of the year before on."""
+    zone, store = _zone(spark), _store(spark)
+    day, code = F.col("stock_date").cast("string").alias("date"), F.col("stock_code").alias("stock_id")
+    prices = data.daily_price(spark, sf_dir)
+    _land(prices.select(day, code, F.col("stock_close").alias("close"), F.col("trading_volume").alias("Trading_Volume"),
+                        F.col("trading_money").alias("Trading_money")), zone.root, "price")
+    named = data.flow(spark, sf_dir).groupBy("stock_code", "stock_date", "name").agg(F.sum("buy").alias("buy"), F.sum("sell").alias("sell"))
+    _land(named.select(day, code, "name", "buy", "sell"), zone.root, "investor")
+    _land(data.margin(spark, sf_dir).select(day, code, F.col("margin_balance").alias("MarginPurchaseTodayBalance"),
+                                            F.col("short_balance").alias("ShortSaleTodayBalance")), zone.root, "margin")
+    for today in (LOAD_MIDDLE, LOAD_DAY):
+        update.update_daily(store, zone, prices.select("stock_code").distinct(), today)
+    stored = store.read("daily_metrics").drop(*indicators.INDICATORS)
+    return stored.select("stock_code", "stock_date", *[F.col(c).cast("double").alias(c) for c in stored.columns[2:]])
+
+
+@query("weekly_load", needs=["holding"], ctes=f"weekly AS ({CONCENTRATION.format(source='holding')})",
+       sql=f"SELECT * FROM weekly WHERE update_date {LOAD_YEAR}")
+def _(spark, sf_dir):
+    """Ownership levels landed twice and loaded once."""
+    zone, store = _zone(spark), _store(spark)
+    levels = _levels(spark, sf_dir)
+    _land(levels.withColumnRenamed("stock_code", "stock_id"), zone.root, "holding")
+    update.update_weekly(store, zone, levels.select("stock_code").distinct(), LOAD_DAY)
+    stored = store.read("weekly_concentration")
+    return stored.select("stock_code", "update_date", *[F.col(c).cast("double").alias(c) for c in stored.columns[2:5]], "total_shareholders")
+
+
+@query("news_load", needs=["feed"], ctes=CLEANED,
+       sql="""SELECT stock_code, title, strftime(published, '%Y-%m-%d %H:%M') AS publish_minute, link AS news_link FROM accepted
+              WHERE contains(title, 'tion') AND CAST(published AS DATE) BETWEEN DATE '2023-12-25' AND DATE '2024-03-24'""")
+def _(spark, sf_dir):
+    """Searches landed twice and loaded twice: each company's titles with its keyword, of the last 90 days."""
+    zone, store = _zone(spark), _store(spark)
+    entries = data.feed(spark, sf_dir).withColumn("source", F.struct(F.col("source_name").alias("title"))).drop("source_name")
+    for _ in range(2):
+        entries.select("stock_code", F.array(F.struct("title", "published", "link", "source")).alias("entries")).write.mode("append").json(f"{zone.root}/news")
+    store.append_new("company", entries.select("stock_code").distinct().withColumn("company_name_abbr", F.lit("tion")))
+    for _ in range(2):
+        update.update_news(store, zone, dt.date(2024, 3, 24))
+    return store.read("news").select("stock_code", "title", dates.minute_text(F.col("publish_time")).alias("publish_minute"), "news_link")
+
+
+@query("stored_threshold_change", needs=["statement_fact"], ctes=CHANGED_LIMITS,
+       sql="""SELECT stock_code, min_earnings_quality_ratio, max_receivable_turnover_days, max_inventory_turnover_days,
+                     max_debt_ratio, min_interest_coverage, hit AS stamped FROM changed""")
+def _(spark, sf_dir):
+    """Limits fitted to the statements, stored, changed in the store and read back."""
+    limits, store = _limits(spark, data.statement_fact(spark, sf_dir)), _store(spark)
+    store.upsert("warning_threshold", limits)
+    store.update_thresholds(_changes(limits))
+    stored = store.read("warning_threshold")
+    return stored.select("stock_code", *[F.col(c).cast("double").alias(c) for c in stored.columns[1:6]], F.col("last_updated").isNotNull().alias("stamped"))
+
+
+@query("stored_sql", needs=["daily_price"],
+       sql="""SELECT stock_code, stock_date, stock_close FROM daily_price WHERE stock_date BETWEEN DATE '1996-01-01' AND DATE '1997-06-30'""")
+def _(spark, sf_dir):
+    """A query with bound parameters over the stored table."""
+    store = _store(spark)
+    store.append_new("daily_metrics", data.daily_price(spark, sf_dir).select("stock_code", "stock_date", "stock_close"))
+    return store.sql("SELECT stock_code, stock_date, CAST(stock_close AS DOUBLE) AS stock_close FROM daily_metrics WHERE stock_date BETWEEN :first AND :last",
+                     first=dt.date(1996, 1, 1), last=dt.date(1997, 6, 30))

@@ -23,11 +23,11 @@ NEGATIVE_LABELS = ["NEG", "LABEL_2"]
 SOURCE_KEYWORDS = ["鉅亨", "cnyes", "moneydj", "yahoo股市", "奇摩", "cmoney"]
 TITLE_SOURCE_SEPARATOR = " - "
 
-# Investor class -> words in the investor name, in any case.
+# Investor class -> pattern found in the investor name, in any case (fixed values).
 INVESTOR_CLASSES = {
-    "foreign_net_buy": ["Foreign", "外資"],
-    "trust_net_buy": ["Trust", "投信"],
-    "dealer_net_buy": ["Dealer", "自營商"],
+    "foreign_net_buy": "Foreign|外資",
+    "trust_net_buy": "Trust|投信",
+    "dealer_net_buy": "Dealer|自營商",
 }
 
 # Ownership levels: small holders up to, large holders from.
@@ -152,7 +152,6 @@ COMPANY_BACKUP_FIELDS = {
 }
 
 # Row limits and look-backs.
-INDICATOR_TAIL_ROWS = 65
 WEEKLY_HISTORY_ROWS = 52
 NEWS_SCAN_ROWS = 100
 NEWS_SHOWN_ROWS = 30
@@ -166,10 +165,6 @@ DAILY_DEFAULT_YEARS = 1
 STATEMENT_DEFAULT_YEARS = 2
 SENTIMENT_NEUTRAL_BAND = 0.1
 
-# Stored history read for new daily rows: the last years, or more for keys with fewer rows in them.
-HISTORY_YEARS = 4
-HISTORY_ROWS = 700
-HISTORY_KEY_LIST = 1000
 
 # Technical indicators.
 MA_SHORT, MA_LONG = 20, 60

@@ -31,17 +31,12 @@ def rounded(value: Column, decimals: int) -> Column:
     return F.floor(value * scale + 0.5) / scale
 
 
-def zero_filled(df, columns: list[str] | None = None):
-    """NULL becomes 0 in the given (default: all numeric) columns."""
-    return df.na.fill(0, columns) if columns else df.na.fill(0)
-
-
 def at_fixed(value: Column, decimals: int, signed: bool = False) -> Column:
-    """Text of a number with a fixed number of decimals; ``signed`` puts a plus before positive ones."""
-    shown = rounded(value.cast("double"), decimals)
-    text = F.format_string(f"%.{decimals}f", shown)
+    """Text of a number with a fixed number of decimals; ``signed`` puts the sign before every one."""
+    number = value.cast("double")
+    text = F.format_string(f"%.{decimals}f", rounded(F.abs(number) if signed else number, decimals))
     if signed:
-        text = F.when(shown > 0, F.concat(F.lit("+"), text)).otherwise(text)
+        text = F.concat(F.when(number < 0, "-").otherwise("+"), text)
     return F.when(value.isNotNull(), text)
 
 

@@ -32,9 +32,9 @@ def count_contained(text: Column, words: list[str]) -> Column:
     return reduce(add, [F.contains(text, F.lit(w)).cast("int") for w in words], F.lit(0))
 
 
-def name_matches(name: Column, words: list[str]) -> Column:
-    """Whether a name holds one of the words in any case; a missing name matches everything."""
-    return F.coalesce(contains_any(F.lower(name), [w.lower() for w in words]), F.lit(True))
+def name_matches(name: Column, pattern: str) -> Column:
+    """Whether a pattern occurs in a name, in any case; a missing name matches everything."""
+    return F.coalesce(name.rlike(f"(?i){pattern}"), F.lit(True))
 
 
 def allowed_source(name: Column, keywords: list[str] = C.SOURCE_KEYWORDS) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stockloom import constants as C
 from stockloom.operators.keyed import latest_rows
 from stockloom.operators.recurrence import Smoothing, carry_steps, position_steps, row_steps
-from stockloom.operators.series import LENGTH, Series, SeriesLayout, days_spanned, distribute
+from stockloom.operators.series import LENGTH, Series, SeriesLayout, distribute
 
 INDICATORS = ["ma20", "ma60", "k_value", "d_value", "rsi14", "macd_hist"]
 
@@ -109,19 +109,16 @@ _FAMILIES = {
 
 
 def indicators(prices: DataFrame, names: list[str] = INDICATORS,
-               layout: SeriesLayout = SeriesLayout(), rsi_undefined: float | None = 0.0,
-               span: int | None = None) -> DataFrame:
+               layout: SeriesLayout = SeriesLayout(), rsi_undefined: float | None = 0.0) -> DataFrame:
     """``prices`` (one row per key and day, ``stock_close``) with the named indicators.
 
-    ``span``, the days from first to last, is looked up in ``prices`` unless the
-    caller knows it from a cheaper place (see ``series``).
     A series of fewer than five rows has none: averages, RSI and MACD are NULL
     and K and D stay at 50.
     """
     columns = [c for c in prices.columns if c not in INDICATORS]
     close = F.nanvl(F.col("stock_close").cast("double"), F.lit(None).cast("double"))
     source = prices.select(*columns).withColumn("stock_close", close)
-    series = distribute(source, layout, span)
+    series = distribute(source, layout)
     plans = [family(series, undefined=rsi_undefined) if family is relative_strength_steps else family(series)
              for family in dict.fromkeys(_FAMILIES[n] for n in names)]
     enough = F.col(LENGTH) >= C.SHORT_SERIES_ROWS
@@ -132,7 +129,7 @@ def indicators(prices: DataFrame, names: list[str] = INDICATORS,
 
 
 def update_indicators(history: DataFrame, batch: DataFrame, tail_rows: int | None = None,
-                      layout: SeriesLayout = SeriesLayout(), span: int | None = None) -> DataFrame:
+                      layout: SeriesLayout = SeriesLayout()) -> DataFrame:
     """Indicators of the batch's days, computed over history and batch together.
 
     Each side has one row per key and day; the history's row wins where both have
@@ -142,16 +139,13 @@ def update_indicators(history: DataFrame, batch: DataFrame, tail_rows: int | Non
     key, day = layout.key, layout.day
     base = [c for c in batch.columns if c not in INDICATORS]
     past = history.select(*base)
-    if span is None:
-        span = days_spanned(history, batch, day=day)
     if tail_rows:
         past = latest_rows(past, [key], [day], tail_rows)
     both = past.withColumn(_NEW, F.lit(False)).unionByName(batch.select(*base).withColumn(_NEW, F.lit(True)))
-    # The shuffle the indicators need anyway also serves the choice between history and batch.
-    both = both.repartition(key) if span <= layout.whole_days else both.repartition(key, day)
+    both = both.repartition(key, day)
     of_day = Window.partitionBy(key, day).orderBy(_NEW)
     merged = both.withColumns({
         _RANK: F.row_number().over(of_day),
         _TOUCHED: F.max(_NEW).over(of_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     }).filter(F.col(_RANK) == 1).drop(_NEW, _RANK)
-    return indicators(merged, layout=layout, span=span).filter(_TOUCHED).drop(_TOUCHED)
+    return indicators(merged, layout=layout).filter(_TOUCHED).drop(_TOUCHED)

@@ -75,31 +75,32 @@ def model_sentiment(df: DataFrame, make_scorer: Callable[[], Scorer] | None = No
         return df.withColumn(output, fallback)
 
     def ask(scorer: Scorer | None, titles: list[str]) -> list[tuple[str | None, float | None]]:
-        """The model's answers; a failing batch is asked again title by title."""
-        if scorer is not None:
+        """The model's answers; a failing batch is halved until the failing title is alone."""
+        if scorer is not None and titles:
             try:
                 answers = [(str(label), float(confidence)) for label, confidence in scorer(titles)]
                 if len(answers) == len(titles):
                     return answers
             except Exception:
-                if len(titles) > 1:
-                    return [ask(scorer, [t])[0] for t in titles]
+                half = len(titles) // 2
+                if half:
+                    return ask(scorer, titles[:half]) + ask(scorer, titles[half:])
         return [(None, None)] * len(titles)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("label string, confidence double")
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         try:
             scorer = make_scorer()
         except Exception:
             scorer = None
         for batch in batches:
-            answers = ask(scorer, batch[title].fillna("").tolist())
-            yield batch.assign(label=[a[0] for a in answers], confidence=[a[1] for a in answers])
+            yield pd.DataFrame(ask(scorer, batch.fillna("").tolist()), columns=["label", "confidence"])
 
-    fields = [f"`{name}` {kind}" for name, kind in df.dtypes]
-    answered = df.mapInPandas(score, ", ".join([*fields, "label string", "confidence double"]))
-    value = F.when(F.col("label").isNull(), fallback).otherwise(
-        label_score(F.col("label"), F.col("confidence")))
-    return answered.withColumn(output, value).drop("label", "confidence")
+    # Only the titles go through Python; all other columns stay as they are.
+    asked = "__answer"
+    found = df.withColumn(asked, answer(F.col(title)))
+    label, confidence = F.col(f"{asked}.label"), F.col(f"{asked}.confidence")
+    return found.withColumn(output, F.when(label.isNull(), fallback).otherwise(label_score(label, confidence))).drop(asked)
 
 
 def shown_news(news: DataFrame, scanned: int = C.NEWS_SCAN_ROWS, shown: int = C.NEWS_SHOWN_ROWS,
@@ -130,7 +131,7 @@ def sentiment_label(score: Column) -> Column:
 def with_zscores(shown: DataFrame) -> DataFrame:
     """Labels and z-scores among each key's shown news (a bounded list).
 
-    Neutral rows, and lists without spread, have z-score 0. ``z_text`` shows the sign.
+    Neutral rows, and lists without spread, have z-score 0. ``z_text`` shows the sign of all but neutral rows.
     """
     listed = Window.partitionBy("stock_code")
     score = F.coalesce(F.col("sentiment_score").cast("double"), F.lit(0.0))
@@ -141,6 +142,4 @@ def with_zscores(shown: DataFrame) -> DataFrame:
     neutral = F.col("label") == "neutral"
     z = F.try_divide(F.col("sentiment_score") - F.col("mean_score"), F.col("std_score"))
     rated = rated.withColumn("z_score", F.when(neutral, F.lit(0.0)).otherwise(F.coalesce(z, F.lit(0.0))))
-    return rated.withColumn("z_text", at_fixed(F.col("z_score"), 2, signed=True))
-
-
+    return rated.withColumn("z_text", F.when(neutral, F.lit("0.00")).otherwise(at_fixed(F.col("z_score"), 2, signed=True)))

@@ -1,12 +1,7 @@
 """Ordered per-key series in pieces of bounded size.
 
-Frame functions need the rows of a key in order. A series has one row per key
-and day, so the days between the first and the last one bound every series,
-however many rows a key has in the raw data. Within ``whole_days`` (179 years)
-a series stays whole: one shuffle by key.
-
-Beyond that, a series is cut by row number, so that a dominant key never is one
-task:
+Frame functions need the rows of a key in order. A series is cut by row number, so
+that a dominant key never is one task, however long its series:
 
 * *bucket* – a fixed span of days, hence never more rows than days. Counting
   rows per bucket combines on the map side and leaves a table a few hundred
@@ -17,7 +12,7 @@ task:
 * *lead-in* – the last buckets of a block, at least ``lead_rows`` rows, are also
   given to the next block, so frames and recurrences there see their past.
 
-In both forms a *stretch* is a run of about ``stretch_rows`` rows, within which
+A *stretch* is a run of about ``stretch_rows`` rows, within which
 the recurrences scale their terms (see ``recurrence``). All windows share one
 partitioning and one order, so they need no shuffle of their own.
 """
@@ -37,7 +32,6 @@ class SeriesLayout:
     stretch_rows: int = 1024
     block_rows: int = 8192
     lead_rows: int = 640
-    whole_days: int = 65_536
 
     def __post_init__(self) -> None:
         if self.block_rows < self.lead_rows + self.bucket_days:
@@ -96,15 +90,14 @@ class Series:
 
     df: DataFrame
     layout: SeriesLayout
-    is_cut: bool
 
     @property
     def _pieces(self) -> list[str]:
-        return [self.layout.key, _BLOCK] if self.is_cut else [self.layout.key]
+        return [self.layout.key, _BLOCK]
 
     @property
     def _inner(self) -> list[str]:
-        return [_BUCKET, self.layout.day] if self.is_cut else [self.layout.day]
+        return [_BUCKET, self.layout.day]
 
     def ordered(self) -> WindowSpec:
         return Window.partitionBy(*self._pieces).orderBy(_STRETCH, *self._inner)
@@ -122,8 +115,6 @@ class Series:
 
     def numbered(self) -> dict[str, Column]:
         """Row number in the series and position in the stretch."""
-        if not self.is_cut:
-            return {POSITION: F.col(ROW) - F.col(_STRETCH) * self.layout.stretch_rows}
         position = F.row_number().over(self._in_stretch()) - 1
         return {POSITION: position, ROW: F.first(_START).over(self.stretch()) + position}
 
@@ -136,23 +127,14 @@ class Series:
         df = self.df
         for i in range(max(len(plan) for plan in plans)):
             df = df.withColumns({k: v for plan in plans for k, v in (plan[i] if i < len(plan) else {}).items()})
-        return Series(df, self.layout, self.is_cut)
+        return Series(df, self.layout)
 
     def finish(self, columns: list[str | Column]) -> DataFrame:
         """The series' own rows (lead-ins dropped) with the given columns."""
-        own = self.df.filter(F.col(_BLOCK) == F.col(_HOME)) if self.is_cut else self.df
-        return own.select(*columns)
-
-
-def whole_series(df: DataFrame, layout: SeriesLayout = SeriesLayout()) -> Series:
-    """Series distributed by key."""
-    by_day = Window.partitionBy(layout.key).orderBy(layout.day)
-    everything = by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    numbered = df.withColumns({ROW: F.row_number().over(by_day) - 1, LENGTH: F.count(F.lit(1)).over(everything)})
-    return Series(numbered.withColumn(_STRETCH, F.floor(F.col(ROW) / layout.stretch_rows)), layout, False)
+        return self.df.filter(F.col(_BLOCK) == F.col(_HOME)).select(*columns)
 
 
-def cut_series(df: DataFrame, layout: SeriesLayout = SeriesLayout()) -> Series:
+def distribute(df: DataFrame, layout: SeriesLayout = SeriesLayout()) -> Series:
     """Series distributed by blocks.
 
     The partitionings are spelled out: the running sum leaves the bucket table
@@ -164,22 +146,4 @@ def cut_series(df: DataFrame, layout: SeriesLayout = SeriesLayout()) -> Series:
               .join(starts, [layout.key, _BUCKET])
               .withColumn(_BLOCK, F.explode("blocks")).drop("blocks")
               .repartition(layout.key, _BLOCK))
-    return Series(spread, layout, True)
-
-
-def days_spanned(*frames: DataFrame, day: str | Column = "stock_date") -> int:
-    """Days from the first to the last one over all frames: a one-column scan of each."""
-    column = F.col(day) if isinstance(day, str) else day
-    bounds = [f.agg(F.min(column).cast("date"), F.max(column).cast("date")).first() for f in frames]
-    first, last = ([b[i] for b in bounds if b[i] is not None] for i in (0, 1))
-    return (max(last) - min(first)).days + 1 if first else 0
-
-
-def distribute(df: DataFrame, layout: SeriesLayout = SeriesLayout(), span: int | None = None) -> Series:
-    """Whole series where the days spanned bound them, else cut ones.
-
-    ``span`` is the number of days spanned, if the caller knows it; otherwise it
-    is looked up. Both forms give the same results.
-    """
-    span = days_spanned(df, day=layout.day) if span is None else span
-    return (whole_series if span <= layout.whole_days else cut_series)(df, layout)
+    return Series(spread, layout)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stockloom import constants as C
 from stockloom.functions.dates import days_before, year_start
-from stockloom.operators.keyed import restrict_keys
 
 
 def high_water_marks(keys: DataFrame, stored: DataFrame, date_column: str, today: dt.date,
@@ -47,39 +46,9 @@ def delta(landed: DataFrame, marks: DataFrame, day: Column, today: dt.date) -> D
             .filter(F.col("__day") >= F.col("mark")).drop("__day", "mark"))
 
 
-def _since_year(keys: DataFrame, daily: DataFrame, first_year: int, rows: int) -> DataFrame:
-    """Stored days of the keys from a year on, and the older ones of keys with fewer than ``rows`` since.
-
-    Only the directories of those years are read for the others. The short keys are
-    found by a list the scan can skip files with, or by a join if they are too
-    many to list. Takes the table with its partition column.
-    """
-    wanted = keys.select("stock_code").distinct()
-    recent = restrict_keys(daily.filter(F.col("stock_year") >= first_year), wanted)
-    older = daily.filter(F.col("stock_year") < first_year)
-    enough = recent.groupBy("stock_code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= rows)
-    short = wanted.join(enough, "stock_code", "left_anti")
-    listed = [r["stock_code"] for r in short.limit(C.HISTORY_KEY_LIST + 1).collect()]
-    if not listed:
-        return recent
-    if len(listed) <= C.HISTORY_KEY_LIST:
-        return recent.unionByName(restrict_keys(older, listed))
-    return recent.unionByName(restrict_keys(older, short))
-
-
-def recent_history(keys: DataFrame, daily: DataFrame, today: dt.date) -> DataFrame:
-    """The stored days of the keys that still matter to an indicator of a new one.
-
-    Exponential means forget: the rows before the latest 700 of a key change
-    nothing a double can hold, so the last years suffice for most keys.
-    """
-    return _since_year(keys, daily, today.year - C.HISTORY_YEARS, C.HISTORY_ROWS)
-
-
 def daily_marks(keys: DataFrame, daily: DataFrame, today: dt.date) -> DataFrame:
-    """High-water marks of the daily table; older years are read for keys without recent rows only."""
-    stored = _since_year(keys, daily, today.year - C.DAILY_DEFAULT_YEARS, 1)
-    return high_water_marks(keys, stored, "stock_date", today, C.DAILY_DEFAULT_YEARS)
+    """High-water marks of the daily table."""
+    return high_water_marks(keys, daily, "stock_date", today, C.DAILY_DEFAULT_YEARS)
 
 
 def row_counts(keys: DataFrame, daily: DataFrame, since: dt.date) -> DataFrame:
@@ -101,7 +70,6 @@ def is_fresh(keys: DataFrame, daily: DataFrame, weekly: DataFrame, today: dt.dat
     return stale_keys(keys, daily, today).isEmpty() and not weekly.isEmpty()
 
 
-
 def latest_day(daily: DataFrame) -> DataFrame:
     """Latest day over all keys, in one row."""
     return daily.agg(F.max("stock_date").alias("latest_day"))

@@ -10,11 +10,11 @@ from stockloom.functions.dates import day_of, feed_time
 from stockloom.functions.numbers import number_or_zero
 from stockloom.operators.flows import assemble_daily
 from stockloom.operators.indicators import update_indicators
-from stockloom.operators.keyed import keep_first, prefer, stable_order
+from stockloom.operators.keyed import keep_first, prefer, restrict_keys, stable_order
 from stockloom.operators.news import model_sentiment, news_columns
 from stockloom.operators.ownership import weekly_concentration
 from stockloom.operators.statements import as_facts
-from stockloom.plans.incremental import delta, recent_history
+from stockloom.plans.incremental import delta
 from stockloom.sources.news_feed import company_keywords, search
 
 
@@ -37,35 +37,33 @@ def margins(landed: DataFrame) -> DataFrame:
         F.col("ShortSaleTodayBalance").alias("short_balance"))
 
 
-def one_per_day(rows: DataFrame) -> DataFrame:
-    """Landed days may overlap between files; one row per key and day is kept."""
+def one_per_day(rows: DataFrame, *more: str) -> DataFrame:
+    """Landed days may overlap between files; one row per key and day (and ``more``) is kept."""
     day = ["stock_code", "stock_date"]
-    return keep_first(rows.dropna(subset=day), day, stable_order(rows, day))
+    return keep_first(rows.dropna(subset=day), [*day, *more], stable_order(rows, [*day, *more]))
 
 
 def daily_metrics(price_rows: DataFrame, flow_rows: DataFrame, margin_rows: DataFrame, history: DataFrame,
                   marks: DataFrame, today: dt.date, tail_rows: int | None = None) -> DataFrame:
     """New daily rows from each key's mark on, assembled and with indicators over the history.
 
-    ``history`` are the stored daily metrics with their partition column; the landed
-    sets may cover any span.
+    ``history`` are the stored daily metrics; the landed sets may cover any span and
+    overlap: a key has one row a day, and one for each investor.
     """
     day = F.col("stock_date")
     batch = assemble_daily(one_per_day(delta(prices(price_rows), marks, day, today)),
-                           delta(flows(flow_rows), marks, day, today),
+                           one_per_day(delta(flows(flow_rows), marks, day, today), "name"),
                            one_per_day(delta(margins(margin_rows), marks, day, today)))
     numeric = [c for c, _ in batch.dtypes if c not in ("stock_code", "stock_date")]
-    past = recent_history(marks, history, today).withColumns({c: F.col(c).cast("double") for c in numeric})
-    first_year = history.agg(F.min("stock_year")).first()[0]
-    first_mark = marks.agg(F.min("mark")).first()[0] or today
-    first = first_mark if first_year is None else min(first_mark, dt.date(first_year, 1, 1))
-    return update_indicators(past, batch, tail_rows, span=max(0, (today - first).days + 1))
+    past = restrict_keys(history, marks.select("stock_code").distinct()).withColumns({c: F.col(c).cast("double") for c in numeric})
+    return update_indicators(past, batch, tail_rows)
 
 
 def weekly(levels: DataFrame, backup_levels: DataFrame | None = None) -> DataFrame:
-    """Ownership per week; keys without levels are taken from the backup file."""
+    """Ownership per week, from one row for each level; keys without levels are taken from the backup file."""
     columns = ["stock_code", "date", "HoldingSharesLevel", "people", "percent"]
-    rows = levels.select(*columns)
+    key = columns[:3]
+    rows = keep_first(levels.select(*columns), key, stable_order(levels.select(*columns), key))
     if backup_levels is not None:
         rows = prefer(rows, backup_levels.select(*columns))
     return weekly_concentration(rows)

@@ -68,7 +68,7 @@ def update_companies(store: Warehouse, zone: LandingZone, keys: DataFrame) -> No
 
 def update_daily(store: Warehouse, zone: LandingZone, keys: DataFrame, today: dt.date,
                  tail_rows: int | None = None) -> None:
-    stored = store.read("daily_metrics", with_layout=True)
+    stored = store.read("daily_metrics")
     marks = inc.daily_marks(keys, stored, today)
     store.append_new("daily_metrics", loads.daily_metrics(
         zone.dataset("price"), zone.dataset("investor"), zone.dataset("margin"), stored, marks, today, tail_rows))
@@ -125,7 +125,7 @@ def change_thresholds(store: Warehouse, changes: DataFrame) -> None:
 def update_all(store: Warehouse, zone: LandingZone, keys: DataFrame, today: dt.date,
                make_scorer: Callable[[], Scorer] | None = None) -> bool:
     """The whole update; if all keys have today's prices only the news is loaded. True if it ran in full."""
-    if inc.is_fresh(keys, store.read("daily_metrics"), store.read("weekly_concentration"), today):
+    if inc.is_fresh(keys, store.read("daily_metrics", since=today), store.read("weekly_concentration"), today):
         update_news(store, zone, today, make_scorer)
         return False
     update_companies(store, zone, keys)

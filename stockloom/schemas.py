@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 _TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "bigint": T.LongType(),
           "smallint": T.ShortType(), "date": T.DateType(), "timestamp": T.TimestampType()}
-_TYPES |= {f"decimal({p},2)": T.DecimalType(p, 2) for p in (4, 5, 6, 8, 10, 18)}
+_TYPES["decimal(38,2)"] = T.DecimalType(38, 2)
 
 
 def _struct(text: str) -> T.StructType:
@@ -49,39 +49,41 @@ _TABLES = [
         " website string, company_email string, general_manager string, company_address string,"
         " market_class string, main_business string"), ("stock_code",), {}),
     Table("daily_metrics", _struct(
-        "stock_code string, stock_date date, stock_close decimal(10,2), trading_volume decimal(18,2),"
-        " trading_money decimal(18,2), ma20 decimal(10,2), ma60 decimal(10,2), k_value decimal(6,2),"
-        " d_value decimal(6,2), rsi14 decimal(6,2), macd_hist decimal(10,2),"
-        " foreign_net_buy decimal(18,2), trust_net_buy decimal(18,2), dealer_net_buy decimal(18,2),"
-        " margin_balance decimal(18,2), short_balance decimal(18,2)"),
+        "stock_code string, stock_date date, stock_close decimal(38,2), trading_volume decimal(38,2),"
+        " trading_money decimal(38,2), ma20 decimal(38,2), ma60 decimal(38,2), k_value decimal(38,2),"
+        " d_value decimal(38,2), rsi14 decimal(38,2), macd_hist decimal(38,2),"
+        " foreign_net_buy decimal(38,2), trust_net_buy decimal(38,2), dealer_net_buy decimal(38,2),"
+        " margin_balance decimal(38,2), short_balance decimal(38,2)"),
         ("stock_code", "stock_date"), {"stock_year": "year(stock_date)"}, ("stock_code", "stock_date")),
     Table("weekly_concentration", _struct(
-        "stock_code string, update_date date, large_holders_400 decimal(5,2),"
-        " large_holders_1000 decimal(5,2), retail_holders_10 decimal(5,2), total_shareholders int"),
+        "stock_code string, update_date date, large_holders_400 decimal(38,2),"
+        " large_holders_1000 decimal(38,2), retail_holders_10 decimal(38,2), total_shareholders bigint"),
         ("stock_code", "update_date"), {}, ("stock_code", "update_date")),
     Table("monthly_revenue", _struct(
-        "stock_code string, revenue_year int, revenue_month int, total_revenue decimal(18,2)"),
+        "stock_code string, revenue_year int, revenue_month int, total_revenue decimal(38,2)"),
         ("stock_code", "revenue_year", "revenue_month"), {}, ("stock_code", "revenue_year")),
     Table("dividend", _struct(
-        "stock_code string, date_info string, cash_dividends decimal(10,2), stock_dividend decimal(10,2),"
+        "stock_code string, date_info string, cash_dividends decimal(38,2), stock_dividend decimal(38,2),"
         " ex_dividend_date date, cash_dividend_date date"), ("stock_code", "date_info"), {}, ("stock_code",)),
     Table("statement_fact", _struct(
-        "statement string, stock_code string, date_info date, types string, data_value decimal(18,2),"
+        "statement string, stock_code string, date_info date, types string, data_value decimal(38,2),"
         " origin_name string"),
         ("statement", "stock_code", "date_info", "types"), {"statement_part": "statement"},
         ("stock_code", "date_info")),
     Table("news", _struct(
         "news_id string, stock_code string, title string, content string, publish_time timestamp,"
-        " news_link string, sentiment_score decimal(4,2)"),
-        ("stock_code", "news_link"), {"publish_date": "to_date(publish_time)"}, ("stock_code", "publish_time")),
+        " news_link string, sentiment_score decimal(38,2)"),
+        ("stock_code", "news_link"), {"news_bucket": "pmod(xxhash64(stock_code, news_link), 64)"}, ("stock_code", "publish_time")),
+    Table("daily_sentiment", _struct("stock_code string, stock_date date, avg_sentiment double"),
+        ("stock_code", "stock_date"), {}, ("stock_code", "stock_date")),
     Table("warning_threshold", _struct(
-        "stock_code string, min_earnings_quality_ratio decimal(5,2), max_receivable_turnover_days decimal(6,2),"
-        " max_inventory_turnover_days decimal(6,2), max_debt_ratio decimal(5,2),"
-        " min_interest_coverage decimal(6,2), last_updated timestamp"), ("stock_code",), {}),
+        "stock_code string, min_earnings_quality_ratio decimal(38,2), max_receivable_turnover_days decimal(38,2),"
+        " max_inventory_turnover_days decimal(38,2), max_debt_ratio decimal(38,2),"
+        " min_interest_coverage decimal(38,2), last_updated timestamp"), ("stock_code",), {}),
     Table("warning_indicator", _struct(
-        "stock_code string, year int, quarter int, earnings_quality_ratio decimal(8,2),"
-        " receivable_turnover_days decimal(8,2), inventory_turnover_days decimal(8,2),"
-        " debt_ratio decimal(8,2), interest_coverage_ratio decimal(8,2), is_receivable_warning smallint,"
+        "stock_code string, year int, quarter int, earnings_quality_ratio decimal(38,2),"
+        " receivable_turnover_days decimal(38,2), inventory_turnover_days decimal(38,2),"
+        " debt_ratio decimal(38,2), interest_coverage_ratio decimal(38,2), is_receivable_warning smallint,"
         " is_inventory_warning smallint, is_cash_flow_warning smallint, is_debt_warning smallint"),
         ("stock_code", "year", "quarter"), {}, ("stock_code", "year", "quarter")),
 ]
@@ -91,9 +93,10 @@ TABLES = {t.name: t for t in _TABLES}
 def conform(df: DataFrame, table: Table) -> DataFrame:
     """``df`` with the stored table's columns and types.
 
-    Doubles are rounded by the cast to the stored decimals, flags become 0/1,
-    and a value that does not fit its column becomes NULL instead of failing
-    the batch. Columns the batch lacks are stored as NULL.
+    Doubles are rounded by the cast to the stored decimals, NaN is NULL, and flags
+    become 0/1. Text that is no such value becomes NULL; a number beyond its column
+    (36 digits before the point) fails the batch rather than being lost. Columns the
+    batch lacks are stored as NULL.
     """
     have = dict(df.dtypes)
     out = []
@@ -104,8 +107,12 @@ def conform(df: DataFrame, table: Table) -> DataFrame:
             out.append(F.col(field.name))
         elif have[field.name] == "boolean":
             out.append(F.col(field.name).cast("int").cast(field.dataType).alias(field.name))
-        else:
+        elif have[field.name] in ("double", "float"):
+            out.append(F.nanvl(field.name, F.lit(None).cast("double")).cast(field.dataType).alias(field.name))
+        elif have[field.name] == "string":
             out.append(F.col(field.name).try_cast(field.dataType).alias(field.name))
+        else:
+            out.append(F.col(field.name).cast(field.dataType).alias(field.name))
     return df.select(*out)
 
 

@@ -39,11 +39,15 @@ def build_session(app_name: str = "stockloom", master: str | None = None,
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) is a temporary folder made,
-    and then recorded in the session so that every caller gets the same one.
+    Only in a local session that names none (as in tests) is a temporary folder made,
+    and then recorded in the session so that every caller gets the same one. On a
+    cluster the executors could not see it, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp" if os.path.isdir("/tmp") else None)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -1,25 +1,24 @@
 """The stored tables: typed reads, idempotent appends, upserts and keyed updates.
 
 Tables live as Parquet below one root. Large tables only ever grow, by rows
-whose key is new. The two small tables that change in place are written as a
-new ``version=`` directory each time and read at their highest version, so no
+whose key is new. The small tables that change in place are written as a new
+``version=`` directory each time and read at their highest finished version, so no
 path is overwritten while it is read; old versions may be removed at leisure.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stockloom.operators.keyed import keep_first, stable_order, union_keep_first
 from stockloom.operators.statements import apply_threshold_changes
 from stockloom.schemas import TABLES, Table, conform
-from stockloom.session import fresh_path
-
-#: Up to this many keys, a batch's key list is broadcast to trim the existing table.
-KEY_LIST_LIMIT = 100_000
 
-REPLACED = {"warning_threshold", "warning_indicator"}
+REPLACED = {"warning_threshold", "warning_indicator", "daily_sentiment"}
 
 
 class Warehouse:
@@ -32,23 +31,27 @@ class Warehouse:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def read(self, name: str, with_layout: bool = False) -> DataFrame:
+    def read(self, name: str, with_layout: bool = False, since: dt.date | None = None) -> DataFrame:
         """The table as stored, or empty if nothing has been written yet.
 
         ``with_layout`` keeps the partition columns for callers that prune on them.
+        ``since`` keeps the rows from a day on, and reads the directories of their years only
+        (tables by ``stock_year``).
         """
         table = TABLES[name]
-        parts = ["version int"] if name in REPLACED else [
-            f"{c} {self._layout_type(table, c)}" for c in table.layout]
+        parts = [f"{c} {self._layout_type(table, c)}" for c in table.layout]
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields] + parts)
+        path = self.path(name)
+        if name in REPLACED:
+            path += f"/version={self._versions(name)[0]}"
         try:
-            df = self.spark.read.schema(schema).parquet(self.path(name))
+            df = self.spark.read.schema(schema).parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             df = self.spark.createDataFrame([], schema)
-        if name in REPLACED:
-            df = df.filter(F.col("version") == self._version(df))
+        if since is not None:
+            df = df.filter((F.col("stock_year") >= since.year) & (F.col("stock_date") >= F.lit(since)))
         return df if with_layout else df.select(*table.columns)
 
     def sql(self, query: str, **parameters) -> DataFrame:
@@ -61,10 +64,22 @@ class Warehouse:
         empty = self.spark.createDataFrame([], table.schema)
         return empty.select(F.expr(table.layout[column])).schema[0].dataType.simpleString()
 
-    @staticmethod
-    def _version(df: DataFrame) -> int:
-        """Highest version present; a one-row answer from the directory names."""
-        return df.agg(F.max("version")).first()[0] or 0
+    def _folder(self, path: str):
+        """The file system of a path, and the path as it knows it."""
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark._jsc.hadoopConfiguration()), found
+
+    def _versions(self, name: str) -> tuple[int, int]:
+        """Highest finished version, and the highest number in use (a failed write leaves its folder); 0 for none."""
+        files, path = self._folder(self.path(name))
+        finished, used = [0], [0]
+        for status in files.listStatus(path) if files.exists(path) else []:
+            kind, _, number = status.getPath().getName().partition("=")
+            if kind == "version" and number.isdigit():
+                used.append(int(number))
+                if files.exists(self._folder(f"{self.path(name)}/version={number}/_SUCCESS")[1]):
+                    finished.append(int(number))
+        return max(finished), max(used)
 
     def append_new(self, name: str, batch: DataFrame) -> None:
         """Insert the rows whose key the table lacks; existing rows win, as does the first of a repeat.
@@ -82,30 +97,21 @@ class Warehouse:
         if name in REPLACED:
             self._replace(name, union_keep_first([self.read(name), rows], table.key))
             return
-        staged = self._stage(name, rows)
-        fresh = staged.join(self._existing_keys(table, staged), list(table.key), "left_anti")
-        self._write(table, fresh)
-
-    def _stage(self, name: str, rows: DataFrame) -> DataFrame:
-        """The batch as a written table: computed once, then cheap to look at again."""
-        path = fresh_path(self.spark, f"stage-{name}")
-        rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+        # The batch as a written table: computed once, then cheap to look at again.
+        stage = f"{self.root}/_stage/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(stage)
+        staged = self.spark.read.schema(rows.schema).parquet(stage)
+        self._write(table, staged.join(self._existing_keys(table, staged), list(table.key), "left_anti"))
+        files, path = self._folder(stage)
+        files.delete(path, True)
 
     def _existing_keys(self, table: Table, staged: DataFrame) -> DataFrame:
-        """Stored keys that can matter to the batch: its partitions, and its codes if few."""
-        parts = {c: F.expr(table.layout[c]) for c in table.key_layout}
-        bounds = staged.agg(F.count_distinct("stock_code").alias("codes"),
-                            *[f(e).alias(f"{tag}_{c}") for c, e in parts.items()
-                              for tag, f in (("lo", F.min), ("hi", F.max))]).first()
+        """Stored keys in the partitions the batch touches (years, statements or buckets: a short list)."""
         existing = self.read(table.name, with_layout=True)
         for c in table.key_layout:
-            existing = existing.filter(F.col(c).between(F.lit(bounds[f"lo_{c}"]), F.lit(bounds[f"hi_{c}"])))
-        keys = existing.select(*table.key)
-        if bounds["codes"] <= KEY_LIST_LIMIT:
-            codes = staged.select("stock_code").distinct()
-            keys = keys.join(F.broadcast(codes), "stock_code", "left_semi")
-        return keys
+            touched = [r[0] for r in staged.select(F.expr(table.layout[c])).distinct().collect()]
+            existing = existing.filter(F.col(c).isin(touched))
+        return existing.select(*table.key)
 
     def _write(self, table: Table, rows: DataFrame) -> None:
         """Append, files rebalanced per partition so that a full one is split and small ones are joined."""
@@ -126,7 +132,7 @@ class Warehouse:
         self._replace(name, union_keep_first([new, self.read(name)], table.key))
 
     def _replace(self, name: str, rows: DataFrame) -> None:
-        version = self._version(self.read(name, with_layout=True)) + 1
+        version = self._versions(name)[1] + 1
         rows.hint("rebalance").write.parquet(f"{self.path(name)}/version={version}")
 
     def update_thresholds(self, changes: DataFrame, at: Column | None = None) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stockloom import constants as C
-from stockloom.operators.news import clean_entries, news_columns
+from stockloom.operators.news import clean_entries, daily_sentiment, news_columns
 from stockloom.schemas import FEED_ENVELOPE, LANDINGS
 from stockloom.sinks.warehouse import Warehouse
 from stockloom.sources.landed import unpack
@@ -42,13 +42,19 @@ def append_stream(rows: DataFrame, store: Warehouse, table: str, checkpoint: str
     return (writer if follow else writer.trigger(availableNow=True)).start()
 
 
-def daily_sentiment_stream(rows: DataFrame, lateness: str = "7 days") -> DataFrame:
-    """Mean score per key and day, emitted once a day is ``lateness`` past.
+def daily_sentiment_stream(rows: DataFrame, store: Warehouse, checkpoint: str, follow: bool = False) -> StreamingQuery:
+    """Append a stream of news, and keep the mean score per key and day up to date.
 
-    Rows later than that miss the streamed figure; ``operators.news.daily_sentiment``
-    over the stored news always has all of them.
+    Every batch recomputes the days it touches from all stored news, so a row may be late
+    by any time and a replayed batch changes nothing.
     """
-    return (rows.withWatermark("publish_time", lateness)
-            .groupBy("stock_code", F.window("publish_time", "1 day").alias("day"))
-            .agg(F.avg(F.col("sentiment_score").cast("double")).alias("avg_sentiment"))
-            .select("stock_code", F.to_date("day.start").alias("stock_date"), "avg_sentiment"))
+    def load(batch: DataFrame, _: int) -> None:
+        batch = batch.persist()
+        store.append_new("news", batch)
+        touched = batch.select("stock_code", F.to_date("publish_time").alias("stock_date")).distinct()
+        stored = store.read("news").withColumn("stock_date", F.to_date("publish_time"))
+        store.upsert("daily_sentiment", daily_sentiment(stored.join(touched, ["stock_code", "stock_date"], "left_semi")))
+        batch.unpersist()
+
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(load)
+    return (writer if follow else writer.trigger(availableNow=True)).start()

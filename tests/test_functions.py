@@ -46,7 +46,7 @@ def test_allowed_source(spark, name, ok):
     ("Foreign_Investor", "TFF"), (None, "TTT"), ("Dealer_self", "FFT"), ("Foreign_Dealer_Self", "TFT"),
     ("Investment_Trust", "FTF"), ("外資及陸資", "TFF"), ("foreign", "TFF")])
 def test_investor_classes(spark, name, classes):
-    got = [one(spark, text.name_matches(F.col("n"), words), n=name) for words in C.INVESTOR_CLASSES.values()]
+    got = [one(spark, text.name_matches(F.col("n"), pattern), n=name) for pattern in C.INVESTOR_CLASSES.values()]
     assert got == [c == "T" for c in classes]
 
 

@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockloom.operators.indicators import INDICATORS, indicators, update_indicators
-from stockloom.operators.series import SeriesLayout, cut_series, days_spanned
+from stockloom.operators.series import SeriesLayout, distribute
 
 SCHEMA = "stock_code string, stock_date date, stock_close double"
 START = dt.date(1950, 1, 1)
-CUT = SeriesLayout(whole_days=0)
+LAYOUT = SeriesLayout()
+SMALL = SeriesLayout(bucket_days=128, stretch_rows=1024, block_rows=1024)
 
 
 def frame(spark, series, step=1):
@@ -56,7 +57,7 @@ def expected(closes):
     return out
 
 
-@pytest.mark.parametrize("layout", [SeriesLayout(), CUT], ids=["whole", "cut"])
+@pytest.mark.parametrize("layout", [LAYOUT, SMALL], ids=["default", "small"])
 def test_matches_row_by_row_definitions(spark, layout):
     series = {f"n{n}": walk(n, n) for n in (1, 4, 5, 19, 60, 511, 1024, 1025, 2600)} | {"long": walk(20000, 7)}
     got = by_key(indicators(frame(spark, series), layout=layout))
@@ -68,7 +69,7 @@ def test_matches_row_by_row_definitions(spark, layout):
                 assert value is None or row[name] == pytest.approx(value, abs=1e-9), (key, name, row)
 
 
-@pytest.mark.parametrize("layout", [SeriesLayout(), CUT], ids=["whole", "cut"])
+@pytest.mark.parametrize("layout", [LAYOUT, SMALL], ids=["default", "small"])
 def test_sparse_series(spark, layout):
     closes = walk(1500, 3)
     got = by_key(indicators(frame(spark, {"a": closes}, step=40), layout=layout))["a"]
@@ -147,16 +148,11 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_whole_series_need_one_shuffle_and_no_python(spark):
-    plan = plan_of(indicators(frame(spark, {"a": [1.0] * 10}).repartition(4), span=10))
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert "Python" not in plan and "MapInPandas" not in plan
-
-
-def test_cut_series_are_distributed_by_block(spark):
-    plan = plan_of(indicators(frame(spark, {"a": [1.0] * 10}), layout=CUT, span=10))
+def test_series_are_distributed_by_block_without_python(spark):
+    plan = plan_of(indicators(frame(spark, {"a": [1.0] * 10})))
     assert "hashpartitioning(stock_code" in plan and "__block" in plan
-    spread = indicators(frame(spark, {"hot": walk(40000, 5)}), ["ma20"], layout=CUT)
+    assert "Python" not in plan and "MapInPandas" not in plan
+    spread = indicators(frame(spark, {"hot": walk(40000, 5)}), ["ma20"])
     assert spread.count() == 40000
 
 
@@ -172,13 +168,8 @@ def test_no_block_of_a_dominant_key_outgrows_its_bound(spark):
     days = spark.range(60000).selectExpr("'hot' AS stock_code", "date_add(DATE'1900-01-01', cast(id AS int)) AS stock_date",
                                          "cast(id % 17 AS double) AS stock_close")
     cold = spark.range(100).selectExpr("cast(id AS string) AS stock_code", "DATE'2000-01-01' AS stock_date", "1D AS stock_close")
-    series = cut_series(days.unionByName(cold), CUT)
+    series = distribute(days.unionByName(cold), LAYOUT)
     sizes = [r["count"] for r in series.df.groupBy("stock_code", "__block").count().filter("stock_code = 'hot'").collect()]
-    assert len(sizes) == 8 and max(sizes) <= CUT.block_rows + CUT.lead_rows + 2 * CUT.bucket_days
+    assert len(sizes) == 8 and max(sizes) <= LAYOUT.block_rows + LAYOUT.lead_rows + 2 * LAYOUT.bucket_days
     own = series.df.filter("__block = __home")
     assert own.count() == 60100
-
-
-def test_days_spanned(spark):
-    df = frame(spark, {"a": [1.0] * 10})
-    assert days_spanned(df) == 10 and days_spanned(df, df.limit(0)) == 10 and days_spanned(df.limit(0)) == 0

@@ -84,10 +84,15 @@ def test_lexicon_scoring_stays_out_of_python(spark):
     df = spark.createDataFrame([("創高",)], "title string")
     plan = nw.model_sentiment(df)._jdf.queryExecution().executedPlan().toString()
     assert "Pandas" not in plan and "Python" not in plan
-    assert "MapInPandas" in nw.model_sentiment(df, scorer)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython [answer(title" in nw.model_sentiment(df, scorer)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_clean_entries_reject_other_sources(spark, rows):
     df = spark.createDataFrame([("A - CMoney", "", 1), ("B", "Reuters", 2), ("C - x", "鉅亨網", 3), ("D", None, 4)],
                                "title string, source_name string, id int")
     assert rows(nw.clean_entries(df)) == {("A", "CMoney", 1), ("C - x", "鉅亨網", 3)}
+
+
+def test_scoring_leaves_other_columns_as_they_are(spark):
+    df = spark.createDataFrame([("創高", 2 ** 53 + 1), (None, None), ("x", -(2 ** 53) - 1)], "title string, n bigint")
+    assert sorted(map(str, (r.n for r in nw.model_sentiment(df, scorer).collect()))) == sorted(map(str, (2 ** 53 + 1, None, -(2 ** 53) - 1)))

@@ -126,7 +126,8 @@ def landing(root, days):
         base = {"stock_id": code}
         prices = [base | {"date": str(d), "close": 100 + (d.toordinal() * 7 % 13), "Trading_Volume": 1e6, "Trading_money": 1e8} for d in days]
         land(root / "price", {"data": prices})
-        land(root / "investor", {"data": [base | {"date": str(d), "name": "Foreign_Investor", "buy": 10.0, "sell": 4.0} for d in days]})
+        for _ in range(2):  # overlapping responses
+            land(root / "investor", {"data": [base | {"date": str(d), "name": "Foreign_Investor", "buy": 10.0, "sell": 4.0} for d in days]})
         land(root / "margin", {"data": [base | {"date": str(d), "MarginPurchaseTodayBalance": 5.0} for d in days[::2]]})
         land(root / "revenue", {"data": [base | {"date": "2026-02-01", "revenue": 7.0, "revenue_month": 1, "revenue_year": 2026}] * 2})
         land(root / "dividend", {"data": [base | {"year": "114", "CashEarningsDistribution": "3", "CashExDividendTradingDate": "2026-06-01",
@@ -184,7 +185,12 @@ def test_streams_append_late_and_repeated_rows_once(spark, tmp_path, rows):
 def test_streamed_daily_sentiment(spark, tmp_path, rows):
     path = land(tmp_path / "n", {"stock_code": "a", "entries": [entry("創高 - CMoney", 1, "l1"), entry("x - CMoney", 1, "l2"),
                                                                 entry("x - CMoney", 20, "l3")]})
-    out = str(tmp_path / "out")
-    (streams.daily_sentiment_stream(streams.news_stream(spark, path)).writeStream.format("parquet").outputMode("append")
-     .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out).awaitTermination())
-    assert rows(spark.read.parquet(out)) == {("a", dt.date(2026, 7, 1), 0.4)}
+    store = Warehouse(spark, str(tmp_path / "store"))
+
+    def run():
+        streams.daily_sentiment_stream(streams.news_stream(spark, path), store, str(tmp_path / "cp")).awaitTermination()
+        return rows(store.read("daily_sentiment").withColumn("avg_sentiment", F.round("avg_sentiment", 6)))
+
+    assert run() == {("a", dt.date(2026, 7, 1), 0.4), ("a", dt.date(2026, 7, 20), 0.0)}
+    land(tmp_path / "n", {"stock_code": "a", "entries": [entry("創高 late - CMoney", 1, "l4"), entry("創高 again - CMoney", 1, "l5")]})
+    assert run() == {("a", dt.date(2026, 7, 1), 0.6), ("a", dt.date(2026, 7, 20), 0.0)}

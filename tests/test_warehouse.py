@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stockloom.plans import incremental as inc
 from stockloom.plans.update import change_thresholds, init_thresholds, update_warnings
 from stockloom.schemas import TABLES
+from stockloom.session import shared_folder
 from stockloom.sinks.warehouse import Warehouse
 
 DAYS = [dt.date(2026, 7, d) for d in (1, 2, 3)]
@@ -40,12 +41,12 @@ def test_batch_may_repeat_a_key_and_hold_text_dates(spark, store):
     assert stored(store) == {DAYS[0]: 1.0}
 
 
-def test_values_take_the_stored_scale_and_misfits_become_null(spark, store):
+def test_values_take_the_stored_scale_and_large_ones_stay(spark, store):
     batch = closes(spark, (DAYS[0], 1.005), (DAYS[1], 1e12)).withColumn("k_value", F.lit(12.345))
     store.append_new("daily_metrics", batch)
     got = {r["stock_date"]: r for r in store.read("daily_metrics").collect()}
     assert str(got[DAYS[0]]["stock_close"]) == "1.01" and str(got[DAYS[0]]["k_value"]) == "12.35"
-    assert got[DAYS[1]]["stock_close"] is None and got[DAYS[0]]["ma20"] is None
+    assert float(got[DAYS[1]]["stock_close"]) == 1e12 and got[DAYS[0]]["ma20"] is None
 
 
 @pytest.mark.parametrize("name", ["stock\"code;", "missing"])
@@ -139,21 +140,57 @@ def test_news_marks(spark, rows):
         ("c", dt.date(2026, 4, 4), dt.date(2026, 4, 4))}
 
 
-@pytest.mark.parametrize("list_limit", [1000, 0], ids=["listed", "joined"])
-def test_recent_history_reads_older_years_for_sparse_keys_only(spark, monkeypatch, list_limit):
-    monkeypatch.setattr(inc.C, "HISTORY_KEY_LIST", list_limit)
-    monkeypatch.setattr(inc.C, "HISTORY_ROWS", 3)
-    rows = [("dense", dt.date(2025, 1, d)) for d in (1, 2, 3)] + [("dense", dt.date(2010, 1, 1)), ("sparse", dt.date(2025, 1, 1)),
-            ("sparse", dt.date(2010, 1, 1)), ("gone", dt.date(2010, 1, 1)), ("other", dt.date(2025, 1, 1))]
-    daily = spark.createDataFrame(rows, "stock_code string, stock_date date").withColumn("stock_year", F.year("stock_date"))
-    keys = spark.createDataFrame([("dense",), ("sparse",), ("gone",), ("new",)], "stock_code string")
-    got = {(r["stock_code"], r["stock_date"].year) for r in inc.recent_history(keys, daily, dt.date(2026, 7, 1)).collect()}
-    assert got == {("dense", 2025), ("sparse", 2025), ("sparse", 2010), ("gone", 2010)}
-    marks = {r["stock_code"]: r["mark"] for r in inc.daily_marks(keys, daily, dt.date(2026, 7, 1)).collect()}
-    assert marks == {"dense": dt.date(2025, 1, 3), "sparse": dt.date(2025, 1, 1), "gone": dt.date(2010, 1, 1),
-                     "new": dt.date(2025, 1, 1)}
-    alone = inc.recent_history(keys.filter("stock_code = 'dense'"), daily, dt.date(2026, 7, 1))
-    assert alone.count() == 3
+def test_versions_survive_empty_and_half_written_ones(spark, store, rows):
+    limits = spark.createDataFrame([("a", 1234.5)], "stock_code string, max_debt_ratio double")
+    store.upsert("warning_indicator", spark.createDataFrame([], "stock_code string, year int, quarter int"))
+    store.upsert("warning_indicator", spark.createDataFrame([], "stock_code string, year int, quarter int"))
+    assert store.read("warning_indicator").isEmpty()
+    store.upsert("warning_threshold", limits)
+    store._replace("warning_threshold", store.read("warning_threshold").limit(0))
+    assert store.read("warning_threshold").isEmpty()
+    half = f"{store.path('warning_threshold')}/version=9"
+    store.read("warning_threshold").write.parquet(half)
+    os.remove(half + "/_SUCCESS")
+    store.upsert("warning_threshold", limits)
+    assert {(r.stock_code, float(r.max_debt_ratio)) for r in store.read("warning_threshold").collect()} == {("a", 1234.5)}
+    assert os.path.isdir(f"{store.path('warning_threshold')}/version=10")
+
+
+def test_a_number_beyond_its_column_is_never_lost(spark, store):
+    with pytest.raises(Exception, match="CAST|NUMERIC|OVERFLOW|out of range"):
+        store.upsert("warning_threshold", spark.createDataFrame([("a", 1e40)], "stock_code string, max_debt_ratio double"))
+
+
+def test_stored_side_of_a_news_append_is_pruned_by_bucket(spark, store):
+    news = spark.createDataFrame([("a", f"l{i}", dt.datetime(2026, 7, 1)) for i in range(300)], "stock_code string, news_link string, publish_time timestamp")
+    store.append_new("news", news)
+    keys = store._existing_keys(TABLES["news"], news.limit(2))
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "news_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert keys.count() < 60
+    assert not os.path.isdir(f"{store.root}/_stage") or not os.listdir(f"{store.root}/_stage")
+
+
+def test_reading_since_a_day_reads_its_years(spark, store):
+    store.append_new("daily_metrics", closes(spark, (DAYS[0], 1), (dt.date(2001, 1, 1), 2)))
+    recent = store.read("daily_metrics", since=DAYS[0])
+    assert recent.count() == 1
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "stock_year" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "yarn"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(ValueError):
+        shared_folder(Session())
 
 
 def test_parameterised_sql_over_stored_tables(spark, store, rows):
