@@ -1,0 +1,309 @@
+"""URLs, languages, quality, personal data, secrets and page text against definitions written out row by row."""
+
+import hashlib
+import html
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry_point
+from stockloom.llm import html_text, langid, pii, quality, queries, secrets, urls
+
+SF, SF_MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+LONG = "lorem ipsum dolor " * 4_000
+ODD = [(1, "The quick brown fox jumps over it.", "en"), (1, "The quick brown fox jumps over it.", "en"), (None, None, None), (2, "", "fr"), (3, LONG, None),
+       (4, "12 34 !!", "de"), (None, "another text", "en"), (5, "éÉ 漢字 😀\n\n", "fr")]
+SCHEMA = "doc_id long, text string, lang string"
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# --- urls ---------------------------------------------------------------------------------------
+
+def slow_parts(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), re.match(r"[^?#]*", rest[len(host):])[0]
+
+
+def slow_rule(host, path):
+    fits = []
+    for verdict, rule in urls.RULES:
+        suffix, _, prefix = rule.partition("/")
+        if (host == suffix or host.endswith("." + suffix)) and path.startswith("/" + prefix):
+            fits.append((len(rule), rule, verdict))
+    return max(fits)[1:] if fits else (None, None)
+
+
+def slow_scores(pages):
+    """Differences of mean log likelihood by the definition of the models, over all pages."""
+    grams = lambda t: [("\x02" * urls.ORDER + t + "\x03")[i:i + urls.ORDER + 1] for i in range(len(t) + 1)]
+    counts = {"allow": Counter(), "block": Counter()}
+    for p in pages:
+        if p["part"] == "train":
+            for g in grams(p["text"]):
+                for k in range(1, urls.ORDER + 2):
+                    counts[p["ruled"]][g[-k:]] += 1
+
+    def log_p(gram, seen):
+        p = 1 / urls.ALPHABET
+        for k in range(1, urls.ORDER + 2):
+            g = gram[-k:]
+            follow = [n for x, n in seen.items() if len(x) == k and x[:-1] == g[:-1]]
+            if follow:
+                p = (seen[g] + len(follow) * p) / (sum(follow) + len(follow))
+        return np.log(p)
+
+    cache = {}
+    for p in pages:
+        if p["part"] != "train" and p["text"]:
+            for g in grams(p["text"]):
+                if g not in cache:
+                    cache[g] = log_p(g, counts["allow"]) - log_p(g, counts["block"])
+            yield p["page_id"], float(np.mean([cache[g] for g in grams(p["text"])]))
+
+
+def test_url_filter(spark):
+    rows = [(1, None), (2, "no scheme"), (3, "HTTP://WWW.Example.NET/en/x?y#z"), (3, "a://b.net"), (None, "x://é.org/fr/?"), (5, "x://notnet/"), (6, "://"), (7, "x://b.net/"),
+            (8, "x://a.b.example.com/de/1://2"), (8, "x://a.b.example.com/de/1://2"), (9, "x://example.com/deX"), (10, "x://example.net/en")]
+    rows += [(100 + i, f"http://{h}/{p}/{i}") for i, (h, p) in enumerate([("good.org", "fr"), ("bad.net", "x"), ("shop.example.com", "de"), ("m.example.net", "en"), ("other.info", "en")] * 8)]
+    got = urls.judged(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, host string")).collect()
+    assert len(got) == len(rows)
+    want = sorted(((i, *slow_parts(u), slow_rule(*slow_parts(u))[0]) for i, u in rows), key=str)
+    assert sorted(((r.page_id, r.host, r.path, r.rule) for r in got), key=str) == want
+    assert all(r.verdict == slow_rule(r.host, r.path)[1] for r in got if r.rule)
+    assert all(r.verdict == "allow" for r in got if not r.host)
+    plain = spark.createDataFrame(rows, "page_id long, url string").filter("page_id >= 100")
+    parts = [{"page_id": i, "text": "".join(slow_parts(u)), "ruled": slow_rule(*slow_parts(u))[1]} for i, u in rows if i and i >= 100]
+    marks = {r.text: r.d == 0 for r in spark.createDataFrame(parts, "page_id long, text string, ruled string").select(
+        "text", F.pmod(F.xxhash64("text", "page_id"), F.lit(urls.HELD_OUT)).alias("d")).collect()}
+    for p in parts:
+        p["part"] = "judge" if not p["ruled"] else "calibrate" if marks[p["text"]] else "train"
+    scores = {r.page_id: r.score for r in urls.judged(plain).collect()}
+    assert all(scores[i] == pytest.approx(s, abs=1e-9) for i, s in slow_scores(parts))
+    assert urls.judged(plain.limit(0)).isEmpty()
+    assert {r.verdict for r in urls.judged(plain.filter("url LIKE '%info%'")).collect()} == {"allow"}
+
+
+def test_url_verdicts_follow_the_classes(spark):
+    got = queries.op2_url_filter(spark, SF_MIDDLE)
+    assert got.count() == spark.read.parquet(f"{SF_MIDDLE}/pages.parquet").count()
+    means = {r.verdict: r.m for r in got.filter("rule IS NULL").groupBy("verdict").agg(F.avg("score").alias("m")).collect()}
+    assert means["allow"] > means["block"]
+
+
+# --- languages ----------------------------------------------------------------------------------
+
+def test_language_held_out_accuracy(spark):
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF_MIDDLE}/documents.parquet").select("doc_id", "lang").collect()}
+    held = [r for r in queries.op6_langid(spark, SF_MIDDLE).collect() if r.held_out]
+    assert len(held) > 200 and sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.97
+    assert all(0 <= r.score <= 1 for r in held)
+
+
+def test_language_kernel_equals_its_definition():
+    texts = ["le chat est noir", "the cat is black", "die katze ist schwarz", "el gato es negro", "a"]
+    codes = [langid.grams(langid.normalised(t.encode())) for t in texts]
+    phi = langid.presence(codes, np.unique(np.concatenate(codes)))
+    sets = [[{langid.normalised(t.encode())[i:i + n] for i in range(len(t) + 3 - n)} for n in (1, 2, 3)] for t in texts]
+    want = [[np.mean([len(a & b) / np.sqrt(len(a) * len(b)) for a, b in zip(x, y, strict=True)]) for y in sets] for x in sets]
+    assert phi @ phi.T == pytest.approx(np.array(want), abs=1e-5)
+
+
+def test_language_of_odd_rows(spark):
+    docs = spark.createDataFrame([(*r, "clash") for r in ODD], SCHEMA + ", score string")
+    got = langid.predictions(docs).collect()
+    assert len(got) == len(ODD)
+    assert {(r.lang_pred, r.score) for r in got if r.doc_id in (2, 4)} == {("und", 0.0)}
+    kept = langid.known_language(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} <= {1, 3, 5, None}
+    for none in (docs.limit(0), docs.withColumn("lang", F.lit(None).cast("string"))):
+        assert {r.lang_pred for r in langid.predictions(none).collect()} <= {"und"}
+
+
+# --- quality ------------------------------------------------------------------------------------
+
+def slow_base(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(zip(*(words[i:] for i in range(5))))
+    inside = {j for i in range(len(words) - 4) if windows[tuple(words[i:i + 5])] > 1 for j in range(i, i + 5)}
+    seen, duplicates = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            duplicates += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), duplicates, len(inside)
+
+
+def test_quality(spark):
+    docs = spark.read.parquet(f"{SF_MIDDLE}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF_MIDDLE}/labels.parquet").collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    right = total = 0
+    for r in queries.op7_quality(spark, SF_MIDDLE).collect():
+        base = slow_base(text[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base
+        assert r.base_failed == (base[0] < 10 or 100 * base[4] > 20 * base[0]) and not (r.kept and r.base_failed)
+        if r.doc_id in labels and not r.base_failed:
+            right, total = right + (r.kept == bool(labels[r.doc_id])), total + 1
+    assert right / total > 0.95
+
+
+def test_quality_of_odd_rows(spark):
+    docs = spark.createDataFrame([(*r, 1) for r in ODD], SCHEMA + ", n_words int")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    got = quality.judged(docs, none).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_repeat_words) for r in got) == sorted((str(d), slow_base(t)[0], slow_base(t)[4]) for d, t, _ in ODD)
+    assert quality.judged(docs.limit(0), none).isEmpty()
+
+
+def test_viterbi_and_training_match_enumeration():
+    rng = np.random.default_rng(1)
+    chain = quality.Chain(rng.normal(size=quality.FEATURES), rng.normal(size=(2, 2)))
+    x = rng.normal(size=(7, quality.FEATURES))
+    score = lambda s: sum(x[i] @ chain.emit for i in range(7) if s[i]) + sum(chain.step[a, b] for a, b in zip(s, s[1:], strict=False))
+    best = max(([n >> i & 1 for i in range(7)] for n in range(128)), key=score)
+    assert chain.decode(x).tolist() == best
+    good, bad = np.ones((5, quality.FEATURES)), np.ones((3, quality.FEATURES))
+    bad[:, 1] = 3
+    learned = quality.train([(1, good), (0, bad)] * 5)
+    assert learned.decode(good).all() and not learned.decode(bad).any()
+
+
+# --- personal data ------------------------------------------------------------------------------
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def slow_personal(t):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for kind, pattern, least, most in (("card", r"[0-9]([\x20-]?[0-9])+", 16, 19), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 8, 15)):
+        for m in re.finditer(pattern, t):
+            digits = re.sub("[^0-9]", "", m[0])
+            if least <= len(digits) <= most and (kind == "phone" or luhn(digits)):
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_personal_data_base_spans(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(size))) for alphabet, size, n in (
+        ("aé1 234567890.-+@()_%\n", 300, 150), ("0123456789 - ", 200, 150), ("a@.b_1", 60, 200), ("1.23@0", 60, 200)) for _ in range(n)]
+    texts += ["1" * 50_000, "a" * 50_000, "a@b.c " * 2_000, "😀 +1 (017) 555-7713 4111 1111 1111 1111", None, ""]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "x@y.zz"), (3, texts[3])]
+    got = pii.report(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, spans string")).collect()
+    want = sorted((str(i), sha(joined(slow_personal(t or "")))) for i, t in rows)
+    assert sorted((str(r.doc_id), r.base_sha256) for r in got) == want
+    assert all(set(joined(slow_personal(t or "")).split(",")) <= set(r.spans.split(",")) for r in got for i, t in rows[:200] if r.doc_id == i)
+    assert pii.report(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
+
+
+def test_personal_data_learns_formats_without_their_marks(spark):
+    rng = random.Random(2)
+    number = lambda: f"({rng.randrange(100, 999)}) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
+    rows = [(i, f"call +1 {number()} or not 98079{rng.randrange(1000, 99999)} today") for i in range(400)] + [(1_000, "call 1 (017) 555-7713 today")]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1_000].n_phone == 0 and got[1_000].spans == "phone:5:21"
+    assert all(got[i].spans.count(",") == 0 for i in range(400))
+
+
+# --- secrets ------------------------------------------------------------------------------------
+
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def slow_secrets(t):
+    out = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return [(k, a, b) for a, _, b, k in sorted(out)]
+
+
+def test_secret_base_spans(spark):
+    rng = random.Random(4)
+    parts = ["token", "Password", "api_key", "=", ": ", "\"", "'", "AKIA", "ABCDEF12345", "deadbeef", "0123456789abcdef", " ", "\n", "é", "😀", "x_y.z-", "secret"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(25)))) for i in range(600)]
+    rows += [(700, "a" * 100_000), (701, "token=abcdefgh " * 700), (702, None), (703, ""), (5, rows[5][1]), (None, "passwd=12345678")]
+    got = secrets.report(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, key_id int")).collect()
+    assert sorted((str(r.doc_id), r.base_sha256) for r in got) == sorted((str(i), sha(joined(slow_secrets(t or "")))) for i, t in rows)
+    assert secrets.report(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
+
+
+def test_weak_parts_need_a_complement_in_scope(spark):
+    weak = "Ab1" * 9
+    rows = [(1, f"user=bob12 then password: abcdefgh99"), (2, "user=bob12 alone"), (3, f"x {weak} y"), (4, f"https://h.example/z {weak}"),
+            (5, f"login: bob12 {'x ' * 150}token=abcdefgh"), (6, "https://h.example/z alone"), (7, f"account_id=77abc {weak}")]
+    got = {r.doc_id: r.spans for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "account:0:10,assign:16:36", 2: "", 3: "", 4: "endpoint:0:19,unnamed:20:47", 5: "assign:313:327", 6: "", 7: "account:0:16,unnamed:17:44"}
+
+
+def test_secrets_are_masked_in_place(spark):
+    rows = [(1, "é token=abcdefgh! and " + "f" * 40, "a", 9), (1, "é token=abcdefgh! and " + "f" * 40, "a", 9), (None, None, None, None), (2, "clean", "b", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long")
+    masked = secrets.without_secrets(docs)
+    assert masked.columns == docs.columns
+    want = [(1, "é [secret]! and [secret]", "a", 24)] * 2 + [(None, None, None, None), (2, "clean", "b", 5)]
+    assert sorted(map(tuple, masked.collect()), key=str) == sorted(want, key=str)
+
+
+# --- pages --------------------------------------------------------------------------------------
+
+def slow_article(source):
+    inside = source.split("<article>", 1)[1].split("</article>")[0].split("<footer>")[0]
+    blocks = (" ".join(html.unescape(re.sub("</?b>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", inside))
+    return "\n".join(b for b in blocks if b)
+
+
+def test_page_text(spark):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF_MIDDLE}/pages.parquet").collect()}
+    got = queries.op10_html_text(spark, SF_MIDDLE).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert r.text == slow_article(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
+def test_page_furniture_by_name_and_by_repetition(spark):
+    page = ("<html><body><div>Site menu of us</div><div><div><p>Story {i} goes &lt;on&gt;.<p>And <i>on</i>&nbsp;and<br>on {i}</div><div>Share this story</div></div>"
+            "<div class='user-comments'>first!</div><aside>see also</aside><form><p>mail</p></form><script>var x = '<p>no</p>'</script>"
+            "<div hidden>secret</div><div>All our rights</div></body></html>")
+    rows = [(i, f"http://h.example/{i}", page.format(i=i), "clash") for i in range(8)]
+    rows += [(90, "http://other/1", page.format(i=90), "x"), (91, None, None, None), (92, "http://h.example/9", "", None), (93, "nohost", "<p>cut <b", None), (None, "http://h.example/1", page.format(i=7), None)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
+    for i in [*range(8)]:
+        assert got[i] == f"Story {i} goes <on>.\nAnd on and on {i}"
+    assert got[90] == "Site menu of us\nStory 90 goes <on>.\nAnd on and on 90\nShare this story\nAll our rights"  # one page: nothing repeats
+    assert got[91] == got[92] == "" and got[93] == "cut" and got[None] == got[7]
+    assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
+
+
+# --- registration -------------------------------------------------------------------------------
+
+def test_one_query_for_each_operator_and_the_pipeline():
+    names = [n for n in entry_point.queries() if re.match(r"op\d+_", n)]
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in entry_point.queries()
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    want = con.execute(queries.SQL[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
