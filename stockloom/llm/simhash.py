@@ -129,7 +129,8 @@ def without_near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int
     kept = (_labelled(prints, "doc_id", fp, distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .groupBy("doc_id").agg(F.count("*").alias(repeats)))
     kept = written(kept, "kept")
-    once = docs.join(kept.filter(F.col(repeats) == 1).select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # The same join at every size: the kept ids grow with the documents.
+    once = docs.join(kept.filter(F.col(repeats) == 1).select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if kept.filter((F.col(repeats) > 1) | F.col("doc_id").isNull()).isEmpty():
         return once
     again = docs.join(kept.filter(F.col(repeats) > 1).select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])

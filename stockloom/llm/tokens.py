@@ -30,7 +30,7 @@ from stockloom.session import fresh_path
 
 END_ID = 2
 #: Words whose ids a task remembers; forgetting them costs time only.
-CACHE = 800_000
+CACHE = 600_000
 BLOCK_IDS, BLOCK_DOCS, FILE_BLOCKS = 1 << 20, 1 << 14, 8
 _HEADER = struct.Struct("<4sB3xIIIQQ")
 _MAGIC = b"TID1"
@@ -61,8 +61,7 @@ class Encoder:
         self.end = b"" if end is None else np.array([end], self.dtype).tobytes()
         self.last = np.zeros(self.vocabulary, bool)
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {b"": b""}
+        self.known: dict[bytes, bytes] = {b"": b""}
 
     @classmethod
     def shared(cls, path: str, end: int | None = END_ID) -> Encoder:
@@ -84,15 +83,15 @@ class Encoder:
             if len(ends) == len(group) and (not len(ids) or ends[-1] == len(ids)):
                 data, at, step = ids.tobytes(), 0, self.dtype.itemsize
                 for w, e in zip(group, ends.tolist(), strict=True):
-                    self.stems[w] = data[at * step:e * step]
+                    self.known[w] = data[at * step:e * step]
                     at = e
             else:
                 others += group
-        self.stems.update((w, i.tobytes()) for w, i in zip(others, self._ids([w.decode("utf-8", "replace") for w in others]), strict=True))
+        self.known.update((w, i.tobytes()) for w, i in zip(others, self._ids([w.decode("utf-8", "replace") for w in others]), strict=True))
 
     def _learn(self, words: set[bytes]) -> None:
         # Letters with punctuation behind are two tokens of the splitter; the case of ASCII letters makes no difference.
-        stems, known, later, new = self.stems, self.known, [], set()
+        known, later, new = self.known, [], set()
         for w in words:
             stem = w.rstrip(_PUNCTUATION)
             if stem.isalpha():
@@ -100,14 +99,14 @@ class Encoder:
             elif not stem or stem.isascii() or not stem.decode("utf-8", "replace").lower().isalpha():
                 stem = w
             tail = w[len(stem):]
-            if stem in stems and tail in stems:
-                known[w] = stems[stem] + stems[tail]
+            if stem in known and tail in known:
+                known[w] = known[stem] + known[tail]
             else:
                 later.append((w, stem, tail))
                 new.update((stem, tail))
-        self._learn_stems([x for x in new if x not in stems])
+        self._learn_stems([x for x in new if x not in known])
         for w, stem, tail in later:
-            known[w] = stems[stem] + stems[tail]
+            known[w] = known[stem] + known[tail]
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Ids of each text (UTF-8; None is empty) with the end id."""
@@ -121,8 +120,7 @@ class Encoder:
                 size += len(data)
                 at += 1
             if len(self.known) > CACHE:
-                self.known.clear()
-                self.stems = {b"": b""}
+                self.known = {b"": b""}
             found = [list(map(self.known.get, words)) for words in group]
             gaps = [[k for k, i in enumerate(ids) if i is None] for ids in found]
             new = {words[k] for words, gap in zip(group, gaps, strict=True) for k in gap}
