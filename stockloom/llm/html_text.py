@@ -8,8 +8,8 @@ slots, whose text is content. Elements that are furniture by their name or class
 footers, adverts, forms, reader comments, ...) never are, and where a page marks its
 article, the content is looked for there.
 
-Pages meet the reference of their host in an equality join; Spark may split a host with
-very many pages, as each page is aligned by itself. Counts are combined before they move.
+Pages meet the reference of their host in an equality join that is salted, so that a host
+with very many pages is spread. Counts are combined before they move.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stockloom.llm.common import expand
+from stockloom.llm.common import expand, written
 
 #: A text is template if it stands at a node on this share of the pages aligned there, and on so many.
 SHARE, LEAST_PAGES = 0.6, 5
@@ -199,10 +199,16 @@ def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES)
     Repeated rows give a row each. A host with fewer than ``least`` pages has no
     template nodes; its pages are read by element names and classes alone.
     """
-    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"))
+    spark = pages.sparkSession
+    # A host's pages are dealt out by as many salts as there are shuffle partitions, and its reference to the
+    # salts that occur: no task gets a large host whole, and small hosts are not copied.
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"), salt.alias("salt"))
     whole = F.struct((~F.col("html").rlike(r"(?i)</html>\s*$")).alias("cut"), F.length("html").alias("size"), F.xxhash64("html").alias("tie"))
-    references = own.groupBy("host").agg(F.min_by("html", whole).alias("reference"))
-    joined = own.join(references, "host")
+    dealt = own.groupBy("host", "salt").agg(F.min_by(F.struct("html", whole.alias("order")), whole).alias("best"))
+    shortest = dealt.groupBy("host").agg(F.min_by("best.html", "best.order").alias("reference"))
+    references = written(dealt.select("host", "salt").join(shortest, "host"), "references")
+    columns = ["html", "reference", "host", "page_id", "url"]
 
     def counted():
         from xxhash import xxh64_intdigest
@@ -217,8 +223,7 @@ def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES)
                     yield host, to[node], xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
         return function
 
-    columns = ["html", "reference", "host", "page_id", "url"]
-    seen = expand(joined.select(*columns), "host string, node int, text long", counted).groupBy("host", "node", "text").agg(F.count("*").alias("n"))
+    seen = expand(own.join(references, ["host", "salt"]).select(*columns), "host string, node int, text long", counted).groupBy("host", "node", "text").agg(F.count("*").alias("n"))
     constant = (seen.groupBy("host", "node").agg(F.max("n").alias("most"), F.sum("n").alias("pages"))
                 .filter((F.col("most") >= least) & (F.col("most") >= share * F.col("pages"))))
     template = constant.groupBy("host").agg(F.collect_list("node").alias("template"))
@@ -230,5 +235,5 @@ def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES)
                 yield page_id, url, page.content({node for node, other in to.items() if other in fixed})
         return function
 
-    known = own.join(references, "host").select(*columns).join(template, "host", "left").select(*columns, "template")
+    known = own.join(references.join(template, "host", "left"), ["host", "salt"]).select(*columns, "template")
     return expand(known, "page_id long, url string, text string", extracted).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
