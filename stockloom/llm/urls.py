@@ -73,9 +73,10 @@ def _ratios(needed: DataFrame, training: DataFrame) -> DataFrame:
     """gram, ratio: log P(character | context) of class a less that of class b, for each gram of ``needed``."""
     grams, contexts = _models(training)
     parts = needed.select("gram", F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1))).alias("k")).withColumn("g", F.substring("gram", -F.col("k"), F.col("k")))
-    seen = (parts.join(grams, "g", "left").withColumn("c", F.substring("g", F.lit(1), F.length("g") - 1))
-            .join(contexts, ["c", "k"], "left"))
-    levels = seen.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct(
+    # Each ending meets the models once: those of one character would otherwise all meet at the empty context.
+    endings = (parts.select("g", "k").distinct().join(grams, "g", "left").withColumn("c", F.substring("g", F.lit(1), F.length("g") - 1))
+               .join(contexts, ["c", "k"], "left").drop("c", "k"))
+    levels = parts.join(endings, "g").groupBy("gram").agg(F.array_sort(F.collect_list(F.struct(
         "k", *[F.coalesce(x, F.lit(0)).cast("double").alias(x) for x in ("a", "n_a", "t_a", "b", "n_b", "t_b")]))).alias("levels"))
 
     def probability(x: str) -> Column:
