@@ -466,13 +466,12 @@ def _(spark, sf_dir):
 
 
 @query("warning_history", needs=["statement_fact"], ctes=f"{RATIOS},\n{LIMITS},\njudged AS ({DEFAULTS})",
-       sql="""SELECT h.stock_code, year, quarter, earnings_quality_ratio, debt_ratio, is_debt_warning, max_debt_ratio
-              FROM (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY year DESC, quarter DESC) AS rn FROM judged) h
-              LEFT JOIN limits l ON h.stock_code = l.stock_code WHERE rn <= 12""")
+       sql="""SELECT h.*, l.* EXCLUDE (stock_code)
+              FROM (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY year DESC, quarter DESC) AS rn FROM judged)
+                    WHERE rn <= 12) h LEFT JOIN limits l ON h.stock_code = l.stock_code""")
 def _(spark, sf_dir):
     facts = data.statement_fact(spark, sf_dir)
-    return reports.warning_history(statements.warning_indicators(facts), _limits(spark, facts)).select(
-        "stock_code", "year", "quarter", "earnings_quality_ratio", "debt_ratio", "is_debt_warning", "max_debt_ratio")
+    return reports.warning_history(statements.warning_indicators(facts), _limits(spark, facts))
 
 
 @query("warning_lights", needs=["statement_fact"], ctes=f"{RATIOS},\njudged AS ({DEFAULTS})",
@@ -567,16 +566,21 @@ def _(spark, sf_dir):
                      CASE WHEN net_buy_5d > 0 THEN 'buy' WHEN net_buy_5d < 0 THEN 'sell' ELSE 'flat' END AS net_buy_direction,
                      CASE WHEN net_buy_5d >= 0 THEN '+' ELSE '-' END || format('{:,}', CAST(abs(net_buy_5d) AS BIGINT)) AS net_buy_text,
                      CASE WHEN ma20 IS NULL THEN 'N/A' WHEN stock_close > ma20 THEN 'above' ELSE 'below' END AS ma20_position,
-                     CASE WHEN ma60 IS NULL THEN 'N/A' WHEN stock_close > ma60 THEN 'above' ELSE 'below' END AS ma60_position
-              FROM factors""")
+                     CASE WHEN ma60 IS NULL THEN 'N/A' WHEN stock_close > ma60 THEN 'above' ELSE 'below' END AS ma60_position,
+                     CASE WHEN ma20 IS NULL THEN 'N/A' ELSE printf('%.2f', floor(ma20 * 100 + 0.5) / 100) END AS ma20_text,
+                     CASE WHEN ma60 IS NULL THEN 'N/A' ELSE printf('%.2f', floor(ma60 * 100 + 0.5) / 100) END AS ma60_text,
+                     printf('%.2f', floor(estimated_roe * 100 + 0.5) / 100) AS roe_text
+              FROM (SELECT * REPLACE (floor(ma20 * 10000 + 0.5) / 10000 AS ma20, floor(ma60 * 10000 + 0.5) / 10000 AS ma60) FROM factors)""")
 def _(spark, sf_dir):
-    return screener.factor_labels(factors(spark, sf_dir)).drop("ma20_text", "ma60_text", "roe_text")
+    return screener.factor_labels(factor_row(factors(spark, sf_dir)))
 
 
 @query("factor_table_titled", needs=FACTOR_NEEDS, ctes=FACTORS,
-       sql="""SELECT stock_code AS "股票代碼", company_name AS "公司名稱", stock_close AS "收盤價", net_buy_5d AS "近5日法人淨買進(張)" FROM factors""")
+       sql="""SELECT stock_code AS "股票代碼", company_name AS "公司名稱", stock_close AS "收盤價", net_buy_5d AS "近5日法人淨買進(張)",
+                     floor(ma20 * 10000 + 0.5) / 10000 AS "月線(MA20)", floor(ma60 * 10000 + 0.5) / 10000 AS "季線(MA60)",
+                     floor(estimated_roe * 10000 + 0.5) / 10000 AS "估算ROE(%)" FROM factors""")
 def _(spark, sf_dir):
-    return screener.titled(factors(spark, sf_dir)).drop("月線(MA20)", "季線(MA60)", "估算ROE(%)")
+    return screener.titled(factor_row(factors(spark, sf_dir)))
 
 
 # --- news -------------------------------------------------------------------------------------
@@ -850,11 +854,12 @@ _landed_query("dividend", """SELECT CAST(p_partkey AS VARCHAR) AS stock_id, CAST
 @query("dividends",
        sql="""SELECT CAST(p_partkey AS VARCHAR) AS stock_code, CAST(2000 + p_partkey % 20 AS VARCHAR) AS date_info,
                      p_size + CASE WHEN p_partkey % 3 = 1 THEN CAST(0.5 AS DOUBLE) ELSE 0 END AS cash_dividends,
-                     CASE WHEN p_partkey % 4 = 0 THEN CAST(0 AS DOUBLE) ELSE 1.25 END AS stock_dividend
+                     CASE WHEN p_partkey % 4 = 0 THEN CAST(0 AS DOUBLE) ELSE 1.25 END AS stock_dividend,
+                     '2020-07-01' AS ex_dividend_date, '2020-08-01' AS cash_dividend_date
               FROM part WHERE p_partkey % 5 > 1 AND p_partkey % 7 > 0""")
 def _(spark, sf_dir):
     rows = _landed_dividend(spark, sf_dir).withColumn("StockStatutorySurplus", F.lit(""))
-    return loads.dividends(rows).select("stock_code", "date_info", "cash_dividends", "stock_dividend")
+    return loads.dividends(rows)
 
 
 @query("monthly_revenue",
@@ -1011,7 +1016,9 @@ def _(spark, sf_dir):
 
 
 @query("insert_missing_thresholds", needs=["statement_fact"],
-       sql="""SELECT stock_code, CAST(CASE WHEN bool_or(types = 'Liabilities') THEN 80 ELSE 50 END AS DOUBLE) AS min_earnings_quality_ratio
+       sql="""SELECT stock_code, CAST(CASE WHEN bool_or(types = 'Liabilities') THEN 80 ELSE 50 END AS DOUBLE) AS min_earnings_quality_ratio,
+                     CAST(120 AS DOUBLE) AS max_receivable_turnover_days, CAST(150 AS DOUBLE) AS max_inventory_turnover_days,
+                     CAST(60 AS DOUBLE) AS max_debt_ratio, CAST(3 AS DOUBLE) AS min_interest_coverage
               FROM statement_fact GROUP BY 1""")
 def _(spark, sf_dir):
     """Keys with thresholds keep them; the others get a row."""
@@ -1024,8 +1031,7 @@ def _(spark, sf_dir):
     store = _store(spark)
     store.append_new("warning_threshold", defaults(facts.filter("types = 'Liabilities'"), 80.0))
     store.append_new("warning_threshold", defaults(facts, 50.0))
-    return store.read("warning_threshold").select(
-        "stock_code", F.col("min_earnings_quality_ratio").cast("double").alias("min_earnings_quality_ratio"))
+    return store.read("warning_threshold").select("stock_code", *[F.col(c).cast("double").alias(c) for c in statements.C.DEFAULT_THRESHOLDS])
 
 
 # --- context rows -------------------------------------------------------------------------------
