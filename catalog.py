@@ -1036,11 +1036,11 @@ def _(spark, sf_dir):
 
 # --- context rows -------------------------------------------------------------------------------
 
-@query("analyst_context", needs=DAILY_NEEDS + ["holding", "statement_fact", "company"],
+@query("analyst_context", needs=DAILY_NEEDS + ["headline", "holding", "statement_fact", "company"],
        ctes=",\n".join([ASSEMBLED, NUMBERED, AVERAGES, STOCHASTIC, RATIOS, f"judged AS ({DEFAULTS})",
                         f"weekly AS ({CONCENTRATION.format(source='holding')})"]) + """,
-docs AS (SELECT CAST(doc_id % 50 AS VARCHAR) AS stock_code, split_part(text, chr(10), 1) AS title,
-                make_timestamp((1704067200 + doc_id * 3600) * 1000000) AS publish_time, CAST(doc_id AS VARCHAR) AS news_link FROM documents),
+docs AS (SELECT CAST(doc_id % 50 AS VARCHAR) AS stock_code, title,
+                make_timestamp((1704067200 + doc_id * 3600) * 1000000) AS publish_time, link AS news_link FROM headline),
 """ + SHOWN.replace("FROM news)", "FROM docs)") + """,
 metrics AS (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY stock_date DESC) AS age
             FROM assembled JOIN averages USING (stock_code, stock_date) JOIN kd USING (stock_code, stock_date)
@@ -1051,7 +1051,8 @@ lines AS (SELECT stock_code, string_agg('[' || strftime(publish_time, '%Y-%m-%d
           FROM shown WHERE position <= 5 GROUP BY 1)""",
        sql="""SELECT c.stock_code, c.company_name, m.stock_date, m.stock_close, floor(f.ma5 * 10000 + 0.5) / 10000 AS ma5,
                      floor(m.ma20 * 10000 + 0.5) / 10000 AS ma20, floor(m.k_value * 10000 + 0.5) / 10000 AS k_value,
-                     m.foreign_net_buy, w.update_date, w.large_holders_1000,
+                     floor(m.d_value * 10000 + 0.5) / 10000 AS d_value, m.foreign_net_buy, m.trust_net_buy, w.update_date,
+                     w.large_holders_1000, w.large_holders_400, w.retail_holders_10, c.company_class, c.main_business,
                      coalesce(concat_ws(', ', CASE WHEN q.is_cash_flow_warning THEN '本期盈餘品質不佳（現金流短缺）' END,
                                         CASE WHEN q.is_debt_warning THEN '負債比率偏高，超出設定閥值' END,
                                         CASE WHEN q.is_receivable_warning THEN '應收帳款天數過長' END,
@@ -1064,16 +1065,16 @@ lines AS (SELECT stock_code, string_agg('[' || strftime(publish_time, '%Y-%m-%d
               LEFT JOIN lines n ON c.stock_code = n.stock_code""")
 def _(spark, sf_dir):
     doc = F.col("doc_id")
-    docs = data.table(spark, sf_dir, "documents").select(
-        (doc % 50).cast("string").alias("stock_code"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
-        F.timestamp_seconds(F.lit(1704067200) + doc * 3600).alias("publish_time"), doc.cast("string").alias("news_link"),
-        F.lit(0.0).alias("sentiment_score"))
+    docs = data.headline(spark, sf_dir).select(
+        (doc % 50).cast("string").alias("stock_code"), "title", F.timestamp_seconds(F.lit(1704067200) + doc * 3600).alias("publish_time"),
+        F.col("link").alias("news_link"), F.lit(0.0).alias("sentiment_score"))
     daily = with_indicators(spark, sf_dir, assembled(spark, sf_dir), ["ma20", "k_value", "d_value"])
     context = reports.analyst_context(
         data.company(spark, sf_dir), daily, ownership.weekly_concentration(data.holding(spark, sf_dir)),
         statements.warning_indicators(data.statement_fact(spark, sf_dir)), docs, TODAY)
-    return context.select("stock_code", "company_name", "stock_date", "stock_close", *r4s("ma5", "ma20", "k_value"),
-                          "foreign_net_buy", "update_date", "large_holders_1000", "warnings_text", "news_text")
+    return context.select("stock_code", "company_name", "stock_date", "stock_close", *r4s("ma5", "ma20", "k_value", "d_value"),
+                          "foreign_net_buy", "trust_net_buy", "update_date", "large_holders_1000", "large_holders_400",
+                          "retail_holders_10", "company_class", "main_business", "warnings_text", "news_text")
 
 
 @query("news_context", needs=["news", "news_price"], ctes=f"""{SHOWN},\n{DAY_SCORES},
