@@ -6,6 +6,7 @@ so a task hands on at most n rows per key however many rows the key has.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -68,6 +69,15 @@ def orphans(df: DataFrame, parent: DataFrame, key: str = "stock_code") -> DataFr
     return counted.join(parent.select(key).distinct(), key, "left_anti")
 
 
+def in_days(df: DataFrame, first: dt.date, last: dt.date | None = None, day: str = "stock_date") -> DataFrame:
+    """Rows of the days from ``first`` to ``last``; a stored table with its partition column reads those years only."""
+    if "stock_year" in df.columns:
+        df = df.filter(F.col("stock_year") >= first.year)
+        df = df if last is None else df.filter(F.col("stock_year") <= last.year)
+    df = df.filter(F.col(day) >= F.lit(first))
+    return df if last is None else df.filter(F.col(day) <= F.lit(last))
+
+
 def restrict_keys(df: DataFrame, keys: DataFrame | Sequence[str], key: str = "stock_code") -> DataFrame:
     """Rows of the given keys; a plain list is pushed down to the scan."""
     if isinstance(keys, DataFrame):

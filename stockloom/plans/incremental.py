@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stockloom import constants as C
 from stockloom.functions.dates import days_before, year_start
+from stockloom.operators.keyed import in_days
 
 
 def high_water_marks(keys: DataFrame, stored: DataFrame, date_column: str, today: dt.date,
@@ -53,7 +54,7 @@ def daily_marks(keys: DataFrame, daily: DataFrame, today: dt.date) -> DataFrame:
 
 def row_counts(keys: DataFrame, daily: DataFrame, since: dt.date) -> DataFrame:
     """Rows per key from a day on, 0 included."""
-    counts = (daily.filter(F.col("stock_date") >= F.lit(since)).groupBy("stock_code")
+    counts = (in_days(daily, since).groupBy("stock_code")
               .agg(F.count(F.lit(1)).alias("n_rows")))
     return (keys.select("stock_code").distinct().join(counts, "stock_code", "left")
             .select("stock_code", F.coalesce("n_rows", F.lit(0)).alias("n_rows")))
@@ -61,7 +62,7 @@ def row_counts(keys: DataFrame, daily: DataFrame, since: dt.date) -> DataFrame:
 
 def stale_keys(keys: DataFrame, daily: DataFrame, today: dt.date) -> DataFrame:
     """Keys without a row for today."""
-    current = daily.filter(F.col("stock_date") >= F.lit(today)).select("stock_code").distinct()
+    current = in_days(daily, today).select("stock_code").distinct()
     return keys.select("stock_code").distinct().join(current, "stock_code", "left_anti")
 
 

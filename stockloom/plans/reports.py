@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stockloom import constants as C
 from stockloom.functions.dates import day_text, minute_text
 from stockloom.functions.numbers import at_fixed
-from stockloom.operators.keyed import latest_rows
+from stockloom.operators.keyed import in_days, latest_rows
 from stockloom.operators.news import daily_sentiment, shown_news
 from stockloom.operators.statements import FLAGS
 
@@ -23,9 +23,7 @@ def daily_range(daily: DataFrame, start: dt.date, end: dt.date, stock_code: str
 
     The filter also prunes the year directories of a stored table.
     """
-    rows = daily.filter(F.col("stock_date").between(F.lit(start), F.lit(end)))
-    if "stock_year" in daily.columns:
-        rows = rows.filter(F.col("stock_year").between(start.year, end.year)).drop("stock_year")
+    rows = in_days(daily, start, end).drop("stock_year")
     if stock_code is not None:
         rows = rows.filter(F.col("stock_code") == stock_code)
     return rows.orderBy("stock_code", "stock_date")
@@ -45,12 +43,10 @@ def latest_news(news: DataFrame) -> DataFrame:
 def price_sentiment(daily: DataFrame, news: DataFrame, start: dt.date | None = None,
                     end: dt.date | None = None) -> DataFrame:
     """Closes with the mean sentiment of the day, 0 on days without news."""
-    prices = daily.select("stock_code", "stock_date", "stock_close")
-    scores = daily_sentiment(news)
+    prices, scores = daily, daily_sentiment(news)
     if start is not None and end is not None:
-        inside = F.col("stock_date").between(F.lit(start), F.lit(end))
-        prices, scores = prices.filter(inside), scores.filter(inside)
-    return prices.join(scores, ["stock_code", "stock_date"], "left").select(
+        prices, scores = in_days(prices, start, end), in_days(scores, start, end)
+    return prices.select("stock_code", "stock_date", "stock_close").join(scores, ["stock_code", "stock_date"], "left").select(
         "stock_code", "stock_date", "stock_close", day_text(F.col("stock_date")).alias("day"),
         F.coalesce("avg_sentiment", F.lit(0.0)).alias("avg_sentiment"))
 
@@ -98,7 +94,7 @@ def news_lines(news: DataFrame, rows: int) -> DataFrame:
 
 def recent_prices(daily: DataFrame, today: dt.date) -> DataFrame:
     """Last day of each key since January 1st of the year before, with its five-row mean."""
-    window = daily.filter(F.col("stock_date").between(F.lit(dt.date(today.year - 1, 1, 1)), F.lit(today)))
+    window = in_days(daily, dt.date(today.year - 1, 1, 1), today)
     last = ["stock_date", "stock_close", "ma20", "k_value", "d_value", "foreign_net_buy", "trust_net_buy"]
     recent = latest_rows(window.select("stock_code", *last), ["stock_code"], ["stock_date"], 5)
     return recent.groupBy("stock_code").agg(

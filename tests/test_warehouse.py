@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from stockloom.plans import incremental as inc
+from stockloom.plans import incremental as inc, reports
 from stockloom.plans.update import change_thresholds, init_thresholds, update_warnings
 from stockloom.schemas import TABLES
 from stockloom.session import shared_folder
@@ -199,3 +199,11 @@ def test_parameterised_sql_over_stored_tables(spark, store, rows):
                       code="2330", start=DAYS[1], end=DAYS[2])
     assert rows(found) == {(DAYS[1],), (DAYS[2],)}
     assert store.sql("SELECT * FROM daily_metrics WHERE stock_code = :code", code="x' OR '1'='1").isEmpty()
+
+
+def test_queries_by_day_read_the_years_they_need(spark, store):
+    store.append_new("daily_metrics", closes(spark, (DAYS[0], 1), (dt.date(2001, 1, 1), 2)))
+    daily, keys = store.read("daily_metrics", with_layout=True), spark.createDataFrame([("2330",)], "stock_code string")
+    for df in (inc.row_counts(keys, daily, DAYS[0]), inc.stale_keys(keys, daily, DAYS[0]), reports.recent_prices(daily, DAYS[0])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert any("stock_year" in part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:])
