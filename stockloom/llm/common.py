@@ -11,6 +11,10 @@ from pyspark.sql.types import StructType
 from stockloom.session import fresh_path
 
 
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,11 +47,12 @@ def append(df: DataFrame, source: str, ddl: str, make: Callable[[], Callable[[li
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, function = to_arrow_schema(new), make()
-        for b in batches:
-            rows = list(function(b.column(at).cast(pa.binary()).to_pylist()))
-            made = zip(*rows, strict=True) if rows else [[] for _ in arrow]
-            columns = [pa.array(c, f.type) for c, f in zip(made, arrow, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *arrow.names])
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                b = whole.slice(i, SLICE)
+                rows = list(function(b.column(at).cast(pa.binary()).to_pylist()))
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *arrow.names])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))
 
