@@ -1,25 +1,31 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-The shortest whole page of a host is its reference tree. Every page of the host is
-aligned with it by simple tree matching (the order-keeping matching of equal nodes with
-the greatest weight). Over all pages of the host it is then counted how often an aligned
+Pages of a host with the same set of root-to-node paths have one shape. Each shape of
+enough pages has a reference tree, and the host has that of its most frequent shape (if
+no shape is frequent, one chosen among all its pages). A reference is a page that lacks
+the fewest nodes of the usual tree, in which each path is as often as on more than half
+of the pages, so a stub or an odd page is none. Every page of the host is aligned with
+the reference of the host, and with that of its shape, by simple tree matching (the
+order-keeping matching of equal nodes with the greatest weight). Over all pages of the host it is then counted how often an aligned
 node holds which text. A node with one text on most pages is template, all others are
 slots, whose text is content. Elements that are furniture by their name or class (menus,
 footers, adverts, forms, reader comments, ...) never are, and where a page marks its
 article, the content is looked for there.
 
-Pages meet the reference of their host in an equality join that is salted, so that a host
-with very many pages is spread. Counts are combined before they move.
+Pages are dealt out by host and salt, so that a host with very many pages is spread, and
+follow the references of the shapes that occur there. Counts are combined before they move.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from xxhash import xxh64_intdigest
 
 from stockloom.llm.common import expand, written
 
@@ -39,13 +45,19 @@ _CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)),
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
                     re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_DIGITS = re.compile("[0-9]+")
 _HIDDEN = re.compile(r"""(?i)(?:^|\s)(?:hidden(?:[\s=/]|$)|style\s*=\s*["'][^"']*display\s*:\s*none)""")
 
 
+def _hashed(text: str) -> int:
+    return xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
 class Page:
     """A page's blocks (node, text, furniture, region) in order, and its tree of block elements.
 
-    ``labels`` and ``children`` are by node; node 0 is the root. Inside furniture no nodes are made.
+    ``labels``, ``children`` and ``paths`` are by node; node 0 is the root. Inside furniture no nodes are made.
+    ``paths`` are hashes of the labels from the root, without ids and digits, which tell single pages apart.
     ``region`` numbers the article (or else main) element around a block, 0 for none.
     """
 
@@ -53,6 +65,7 @@ class Page:
         self.labels, self.children = ["#"], [[]]
         self.blocks: list[tuple[int, str, bool, int]] = []
         self.weight: dict[int, str] = {}
+        self.paths = [0]
         stack: list[tuple[str, int, bool, int]] = [("#", 0, False, 0)]
         text: list[str] = []
 
@@ -96,13 +109,16 @@ class Page:
                 continue
             _, parent, furniture, region = stack[-1]
             rest = m["rest"]
-            marks = " ".join(x for _, *v in _ATTRIBUTE.findall(rest) for x in v if x) if rest else ""
+            found = _ATTRIBUTE.findall(rest) if rest else ()
+            marks = " ".join(x for _, *v in found for x in v if x)
             label = f"{tag}.{marks}" if marks else tag
             if not furniture:
                 node = len(self.labels)
                 self.labels.append(label)
                 self.children.append([])
                 self.children[parent].append(node)
+                kind = " ".join(x for name, *v in found if name.lower() != "id" for x in v if x)
+                self.paths.append(_hashed(f"{self.paths[parent]} {tag} {_DIGITS.sub('', kind)}"))
                 if tag == "article" or (tag == "main" or "main" in marks.split()) and not region:
                     region = node
                     self.weight[node] = tag
@@ -116,6 +132,10 @@ class Page:
             text.append(source[at:])
         flush()
 
+    def shape(self) -> int:
+        """The set of paths, as a hash."""
+        return _hashed(" ".join(map(str, sorted(set(self.paths)))))
+
     def content(self, template: set[int]) -> str:
         """Blocks that are neither furniture nor template, of the longest article if there is one."""
         rows = [(region, t) for node, t, furniture, region in self.blocks if not furniture and node not in template]
@@ -180,16 +200,68 @@ def _host() -> F.Column:
     return F.lower(rest)
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Page, dict[int, int]]]:
-    """Other columns, parsed page and alignment of rows (html, reference, ...)."""
-    source = reference = None
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Page, list[tuple[dict, dict[int, int]]]]]:
+    """Other columns, page and alignments (reference, nodes) of the pages in rows (host, salt, reference, html, ...).
+
+    The references of a host and salt come before its pages.
+    """
+    key, trees = None, []
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[1] != source:
-                source = row[1]
-                reference = Page(source or "")
-            page = Page(row[0] or "")
-            yield row[2:], page, align(page, reference)
+        for host, salt, reference, html, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if key != (host, salt):
+                key, trees = (host, salt), []
+            page = Page(html)
+            if reference:
+                reference["template"] = frozenset(reference["template"] or ())
+                trees.append((reference, page))
+            else:
+                shape = page.shape()
+                yield (host, *row), page, [(r, align(page, tree)) for r, tree in trees if r["main"] or r["shape"] == shape]
+
+
+def _skeletons():
+    def function(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for host, salt, html, tie, cut in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                page = Page(html)
+                counts = sorted(Counter(page.paths).items())
+                yield host, salt, page.shape(), [p for p, _ in counts], [n for _, n in counts], cut, len(html), tie
+    return function
+
+
+def _references(own: DataFrame, least: int) -> DataFrame:
+    """host, salt, shape, main, html: the references for the pages of each host and salt.
+
+    They are those of the frequent shapes that occur there, and (``main``) the host's.
+    Where a host has no frequent shape, the shape is null.
+    """
+    ddl = "host string, salt int, shape long, paths array<long>, counts array<int>, cut boolean, size int, tie long"
+    seen = written(expand(own.select("host", "salt", "html", "tie", (~F.col("html").rlike(r"(?i)</html>\s*$")).alias("cut")), ddl, _skeletons), "skeletons")
+    # Pages with equal counts are one row from here on.
+    trees = seen.groupBy("host", "shape", "paths", "counts").agg(F.count("*").alias("n"), F.min(F.struct("cut", "size", "tie")).alias("first"))
+    shapes = trees.groupBy("host", "shape").agg(F.sum("n").alias("pages"))
+    hosts = shapes.groupBy("host").agg(F.sum("pages").alias("all"), F.max(F.struct("pages", "shape")).alias("top"))
+    frequent = shapes.filter(F.col("pages") >= least).withColumn("own", F.col("shape"))
+    rare = hosts.filter(F.col("top.pages") < least).select("host", F.col("all").alias("pages"))
+    grouped = (trees.join(frequent, ["host", "shape"]).select("host", "own", "pages", "paths", "counts", "n", "first")
+               .unionByName(trees.join(rare, "host").select("host", F.lit(None).cast("long").alias("own"), "pages", "paths", "counts", "n", "first")))
+    group = ["host", F.coalesce("own", F.lit(0)).alias("group"), F.col("own").isNull().alias("whole")]
+    each = grouped.select(*group, "pages", "n", "first", F.explode(F.arrays_zip("paths", "counts")).alias("p")).select("*", "p.paths", "p.counts").drop("p")
+    key = ["host", "group", "whole"]
+    upward = Window.partitionBy(*key, "paths").orderBy(F.desc("counts"))
+    usual = (each.groupBy(*key, "paths", "counts").agg(F.sum("n").alias("n"), F.max("pages").alias("pages")).withColumn("at_least", F.sum("n").over(upward))
+             .filter(F.col("at_least") * 2 > F.col("pages")).groupBy(*key, "paths").agg(F.max("counts").alias("usual")))
+    # Of all pages the one that has most of the usual nodes, then the fewest others, then the shortest whole one.
+    had = (each.join(usual, [*key, "paths"], "left").groupBy(*key, "first")
+           .agg(F.sum(F.least("counts", F.coalesce("usual", F.lit(0)))).alias("has"), F.sum("counts").alias("nodes")))
+    best = had.groupBy(*key).agg(F.min(F.struct((-F.col("has")).alias("lacks"), "nodes", "first")).alias("best"))
+    chosen = best.select("host", F.when(~F.col("whole"), F.col("group")).alias("shape"), F.col("best.first.tie").alias("tie"))
+    html = own.select("host", "tie", "html").join(chosen, ["host", "tie"]).groupBy("host", "shape").agg(F.min("html").alias("html"))
+    top = hosts.select("host", F.when(F.col("top.pages") >= least, F.col("top.shape")).alias("top"))
+    kinds = written(html.join(top, "host").withColumn("main", F.col("shape").eqNullSafe(F.col("top"))).drop("top"), "references")
+    places = seen.select("host", "salt", "shape").distinct()
+    return (kinds.filter("main").join(places.select("host", "salt").distinct(), "host")
+            .unionByName(kinds.filter("NOT main").join(places, ["host", "shape"]))).select("host", "salt", "shape", "main", "html")
 
 
 def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
@@ -200,40 +272,43 @@ def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES)
     template nodes; its pages are read by element names and classes alone.
     """
     spark = pages.sparkSession
-    # A host's pages are dealt out by as many salts as there are shuffle partitions, and its reference to the
+    # A host's pages are dealt out by as many salts as there are shuffle partitions, and its references to the
     # salts that occur: no task gets a large host whole, and small hosts are not copied.
     salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"), salt.alias("salt"))
-    whole = F.struct((~F.col("html").rlike(r"(?i)</html>\s*$")).alias("cut"), F.length("html").alias("size"), F.xxhash64("html").alias("tie"))
-    dealt = own.groupBy("host", "salt").agg(F.min_by(F.struct("html", whole.alias("order")), whole).alias("best"))
-    shortest = dealt.groupBy("host").agg(F.min_by("best.html", "best.order").alias("reference"))
-    references = written(dealt.select("host", "salt").join(shortest, "host"), "references")
-    columns = ["html", "reference", "host", "page_id", "url"]
+    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"), salt.alias("salt")).withColumn("tie", F.xxhash64("html"))
+    references = _references(own, least)
 
-    def counted():
-        from xxhash import xxh64_intdigest
+    def dealt(trees: DataFrame, template: Column, *columns: str) -> DataFrame:
+        """The references, then the pages, of each host and salt."""
+        trees = trees.select("host", "salt", F.struct("shape", "main", template.alias("template")).alias("reference"), "html")
+        rows = trees.unionByName(own.select("host", "salt", "html", *columns), allowMissingColumns=True)
+        return rows.repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("reference").isNull())
 
+    def counted():
         def function(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-            for (host, _, _), page, to in _paired(batches):
-                texts: dict[int, str] = {}
-                for node, text, furniture, _ in page.blocks:
-                    if not furniture and node in to:
-                        texts[node] = texts.get(node, "") + "\n" + text
-                for node, text in texts.items():
-                    yield host, to[node], xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+            for (host,), page, found in _paired(batches):
+                for reference, to in found:
+                    texts: dict[int, str] = {}
+                    for node, text, furniture, _ in page.blocks:
+                        if not furniture and node in to:
+                            texts[node] = texts.get(node, "") + "\n" + text
+                    for node, text in texts.items():
+                        yield host, reference["shape"], to[node], _hashed(text)
         return function
 
-    seen = expand(own.join(references, ["host", "salt"]).select(*columns), "host string, node int, text long", counted).groupBy("host", "node", "text").agg(F.count("*").alias("n"))
-    constant = (seen.groupBy("host", "node").agg(F.max("n").alias("most"), F.sum("n").alias("pages"))
+    nowhere = F.lit(None).cast("array<int>")
+    seen = expand(dealt(references, nowhere), "host string, shape long, node int, text long", counted).groupBy("host", "shape", "node", "text").agg(F.count("*").alias("n"))
+    constant = (seen.groupBy("host", "shape", "node").agg(F.max("n").alias("most"), F.sum("n").alias("pages"))
                 .filter((F.col("most") >= least) & (F.col("most") >= share * F.col("pages"))))
-    template = constant.groupBy("host").agg(F.collect_list("node").alias("template"))
+    template = constant.groupBy("host", F.col("shape").alias("at")).agg(F.collect_list("node").alias("template"))
 
     def extracted():
         def function(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-            for (_, page_id, url, template), page, to in _paired(batches):
-                fixed = set(template or ())
-                yield page_id, url, page.content({node for node, other in to.items() if other in fixed})
+            for (_, page_id, url), page, found in _paired(batches):
+                fixed = {node for reference, to in found for node, other in to.items() if other in reference["template"]}
+                yield page_id, url, page.content(fixed)
         return function
 
-    known = own.join(references.join(template, "host", "left"), ["host", "salt"]).select(*columns, "template")
-    return expand(known, "page_id long, url string, text string", extracted).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    known = references.join(template.withColumnRenamed("host", "of"), (F.col("host") == F.col("of")) & F.col("shape").eqNullSafe(F.col("at")), "left")
+    texts = expand(dealt(known, F.col("template"), "page_id", "url"), "page_id long, url string, text string", extracted)
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

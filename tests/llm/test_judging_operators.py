@@ -288,6 +288,19 @@ def test_page_furniture_by_name_and_by_repetition(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
 
 
+def test_a_stub_is_no_reference(spark):
+    page = "<html><body><div>Menu of us</div><div>{notice}<div>{story}</div></div><div>All our rights</div></body></html>"
+    whole = [(i, f"http://h.example/{i}", page.format(notice="<div><b>Read our terms</b></div>" if i else "", story="".join(f"<p>Part {k} of {i}</p>" for k in range(1 + i % 4)))) for i in range(20)]
+    own = [(100 + i, f"http://rare.example/{i}", page.format(notice="", story=f"<p>Tale {i}</p><{t}>x{i}</{t}>")) for i, t in enumerate("h1 h2 h3 h4 h5 h6 pre ul ol".split())]
+    stubs = [(200, "http://h.example/e", "<html></html>"), (201, "http://h.example/f", "<html><body><div><div><p>gone</p></div></div></body></html>"), (202, "http://rare.example/e", "<html></html>")]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(whole + own + stubs, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        assert got[i] == "\n".join(f"Part {k} of {i}" for k in range(1 + i % 4))
+    for i in range(9):
+        assert got[100 + i] == f"Tale {i}\nx{i}"
+    assert got[200] == got[202] == "" and got[201] == "gone"
+
+
 # --- registration -------------------------------------------------------------------------------
 
 def test_one_query_for_each_operator_and_the_pipeline():
