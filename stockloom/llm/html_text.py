@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
@@ -31,6 +32,8 @@ from stockloom.llm.common import expand, written
 
 #: A text is template if it stands at a node on this share of the pages aligned there, and on so many.
 SHARE, LEAST_PAGES = 0.6, 5
+#: Child lists of this length are matched with numpy; tables of more cells than this are not held.
+WIDE, CELLS = 64, 1_000_000
 
 _BLOCK = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul""".split())
@@ -68,6 +71,7 @@ class Page:
         self.paths = [0]
         stack: list[tuple[str, int, bool, int]] = [("#", 0, False, 0)]
         text: list[str] = []
+        opened: Counter[str] = Counter()
 
         def flush() -> None:
             words = entities.unescape("".join(text)).split()
@@ -77,9 +81,12 @@ class Page:
             text.clear()
 
         def close(names: tuple[str, ...], scope: tuple[str, ...]) -> None:
+            if not any(opened[n] for n in names):
+                return
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in names:
                     flush()
+                    opened.subtract(x[0] for x in stack[i:])
                     del stack[i:]
                     return
                 if stack[i][0] in scope:
@@ -128,6 +135,7 @@ class Page:
             else:
                 node = parent
             stack.append((tag, node, furniture, region))
+            opened[tag] += 1
         if at < len(source):
             text.append(source[at:])
         flush()
@@ -158,40 +166,152 @@ class Page:
         return out
 
 
-def align(page: Page, other: Page) -> dict[int, int]:
-    """Simple tree matching: node of ``page`` -> node of ``other``."""
-    known: dict[tuple[int, int], tuple[int, list[list[int]]]] = {}
+class _Matching:
+    """Simple tree matching of two pages, without recursion.
+
+    Equal subtrees of both pages have one number and match whole. Weights are kept for
+    pairs of different subtrees, not of nodes, and the tables of child lists are not kept.
+    """
+
+    def __init__(self, page: Page, other: Page):
+        self.numbers: dict[tuple, int] = {}
+        self.labels: list[str] = []
+        self.below: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self.known: dict[tuple[int, int], int] = {}
+        self.own, self.others = self.numbered(page), self.numbered(other)
+
+    def numbered(self, page: Page) -> list[int]:
+        out = [0] * len(page.labels)
+        for node in range(len(out) - 1, -1, -1):  # children have greater numbers than their parents
+            kids = tuple(out[c] for c in page.children[node])
+            key = (page.labels[node], kids)
+            number = self.numbers.get(key)
+            if number is None:
+                number = self.numbers[key] = len(self.sizes)
+                self.labels.append(key[0])
+                self.below.append(kids)
+                self.sizes.append(1 + sum(self.sizes[k] for k in kids))
+            out[node] = number
+        return out
 
-    def weight(a: int, b: int) -> int:
-        if page.labels[a] != other.labels[b]:
+    def trimmed(self, left: list | tuple, right: list | tuple) -> tuple[int, int, int]:
+        """How many first children, and ends before the last ones, are equal: some best matching has them matched."""
+        n, m, i = len(left), len(right), 0
+        while i < n and i < m and left[i] == right[i]:
+            i += 1
+        while n > i and m > i and left[n - 1] == right[m - 1]:
+            n, m = n - 1, m - 1
+        return i, n, m
+
+    def middle(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        i, n, m = self.trimmed(left, right)
+        return left[i:n], right[i:m]
+
+    def weight(self, x: int, y: int) -> int:
+        """Of a pair that ``prepare`` has met, or that needs no table."""
+        if x == y:
+            return self.sizes[x]
+        if self.labels[x] != self.labels[y]:
             return 0
-        if (a, b) not in known:
-            left, right = page.children[a], other.children[b]
-            rows = [[0] * (len(right) + 1)]
+        return self.known[x, y] if self.below[x] and self.below[y] else 1
+
+    def open(self, x: int, y: int) -> bool:
+        return x != y and bool(self.below[x] and self.below[y]) and self.labels[x] == self.labels[y] and (x, y) not in self.known
+
+    def prepare(self, x: int, y: int) -> None:
+        """The weight of a pair and of all it depends on, from below."""
+        todo = [(x, y, False)] if self.open(x, y) else []
+        while todo:
+            x, y, ready = todo.pop()
+            if (x, y) in self.known:
+                continue
+            left, right = self.middle(self.below[x], self.below[y])
+            if ready:
+                same = sum(self.sizes[k] for k in self.below[x]) - sum(self.sizes[k] for k in left)
+                self.known[x, y] = 1 + same + self.last_row(left, right)[-1]
+                continue
+            todo.append((x, y, True))
+            todo += [(u, v, False) for u in dict.fromkeys(left) if self.below[u] for v in dict.fromkeys(right) if self.open(u, v)]
+
+    def rows(self, left: tuple[int, ...], right: tuple[int, ...]) -> Iterator[list[int] | np.ndarray]:
+        """The table of best weights of the first children of both lists, row by row."""
+        if len(right) < WIDE:
+            row = [0] * (len(right) + 1)
+            yield row
             for x in left:
-                last, row = rows[-1], [0]
+                last, row, best = row, [0], 0
                 for j, y in enumerate(right):
-                    row.append(max(last[j + 1], row[j], last[j] + weight(x, y)))
-                rows.append(row)
-            known[a, b] = 1 + rows[-1][-1], rows
-        return known[a, b][0]
+                    best = max(last[j + 1], best, last[j] + self.weight(x, y))
+                    row.append(best)
+                yield row
+            return
+        kinds, at = np.unique(np.array(right), return_inverse=True)
+        kinds = kinds.tolist()
+        weights: dict[int, np.ndarray] = {}
+        row = np.zeros(len(right) + 1, np.int64)
+        yield row
+        for x in left:
+            if x not in weights:
+                if len(weights) * len(kinds) > CELLS:
+                    weights.clear()
+                weights[x] = np.array([self.weight(x, y) for y in kinds], np.int64)
+            last, row = row, row.copy()
+            np.maximum(last[1:], last[:-1] + weights[x][at], out=row[1:])
+            np.maximum.accumulate(row, out=row)
+            yield row
+
+    def last_row(self, left: tuple[int, ...], right: tuple[int, ...]) -> list[int]:
+        row: list[int] | np.ndarray = []
+        for row in self.rows(left, right):  # noqa: B007
+            pass
+        return row if isinstance(row, list) else row.tolist()
+
+    def pairs(self, left: tuple[int, ...], right: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places of the matched children in a best matching. Tables of many cells are halved (Hirschberg)."""
+        out = []
+        todo = [(0, len(left), 0, len(right))]
+        while todo:
+            i, n, j, m = todo.pop()
+            if n == i or m == j:
+                continue
+            if n - i > 1 and (n - i) * (m - j) > CELLS:
+                half = (i + n) // 2
+                first, second = self.last_row(left[i:half], right[j:m]), self.last_row(left[half:n][::-1], right[j:m][::-1])[::-1]
+                cut = j + max(range(m - j + 1), key=lambda k: first[k] + second[k])  # noqa: B023
+                todo += [(i, half, j, cut), (half, n, cut, m)]
+                continue
+            rows = list(self.rows(left[i:n], right[j:m]))
+            a, b = n - i, m - j
+            while a and b:
+                if rows[a][b] == rows[a - 1][b]:
+                    a -= 1
+                elif rows[a][b] == rows[a][b - 1]:
+                    b -= 1
+                else:
+                    a, b = a - 1, b - 1
+                    out.append((i + a, j + b))
+        return out
 
+
+def align(page: Page, other: Page) -> dict[int, int]:
+    """Simple tree matching: node of ``page`` -> node of ``other``."""
+    m = _Matching(page, other)
+    m.prepare(m.own[0], m.others[0])
     out: dict[int, int] = {}
-    weight(0, 0)
     todo = [(0, 0)]
     while todo:
         a, b = todo.pop()
         out[a] = b
-        left, right, rows = page.children[a], other.children[b], known[a, b][1]
-        i, j = len(left), len(right)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((left[i], right[j]))
+        left, right = page.children[a], other.children[b]
+        if m.own[a] == m.others[b]:
+            todo += zip(left, right, strict=True)
+            continue
+        x, y = [m.own[c] for c in left], [m.others[c] for c in right]
+        i, n, k = m.trimmed(x, y)
+        todo += zip(left[:i], right[:i], strict=True)
+        todo += zip(left[n:], right[k:], strict=True)
+        todo += [(left[i + u], right[i + v]) for u, v in m.pairs(tuple(x[i:n]), tuple(y[i:k]))]
     return out
 
 

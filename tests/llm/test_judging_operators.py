@@ -301,6 +301,54 @@ def test_a_stub_is_no_reference(spark):
     assert got[200] == got[202] == "" and got[201] == "gone"
 
 
+def slow_matching(page, other):
+    def weight(a, b):
+        if page.labels[a] != other.labels[b]:
+            return 0
+        last = [0] * (len(other.children[b]) + 1)
+        for c in page.children[a]:
+            row = [0]
+            for j, d in enumerate(other.children[b]):
+                row.append(max(last[j + 1], row[j], last[j] + weight(c, d)))
+            last = row
+        return 1 + last[-1]
+    return weight(0, 0)
+
+
+@pytest.mark.parametrize(("wide", "cells"), [(64, 1_000_000), (1, 1_000_000), (64, 4), (1, 4)])
+def test_matching_is_best_and_keeps_order(monkeypatch, wide, cells):
+    monkeypatch.setattr(html_text, "WIDE", wide)
+    monkeypatch.setattr(html_text, "CELLS", cells)
+    rng = random.Random(3)
+
+    def tree(depth):
+        tag = rng.choice(["div", "section", "ul"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 4) if depth else 0)) + f"</{tag}>"
+
+    for _ in range(60):
+        page, other = (html_text.Page("".join(tree(3) for _ in range(3))) for _ in range(2))
+        to = html_text.align(page, other)
+        assert len(to) == len(set(to.values())) == slow_matching(page, other)
+        up, over = ({c: (node, i) for node, kids in enumerate(t.children) for i, c in enumerate(kids)} for t in (page, other))
+        for a, b in to.items():
+            assert page.labels[a] == other.labels[b]
+            assert a == b == 0 or to[up[a][0]] == over[b][0]
+        for kids in page.children:
+            places = [to[c] for c in kids if c in to]
+            assert places == sorted(places)
+
+
+def test_deep_and_wide_pages(spark):
+    deep, wide = "<div>" * 5_000 + "end", "<html><body>" + "<p>word</p>" * 50_000 + "</body></html>"
+    mixed = "<html><body>" + "<p>a<ul><li>b</ul>" * 3_000 + "<h2>c</h2>" * 500 + "</body></html>"
+    rows = [(1, "http://deep/1", deep), (2, "http://deep/2", "<div>" * 4_000 + "<p>x</p>" + "<div>" * 900 + "end"), (3, "http://wide/1", wide), (4, "http://wide/2", mixed)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "end" and got[2] == "x\nend"
+    assert got[3] == "\n".join(["word"] * 50_000) and got[4] == "\n".join(["a", "b"] * 3_000 + ["c"] * 500)
+    page, other = (html_text.Page("<p>x<h2>y</h2>" * n + "<h3>z</h3>") for n in (3_000, 2_000))
+    assert len(html_text.align(page, other)) == 4_002
+
+
 # --- registration -------------------------------------------------------------------------------
 
 def test_one_query_for_each_operator_and_the_pipeline():
