@@ -9,8 +9,9 @@ the reference of the host, and with that of its shape, by simple tree matching (
 order-keeping matching of equal nodes with the greatest weight). Over all pages of the host it is then counted how often an aligned
 node holds which text. A node with one text on most pages is template, all others are
 slots, whose text is content. Elements that are furniture by their name or class (menus,
-footers, adverts, forms, reader comments, ...) never are, and where a page marks its
-article, the content is looked for there.
+footers, adverts, forms, reader comments, ...) never are, but a class makes no furniture of what holds an article
+or most of a page without one. The content is that of the articles of a page, or else of
+its main element, if most of the text stands there, and otherwise all.
 
 Pages are dealt out by host and salt, so that a host with very many pages is spread, and
 follow the references of the shapes that occur there. Counts are combined before they move.
@@ -48,6 +49,8 @@ _CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)),
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
                     re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+#: Parts of classes that say what an element has or lacks, not what it is.
+_MODIFIERS = re.compile(r"(?i)(?<![a-z0-9])(?:has|with|without|no)[_-][\w-]*")
 _DIGITS = re.compile("[0-9]+")
 _HIDDEN = re.compile(r"""(?i)(?:^|\s)(?:hidden(?:[\s=/]|$)|style\s*=\s*["'][^"']*display\s*:\s*none)""")
 
@@ -59,9 +62,9 @@ def _hashed(text: str) -> int:
 class Page:
     """A page's blocks (node, text, furniture, region) in order, and its tree of block elements.
 
+    ``region`` numbers the outermost article around a block, or else the outermost main element.
     ``labels``, ``children`` and ``paths`` are by node; node 0 is the root. Inside furniture no nodes are made.
     ``paths`` are hashes of the labels from the root, without ids and digits, which tell single pages apart.
-    ``region`` numbers the article (or else main) element around a block, 0 for none.
     """
 
     def __init__(self, source: str):
@@ -70,6 +73,7 @@ class Page:
         self.weight: dict[int, str] = {}
         self.paths = [0]
         stack: list[tuple[str, int, bool, int]] = [("#", 0, False, 0)]
+        parents, classed = [0], []
         text: list[str] = []
         opened: Counter[str] = Counter()
 
@@ -124,14 +128,18 @@ class Page:
                 self.labels.append(label)
                 self.children.append([])
                 self.children[parent].append(node)
+                parents.append(parent)
                 kind = " ".join(x for name, *v in found if name.lower() != "id" for x in v if x)
                 self.paths.append(_hashed(f"{self.paths[parent]} {tag} {_DIGITS.sub('', kind)}"))
-                if tag == "article" or (tag == "main" or "main" in marks.split()) and not region:
-                    region = node
-                    self.weight[node] = tag
-                elif (tag in _FURNITURE and not (tag == "header" and region and self.weight[region] == "article")
-                      or tag not in ("body", "html", "article", "main") and marks and _CLASSES.search(marks) or rest and _HIDDEN.search(rest)):
+                if tag == "article" or tag == "main" or "main" in marks.split():
+                    kind = "article" if tag == "article" else "main"
+                    if not region or (kind, self.weight[region]) == ("article", "main"):
+                        region = node
+                        self.weight[node] = kind
+                elif tag in _FURNITURE and not (tag == "header" and region and self.weight[region] == "article") or rest and _HIDDEN.search(rest):
                     furniture = True
+                elif tag not in ("body", "html") and marks and _CLASSES.search(marks) and _CLASSES.search(_MODIFIERS.sub(" ", marks)):
+                    classed.append(node)
             else:
                 node = parent
             stack.append((tag, node, furniture, region))
@@ -139,22 +147,41 @@ class Page:
         if at < len(source):
             text.append(source[at:])
         flush()
+        if classed:
+            self.without(classed, parents)
+
+    def without(self, classed: list[int], parents: list[int]) -> None:
+        """Makes furniture of elements by their class, unless they hold an article or main element, or most of the text of a page that has none."""
+        sizes, holds = [0] * len(parents), [False] * len(parents)
+        for node, text, furniture, _ in self.blocks:
+            sizes[node] += 0 if furniture else len(text)
+        for node in range(len(parents) - 1, 0, -1):  # children have greater numbers than their parents
+            sizes[parents[node]] += sizes[node]
+            holds[parents[node]] |= holds[node] or node in self.weight
+        marked, gone = set(classed), [False] * len(parents)
+        for node in range(1, len(parents)):
+            gone[node] = gone[parents[node]] or node in marked and not holds[node] and (bool(self.weight) or 2 * sizes[node] <= sizes[0])
+            if gone[node]:
+                self.children[node] = []
+        self.paths = [p for p, parent in zip(self.paths, parents, strict=True) if not gone[parent]]
+        self.blocks = [(node, text, furniture or gone[node], region) for node, text, furniture, region in self.blocks]
 
     def shape(self) -> int:
         """The set of paths, as a hash."""
         return _hashed(" ".join(map(str, sorted(set(self.paths)))))
 
     def content(self, template: set[int]) -> str:
-        """Blocks that are neither furniture nor template, of the longest article if there is one."""
+        """Blocks that are neither furniture nor template: those of the articles, or else of main elements, that hold most of their text, or else all."""
         rows = [(region, t) for node, t, furniture, region in self.blocks if not furniture and node not in template]
-        sizes: dict[int, int] = {}
-        for region, t in rows:
-            sizes[region] = sizes.get(region, 0) + len(t)
-        articles = [r for r in self.weight if self.weight[r] == "article" and sizes.get(r)] or [r for r in self.weight if sizes.get(r)]
-        if articles:
-            best = max(articles, key=lambda r: (sizes[r], -r))
-            inside = self.below(best)
-            rows = [(r, t) for r, t in rows if r in inside]
+        total = sum(len(t) for _, t in rows)
+        articles = {r for r, kind in self.weight.items() if kind == "article"}
+        # An article in a main element is part of it.
+        within = {r for r, kind in self.weight.items() if kind == "main"}
+        within |= {r for m in within for r in self.below(m)} & articles
+        for regions in (articles, within):
+            inside = [t for r, t in rows if r in regions]
+            if 2 * sum(map(len, inside)) > total:
+                return "\n".join(inside)
         return "\n".join(t for _, t in rows)
 
     def below(self, node: int) -> set[int]:

@@ -349,6 +349,22 @@ def test_deep_and_wide_pages(spark):
     assert len(html_text.align(page, other)) == 4_002
 
 
+@pytest.mark.parametrize(("body", "text"), [
+    ("<main><p>A long body of the page.</p><p>And more of it.</p></main><article>Teaser</article>", "A long body of the page.\nAnd more of it."),
+    ("<main><p>A long body of the page.</p><article>Teaser</article></main>", "A long body of the page.\nTeaser"),
+    ("<div><p>A long body of the page.</p><article>Teaser</article></div>", "A long body of the page.\nTeaser"),
+    ("<article>First part.</article><p>ad</p><article>Second part, longer.</article>", "First part.\nSecond part, longer."),
+    ("<article>Outer.<article>Inner is much longer.</article>End.</article>", "Outer.\nInner is much longer.\nEnd."),
+    ("<main><div>x</div><article>Inner is much longer.</article></main>", "Inner is much longer."),
+    ("<div class='layout has-sidebar'><p>The story of it.</p><div class='sidebar'>Side</div></div>", "The story of it."),
+    ("<div class='post-with-comments'><p>The story.</p></div><div><p>And as much again of the page.</p></div>", "The story.\nAnd as much again of the page."),
+    ("<div class='social'><article>The story.</article><div class='comments'>A very long comment by someone.</div></div>", "The story."),
+    ("<div class='header-wrap'><p>The only text of the page.</p></div><div class='footer'>(c)</div>", "The only text of the page."),
+])
+def test_main_text_is_whole(body, text):
+    assert html_text.Page(f"<html><body>{body}</body></html>").content(set()) == text
+
+
 # --- registration -------------------------------------------------------------------------------
 
 def test_one_query_for_each_operator_and_the_pipeline():
