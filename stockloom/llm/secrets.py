@@ -5,7 +5,9 @@ access key ids, long hex). Others are weak: an account name, a mixed token witho
 name, an endpoint. A weak part is reported only when a complementary one stands within
 the same scope: its neighbourhood of ``SCOPE`` code points. An account name needs a
 secret, an unnamed token needs an account name, access id or endpoint, an endpoint
-needs a secret. The neighbours are found by an interval join: parts are dealt by text
+needs a secret. Two parts are complementary only where they do not overlap, and an unnamed
+token inside an account name or endpoint is no part, but for a password after a user name
+in front of the host. The neighbours are found by an interval join: parts are dealt by text
 and stretch of the text, so one text with very many parts is spread as well.
 """
 
@@ -29,6 +31,8 @@ _WEAK = {
     "unnamed": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])",
     "endpoint": r"(?i)(?<![A-Za-z0-9])(?:https?|ftps?|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\s\"'<>]+",
 }
+#: The user name of an endpoint with a password, an account name as well.
+_LOGIN = r"(?<=://)[^\s/@:\"'<>]++(?=:[^\s/@\"'<>]+@)"
 
 
 def _mixed(text: Column) -> Column:
@@ -52,24 +56,30 @@ def _parts(docs: DataFrame, text: str) -> DataFrame:
         "_account": (_WEAK["account"], either),
         "_unnamed": (_WEAK["unnamed"], col.rlike("[A-Za-z0-9+/_-]{20}")),
         "_endpoint": (_WEAK["endpoint"], col.contains("://")),
+        "_login": (_LOGIN, col.contains("://") & col.contains("@")),
     }
     docs = with_matches(docs, text, names)
     docs = docs.withColumns({
         "_assign": kept("_assign", "assign", lambda t: F.length(F.regexp_extract(t, _VALUE, 1)) >= 8),
-        "_access": kept("_access", "access"), "_hex": kept("_hex", "hex"), "_account": kept("_account", "account"),
+        "_access": kept("_access", "access"), "_hex": kept("_hex", "hex"), "_account": kept("_account", "account"), "_login": kept("_login", "account"),
         "_unnamed": kept("_unnamed", "unnamed", _mixed), "_endpoint": kept("_endpoint", "endpoint")})
     strong = F.concat(_array("assign", F.col("_assign"), "secret", False), _array("access", F.col("_access"), "account", False),
                       _array("hex", F.col("_hex"), "secret", False))
     # A weak match inside a base match is that match, not a part of its own.
     base = F.concat("_assign", "_access", "_hex")
-    free = lambda name: F.filter(F.col(name), lambda w: ~F.exists(base, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    weak = F.concat(_array("account", free("_account"), "account", True), _array("unnamed", free("_unnamed"), "secret", True),
+    outside = lambda spans, w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
+    free = lambda name: F.filter(F.col(name), lambda w: outside(base, w))
+    # So is a token inside another weak match, unless it is a password there.
+    whole = F.concat("_account", "_endpoint")
+    unnamed = F.filter(free("_unnamed"), lambda w: outside(whole, w) | F.exists("_login", lambda s: s["end"] + 1 == w["start"]))
+    account = F.concat(free("_account"), F.filter(free("_login"), lambda w: outside(F.col("_account"), w)))
+    weak = F.concat(_array("account", account, "account", True), _array("unnamed", unnamed, "secret", True),
                     _array("endpoint", free("_endpoint"), "endpoint", True))
     return docs.withColumn("_weak", weak).withColumn("_parts", F.concat(strong, "_weak"))
 
 
 def linked(parts: DataFrame, key: list[str], scope: int = SCOPE) -> DataFrame:
-    """Weak parts with a complementary part at most ``scope`` code points away; distinct rows of key, kind, start, end.
+    """Weak parts with a complementary part beside them, at most ``scope`` code points away; distinct rows of key, kind, start, end.
 
     ``parts`` has the key columns and kind, start, end, role, weak.
     """
@@ -83,7 +93,8 @@ def linked(parts: DataFrame, key: list[str], scope: int = SCOPE) -> DataFrame:
             | ((F.col("role") == "secret") & F.col("o_role").isin("account", "endpoint"))
             | ((F.col("role") == "endpoint") & (F.col("o_role") == "secret")))
     near = (F.col("o_start") <= F.col("end") + scope) & (F.col("start") <= F.col("o_end") + scope)
-    found = weak.join(other.distinct(), [*key, "at"]).filter(fits & near)
+    apart = (F.col("o_end") <= F.col("start")) | (F.col("end") <= F.col("o_start"))
+    found = weak.join(other.distinct(), [*key, "at"]).filter(fits & near & apart)
     return found.select(*key, "kind", "start", "end").distinct()
 
 

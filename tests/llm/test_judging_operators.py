@@ -249,6 +249,15 @@ def test_weak_parts_need_a_complement_in_scope(spark):
     assert got == {1: "account:0:10,assign:16:36", 2: "", 3: "", 4: "endpoint:0:19,unnamed:20:47", 5: "assign:313:327", 6: "", 7: "account:0:16,unnamed:17:44"}
 
 
+def test_a_weak_part_is_no_complement_of_itself(spark):
+    url, token = "https://ex.com/wiki/SomeLongArticleTitle2020", "AbCdEfGh1234567890XyZ"
+    texts = [f"see {url} there", f"see {url} and {url}/OtherLongTitle2021", f"client_id: {token}", f"postgres://svc:{token}@db.example/x", f"see {url} with {token} here"]
+    got = {r.doc_id: r.spans for r in secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == got[1] == got[2] == ""
+    assert got[3] == "account:11:14,unnamed:15:36"
+    assert got[4] == f"endpoint:4:{4 + len(url)},unnamed:{10 + len(url)}:{10 + len(url) + len(token)}"
+
+
 def test_secrets_are_masked_in_place(spark):
     rows = [(1, "é token=abcdefgh! and " + "f" * 40, "a", 9), (1, "é token=abcdefgh! and " + "f" * 40, "a", 9), (None, None, None, None), (2, "clean", "b", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long")
