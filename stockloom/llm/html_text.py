@@ -402,7 +402,8 @@ def _references(own: DataFrame, least: int) -> DataFrame:
     had = (each.join(usual, [*key, "paths"], "left").groupBy(*key, "first")
            .agg(F.sum(F.least("counts", F.coalesce("usual", F.lit(0)))).alias("has"), F.sum("counts").alias("nodes")))
     best = had.groupBy(*key).agg(F.min(F.struct((-F.col("has")).alias("lacks"), "nodes", "first")).alias("best"))
-    chosen = best.select("host", F.when(~F.col("whole"), F.col("group")).alias("shape"), F.col("best.first.tie").alias("tie"))
+    # Written, so that Spark knows its size and need not shuffle the pages where it is small.
+    chosen = written(best.select("host", F.when(~F.col("whole"), F.col("group")).alias("shape"), F.col("best.first.tie").alias("tie")), "chosen")
     html = own.select("host", "tie", "html").join(chosen, ["host", "tie"]).groupBy("host", "shape").agg(F.min("html").alias("html"))
     top = hosts.select("host", F.when(F.col("top.pages") >= least, F.col("top.shape")).alias("top"))
     kinds = written(html.join(top, "host").withColumn("main", F.col("shape").eqNullSafe(F.col("top"))).drop("top"), "references")
