@@ -310,6 +310,39 @@ def test_a_stub_is_no_reference(spark):
     assert got[200] == got[202] == "" and got[201] == "gone"
 
 
+def test_template_is_a_text_at_a_node(spark):
+    """A lead that most pages share takes no other page's lead, copies of a page are one page, and no page ends empty."""
+    plain = "<html><body><div>Menu of us</div><div><p>{lead}</p><p>{story}</p></div><div>All our rights</div></body></html>"
+    marked = plain.replace("<div><p>{lead}", "<article><p>{lead}").replace("{story}</p></div>", "{story}</p></article>")
+    leads = ["Reporting by the desk"] * 7 + [f"Own lead {i}" for i in range(3)]
+    rows = [(i, f"http://plain.example/{i}", plain.format(lead=lead, story=f"Story {i}.")) for i, lead in enumerate(leads)]
+    rows += [(100 + i, f"http://marked.example/{i}", marked.format(lead=lead, story=f"Story {i}.")) for i, lead in enumerate(leads)]
+    rows += [(200 + i, f"http://mirror.example/{i}", plain.format(lead="One lead", story="One story.")) for i in range(6)]
+    rows += [(200 + i, f"http://mirror.example/{i}", plain.format(lead=f"Lead {i}", story=f"Story {i}.")) for i in (6, 7)]
+    rows += [(300 + i, f"http://same.example/{i}", f"<html><body><div>Nothing but this</div><!-- {i} --></body></html>") for i in range(9)]
+    rows += [(400 + i, f"http://doubt.example/{i}", f"<html><body><article><p>Story {i}.</p><div class='notice'>Read our terms</div><div class='notice'>Note {i}</div></article></body></html>") for i in range(9)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, lead in enumerate(leads):
+        assert got[i] == (f"Story {i}." if i < 7 else f"{lead}\nStory {i}.")
+        assert got[100 + i] == f"{lead}\nStory {i}."
+    assert got[200] == got[205] == "Menu of us\nOne lead\nOne story.\nAll our rights" and got[206] == "Menu of us\nLead 6\nStory 6.\nAll our rights"
+    assert all(got[300 + i] == "Nothing but this" for i in range(9))
+    assert all(got[400 + i] == f"Story {i}.\nNote {i}" for i in range(9))
+
+
+def test_template_of_pages_without_names(spark):
+    """The pages of the tables without articles, names and classes: menus go, stories stay whole."""
+    pages = spark.read.parquet(f"{SF_MIDDLE}/pages.parquet").filter("html LIKE '%<article>%'").orderBy("page_id").limit(60).collect()
+    menu = "<div><ul><li>Home<li>News<li>Sport</ul></div>"
+    rows, want = [], {}
+    for r in pages:
+        story = r.html.split("<article>")[1].split("</article>")[0].split("<footer>")[0]
+        rows.append((r.page_id, "http://bare.example/" + str(r.page_id), f"<html><body>{menu}<div>{story}</div><div>Imprint and contact</div></body></html>"))
+        want[r.page_id] = slow_article(r.html)
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def slow_matching(page, other):
     def weight(a, b):
         if page.labels[a] != other.labels[b]:
@@ -369,6 +402,11 @@ def test_deep_and_wide_pages(spark):
     ("<div class='post-with-comments'><p>The story.</p></div><div><p>And as much again of the page.</p></div>", "The story.\nAnd as much again of the page."),
     ("<div class='social'><article>The story.</article><div class='comments'>A very long comment by someone.</div></div>", "The story."),
     ("<div class='header-wrap'><p>The only text of the page.</p></div><div class='footer'>(c)</div>", "The only text of the page."),
+    ("<article><p>Start.</p><section class='social-history'><p>How people lived.</p></section><ul class='menu'><li>Soup<li>Fish</ul></article>", "Start.\nHow people lived.\nSoup\nFish"),
+    ("<article><p>Start.</p><details class='notice'><p>Part of the story.</p></details><div class='social'><a href=a>Share</a> <a href=b>Like</a></div></article>", "Start.\nPart of the story."),
+    ("<article><p>Start.</p><div class='ad-container-2'>Buy!</div><div class='comment-list'>first</div><div class='article__share'>x</div></article>", "Start."),
+    ("<article><p>Start.</p></article><div class='site-notice'>All must read this long notice, which is longer than the story.</div>", "Start."),
+    ("<div class='site-nav-wrapper'>Home</div><div role='complementary'>See</div><div><p>The story goes on here.</p></div>", "The story goes on here."),
 ])
 def test_main_text_is_whole(body, text):
     assert html_text.Page(f"<html><body>{body}</body></html>").content(set()) == text
@@ -378,7 +416,7 @@ def test_main_text_is_whole(body, text):
 
 def test_one_query_for_each_operator_and_the_pipeline():
     names = [n for n in entry_point.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in entry_point.queries()
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14)) and "pipeline" in entry_point.queries()
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -386,7 +424,7 @@ def test_queries_match_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     want = con.execute(queries.SQL[name])
