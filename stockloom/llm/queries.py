@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stockloom.llm import decontamination, html_text, jaccard_join, langid, packing, pii, prefix_trie, quality, secrets, simhash, tokens, turn_repair, urls
+from stockloom.llm import decontamination, html_text, jaccard_join, langid, oracle, packing, pii, prefix_trie, quality, secrets, simhash, tokens, turn_repair, urls
 from stockloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,11 +96,20 @@ def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
+SQL["op11_jaccard_join"] = oracle.JACCARD_JOIN
+
+
 @query
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+SQL["op12_prefix_trie"] = oracle.PREFIX_TRIE
+
+
 @query
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repairs(table(spark, sf_dir, "conversations"))
+
+
+SQL["op13_turn_repair"] = oracle.TURN_REPAIR
