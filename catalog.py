@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import carriers as data
 from stockloom.functions import dates, numbers, text
-from stockloom.operators import flows, indicators, keyed, news, ownership, statements
+from stockloom.operators import flows, indicators, keyed, news, ownership, state, statements
 from stockloom.plans import incremental, loads, reports, screener, update
-from stockloom.schemas import LANDINGS
+from stockloom.schemas import LANDINGS, TABLES
 from stockloom.sinks.warehouse import Warehouse
 from stockloom.session import fresh_path
 from stockloom.sources import files, landed, news_feed
-from stockloom.streaming import loads as stream_loads
+from stockloom.streaming import loads as stream_loads, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1034,6 +1034,135 @@ def _(spark, sf_dir):
     return store.read("warning_threshold").select("stock_code", *[F.col(c).cast("double").alias(c) for c in statements.C.DEFAULT_THRESHOLDS])
 
 
+# --- what is kept up from batch to batch --------------------------------------------------------
+
+EARLIER_DAY = dt.date(2000, 3, 15)
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Prices as three batches: up to a day without every fifth day of a year, up to another day, and the rest with those days, late."""
+    prices = data.daily_price(spark, sf_dir).select("stock_code", "stock_date", "stock_close", "trading_volume")
+    late = (F.year("stock_date") == 1999) & (F.dayofyear("stock_date") % 5 == 0)
+    day = F.col("stock_date")
+    return [prices.filter((day < F.lit(EARLIER_DAY)) & ~late), prices.filter((day >= F.lit(EARLIER_DAY)) & (day < F.lit(SPLIT_DAY))),
+            prices.filter(late | (day >= F.lit(SPLIT_DAY)))]
+
+
+@query("indicator_states", needs=["daily_price"], ctes=",\n".join([NUMBERED, STOCHASTIC, STRENGTH, HISTOGRAM]),
+       sql=f"""SELECT kd.stock_code, kd.stock_date AS last_day, length AS n_rows, CAST(least(length, 60) AS INT) AS n_closes,
+                      {sql4('k_value', 'd_value', 'macd_hist')}
+               FROM kd JOIN numbered USING (stock_code, stock_date) JOIN histogram USING (stock_code, stock_date) WHERE n = length - 1""")
+def _(spark, sf_dir):
+    """The stored states after three nights, the last of which brings late days: those of the whole history."""
+    store = _store(spark)
+    for batch in _batches(spark, sf_dir):
+        update.append_daily(store, batch)
+    return store.read("indicator_state").withColumns(
+        {"k_value": F.col("k_state"), "d_value": F.col("d_state"), "macd_hist": F.col("ema_fast") - F.col("ema_slow") - F.col("ema_signal")}).select(
+        "stock_code", "last_day", "n_rows", F.size("closes").alias("n_closes"), *r4s("k_value", "d_value", "macd_hist"))
+
+
+@query("indicators_by_state", needs=["daily_price"],
+       ctes=",\n".join([NUMBERED, AVERAGES, STOCHASTIC, STRENGTH, HISTOGRAM]),
+       sql=f"""SELECT stock_code, stock_date, {sql4('ma20', 'ma60', 'k_value', 'd_value', 'rsi14', 'macd_hist')}
+               FROM averages JOIN kd USING (stock_code, stock_date) JOIN strength USING (stock_code, stock_date)
+               JOIN histogram USING (stock_code, stock_date)""")
+def _(spark, sf_dir):
+    """All days in three batches, each from the states the one before left."""
+    prices = data.daily_price(spark, sf_dir).select("stock_code", "stock_date", "stock_close")
+    states = spark.createDataFrame([], TABLES["indicator_state"].schema)
+    night = F.when(F.col("stock_date") < F.lit(EARLIER_DAY), 0).when(F.col("stock_date") < F.lit(SPLIT_DAY), 1).otherwise(2)
+    out = None
+    for number in range(3):
+        done = state.advance(states, prices.filter(night == number))
+        path = fresh_path(spark, "states")
+        new = state.latest(done.checkpoints())
+        new.unionByName(states.join(new, "stock_code", "left_anti")).write.parquet(path)
+        states = spark.read.parquet(path)
+        out = done.indicators() if out is None else out.unionByName(done.indicators())
+    return out.select("stock_code", "stock_date", *r4s(*indicators.INDICATORS))
+
+
+@query("mark_ledger", needs=["daily_price"],
+       sql="SELECT stock_code, max(stock_date) AS latest, count(*) AS n_rows FROM daily_price GROUP BY 1")
+def _(spark, sf_dir):
+    """Marks and row counts from the ledger, after batches of which one is sent twice."""
+    store = _store(spark)
+    first, second, rest = _batches(spark, sf_dir)
+    for batch in (first, second, second, rest):
+        store.append_new("daily_metrics", batch)
+    return store.marks("daily_metrics")
+
+
+@query("latest_rows_kept", needs=["daily_price"],
+       sql="""SELECT stock_code, CAST(rn AS INT) AS place, stock_date, stock_close FROM (
+                  SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY stock_date DESC) AS rn FROM daily_price) WHERE rn <= 10""")
+def _(spark, sf_dir):
+    """The newest rows of each key, kept up from batch to batch, whatever came late."""
+    store = _store(spark)
+    for batch in reversed(_batches(spark, sf_dir)):
+        update.keep_latest(store, batch)
+    return store.read("latest_daily").select("stock_code", "place", "stock_date", F.col("stock_close").cast("double").alias("stock_close"))
+
+
+@query("changed_rows", needs=["statement_fact"], ctes=f"{PIVOT},\n{LIMITS}",
+       sql="SELECT stock_code, max_debt_ratio + 2 * (1 + CAST(stock_code AS INT) % 3) AS max_debt_ratio FROM limits")
+def _(spark, sf_dir):
+    """Limits changed key by key over many small changes, read through base and changes and compacted on the way."""
+    facts = data.statement_fact(spark, sf_dir)
+    store = _store(spark)
+    store.append_new("warning_threshold", statements.default_thresholds(facts.select("stock_code").distinct(), facts))
+    for round_ in range(3):
+        rows = store.read("warning_threshold").filter(F.col("stock_code").cast("int") % 3 >= round_)
+        store.upsert("warning_threshold", rows.withColumn("max_debt_ratio", F.col("max_debt_ratio").cast("double") + 2))
+        store.compact("warning_threshold", most=1)
+    return store.read("warning_threshold").select("stock_code", F.col("max_debt_ratio").cast("double").alias("max_debt_ratio"))
+
+
+@query("indicator_stream", needs=["daily_price"],
+       ctes=",\n".join([NUMBERED, AVERAGES, STOCHASTIC, STRENGTH, HISTOGRAM]),
+       sql=f"""SELECT stock_code, stock_date, {sql4('ma20', 'ma60', 'k_value', 'd_value', 'rsi14', 'macd_hist')}
+               FROM averages JOIN kd USING (stock_code, stock_date) JOIN strength USING (stock_code, stock_date)
+               JOIN histogram USING (stock_code, stock_date)""")
+def _(spark, sf_dir):
+    """Prices landed in two parts and streamed with state by key; the second run goes on from the checkpoint."""
+    for name, value in stateful.STATE_STORE.items():
+        spark.conf.set(name, value)
+    prices = data.daily_price(spark, sf_dir).select("stock_code", "stock_date", "stock_close")
+    landing, out, checkpoint = (fresh_path(spark, x) for x in ("landing", "indicators", "checkpoint"))
+    for part in (prices.filter(F.col("stock_date") < F.lit(SPLIT_DAY)), prices.filter(F.col("stock_date") >= F.lit(SPLIT_DAY))):
+        part.write.mode("append").parquet(landing)
+        rows = stateful.indicator_stream(spark.readStream.schema(prices.schema).parquet(landing))
+        rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out, format="parquet").awaitTermination()
+    return spark.read.parquet(out).select("stock_code", "stock_date", *r4s(*indicators.INDICATORS))
+
+
+def _landed_news(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFrame:
+    rows, landing = data.news(spark, sf_dir), fresh_path(spark, "landing")
+    for _ in range(times):
+        rows.write.mode("append").parquet(landing)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(landing)
+
+
+@query("news_once_stream", needs=["news"], sql="SELECT stock_code, news_link, title, sentiment_score FROM news")
+def _(spark, sf_dir):
+    """News landed twice, each key and link once within the watermark."""
+    out = fresh_path(spark, "news")
+    rows = stateful.news_once(_landed_news(spark, sf_dir, times=2), "36500 days")
+    rows.writeStream.option("checkpointLocation", fresh_path(spark, "checkpoint")).trigger(availableNow=True).start(out, format="parquet").awaitTermination()
+    return spark.read.parquet(out).select("stock_code", "news_link", "title", "sentiment_score")
+
+
+@query("daily_means_stream", needs=["news"], ctes=DAY_SCORES,
+       sql=f"SELECT stock_code, stock_date, {sql4('avg_sentiment')} FROM day_scores WHERE stock_date < (SELECT max(CAST(publish_time AS DATE)) FROM news)")
+def _(spark, sf_dir):
+    """Mean scores of all days the watermark has passed: all but the last one."""
+    out = fresh_path(spark, "means")
+    rows = stateful.daily_means(_landed_news(spark, sf_dir), "0 seconds")
+    rows.writeStream.option("checkpointLocation", fresh_path(spark, "checkpoint")).trigger(availableNow=True).start(out, format="parquet").awaitTermination()
+    return spark.read.parquet(out).select("stock_code", "stock_date", r4("avg_sentiment"))
+
+
 # --- context rows -------------------------------------------------------------------------------
 
 @query("analyst_context", needs=DAILY_NEEDS + ["headline", "holding", "statement_fact", "company"],

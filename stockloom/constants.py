@@ -173,6 +173,8 @@ STOCHASTIC_NEUTRAL = 50.0
 RSI_ROWS = 14
 EMA_FAST, EMA_SLOW, EMA_SIGNAL = 12, 26, 9
 SHORT_SERIES_ROWS = 5
+#: Newest rows of a key that are kept at hand.
+LATEST_ROWS = 10
 
 # Keys followed by default.
 MONITORED_KEYS = [

@@ -8,6 +8,7 @@ rows are there, and also while one of them is NULL.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stockloom import constants as C
 from stockloom.operators.keyed import latest_rows
 from stockloom.operators.recurrence import Smoothing, carry_steps, position_steps, row_steps
-from stockloom.operators.series import LENGTH, Series, SeriesLayout, distribute
+from stockloom.operators.series import LENGTH, ROW, Series, SeriesLayout, distribute
 
 INDICATORS = ["ma20", "ma60", "k_value", "d_value", "rsi14", "macd_hist"]
 
@@ -38,8 +39,32 @@ def moving_average_steps(series: Series, value: str = "stock_close") -> Steps:
     ]
 
 
-def stochastic_steps(series: Series, value: str = "stock_close") -> Steps:
-    """K smooths the raw stochastic by thirds, D smooths K; both start from 50.
+@dataclass(frozen=True)
+class Start:
+    """Columns with the values before the first new row, for series that begin with rows known already.
+
+    ``lead`` counts the rows that are only there for the frames of the others; ``fresh``
+    says that nothing came before.
+    """
+
+    lead: Column
+    fresh: Column
+    k: Column
+    d: Column
+    fast: Column
+    slow: Column
+    signal: Column
+
+    def steps(self) -> Column:
+        return row_steps() - self.lead
+
+    def new(self, value: Column) -> Column:
+        """``value`` where a recurrence runs, nothing in the rows before."""
+        return F.when(F.col(ROW) >= self.lead, value).otherwise(F.lit(0.0))
+
+
+def stochastic_steps(series: Series, value: str = "stock_close", start: Start | None = None) -> Steps:
+    """K smooths the raw stochastic by thirds, D smooths K; both start from 50 if nothing else is given.
 
     The raw value is the place of the close in its 9-row range, 0-100, and 50
     where there is no range or no full frame.
@@ -48,17 +73,19 @@ def stochastic_steps(series: Series, value: str = "stock_close") -> Steps:
     frame = series.rows_back(C.STOCHASTIC_ROWS)
     place = F.try_divide(F.col(value) - F.col("low9"), F.col("high9") - F.col("low9")) * 100
     seed = C.STOCHASTIC_NEUTRAL
+    raw = F.coalesce(F.when(F.col("n9") == C.STOCHASTIC_ROWS, place), F.lit(seed))
+    k0, d0, since = (F.lit(seed), F.lit(seed), row_steps()) if start is None else (start.k, start.d, start.steps())
     return [
         {"n9": F.count(value).over(frame), "low9": F.min(value).over(frame), "high9": F.max(value).over(frame),
          **series.numbered()},
-        {"rsv": F.coalesce(F.when(F.col("n9") == C.STOCHASTIC_ROWS, place), F.lit(seed))},
+        {"rsv": raw if start is None else start.new(raw)},
         {"k_local": third.local(series, F.col("rsv"))},
         {"d_local": third.local(series, F.col("k_local"))},
         *carry_steps(series, {"k_carry": "k_local", "d_carry": "d_local"}),
-        {"k_value": F.col("k_local") + third.faded(F.col("k_carry")) + third.faded_seed(seed),
+        {"k_value": F.col("k_local") + third.faded(F.col("k_carry")) + third.faded_seed(k0, since),
          "d_value": F.col("d_local") + third.faded(F.col("d_carry"))
          + third.fed_by_equal(F.col("k_carry"), position_steps())
-         + third.faded_seed(seed) + third.fed_by_equal(F.lit(seed), row_steps())},
+         + third.faded_seed(d0, since) + third.fed_by_equal(k0, since)},
     ]
 
 
@@ -77,26 +104,38 @@ def relative_strength_steps(series: Series, value: str = "stock_close",
     ]
 
 
-def macd_steps(series: Series, value: str = "stock_close") -> Steps:
+def macd_steps(series: Series, value: str = "stock_close", start: Start | None = None) -> Steps:
     """Histogram of the 12/26 exponential mean difference against its 9-row mean.
 
     A missing close counts as 0, as it does in the assembled daily rows.
     """
     fast, slow, signal = (Smoothing.of_span(n) for n in (C.EMA_FAST, C.EMA_SLOW, C.EMA_SIGNAL))
     close = F.coalesce(F.col(value), F.lit(0.0))
+    first: bool | Column = True
+    before: list[dict[str, Column]] = []
+    if start is not None:
+        close, first, since = start.new(close), start.fresh, start.steps()
+        before = [{"fast_before": fast.faded_seed(start.fast, since), "slow_before": slow.faded_seed(start.slow, since),
+                   "signal_before": signal.faded_seed(start.signal, since) + signal.fed_by(fast, start.fast, since) - signal.fed_by(slow, start.slow, since)}]
+
+    def whole(name: str, value: Column) -> Column:
+        return value + F.col(f"{name}_before") if start is not None else value
+
     fast_carry, slow_carry = F.col("fast_carry"), F.col("slow_carry")
     return [
         series.numbered(),
         {},
-        {"fast_local": fast.local(series, close, from_first_value=True),
-         "slow_local": slow.local(series, close, from_first_value=True)},
+        {"fast_local": fast.local(series, close, from_first_value=first),
+         "slow_local": slow.local(series, close, from_first_value=first)},
         {"signal_local": signal.local(series, F.col("fast_local") - F.col("slow_local"))},
         *carry_steps(series, {"fast_carry": "fast_local", "slow_carry": "slow_local",
                               "signal_carry": "signal_local"}),
-        {"macd": F.col("fast_local") + fast.faded(fast_carry)
-         - F.col("slow_local") - slow.faded(slow_carry),
-         "macd_signal": F.col("signal_local") + signal.faded(F.col("signal_carry"))
-         + signal.fed_by(fast, fast_carry) - signal.fed_by(slow, slow_carry)},
+        *before,
+        {"ema_fast": whole("fast", F.col("fast_local") + fast.faded(fast_carry)),
+         "ema_slow": whole("slow", F.col("slow_local") + slow.faded(slow_carry)),
+         "macd_signal": whole("signal", F.col("signal_local") + signal.faded(F.col("signal_carry"))
+                              + signal.fed_by(fast, fast_carry) - signal.fed_by(slow, slow_carry))},
+        {"macd": F.col("ema_fast") - F.col("ema_slow")},
         {"macd_hist": F.col("macd") - F.col("macd_signal")},
     ]
 

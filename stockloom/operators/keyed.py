@@ -31,8 +31,8 @@ def latest_rows(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], n:
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row per key: the first in ``order``."""
-    return top_rows(df, keys, order, 1)
+    """One row per key: the first in ``order`` (any, without one)."""
+    return top_rows(df, keys, list(order) or [F.lit(0)], 1)
 
 
 def stable_order(df: DataFrame, skip: Sequence[str] = ()) -> list[Column]:

@@ -47,13 +47,15 @@ class Smoothing:
     def of_span(cls, span: int) -> "Smoothing":
         return cls(2.0 / (span + 1))
 
-    def local(self, series: Series, value: Column, from_first_value: bool = False) -> Column:
+    def local(self, series: Series, value: Column, from_first_value: bool | Column = False) -> Column:
         """The recurrence within the stretch, starting from nothing.
 
-        ``from_first_value``: the first row of the series counts in full.
+        ``from_first_value``: the first row of the series (where a column says so) counts in full.
         """
-        weight = (F.when(F.col(ROW) == 0, F.lit(1.0)).otherwise(F.lit(self.alpha))
-                  if from_first_value else F.lit(self.alpha))
+        first = F.col(ROW) == 0
+        if isinstance(from_first_value, Column):
+            first &= from_first_value
+        weight = F.lit(self.alpha) if from_first_value is False else F.when(first, F.lit(1.0)).otherwise(F.lit(self.alpha))
         scaled = weight * value * _power(self.keep, -F.col(POSITION))
         return _power(self.keep, F.col(POSITION)) * F.sum(scaled).over(series.stretch())
 
@@ -61,17 +63,19 @@ class Smoothing:
         """What is left of the previous stretch's end value at this row."""
         return _power(self.keep, position_steps()) * carry
 
-    def faded_seed(self, seed: float) -> Column:
-        return _power(self.keep, row_steps()) * seed
+    def faded_seed(self, seed: float | Column, steps: Column | None = None) -> Column:
+        """What is left of a value before the first row after so many rows."""
+        return _power(self.keep, row_steps() if steps is None else steps) * seed
 
     def fed_by_equal(self, carry: Column, steps: Column) -> Column:
         """Contribution of a fading carry of an equal recurrence that feeds this one."""
         return self.alpha * steps * _power(self.keep, steps) * carry
 
-    def fed_by(self, other: "Smoothing", carry: Column) -> Column:
+    def fed_by(self, other: "Smoothing", carry: Column, steps: Column | None = None) -> Column:
         """The same for a feeding recurrence with another weight."""
+        steps = position_steps() if steps is None else steps
         factor = self.alpha * other.keep / (self.keep - other.keep)
-        return factor * (_power(self.keep, position_steps()) - _power(other.keep, position_steps())) * carry
+        return factor * (_power(self.keep, steps) - _power(other.keep, steps)) * carry
 
 
 def carry_steps(series: Series, locals_: dict[str, str]) -> list[dict[str, Column]]:

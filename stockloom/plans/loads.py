@@ -43,17 +43,21 @@ def one_per_day(rows: DataFrame, *more: str) -> DataFrame:
     return keep_first(rows.dropna(subset=day), [*day, *more], stable_order(rows, [*day, *more]))
 
 
-def daily_metrics(price_rows: DataFrame, flow_rows: DataFrame, margin_rows: DataFrame, history: DataFrame,
-                  marks: DataFrame, today: dt.date, tail_rows: int | None = None) -> DataFrame:
-    """New daily rows from each key's mark on, assembled and with indicators over the history.
+def daily_batch(price_rows: DataFrame, flow_rows: DataFrame, margin_rows: DataFrame, marks: DataFrame, today: dt.date) -> DataFrame:
+    """New daily rows from each key's mark on, assembled.
 
-    ``history`` are the stored daily metrics; the landed sets may cover any span and
-    overlap: a key has one row a day, and one for each investor.
+    The landed sets may cover any span and overlap: a key has one row a day, and one for each investor.
     """
     day = F.col("stock_date")
-    batch = assemble_daily(one_per_day(delta(prices(price_rows), marks, day, today)),
-                           one_per_day(delta(flows(flow_rows), marks, day, today), "name"),
-                           one_per_day(delta(margins(margin_rows), marks, day, today)))
+    return assemble_daily(one_per_day(delta(prices(price_rows), marks, day, today)),
+                          one_per_day(delta(flows(flow_rows), marks, day, today), "name"),
+                          one_per_day(delta(margins(margin_rows), marks, day, today)))
+
+
+def daily_metrics(price_rows: DataFrame, flow_rows: DataFrame, margin_rows: DataFrame, history: DataFrame,
+                  marks: DataFrame, today: dt.date, tail_rows: int | None = None) -> DataFrame:
+    """New daily rows with indicators over the history, the stored daily metrics."""
+    batch = daily_batch(price_rows, flow_rows, margin_rows, marks, today)
     numeric = [c for c, _ in batch.dtypes if c not in ("stock_code", "stock_date")]
     past = restrict_keys(history, marks.select("stock_code").distinct()).withColumns({c: F.col(c).cast("double") for c in numeric})
     return update_indicators(past, batch, tail_rows)

@@ -10,10 +10,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stockloom import constants as C
+from stockloom.operators import state
+from stockloom.operators.indicators import INDICATORS
+from stockloom.operators.keyed import latest_rows, union_keep_first
 from stockloom.operators.news import Scorer
 from stockloom.operators.statements import default_thresholds, warning_indicators
 from stockloom.plans import incremental as inc, loads
-from stockloom.schemas import FEED_ENVELOPE, LANDINGS
+from stockloom.schemas import FEED_ENVELOPE, LANDINGS, TABLES, conform
 from stockloom.sinks.warehouse import Warehouse
 from stockloom.sources import files, landed, news_feed
 
@@ -68,14 +71,61 @@ def update_companies(store: Warehouse, zone: LandingZone, keys: DataFrame) -> No
 
 def update_daily(store: Warehouse, zone: LandingZone, keys: DataFrame, today: dt.date,
                  tail_rows: int | None = None) -> None:
-    stored = store.read("daily_metrics")
-    marks = inc.daily_marks(keys, stored, today)
-    store.append_new("daily_metrics", loads.daily_metrics(
-        zone.dataset("price"), zone.dataset("investor"), zone.dataset("margin"), stored, marks, today, tail_rows))
+    """Daily rows from the marks on, with indicators from the stored states (``tail_rows``: over the latest rows alone)."""
+    marks = inc.high_water_marks(keys, store.marks("daily_metrics"), "latest", today, C.DAILY_DEFAULT_YEARS)
+    landed = (zone.dataset("price"), zone.dataset("investor"), zone.dataset("margin"))
+    if tail_rows:
+        store.append_new("daily_metrics", loads.daily_metrics(*landed, store.read("daily_metrics"), marks, today, tail_rows))
+    else:
+        append_daily(store, loads.daily_batch(*landed, marks, today))
+
+
+def append_daily(store: Warehouse, batch: DataFrame) -> None:
+    """Append daily rows with indicators that go on from each key's state, and keep states and latest rows up.
+
+    A night reads the states of its keys and no stored day, unless rows come late or an
+    earlier run broke off between its writes: such keys start again from the checkpoint
+    before the year, over the stored rows of that year and later ones.
+    """
+    with store.stage("daily") as staged:
+        batch = staged(batch.drop(*INDICATORS))
+        states, marks = store.read("indicator_state"), store.marks("daily_metrics")
+        # The last day is landed again each night; it is known where state and table agree.
+        known = states.join(marks, "stock_code").filter(F.col("last_day") == F.col("latest")).select("stock_code", F.col("last_day").alias("stock_date"))
+        batch = batch.join(known, ["stock_code", "stock_date"], "left_anti")
+        late = staged(state.late_keys(states, marks, batch))
+        rows = batch
+        if not late.isEmpty():
+            first = late.agg(F.min(F.year("first")).alias("y")).first().y
+            stored = store.read("daily_metrics", with_layout=True).filter(F.col("stock_year") >= first)
+            stored = stored.withColumns({c: F.col(c).cast("double") for c, kind in stored.dtypes if kind.startswith("decimal")})
+            rows = (batch.join(late, "stock_code", "left_anti").withColumn(state.NEW, F.lit(True))
+                    .unionByName(state.replayed(late, stored, batch)))
+            states = (states.join(late, "stock_code", "left_anti")
+                      .unionByName(state.states_before(late, store.read("indicator_checkpoint"))))
+        done = state.advance(states, rows)
+        done = state.Advanced(staged(done.rows), done.base)
+        store.append_new("daily_metrics", done.indicators())
+        checkpoints = staged(done.checkpoints())
+        store.upsert("indicator_checkpoint", checkpoints)
+        store.upsert("indicator_state", state.latest(checkpoints))
+        keep_latest(store, done.indicators())
+
+
+def keep_latest(store: Warehouse, rows: DataFrame, n: int = C.LATEST_ROWS) -> None:
+    """Keep the newest rows of each key up, from those that were the newest and the ones just appended.
+
+    A row older than the n newest can never be among them again, and a row the view has
+    is the stored one, so neither late nor repeated rows need the table.
+    """
+    before = store.read("latest_daily").drop("place").join(rows.select("stock_code").distinct(), "stock_code", "left_semi")
+    daily = TABLES["daily_metrics"]
+    both = union_keep_first([before, conform(rows, daily)], daily.key)
+    store.upsert("latest_daily", latest_rows(both, ["stock_code"], ["stock_date"], n, rank_as="place"))
 
 
 def update_weekly(store: Warehouse, zone: LandingZone, keys: DataFrame, today: dt.date) -> None:
-    marks = inc.high_water_marks(keys, store.read("weekly_concentration"), "update_date", today,
+    marks = inc.high_water_marks(keys, store.marks("weekly_concentration"), "latest", today,
                                  C.DAILY_DEFAULT_YEARS)
     levels = loads.holding_rows(zone.dataset("holding"))
     recent = inc.delta(levels, marks, loads.day_of(F.col("date")), today)
@@ -87,11 +137,11 @@ def update_fundamentals(store: Warehouse, zone: LandingZone, keys: DataFrame, to
         coded = rows.withColumn("stock_code", F.col("stock_id"))
         return inc.delta(coded, marks, loads.day_of(F.col("date")), today).drop("stock_code")
 
-    revenue_marks = inc.revenue_marks(keys, store.read("monthly_revenue"), today)
+    revenue_years = store.marks("monthly_revenue").select("stock_code", F.year("latest").alias("revenue_year"))
+    revenue_marks = inc.revenue_marks(keys, revenue_years, today)
     store.append_new("monthly_revenue", loads.revenues(since_mark(zone.dataset("revenue"), revenue_marks)))
     store.append_new("dividend", loads.dividends(zone.dataset("dividend", stock_ids=keys)))
-    stored = store.read("statement_fact")
-    marks = {name: inc.high_water_marks(keys, stored.filter(F.col("statement") == name), "date_info", today,
+    marks = {name: inc.high_water_marks(keys, store.marks("statement_fact", name), "latest", today,
                                         C.STATEMENT_DEFAULT_YEARS) for name in ("income", "balance", "cashflow")}
     store.append_new("statement_fact", loads.facts(
         *[since_mark(zone.dataset(name), marks[name]) for name in ("income", "balance", "cashflow")]))
@@ -101,7 +151,8 @@ def update_news(store: Warehouse, zone: LandingZone, today: dt.date,
                 make_scorer: Callable[[], Scorer] | None = None) -> None:
     company = store.read("company")
     stored = store.read("news")
-    marks = inc.news_marks(company, stored, today)
+    latest = store.marks("news").select("stock_code", F.col("latest").alias("publish_time"))
+    marks = inc.news_marks(company, latest, today)
     store.append_new("news", loads.news(zone.entries(), company, marks, stored, today, make_scorer))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 _TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "bigint": T.LongType(),
           "smallint": T.ShortType(), "date": T.DateType(), "timestamp": T.TimestampType()}
 _TYPES["decimal(38,2)"] = T.DecimalType(38, 2)
+_TYPES["closes"] = T.ArrayType(T.StructType([T.StructField("day", T.DateType()), T.StructField("close", T.DoubleType())]))
 
 
 def _struct(text: str) -> T.StructType:
@@ -87,6 +88,17 @@ _TABLES = [
         " is_inventory_warning smallint, is_cash_flow_warning smallint, is_debt_warning smallint"),
         ("stock_code", "year", "quarter"), {}, ("stock_code", "year", "quarter")),
 ]
+#: What the indicators of a key need of its past: see ``operators.state``.
+_STATE = ("last_day date, n_rows bigint, k_state double, d_state double, ema_fast double, ema_slow double, ema_signal double,"
+          " closes closes")
+_DAILY = next(t for t in _TABLES if t.name == "daily_metrics")
+_TABLES += [
+    Table("indicator_state", _struct(f"stock_code string, {_STATE}"), ("stock_code",), {}, ("stock_code",)),
+    Table("indicator_checkpoint", _struct(f"stock_code string, state_year int, {_STATE}"),
+        ("stock_code", "state_year"), {"checkpoint_year": "state_year"}, ("stock_code",)),
+    Table("latest_daily", T.StructType([*_DAILY.schema.fields, T.StructField("place", T.IntegerType())]),
+        ("stock_code", "place"), {}, ("stock_code",)),
+]
 TABLES = {t.name: t for t in _TABLES}
 
 

@@ -1,15 +1,23 @@
-"""The stored tables: typed reads, idempotent appends, upserts and keyed updates.
+"""The stored tables: typed reads, idempotent appends, upserts, keyed updates and marks.
 
 Tables live as Parquet below one root. Large tables only ever grow, by rows
-whose key is new. The small tables that change in place are written as a new
-``version=`` directory each time and read at their highest finished version, so no
-path is overwritten while it is read; old versions may be removed at leisure.
+whose key is new. Tables that change in place are a base and changes (see
+``sinks.parts``): an upsert writes the rows of its keys, and readers merge.
+
+Every append also writes what it brought to the ledger of its table: the greatest day
+and the number of rows of each key. Marks are merged from there, so finding where a load
+continues costs a row for each key and append, whatever the age of the table. A retried
+append writes its days again, which changes no mark. What a broken append lost is noticed
+by the number of rows in the file footers, and repaired from the table.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,8 +25,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from stockloom.operators.keyed import keep_first, stable_order, union_keep_first
 from stockloom.operators.statements import apply_threshold_changes
 from stockloom.schemas import TABLES, Table, conform
+from stockloom.sinks.parts import MOST_CHANGES, Parts
 
-REPLACED = {"warning_threshold", "warning_indicator", "daily_sentiment"}
+REPLACED = {"warning_threshold", "warning_indicator", "daily_sentiment", "indicator_state", "indicator_checkpoint", "latest_daily"}
+
+#: The day a row counts for in the ledger of its table, and what it is told apart by beside its key.
+LEDGERS = {
+    "daily_metrics": ("stock_date", "''"),
+    "weekly_concentration": ("update_date", "''"),
+    "monthly_revenue": ("make_date(revenue_year, revenue_month, 1)", "''"),
+    "statement_fact": ("date_info", "statement"),
+    "news": ("to_date(publish_time)", "''"),
+}
+_LEDGER = "stock_code string, part string, latest date, n_rows bigint"
 
 
 class Warehouse:
@@ -41,15 +60,15 @@ class Warehouse:
         table = TABLES[name]
         parts = [f"{c} {self._layout_type(table, c)}" for c in table.layout]
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields] + parts)
-        path = self.path(name)
         if name in REPLACED:
-            path += f"/version={self._versions(name)[0]}"
-        try:
-            df = self.spark.read.schema(schema).parquet(path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            df = self.spark.createDataFrame([], schema)
+            df = self.parts(name).merged(list(table.key))
+        else:
+            try:
+                df = self.spark.read.schema(schema).parquet(self.path(name))
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                df = self.spark.createDataFrame([], schema)
         if since is not None:
             df = df.filter((F.col("stock_year") >= since.year) & (F.col("stock_date") >= F.lit(since)))
         return df if with_layout else df.select(*table.columns)
@@ -69,17 +88,45 @@ class Warehouse:
         found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return found.getFileSystem(self.spark._jsc.hadoopConfiguration()), found
 
-    def _versions(self, name: str) -> tuple[int, int]:
-        """Highest finished version, and the highest number in use (a failed write leaves its folder); 0 for none."""
-        files, path = self._folder(self.path(name))
-        finished, used = [0], [0]
-        for status in files.listStatus(path) if files.exists(path) else []:
-            kind, _, number = status.getPath().getName().partition("=")
-            if kind == "version" and number.isdigit():
-                used.append(int(number))
-                if files.exists(self._folder(f"{self.path(name)}/version={number}/_SUCCESS")[1]):
-                    finished.append(int(number))
-        return max(finished), max(used)
+    def parts(self, name: str) -> Parts:
+        """Base and changes of a table that changes in place."""
+        table = TABLES[name]
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
+        return Parts(self.spark, self.path(name), schema, ", ".join(f"{c} {self._layout_type(table, c)}" for c in table.layout))
+
+    def ledger(self, name: str) -> Parts:
+        return Parts(self.spark, f"{self.root}/_ledger/{name}", _LEDGER)
+
+    def _entries(self, name: str) -> DataFrame:
+        ledger = self.ledger(name)
+        found = ledger.listing()
+        base = ledger.base(found)
+        return base.unionByName(ledger.changes(found).select(*base.columns)) if found.changes else base
+
+    def marks(self, name: str, part: str = "") -> DataFrame:
+        """stock_code, latest (greatest stored day), n_rows of a table with a ledger."""
+        return (self._entries(name).filter(F.col("part") == part).groupBy("stock_code")
+                .agg(F.max("latest").alias("latest"), F.sum("n_rows").alias("n_rows")))
+
+    def _note(self, name: str, staged: DataFrame, fresh: DataFrame) -> None:
+        """Writes the batch's greatest days, and the numbers of the rows that were new, to the ledger."""
+        if name not in LEDGERS:
+            return
+        day, part = LEDGERS[name]
+        both = staged.withColumn("n", F.lit(0)).unionByName(fresh.withColumn("n", F.lit(1)))
+        ledger = self.ledger(name)
+        ledger.write(both.groupBy("stock_code", F.expr(part).alias("part")).agg(F.max(F.expr(day)).alias("latest"), F.sum("n").alias("n_rows")))
+        ledger.compact(lambda: self._entries(name).groupBy("stock_code", "part").agg(F.max("latest").alias("latest"), F.sum("n_rows").alias("n_rows")))
+
+    def repair_ledger(self, name: str) -> bool:
+        """Writes the ledger anew from the table if it does not hold as many rows as the file footers say; True if it did."""
+        noted = self._entries(name).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).first().n
+        if noted == self.read(name).count():  # of the footers: no column is read
+            return False
+        day, part = LEDGERS[name]
+        whole = self.read(name).groupBy("stock_code", F.expr(part).alias("part")).agg(F.max(F.expr(day)).alias("latest"), F.count("*").alias("n_rows"))
+        self.ledger(name).write(whole, "version")
+        return True
 
     def append_new(self, name: str, batch: DataFrame) -> None:
         """Insert the rows whose key the table lacks; existing rows win, as does the first of a repeat.
@@ -95,15 +142,31 @@ class Warehouse:
         given = rows.select(*[c for c in table.columns if c in batch.columns])
         rows = keep_first(rows, table.key, stable_order(given, table.key))
         if name in REPLACED:
-            self._replace(name, union_keep_first([self.read(name), rows], table.key))
+            self._change(name, rows.join(self.read(name).select(*table.key), list(table.key), "left_anti"))
             return
-        # The batch as a written table: computed once, then cheap to look at again.
-        stage = f"{self.root}/_stage/{name}-{uuid.uuid4().hex}"
-        rows.write.parquet(stage)
-        staged = self.spark.read.schema(rows.schema).parquet(stage)
-        self._write(table, staged.join(self._existing_keys(table, staged), list(table.key), "left_anti"))
-        files, path = self._folder(stage)
-        files.delete(path, True)
+        # The batch, and what is new of it, as written tables: computed once, then cheap to look at again.
+        with self.stage(name) as write:
+            staged = write(rows)
+            fresh = write(staged.join(self._existing_keys(table, staged), list(table.key), "left_anti").select(*table.columns))
+            self._write(table, fresh)
+            self._note(name, staged, fresh)
+
+    @contextmanager
+    def stage(self, label: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """A function that writes a DataFrame below the root and reads it again, for as long as the block lasts."""
+        stage = f"{self.root}/_stage/{label}-{uuid.uuid4().hex}"
+        numbers = itertools.count()
+
+        def write(df: DataFrame) -> DataFrame:
+            path = f"{stage}/{next(numbers)}"
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        try:
+            yield write
+        finally:
+            files, path = self._folder(stage)
+            files.delete(path, True)
 
     def _existing_keys(self, table: Table, staged: DataFrame) -> DataFrame:
         """Stored keys in the partitions the batch touches (years, statements or buckets: a short list)."""
@@ -124,18 +187,25 @@ class Warehouse:
         (writer.partitionBy(*parts) if parts else writer).parquet(self.path(table.name))
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        """Insert or replace by key; the new row wins."""
+        """Insert or replace by key; the new row wins. Writes the rows of these keys only."""
         table = TABLES[name]
         if name not in REPLACED:
             raise ValueError(f"{name} only takes new keys")
         new = conform(rows, table).dropna(subset=list(table.key))
-        self._replace(name, union_keep_first([new, self.read(name)], table.key))
+        self._change(name, union_keep_first([new], table.key))
+
+    def _change(self, name: str, rows: DataFrame) -> None:
+        """One more change; the table is compacted when it has many."""
+        table, parts = TABLES[name], self.parts(name)
+        parts.write(rows.select(*table.columns, *[F.expr(e).alias(c) for c, e in table.layout.items()]))
+        self.compact(name)
 
-    def _replace(self, name: str, rows: DataFrame) -> None:
-        version = self._versions(name)[1] + 1
-        rows.hint("rebalance").write.parquet(f"{self.path(name)}/version={version}")
+    def compact(self, name: str, most: int = MOST_CHANGES) -> bool:
+        parts = self.parts(name)
+        return parts.compact(lambda: parts.merged(list(TABLES[name].key)), most)
 
     def update_thresholds(self, changes: DataFrame, at: Column | None = None) -> None:
         """Change the thresholds of existing keys and stamp them; unknown keys are left alone."""
-        table = TABLES["warning_threshold"]
-        self._replace(table.name, conform(apply_threshold_changes(self.read(table.name), changes, at), table))
+        name = "warning_threshold"
+        touched = self.read(name).join(changes.select("stock_code").distinct(), "stock_code", "left_semi")
+        self.upsert(name, apply_threshold_changes(touched, changes, at))

@@ -146,14 +146,81 @@ def test_versions_survive_empty_and_half_written_ones(spark, store, rows):
     store.upsert("warning_indicator", spark.createDataFrame([], "stock_code string, year int, quarter int"))
     assert store.read("warning_indicator").isEmpty()
     store.upsert("warning_threshold", limits)
-    store._replace("warning_threshold", store.read("warning_threshold").limit(0))
+    store.parts("warning_threshold").write(store.read("warning_threshold").limit(0), "version")
     assert store.read("warning_threshold").isEmpty()
-    half = f"{store.path('warning_threshold')}/version=9"
+    half = f"{store.path('warning_threshold')}/change=9"
     store.read("warning_threshold").write.parquet(half)
     os.remove(half + "/_SUCCESS")
     store.upsert("warning_threshold", limits)
     assert {(r.stock_code, float(r.max_debt_ratio)) for r in store.read("warning_threshold").collect()} == {("a", 1234.5)}
-    assert os.path.isdir(f"{store.path('warning_threshold')}/version=10")
+    assert os.path.isdir(f"{store.path('warning_threshold')}/change=10")
+
+
+def parts_of(store, name):
+    return sorted((d for d in os.listdir(store.path(name)) if "=" in d), key=lambda d: int(d.split("=")[1]))
+
+
+def test_an_upsert_writes_its_keys_only_and_compaction_cleans_up(spark, store, rows):
+    def limits(*pairs):
+        return spark.createDataFrame([(k, float(v)) for k, v in pairs], "stock_code string, max_debt_ratio double")
+
+    store.upsert("warning_threshold", limits(*[(f"k{i}", i) for i in range(100)]))
+    assert store.compact("warning_threshold", most=0) and parts_of(store, "warning_threshold") == ["change=1", "version=2"]
+    store.upsert("warning_threshold", limits(("k7", 700), ("new", 1)))
+    assert spark.read.parquet(f"{store.path('warning_threshold')}/change=3").count() == 2
+    before = store.read("warning_threshold")  # a reader that listed the parts before the compactions
+    store.upsert("warning_threshold", limits(("k7", 701)))
+    want = {(f"k{i}", 701.0 if i == 7 else float(i)) for i in range(100)} | {("new", 1.0)}
+    current = lambda: {(r.stock_code, float(r.max_debt_ratio)) for r in store.read("warning_threshold").collect()}
+    assert current() == want
+    assert store.compact("warning_threshold", most=1) and current() == want
+    assert parts_of(store, "warning_threshold") == ["version=2", "change=3", "change=4", "version=5"]
+    assert {r.stock_code: float(r.max_debt_ratio) for r in before.collect()}["k7"] == 700.0
+    store.upsert("warning_threshold", limits(("k8", 800)))
+    assert store.compact("warning_threshold", most=0)
+    assert parts_of(store, "warning_threshold") == ["version=5", "change=6", "version=7"] and not store.compact("warning_threshold", most=0)
+
+
+def test_reading_few_changes_does_not_shuffle_the_base(spark, store):
+    store.upsert("warning_threshold", spark.range(1000).select(F.col("id").cast("string").alias("stock_code"), F.lit(1.0).alias("max_debt_ratio")))
+    store.compact("warning_threshold", most=0)
+    store.upsert("warning_threshold", spark.createDataFrame([("5", 2.0)], "stock_code string, max_debt_ratio double"))
+    plan = store.read("warning_threshold")._jdf.queryExecution().executedPlan().toString()
+    base = plan.split("version=")[0]
+    assert "BroadcastHashJoin" in base and "Exchange hashpartitioning" not in base.split("Union")[-1].split("FileScan")[0]
+
+
+def test_ledger_holds_what_was_appended(spark, store, rows):
+    marks = lambda: {(r.stock_code, r.latest, r.n_rows) for r in store.marks("daily_metrics").collect()}
+    assert marks() == set()
+    store.append_new("daily_metrics", closes(spark, (DAYS[0], 1), (DAYS[2], 3)))
+    again = closes(spark, (DAYS[1], 2), (DAYS[2], 9)).unionByName(closes(spark, (DAYS[0], 5), key="b"))
+    for _ in range(3):
+        store.append_new("daily_metrics", again)
+    assert marks() == {("2330", DAYS[2], 3), ("b", DAYS[0], 1)} and not store.repair_ledger("daily_metrics")
+    plan = store.marks("daily_metrics")._jdf.queryExecution().executedPlan().toString()
+    assert "_ledger" in plan and "daily_metrics/stock_year" not in plan and store.path("daily_metrics") + "]" not in plan
+    store.append_new("statement_fact", spark.createDataFrame([("income", "a", DAYS[0], "x"), ("balance", "a", DAYS[1], "x")], "statement string, stock_code string, date_info date, types string"))
+    assert {(r.stock_code, r.latest) for r in store.marks("statement_fact", "income").collect()} == {("a", DAYS[0])}
+
+
+def test_a_lost_ledger_write_is_repaired(spark, store, monkeypatch):
+    def broken(*_):
+        raise RuntimeError("the driver went away")
+
+    store.append_new("daily_metrics", closes(spark, (DAYS[0], 1)))
+    with monkeypatch.context() as m:
+        m.setattr(Warehouse, "_note", broken)
+        with pytest.raises(RuntimeError):
+            store.append_new("daily_metrics", closes(spark, (DAYS[1], 2)))
+    assert not os.listdir(f"{store.root}/_stage")
+    store.append_new("daily_metrics", closes(spark, (DAYS[1], 2)))  # the retry brings the mark, not the count
+    mark = store.marks("daily_metrics").first()
+    assert (mark.latest, mark.n_rows) == (DAYS[1], 1)
+    assert store.repair_ledger("daily_metrics") and store.marks("daily_metrics").first().n_rows == 2
+    for i in range(20):
+        store.append_new("daily_metrics", closes(spark, (DAYS[2], 3), key=f"k{i}"))
+    assert store.marks("daily_metrics").count() == 21 and len(os.listdir(f"{store.root}/_ledger/daily_metrics")) < 25
 
 
 def test_a_number_beyond_its_column_is_never_lost(spark, store):
