@@ -8,13 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import carriers as data
+from stockloom import constants as C
 from stockloom.functions import dates, numbers, text
 from stockloom.operators import flows, indicators, keyed, news, ownership, state, statements
 from stockloom.plans import incremental, loads, reports, screener, update
 from stockloom.schemas import LANDINGS, TABLES
 from stockloom.sinks.warehouse import Warehouse
 from stockloom.session import fresh_path
-from stockloom.sources import files, landed, news_feed
+from stockloom.sources import checked, files, landed, news_feed
 from stockloom.streaming import loads as stream_loads, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1036,7 +1037,7 @@ def _(spark, sf_dir):
 
 # --- what is kept up from batch to batch --------------------------------------------------------
 
-EARLIER_DAY = dt.date(2000, 3, 15)
+EARLIER_DAY, NIGHT = dt.date(2000, 3, 15), dt.date(2001, 12, 31)
 
 
 def _batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -1163,6 +1164,75 @@ def _(spark, sf_dir):
     return spark.read.parquet(out).select("stock_code", "stock_date", r4("avg_sentiment"))
 
 
+def _land_once(rows: DataFrame, root: str, dataset: str) -> None:
+    """Rows as responses of a landing folder."""
+    rows.select(F.array(F.struct(*rows.columns)).alias("data")).write.mode("append").json(f"{root}/{dataset}")
+
+
+def _land_prices(rows: DataFrame, root: str) -> None:
+    _land_once(rows.select(F.col("stock_date").cast("string").alias("date"), F.col("stock_code").alias("stock_id"), F.col("stock_close").alias("close"),
+                      F.col("trading_volume").alias("Trading_Volume"), F.col("trading_money").alias("Trading_money")), root, "price")
+
+
+@query("nightly_update", needs=["daily_price", "flow", "margin", "income_fact", "balance_fact"],
+       ctes=",\n".join([ASSEMBLED, f"loaded AS (SELECT * FROM daily_price WHERE stock_date >= make_date(2001 - {C.DAILY_DEFAULT_YEARS}, 1, 1))",
+                        NUMBERED.replace("FROM daily_price", "FROM loaded"), STOCHASTIC]),
+       sql=f"""SELECT stock_code, stock_date, {sql4('stock_close', 'margin_balance')}, floor(k_value * 100 + 0.5) / 100 AS k_value, n_facts
+               FROM assembled JOIN kd USING (stock_code, stock_date)
+               LEFT JOIN (SELECT stock_code, count(*) AS n_facts FROM (SELECT stock_code, date_info FROM income_fact UNION ALL SELECT stock_code, date_info FROM (
+                          SELECT DISTINCT stock_code, date_info, types FROM balance_fact))
+                          WHERE date_info BETWEEN make_date(2001 - {C.STATEMENT_DEFAULT_YEARS}, 1, 1) AND DATE '2001-12-31' GROUP BY 1) USING (stock_code)""")
+def _(spark, sf_dir):
+    """Two nights of the whole update over landed files: all tables are loaded, and the second night goes on from the first."""
+    root, store = fresh_path(spark, "landing"), _store(spark)
+    zone = update.LandingZone(spark, root, rejects=store)
+    prices = data.daily_price(spark, sf_dir)
+    keys = prices.select("stock_code").distinct()
+    _land_once(data.flow(spark, sf_dir).select(F.col("stock_date").cast("string").alias("date"), F.col("stock_code").alias("stock_id"), "buy", "name", "sell"), root, "investor")
+    _land_once(data.margin(spark, sf_dir).select(F.col("stock_date").cast("string").alias("date"), F.col("stock_code").alias("stock_id"),
+                                            F.col("margin_balance").alias("MarginPurchaseTodayBalance"), F.col("short_balance").alias("ShortSaleTodayBalance")), root, "margin")
+    for name in ("income", "balance"):
+        facts = getattr(data, f"{name}_fact")(spark, sf_dir)
+        _land_once(facts.select(F.col("date_info").cast("string").alias("date"), F.col("stock_code").alias("stock_id"), F.col("types").alias("type"),
+                           F.col("data_value").alias("value"), "origin_name"), root, name)
+    for day, part in ((SPLIT_DAY - dt.timedelta(1), F.col("stock_date") < F.lit(SPLIT_DAY)), (NIGHT, F.col("stock_date") >= F.lit(SPLIT_DAY))):
+        _land_prices(prices.filter(part), root)
+        update.update_all(store, zone, keys, day)
+    facts = store.read("statement_fact").groupBy("stock_code").agg(F.count("*").alias("n_facts"))
+    daily = store.read("daily_metrics").withColumns({c: F.col(c).cast("double") for c in ("stock_close", "margin_balance", "k_value")})
+    return daily.join(facts, "stock_code", "left").select("stock_code", "stock_date", *r4s("stock_close", "margin_balance"),
+                                                          numbers.rounded(F.col("k_value"), 2).alias("k_value"), "n_facts")
+
+
+@query("landed_rejects", needs=["daily_price"],
+       sql="""SELECT CASE WHEN stock_date IS NULL THEN 'no day' ELSE 'no key' END AS reason, count(*) AS n_rows FROM (
+                  SELECT CASE WHEN trading_volume % 7 = 0 THEN NULL ELSE stock_date END AS stock_date, trading_volume % 5 = 0 AS nameless FROM daily_price)
+              WHERE stock_date IS NULL OR nameless GROUP BY 1""")
+def _(spark, sf_dir):
+    """Prices landed with keys and days missing: each bad row is kept with its file and reason (the key is asked for first)."""
+    prices, root, store = data.daily_price(spark, sf_dir), fresh_path(spark, "landing"), _store(spark)
+    volume = F.col("trading_volume")
+    rows = prices.select(F.when(volume % 7 != 0, F.col("stock_date").cast("string")).alias("date"),
+                         F.when((volume % 5 != 0) | (volume % 7 == 0), F.col("stock_code")).alias("stock_id"),
+                         F.col("stock_code").alias("Trading_money"), F.col("stock_date").cast("string").alias("note"))
+    rows.select(F.array(F.struct("date", "stock_id", F.xxhash64("Trading_money", "note").cast("double").alias("Trading_money"))).alias("data")).write.json(f"{root}/price")
+    checked.read_checked(spark, f"{root}/price", "price", store)
+    return store.read("landed_reject").groupBy("reason").agg(F.count("*").alias("n_rows"))
+
+
+@query("landed_all_fields", needs=["daily_price"],
+       sql="""SELECT strftime(stock_date, '%Y-%m-%d') AS date, stock_code AS stock_id, stock_close AS MarginPurchaseTodayBalance,
+                     CAST(0 AS DOUBLE) AS ShortSaleTodayBalance, CASE WHEN year(stock_date) >= 1999 THEN CAST(trading_volume AS BIGINT) END AS Lots FROM daily_price""")
+def _(spark, sf_dir):
+    """Files of two layouts, the later ones with a field nobody listed: it is read, absent fields take their defaults."""
+    prices, root = data.daily_price(spark, sf_dir), fresh_path(spark, "landing")
+    columns = [F.col("stock_date").cast("string").alias("date"), F.col("stock_code").alias("stock_id"), F.col("stock_close").alias("MarginPurchaseTodayBalance")]
+    later = F.year("stock_date") >= 1999
+    _land_once(prices.filter(~later).select(*columns), root, "margin")
+    _land_once(prices.filter(later).select(*columns, F.col("trading_volume").cast("long").alias("Lots")), root, "margin")
+    return checked.read_all_fields(spark, f"{root}/margin", "margin")
+
+
 # --- context rows -------------------------------------------------------------------------------
 
 @query("analyst_context", needs=DAILY_NEEDS + ["headline", "holding", "statement_fact", "company"],

@@ -16,21 +16,29 @@ from stockloom.operators.keyed import latest_rows, union_keep_first
 from stockloom.operators.news import Scorer
 from stockloom.operators.statements import default_thresholds, warning_indicators
 from stockloom.plans import incremental as inc, loads
+from stockloom.plans.runs import Run
 from stockloom.schemas import FEED_ENVELOPE, LANDINGS, TABLES, conform
 from stockloom.sinks.warehouse import Warehouse
-from stockloom.sources import files, landed, news_feed
+from stockloom.sources import checked, files, landed, news_feed
 
 
 @dataclass(frozen=True)
 class LandingZone:
-    """Folders of the landed data sets below one root; an absent one reads as empty."""
+    """Folders of the landed data sets below one root; an absent one reads as empty.
+
+    With ``rejects``, rows that cannot be read go to the table of rejects there.
+    """
 
     spark: SparkSession
     root: str
+    rejects: Warehouse | None = None
 
     def dataset(self, name: str, **bounds) -> DataFrame:
-        return self._or_empty(
-            lambda: landed.read_landed(self.spark, f"{self.root}/{name}", name, **bounds), LANDINGS[name].fields)
+        path = f"{self.root}/{name}"
+        if self.rejects is not None:
+            return self._or_empty(lambda: landed.bounded(
+                checked.read_checked(self.spark, path, name, self.rejects).rows, LANDINGS[name], **bounds), LANDINGS[name].fields)
+        return self._or_empty(lambda: landed.read_landed(self.spark, path, name, **bounds), LANDINGS[name].fields)
 
     def entries(self) -> DataFrame:
         path = f"{self.root}/news"
@@ -175,15 +183,22 @@ def change_thresholds(store: Warehouse, changes: DataFrame) -> None:
 
 def update_all(store: Warehouse, zone: LandingZone, keys: DataFrame, today: dt.date,
                make_scorer: Callable[[], Scorer] | None = None) -> bool:
-    """The whole update; if all keys have today's prices only the news is loaded. True if it ran in full."""
-    if inc.is_fresh(keys, store.read("daily_metrics", since=today), store.read("weekly_concentration"), today):
+    """The whole update; if all keys have today's prices only the news is loaded. True if it ran in full.
+
+    A run that broke off is taken up at the step where it stopped, also when that was
+    after the prices; the gate is asked by new runs only.
+    """
+    run = Run(store, today)
+    if not run.resumed and inc.is_fresh(keys, store.read("daily_metrics", since=today), store.read("weekly_concentration"), today):
         update_news(store, zone, today, make_scorer)
         return False
-    update_companies(store, zone, keys)
-    update_daily(store, zone, keys, today)
-    update_weekly(store, zone, keys, today)
-    update_fundamentals(store, zone, keys, today)
-    update_news(store, zone, today, make_scorer)
-    init_thresholds(store, keys)
-    update_warnings(store, keys)
+    run.go([
+        ("companies", lambda: update_companies(store, zone, keys)),
+        ("daily", lambda: update_daily(store, zone, keys, today)),
+        ("weekly", lambda: update_weekly(store, zone, keys, today)),
+        ("fundamentals", lambda: update_fundamentals(store, zone, keys, today)),
+        ("news", lambda: update_news(store, zone, today, make_scorer)),
+        ("thresholds", lambda: init_thresholds(store, keys)),
+        ("warnings", lambda: update_warnings(store, keys)),
+    ])
     return True

@@ -96,6 +96,8 @@ _TABLES += [
     Table("indicator_state", _struct(f"stock_code string, {_STATE}"), ("stock_code",), {}, ("stock_code",)),
     Table("indicator_checkpoint", _struct(f"stock_code string, state_year int, {_STATE}"),
         ("stock_code", "state_year"), {"checkpoint_year": "state_year"}, ("stock_code",)),
+    Table("landed_reject", _struct("dataset string, file string, reason string, digest string, raw string"),
+        ("dataset", "file", "reason", "digest"), {}, ("dataset", "file")),
     Table("latest_daily", T.StructType([*_DAILY.schema.fields, T.StructField("place", T.IntegerType())]),
         ("stock_code", "place"), {}, ("stock_code",)),
 ]

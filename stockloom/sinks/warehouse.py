@@ -131,22 +131,29 @@ class Warehouse:
     def append_new(self, name: str, batch: DataFrame) -> None:
         """Insert the rows whose key the table lacks; existing rows win, as does the first of a repeat.
 
-        Keys are compared with their stored types, and a row without a full key
-        cannot be stored. Running a batch again changes nothing.
+        Keys are compared with their stored types. A row without a full key cannot be stored;
+        it goes to the table of rejects. Running a batch again changes nothing.
         """
         table = TABLES[name]
         missing = [c for c in table.key if c not in batch.columns]
         if missing:
             raise ValueError(f"batch for {name} lacks key columns {missing}")
-        rows = conform(batch, table).dropna(subset=list(table.key))
-        given = rows.select(*[c for c in table.columns if c in batch.columns])
-        rows = keep_first(rows, table.key, stable_order(given, table.key))
+        whole = conform(batch, table)
+        given = whole.select(*[c for c in table.columns if c in batch.columns])
+        order = stable_order(given, table.key)
         if name in REPLACED:
+            rows = keep_first(whole.dropna(subset=list(table.key)), table.key, order)
             self._change(name, rows.join(self.read(name).select(*table.key), list(table.key), "left_anti"))
             return
         # The batch, and what is new of it, as written tables: computed once, then cheap to look at again.
         with self.stage(name) as write:
-            staged = write(rows)
+            whole = write(whole)
+            lacking = whole.filter(" OR ".join(f"{k} IS NULL" for k in table.key))
+            if name != "landed_reject" and not lacking.isEmpty():
+                raw = F.to_json(F.struct(*table.columns))
+                self.append_new("landed_reject", lacking.select(F.lit(name).alias("dataset"), F.lit("").alias("file"), F.lit("no full key").alias("reason"),
+                                                                F.md5(raw).alias("digest"), raw.alias("raw")))
+            staged = write(keep_first(whole.dropna(subset=list(table.key)), table.key, order))
             fresh = write(staged.join(self._existing_keys(table, staged), list(table.key), "left_anti").select(*table.columns))
             self._write(table, fresh)
             self._note(name, staged, fresh)

@@ -194,3 +194,86 @@ def test_streamed_daily_sentiment(spark, tmp_path, rows):
     assert run() == {("a", dt.date(2026, 7, 1), 0.4), ("a", dt.date(2026, 7, 20), 0.0)}
     land(tmp_path / "n", {"stock_code": "a", "entries": [entry("創高 late - CMoney", 1, "l4"), entry("創高 again - CMoney", 1, "l5")]})
     assert run() == {("a", dt.date(2026, 7, 1), 0.6), ("a", dt.date(2026, 7, 20), 0.0)}
+
+
+STEPS = ["update_companies", "update_daily", "update_weekly", "update_fundamentals", "update_news", "init_thresholds", "update_warnings"]
+
+
+def contents(store):
+    """All tables but the stamps of loading."""
+    out = {}
+    for name in ("company", "daily_metrics", "weekly_concentration", "monthly_revenue", "dividend", "statement_fact", "news", "warning_threshold",
+                 "warning_indicator", "indicator_state", "latest_daily"):
+        df = store.read(name)
+        out[name] = sorted((tuple(r) for r in df.drop("last_updated").collect()), key=str)
+    return out
+
+
+def test_a_broken_night_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    """Each step breaks once; the tables end as those of a night without a fault, and no finished step runs again."""
+    from stockloom.plans import update
+
+    landing(tmp_path / "land", DAYS[:-1])
+    zone, keys = LandingZone(spark, str(tmp_path / "land")), monitored(spark, ["2330", "2317"])
+    whole, broken = Warehouse(spark, str(tmp_path / "whole")), Warehouse(spark, str(tmp_path / "broken"))
+    day = TODAY - dt.timedelta(days=1)
+    assert update_all(whole, zone, keys, day) is True
+    ran, faults = [], set(STEPS)
+
+    def flaky(name, step):
+        def run(*args, **kwargs):
+            step(*args, **kwargs)  # all its writes are done when it breaks
+            if name in faults:
+                faults.remove(name)
+                raise RuntimeError(name)
+            ran.append(name)
+        return run
+
+    for name in STEPS:
+        monkeypatch.setattr(update, name, flaky(name, getattr(update, name)))
+    for _ in STEPS:
+        with pytest.raises(RuntimeError):
+            update_all(broken, zone, keys, day)
+    assert update_all(broken, zone, keys, day) is True
+    assert ran == STEPS and not faults
+    assert contents(broken) == contents(whole)
+
+
+def test_rejects_are_counted_and_kept_with_their_reason(spark, tmp_path):
+    from stockloom.sources import checked
+
+    store, folder = Warehouse(spark, str(tmp_path / "store")), tmp_path / "price"
+    folder.mkdir()
+    good = [{"date": f"2026-07-{d:02d}", "stock_id": "a", "close": 1.0 * d} for d in range(1, 6)]
+    lines = [json.dumps({"data": good}), '{"data": [{"date": "2026-07-09", "stock', "", json.dumps({"data": []}), json.dumps({"status": 402}),
+             json.dumps({"data": [{"date": "2026-07-06", "close": 2.0}, {"date": "soon", "stock_id": "a"}, {"stock_id": "b", "close": 3.0}]})]
+    (folder / "one.json").write_text("\n".join(lines))
+    (folder / "two.json").write_text(json.dumps({"data": [{"date": "2026-07-07", "stock_id": "b", "close": "x"}]}))
+    for _ in range(2):  # read again, nothing is rejected twice
+        got = checked.read_checked(spark, str(folder), "price", store)
+    assert (got.read, got.kept, got.rejected) == (10, 6, 4) and got.rows.count() == 6
+    rejects = {(r.file.rsplit("/", 1)[1], r.reason): r.raw for r in store.read("landed_reject").collect()}
+    assert set(rejects) == {("one.json", "unreadable response"), ("one.json", "no key"), ("one.json", "no day")}
+    assert rejects["one.json", "unreadable response"] == lines[1] and store.read("landed_reject").count() == 4
+    zone = LandingZone(spark, str(tmp_path), rejects=store)
+    assert zone.dataset("price", end="2026-07-02").count() == 2 and zone.dataset("margin").count() == 0
+    store.append_new("daily_metrics", spark.createDataFrame([("a", None, 1.0), ("a", dt.date(2026, 7, 1), 2.0)], "stock_code string, stock_date date, stock_close double"))
+    assert store.read("landed_reject").filter("dataset = 'daily_metrics' AND reason = 'no full key'").count() == 1
+
+
+def test_new_fields_survive_and_absent_ones_take_defaults(spark, tmp_path):
+    from stockloom.sources import checked
+
+    folder = tmp_path / "margin"
+    land(folder, {"data": [{"date": "2026-07-01", "stock_id": "a", "MarginPurchaseTodayBalance": 5}]})
+    land(folder, {"data": [{"date": "2026-07-02", "stock_id": "a", "MarginPurchaseTodayBalance": "7.5", "Note": "late", "Lots": 3, "Detail": {"x": [1, 2]}},
+                                       {"date": "2026-07-03", "stock_id": "a", "ShortSaleTodayBalance": 2, "Lots": 2.5}]}, {"data": None}, {"status": 1})
+    df = checked.read_all_fields(spark, str(folder), "margin")
+    assert df.columns == ["date", "stock_id", "MarginPurchaseTodayBalance", "ShortSaleTodayBalance", "Detail", "Lots", "Note"]
+    got = {r.date[-2:]: r for r in df.collect()}
+    assert (got["01"].MarginPurchaseTodayBalance, got["01"].ShortSaleTodayBalance, got["01"].Note) == (5.0, 0.0, None)
+    assert (got["02"].MarginPurchaseTodayBalance, float(got["02"].Lots), got["02"].Note, got["02"].Detail) == (7.5, 3.0, "late", '{"x":[1,2]}')
+    assert (got["03"].ShortSaleTodayBalance, float(got["03"].Lots)) == (2.0, 2.5)
+    empty = tmp_path / "price"
+    land(empty, {"data": []})
+    assert checked.read_all_fields(spark, str(empty), "price").columns == LANDINGS["price"].fields.fieldNames()
