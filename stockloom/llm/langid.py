@@ -30,6 +30,9 @@ ROWS, MAX_ROWS, LANDMARKS, RIDGE = 400, 8_000, 64, 0.01
 BATCH = 64
 #: Below this score no language claims a text: its best margin is far on the side of "the rest".
 LEAST_SCORE = 0.25
+#: A language claims no text that knows less than this share of its longest n-grams, or than most of the
+#: language's own sample texts do (all but RARE of them, less SLACK), if that is lower.
+KNOWN_SHARE, RARE, SLACK = 0.7, 0.01, 0.1
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _FIRST = np.array([0, 1 << 8, 1 << 17, 1 << 25])  # where the codes of each order begin
@@ -64,33 +67,67 @@ def presence(codes: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
+def known_share(codes: np.ndarray, known: np.ndarray) -> float:
+    """The share of a text's longest n-grams in ``known`` (ascending), plus what chance may do to so few."""
+    own = codes[np.searchsorted(codes, _FIRST[ORDERS - 1]):]
+    if not len(own) or not len(known):
+        return 1.0
+    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    return float((known[at] == own).mean() + len(own) ** -0.5)
+
+
 @dataclass
 class Model:
     languages: list[str]
     vocabulary: np.ndarray
     weights: np.ndarray  # n-grams x languages
+    least: list[float]  # the known share each language asks for
 
-    def predict(self, texts: list[bytes | None]) -> Iterator[tuple[str, float]]:
-        """Language and score of each text (UTF-8 or None)."""
+    def judged(self, texts: list[bytes | None]) -> Iterator[tuple[str, float, np.ndarray | None]]:
+        """Language and score of each text (UTF-8 or None), and its n-grams."""
         for i in range(0, len(texts), BATCH):
-            clean = [normalised(t) for t in texts[i:i + BATCH]]
-            codes = [grams(t) for t in clean if t]
-            margins = iter(presence(codes, self.vocabulary) @ self.weights if self.languages else [])
-            for text in clean:
-                if text and self.languages:
+            codes = [grams(t) if t else None for t in map(normalised, texts[i:i + BATCH])]
+            given = [c for c in codes if c is not None]
+            margins = iter(presence(given, self.vocabulary) @ self.weights if self.languages else [])
+            for c in codes:
+                if c is not None and self.languages:
                     m = next(margins)
                     best = int(np.argmax(m))
-                    yield self.languages[best], float(min(1.0, max(0.0, (1 + m[best]) / 2)))
+                    yield self.languages[best], float(min(1.0, max(0.0, (1 + m[best]) / 2))), c
                 else:
-                    yield UNDETERMINED, 0.0
+                    yield UNDETERMINED, 0.0, None
+
+    def predict(self, texts: list[bytes | None]) -> Iterator[tuple[str, float]]:
+        return ((language, score) for language, score, _ in self.judged(texts))
+
+    def claims(self, texts: list[bytes | None]) -> Iterator[tuple[str, float, bool]]:
+        """As ``predict``, and whether the language claims the text: it knows enough of its n-grams."""
+        known = self.vocabulary[np.searchsorted(self.vocabulary, _FIRST[ORDERS - 1]):]
+        for language, score, codes in self.judged(texts):
+            yield language, score, codes is not None and known_share(codes, known) >= self.least[self.languages.index(language)]
+
+
+def _least_shares(languages: list[str], rows: list[tuple[str, np.ndarray]], chosen: list[tuple[str, np.ndarray]]) -> list[float]:
+    """The share of known n-grams each language asks for, by sample texts that did not make the vocabulary.
+
+    Landmarks are judged by the other landmarks alone.
+    """
+    codes, owners = np.unique(np.concatenate([c for _, c in chosen]), return_counts=True)
+    landmarks = {id(c) for _, c in chosen}
+    out = []
+    for language in languages:
+        shares = [known_share(c, codes[owners > 1] if id(c) in landmarks else codes) for own, c in rows if own == language]
+        out.append(min(KNOWN_SHARE, float(np.quantile(shares, RARE)) - SLACK))
+    return out
 
 
 def train(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Nyström kernel ridge regression from (language, codes) in an order that says nothing of the language."""
     languages = sorted({lang for lang, _ in rows})
     if not rows:
-        return Model([], np.zeros(0, np.uint32), np.zeros((0, 0), np.float32))
-    chosen = [c for lang in languages for c in [c for own, c in rows if own == lang][:landmarks]]
+        return Model([], np.zeros(0, np.uint32), np.zeros((0, 0), np.float32), [])
+    marks = [(lang, c) for lang in languages for c in [c for own, c in rows if own == lang][:landmarks]]
+    chosen = [c for _, c in marks]
     vocabulary = np.unique(np.concatenate(chosen))
     base = presence(chosen, vocabulary)
     kernel = np.concatenate([presence([c for _, c in rows[i:i + BATCH]], vocabulary) @ base.T for i in range(0, len(rows), BATCH)]).astype(float)
@@ -99,7 +136,8 @@ def train(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge:
     weight = np.array([1 / sum(1 for own, _ in rows if own == lang) for lang, _ in rows])[:, None] / len(languages)
     left = kernel.T @ (weight * kernel) + ridge / len(rows) * (base @ base.T).astype(float)
     left += 1e-8 * np.trace(left) / len(left) * np.eye(len(left))
-    return Model(languages, vocabulary, (base.T @ np.linalg.solve(left, kernel.T @ (weight * truth))).astype(np.float32))
+    weights = (base.T @ np.linalg.solve(left, kernel.T @ (weight * truth))).astype(np.float32)
+    return Model(languages, vocabulary, weights, _least_shares(languages, rows, marks))
 
 
 def in_fold(doc_id: str | Column) -> Column:
@@ -156,7 +194,12 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The documents, all columns, whose text some learned language claims."""
-    language, score = free_name(docs, "lang_pred"), free_name(docs, "score")
-    found = with_language(docs, fit(docs), language, score)
-    return found.filter((F.col(language) != UNDETERMINED) & (F.col(score) >= least_score)).select(*docs.columns)
+    """The documents, all columns, whose text some learned language claims.
+
+    Texts without a letter go, as do those whose best language scores too low or knows
+    too few of their n-grams. If nothing can be learned, no text is claimed.
+    """
+    language, score, claimed = (free_name(docs, c) for c in ("lang_pred", "score", "claimed"))
+    model = fit(docs)
+    found = append(docs, "text", f"{language} string, {score} double, {claimed} boolean", lambda: model.claims)
+    return found.filter(F.col(claimed) & (F.col(score) >= least_score)).select(*docs.columns)

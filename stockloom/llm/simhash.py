@@ -108,33 +108,40 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
 
 
 def _labelled(prints: DataFrame, doc_id: str, fp: str, distance: int) -> DataFrame:
-    """``prints`` with component_id."""
+    """``prints`` with component (its least fingerprint) and component_id."""
     own = written(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least")), "representatives")
     linked = groups(own, distance)
     label = own.join(linked, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     lowest = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    whole = label.join(lowest, "component").select(F.col("fp").alias(fp), "component_id")
+    whole = label.join(lowest, "component").select(F.col("fp").alias(fp), "component", "component_id")
     return prints.join(whole, fp)
 
 
 def without_near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One document of each group, all columns: the one with the least doc_id.
 
-    Rows that repeat a kept doc_id are cut to one. In a component without any doc_id,
-    one row of each fingerprint stays.
+    Rows of one doc_id with different texts are different documents: each goes by the
+    group of its own text, and within a group ties of doc_id go by a hash of the text.
+    Rows that repeat the kept document, doc_id and text, are cut to one. In a group
+    without any doc_id the tie alone decides.
     """
-    names = {n: free_name(docs, n) for n in ("fp", "repeats")}
-    fp, repeats = names["fp"], names["repeats"]
-    prints = written(with_fingerprints(docs.select("doc_id", "text"), fp, size).drop("text"), "fingerprints")
-    kept = (_labelled(prints, "doc_id", fp, distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("doc_id").agg(F.count("*").alias(repeats)))
-    kept = written(kept, "kept")
-    # The same join at every size: the kept ids grow with the documents.
-    once = docs.join(kept.filter(F.col(repeats) == 1).select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    if kept.filter((F.col(repeats) > 1) | F.col("doc_id").isNull()).isEmpty():
-        return once
-    again = docs.join(kept.filter(F.col(repeats) > 1).select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = (with_fingerprints(docs.filter("doc_id IS NULL"), fp, size)
-                .join(_labelled(prints, "doc_id", fp, distance).filter("component_id IS NULL").select(fp).distinct(), fp, "left_semi")
-                .dropDuplicates([fp]))
-    return once.unionByName(again.select(*docs.columns)).unionByName(nameless.select(*docs.columns))
+    names = {n: free_name(docs, n) for n in ("fp", "tie", "repeats")}
+    fp, tie, repeats = names["fp"], names["tie"], names["repeats"]
+    text = docs.select("doc_id", "text", F.xxhash64("text").alias(tie))
+    prints = written(with_fingerprints(text, fp, size).drop("text"), "fingerprints")
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", tie)
+    first = _labelled(prints, "doc_id", fp, distance).groupBy("component").agg(F.min(key).alias("first")).select("first.doc_id", f"first.{tie}")
+    times = prints.groupBy("doc_id", tie).agg(F.count("*").alias(repeats))
+    kept = written(_same_document(first.distinct(), times, tie, "inner").select(first["doc_id"], first[tie], repeats), "kept")
+    own = docs.withColumn(tie, F.xxhash64("text"))
+    # The same join at every size: the kept documents grow with the table.
+    once = _same_document(own, kept.filter(F.col(repeats) == 1).hint("merge"), tie, "left_semi")
+    if kept.filter(F.col(repeats) > 1).isEmpty():
+        return once.select(*docs.columns)
+    again = _same_document(own, kept.filter(F.col(repeats) > 1), tie, "left_semi").dropDuplicates(["doc_id", tie])
+    return once.unionByName(again).select(*docs.columns)
+
+
+def _same_document(left: DataFrame, right: DataFrame, tie: str, how: str) -> DataFrame:
+    """Join on doc_id (nulls are equal) and the hash of the text."""
+    return left.join(right, left["doc_id"].eqNullSafe(right["doc_id"]) & (left[tie] == right[tie]), how)

@@ -267,6 +267,50 @@ def test_secrets_are_masked_in_place(spark):
     assert sorted(map(tuple, masked.collect()), key=str) == sorted(want, key=str)
 
 
+FOREIGN = ["Привет, как дела? Это русский текст о погоде и природе.", "你好，这是一个中文文本，应该被拒绝。我们正在测试语言识别。", "Καλημέρα σας, αυτό είναι ένα ελληνικό κείμενο.",
+           "xkq zrt vvbn qwrt plkj mnbv zxcv hgfd sdfg rtyu bnmx qqwe", "สวัสดีครับ นี่คือข้อความภาษาไท", "hyvää päivää tämä on suomenkielinen teksti joka kertoo säästä ja luonnosta", "12 34 !!", "", None]
+
+
+def test_foreign_texts_go_and_clean_ones_stay(spark):
+    docs = spark.read.parquet(f"{SF_MIDDLE}/documents.parquet")
+    rows = [(10_000_000 + i, t, None, "claimed", 0) for i, t in enumerate(FOREIGN)]
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = langid.known_language(both)
+    assert kept.columns == docs.columns
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert not any(i >= 10_000_000 for i in ids)
+    clean = {r.doc_id for r in docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id").collect()}
+    assert len(clean & ids) >= 0.995 * len(clean)
+
+
+def test_what_a_language_asks_for_follows_its_own_texts():
+    """A language whose texts share little asks for little; ridge and Nyström equal the direct solution."""
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
+    narrow = [" ".join(rng.choice(["alba", "beta", "gama"]) for _ in range(40)) for _ in range(90)]
+    wide = [" ".join(word("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(90)]
+    rows = [(lang, langid.grams(langid.normalised(t.encode()))) for pair in zip(narrow, wide) for lang, t in zip(("na", "wi"), pair)]
+    model = langid.train(rows, landmarks=30)
+    share = dict(zip(model.languages, model.least))
+    assert share["na"] == langid.KNOWN_SHARE and share["wi"] < 0.6
+    marks = [c for lang in ("na", "wi") for c in [c for own, c in rows if own == lang][:30]]
+
+    def kernel(a, b):
+        """Mean over the orders of the shared n-grams over the geometric mean of all."""
+        parts = [(a[(a >= lo) & (a < hi)], b[(b >= lo) & (b < hi)]) for lo, hi in zip(langid._FIRST, [*langid._FIRST[1:], 1 << 40])][:langid.ORDERS]
+        return sum(len(np.intersect1d(x, y)) / np.sqrt(max(1, len(x)) * max(1, len(y))) for x, y in parts) / langid.ORDERS
+
+    k = np.array([[kernel(c, m) for m in marks] for _, c in rows])
+    own = np.array([[kernel(a, b) for b in marks] for a in marks])
+    truth = np.array([[1.0 if lang == x else -1.0 for x in ("na", "wi")] for lang, _ in rows])
+    left = k.T @ k / (90 * 2) + langid.RIDGE / len(rows) * own
+    left += 1e-8 * np.trace(left) / len(left) * np.eye(len(left))
+    direct = k @ np.linalg.solve(left, k.T @ truth / (90 * 2))
+    got = langid.presence([c for _, c in rows], model.vocabulary) @ model.weights
+    assert np.abs(direct - got).max() < 2e-3
+    assert langid.train([]).languages == [] and list(langid.train([]).claims([b"text"])) == [("und", 0.0, False)]
+
+
 # --- pages --------------------------------------------------------------------------------------
 
 def slow_article(source):

@@ -127,7 +127,7 @@ def test_simhash_keeps_one_of_each_group(spark):
     kept = simhash.without_near_duplicates(docs)
     assert kept.columns == docs.columns
     rows = kept.collect()
-    assert sorted(str(r.doc_id) for r in rows) == ["1", "2", "3", "5", "None"]
+    assert sorted(str(r.doc_id) for r in rows) == ["1", "2", "3", "5", "5", "None"]  # two texts under one id
     nameless = simhash.without_near_duplicates(spark.createDataFrame([(None, "a b c d e")] * 3 + [(None, "other words in here")], "doc_id long, text string"))
     assert nameless.count() == 2
 
@@ -214,6 +214,18 @@ def test_least_squares_packs_what_fits():
     assert len(pieces) == 124 + np.sum(pieces[:, 1] > 0)
 
 
+def test_unrelated_texts_of_one_id_all_stay(spark):
+    """Rows go by the group of their own text, whatever other rows have their doc_id."""
+    texts = ["alpha beta gamma delta epsilon", "one two three four five six seven", "red green blue yellow black white"]
+    rows = [(1, texts[0], "a"), (1, texts[1], "b"), (2, texts[2], "c"), (1, texts[1], "b"), (3, texts[1], "d"), (None, texts[2], "e"), (4, "", "f"), (4, None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    kept = simhash.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = sorted(map(tuple, kept.collect()), key=str)
+    assert [r[:2] for r in got if r[1]] == [(1, texts[0]), (1, texts[1]), (2, texts[2])]
+    assert len(got) == 4 and got[-1][0] == 4  # an empty and a null text have one fingerprint
+
+
 def test_pipeline_is_its_stages(spark, tokenizer):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
