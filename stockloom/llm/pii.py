@@ -2,12 +2,17 @@
 
 E-mail addresses, IP addresses, card and phone numbers in their plain formats are always
 reported. High-recall generators propose further spans (number groups, spelled-out
-addresses) that may overlap; features of format and context go to one boosted ensemble
-for each kind, and a threshold calibrated on held-out documents selects what is added.
-
-The trees learn from the corpus itself: a candidate inside a plain span of a kind is an
-example of it, any other is not. What makes the plain formats plain (the leading plus,
-the at sign) is no feature. Features are small integers, so the counts of all candidates
+addresses, disguised octets) that may overlap; features of format and context go to one
+boosted ensemble for each kind, and a threshold calibrated on held-out documents selects
+what is added.
+
+The trees learn from the corpus itself. A candidate is described in a normal form, in
+which ``(at)``, ``[.]`` and their like are the signs they stand for and a leading plus is
+gone, so a disguised span looks like a plain one. A candidate inside a plain span of a kind is an
+example of it. One that is well formed for a kind but not plain (a disguised address with
+a known ending, valid octets, a number of a card's check digit, a number of a phone's
+length after a word for phones) is no example and no counterexample of that kind; all
+others are counterexamples. Features are small integers, so the counts of all candidates
 by feature vector are a bounded table (at most the product of the features' ranges), from
 which the trees are grown on the driver; they run as column expressions.
 """
@@ -25,7 +30,9 @@ from stockloom.llm.spans import kept, listed, with_matches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the trees add to.
-LEARNED = ("email", "card", "phone")
+LEARNED = KINDS
+#: Endings of plain addresses that count as known: the most frequent ones.
+ENDINGS = 64
 ROUNDS, DEPTH, RATE, LEAST = 12, 3, 0.3, 1.0
 #: Share of held-out documents (one in so many), and the precision an added span must have there.
 HELD_OUT, PRECISION = 4, 0.95
@@ -39,7 +46,9 @@ _BASE = {
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 _OPEN, _CLOSE = r"[(\[{<]\x20?", r"\x20?[)\]}>]"
+_DOT = rf"(?:\.|\x20?{_OPEN}(?:\.|dot){_CLOSE}\x20?|\x20dot\x20)"
 _CANDIDATES = {
+    "octets": rf"(?i)(?<![A-Za-z0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![A-Za-z0-9])",
     "number": r"(?<![A-Za-z0-9])[(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+(?![A-Za-z0-9])",
     "address": rf"(?i)(?<!{_LOCAL}){_LOCAL}++\x20?(?:@|{_OPEN}at{_CLOSE}|\x20at\x20)\x20?[A-Za-z0-9-]++"
                rf"(?:\x20?(?:\.|{_OPEN}dot{_CLOSE}|\x20dot\x20)(?<![.]\x20)\x20?[A-Za-z0-9-]{{2,}}+)++",
@@ -69,28 +78,53 @@ def _bucket(value: Column, *edges: int) -> Column:
     return out
 
 
-def _features(text: Column, before: Column) -> list[tuple[str, Column, int]]:
-    """Name, value and number of values of each feature of a candidate and the text before it."""
+def _normal(text: Column) -> Column:
+    """A candidate with signs for the words and brackets that stand for them."""
+    at = F.regexp_replace(text, rf"(?i)\x20?(?:{_OPEN}at{_CLOSE}|\x20at\x20|@)\x20?", "@")
+    return F.regexp_replace(at, rf"(?i)\x20?(?:{_OPEN}(?:dot|\.){_CLOSE}|\x20dot\x20)\x20?", ".")
+
+
+def _ending(normal: Column) -> Column:
+    return F.lower(F.regexp_extract(normal, r"@.*\.([A-Za-z0-9-]+)$", 1))
+
+
+def _features(text: Column, before: Column, endings: list[str]) -> list[tuple[str, Column]]:
+    """Name and value of each feature of a candidate in normal form and the text before it."""
     groups = F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0))
     digits = _digits(text)
     flag = lambda c: F.when(c, 1).otherwise(0)
     return [
-        ("digits", _bucket(F.length(digits), 7, 10, 12, 16, 20), 6),
-        ("groups", _bucket(F.size(groups), 1, 2, 3, 5), 5),
-        ("longest", _bucket(F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)), 4, 5, 10), 4),
-        ("luhn", flag((digits != "") & F.call_function("luhn_check", digits)), 2),
-        ("round", flag(text.rlike(r"[(\[{]")), 2),
-        ("dash", flag(text.contains("-")), 2),
-        ("dot", flag(text.contains(".")), 2),
-        ("letters", flag(text.rlike("[A-Za-z]{2}")), 2),
-        ("ending", flag(text.rlike("(?i)(?:[.]|dot).{0,2}[a-z]{2,4}$")), 2),
-        ("cue", F.when(F.regexp_extract(before, _CUES, 1) != "", 1).when(F.regexp_extract(before, _CUES, 2) != "", 2)
-         .when(F.regexp_extract(before, _CUES, 3) != "", 3).otherwise(0), 4),
-        ("touches", flag(before.rlike(r"[^\s(\[:,;+]$")), 2),
+        ("digits", _bucket(F.length(digits), 7, 8, 10, 12, 16, 20)),
+        ("groups", _bucket(F.size(groups), 1, 2, 3, 5)),
+        ("longest", _bucket(F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)), 4, 5, 10)),
+        ("luhn", flag((digits != "") & F.call_function("luhn_check", digits))),
+        ("round", flag(text.rlike(r"[(\[{]"))),
+        ("dash", flag(text.contains("-"))),
+        ("dot", flag(text.contains("."))),
+        ("letters", flag(text.rlike("[A-Za-z]{2}"))),
+        ("known", F.when(~text.contains("@"), 0).when(_ending(text).isin(endings), 2).otherwise(1)),
+        ("local", F.when(~text.contains("@"), 0).when(text.rlike("^[^@]*[0-9._%+-][^@]*@"), 2).otherwise(1)),
+        ("octets", flag(_valid("ip", text))),
+        ("cue", _cue(before)),
+        ("touches", flag(before.rlike(r"[^\s(\[:,;+]$"))),
     ]
 
 
-NAMES = ("digits", "groups", "longest", "luhn", "round", "dash", "dot", "letters", "ending", "cue", "touches")
+NAMES = ("digits", "groups", "longest", "luhn", "round", "dash", "dot", "letters", "known", "local", "octets", "cue", "touches")
+
+
+def _cue(before: Column) -> Column:
+    """Which kind a word before speaks for: phone, card, e-mail, or none (0)."""
+    said = [F.regexp_extract(before, _CUES, i) != "" for i in (1, 2, 3)]
+    return F.when(said[0], 1).when(said[1], 2).when(said[2], 3).otherwise(0)
+
+
+def _well_formed(c: Column, endings: list[str]) -> Column:
+    """The kind a candidate outside all plain spans may well be of, if any."""
+    text, digits = c["normal"], F.length(_digits(c["normal"]))
+    return (F.when(c["disguised"] & _ending(text).isin(endings), "email").when(c["disguised"] & _valid("ip", text), "ip")
+            .when(_valid("card", text) & ~text.contains("@"), "card")
+            .when(digits.between(8, 15) & ~text.contains("@") & (_cue(c["before"]) == 1), "phone").otherwise(""))
 
 
 @dataclass
@@ -121,7 +155,10 @@ class Booster:
     threshold: float = math.inf
 
     def __call__(self, x: tuple[int, ...]) -> float:
-        return self.start + sum(t(x) for t in self.trees)
+        out = self.start
+        for tree in self.trees:  # in the order of ``column``, so that both give the very same number
+            out += tree(x)
+        return out
 
     def column(self, x: list[Column]) -> Column:
         out = F.lit(self.start)
@@ -188,7 +225,7 @@ def _with_base(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     digit = text.rlike("[0-9]{2}")
     needs = {"email": text.contains("@"), "ip": digit | text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][ -]?[0-9][ -]?[0-9]"), "phone": text.contains("+"),
-             "number": text.rlike("[0-9][ ().-]{0,2}[0-9]"), "address": text.contains("@") | text.rlike(r"(?i)[(\[{< ]at[)\]}> ].{1,80}(?:dot|\.)")}
+             "number": text.rlike("[0-9][ ().-]{0,2}[0-9]"), "octets": text.rlike(r"(?i)[0-9][ ]?[(\[{<. ][ ]?(?:dot|\.)?.{0,3}[0-9]"), "address": text.contains("@") | text.rlike(r"(?i)[(\[{< ]at[)\]}> ].{1,80}(?:dot|\.)")}
     out = with_matches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text",
                        {f"_{k}": (p, needs[k]) for k, p in {**_BASE, **_CANDIDATES}.items()})
     out = out.withColumns({f"_{k}": kept(f"_{k}", k, partial(_valid, k)) for k in KINDS})
@@ -198,22 +235,33 @@ def _with_base(docs: DataFrame) -> DataFrame:
         before = F.substring(F.col("text"), F.greatest(F.lit(1), c["start"] - 29).cast("int"), F.least(F.lit(30), c["start"]).cast("int"))
         parts = F.filter("_base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
         kind = F.coalesce(F.try_element_at(F.transform(parts, lambda s: s["kind"]), F.lit(1)), F.lit(""))
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), kind.alias("inside"),
-                        F.array(*[f for _, f, _ in _features(c["text"], before)]).alias("x"))
+        normal = _normal(c["text"])
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), kind.alias("inside"), normal.alias("normal"),
+                        (normal != c["text"]).alias("disguised"), before.alias("before"))
+
+    return out.withColumn("_found", F.transform(F.concat("_number", "_address", "_octets"), described)).drop("_number", "_address", "_octets", "text")
+
 
-    return out.withColumn("_found", F.transform(F.concat("_number", "_address"), described)).drop("_number", "_address", "text")
+def known_endings(found: DataFrame) -> list[str]:
+    """The most frequent last labels of the plain addresses."""
+    plain = found.filter(F.size("_found") > 0).select(F.explode("_found").alias("c")).filter("c.inside = 'email'")
+    return [r.ending for r in plain.groupBy(_ending(F.col("c.normal")).alias("ending")).count().filter("ending <> ''").orderBy(F.desc("count"), "ending").limit(ENDINGS).collect()]
 
 
-def train(found: DataFrame) -> dict[str, Booster]:
+def train(found: DataFrame, endings: list[str]) -> dict[str, Booster]:
     """A booster for each learned kind, from the candidates (column _found) of all documents."""
-    counts = (found.filter(F.size("_found") > 0).select((F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).alias("held"), F.explode("_found").alias("c"))
-              .groupBy("held", F.col("c.x").alias("x"), F.col("c.inside").alias("inside")).count().collect())
+    each = found.filter(F.size("_found") > 0).select((F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).alias("held"), F.explode("_found").alias("c"))
+    c = F.col("c")
+    counts = (each.select("held", F.array(*[f for _, f in _features(c["normal"], c["before"], endings)]).alias("x"), c["inside"].alias("inside"),
+                          F.when(c["inside"] == "", _well_formed(c, endings)).otherwise("").alias("open"))
+              .groupBy("held", "x", "inside", "open").count().collect())
     out = {}
     for kind in LEARNED:
         folds: tuple[dict, dict] = ({}, {})
         for r in counts:
-            a, b = folds[bool(r.held)].get(tuple(r.x), (0, 0))
-            folds[bool(r.held)][tuple(r.x)] = (a + r["count"], b) if r.inside == kind else (a, b + r["count"])
+            if r.open != kind:
+                a, b = folds[bool(r.held)].get(tuple(r.x), (0, 0))
+                folds[bool(r.held)][tuple(r.x)] = (a + r["count"], b) if r.inside == kind else (a, b + r["count"])
         out[kind] = boost(*folds)
     return out
 
@@ -225,11 +273,12 @@ def find(docs: DataFrame, label: str = "pii") -> DataFrame:
     of a kind occurs, nothing of that kind is learned, and none added.
     """
     found = written(_with_base(docs), label)
-    boosters = train(found)
+    endings = known_endings(found)
+    boosters = train(found, endings)
     free = F.filter("_found", lambda c: c["inside"] == "")
 
     def scored(c: Column) -> Column:
-        x = [c["x"][i] for i in range(len(NAMES))]
+        x = [f for _, f in _features(c["normal"], c["before"], endings)]
         best = F.array_max(F.array(*[F.struct((b.column(x) - F.lit(b.threshold)).alias("score"), F.lit(k).alias("kind"))
                                      for k, b in boosters.items() if b.threshold < math.inf] or [F.struct(F.lit(-1.0).alias("score"), F.lit("").alias("kind"))]))
         return F.struct(best["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), best["score"].alias("score"))
