@@ -2,9 +2,12 @@
 
 Each line with a word is described by what it is made of (symbols, capitals, digits,
 punctuation, repeated words, an earlier equal line, ...). A two-state chain, content or
-boilerplate, is trained on a bounded sample of documents with a quality label, whose
-lines all take that label; Viterbi decoding then labels the lines of every document, and
-the share of its words in content lines decides whether it is kept, unless a fixed rule
+boilerplate, is trained on a bounded sample of documents with a quality label. That label
+is one of the document, not of its lines: those are latent. Training starts with all lines
+of a document under its label; then each line is labelled by itself, by what it is made of,
+as long as most words of a good document are content and most of a bad one are not. So the
+chain learns where documents switch. Viterbi decoding labels the lines of every document,
+and the share of its words in content lines decides whether it is kept, unless a fixed rule
 has failed it before.
 """
 
@@ -22,6 +25,8 @@ from stockloom.llm.common import append, expand
 
 #: Expected documents drawn of the more frequent label (at most four times that in all), and the training schedule.
 ROWS, STEPS, PENALTY, SEGMENT = 3_000, 200, 1e-3, 64
+#: How often the lines of the sample are labelled anew.
+RELABELLINGS = 2
 #: Least share of words in content lines.
 SHARE = 0.5
 
@@ -31,6 +36,7 @@ for _kind, _bytes in ((_SPACE, b" \t\n\v\f\r"), (_UPPER, bytes(range(65, 91))),
                       (_SYMBOL, b"#*$%&|<>"), (_STOP, b".,;:?'\""), (_WIDE, bytes(range(192, 256))), (_TAIL, bytes(range(128, 192)))):
     _CLASS[list(_bytes)] = _kind
 FEATURES = 11
+_CHUNK, _PIECE = 1 << 22, 1 << 20
 
 
 @dataclass
@@ -50,45 +56,76 @@ class Text:
         return self.n_words < 10 or 100 * self.n_repeat_words > 20 * self.n_words
 
 
-def repeated_words(words: list[bytes], ids: np.ndarray, size: int = 5) -> int:
+class _Numbers(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def numbered(data: bytes) -> np.ndarray:
+    """The words of a text as numbers; equal words have one. No list of all words is made."""
+    known, at, parts = _Numbers(), 0, []
+    while at < len(data):
+        end = at + _PIECE
+        while end < len(data) and data[end] not in b" \t\n\v\f\r":
+            end += 1
+        words = data[at:end].split()
+        parts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+
+def repeated_words(ids: np.ndarray, size: int = 5) -> int:
     """Words inside windows of ``size`` words that occur at least twice (overlapping ones too)."""
-    n = len(words) - size + 1
+    n = len(ids) - size + 1
     if n < 2:
         return 0
-    window = np.lib.stride_tricks.sliding_window_view(ids, size)
-    keys = (window.astype(np.uint64) * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63][:size], np.uint64)).sum(1, dtype=np.uint64)
+    mix = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
+    keys = np.zeros(n, np.uint64)
+    for i in range(size):
+        keys += ids[i:i + n].astype(np.uint64) * np.uint64(mix[i])
     _, first, back, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
     often = counts[back] > 1
     if not often.any():
         return 0
     at = np.flatnonzero(often)
-    if not (window[at] == window[first[back[at]]]).all():  # two windows with one key: count them as they are
+    like = first[back[at]]
+    if not all((ids[at + i] == ids[like + i]).all() for i in range(size)):  # two windows with one key: count them as they are
+        words = ids.tolist()
         seen = Counter(zip(*(words[i:] for i in range(size))))
         often = np.array([seen[w] > 1 for w in zip(*(words[i:] for i in range(size)))])
         at = np.flatnonzero(often)
-    covered = np.zeros(len(words) + 1, np.int64)
+    covered = np.zeros(len(ids) + 1, np.int64)
     np.add.at(covered, at, 1)
     np.add.at(covered, at + size, -1)
     return int((np.cumsum(covered)[:-1] > 0).sum())
 
 
 def measure(data: bytes | None) -> Text:
-    words = data.split() if data else []
-    if not words:
+    ids = numbered(data) if data else ()
+    if not len(ids):
         return Text(n_symbols=len(data) - len(data.translate(None, b"#*$%&|<>")) if data else 0)
-    known: dict[bytes, int] = {}
-    ids = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
     raw = np.frombuffer(data, np.uint8)
     kind = _CLASS[raw]
     ends = np.append(np.flatnonzero(raw == 10), len(raw))
     starts = np.append(0, ends[:-1] + 1)
-    sums = np.zeros((9, len(raw) + 1), np.int32)
-    for k in range(9):
-        np.cumsum(kind == k, out=sums[k, 1:])
-    per = (sums[:, ends] - sums[:, starts]).T.astype(float)
+    per, spaces, tails = np.zeros((len(starts), 9)), 0, 0
+    for at in range(0, len(raw), _CHUNK):  # newlines count for the line they end; spaces are no feature
+        part = kind[at:at + _CHUNK]
+        first = int(np.searchsorted(ends, at))
+        own = np.cumsum(raw[at:at + _CHUNK] == 10, dtype=np.int64)
+        own[1:] = own[:-1]
+        own[0] = 0
+        counts = np.bincount(own * 9 + part, minlength=9 * (int(own[-1]) + 1)).reshape(-1, 9)
+        per[first:first + len(counts)] += counts
+        spaces += int(counts[:, _SPACE].sum())
+        tails += int(counts[:, _TAIL].sum())
+    symbols = int(per[:, _SYMBOL].sum())
     filled = kind != _SPACE
     begins = np.flatnonzero(filled & np.append(True, ~filled[:-1]))
-    line = np.searchsorted(starts, begins, "right") - 1
+    line = (np.searchsorted(starts, begins, "right") - 1).astype(np.int32)
     n_lines = len(starts)
     n = np.bincount(line, minlength=n_lines)
     same = np.append(False, ids[1:] == ids[:-1])
@@ -108,8 +145,7 @@ def measure(data: bytes | None) -> Text:
         np.ones(len(w)), np.minimum(per[:, _SYMBOL] / w, 3), per[:, _UPPER] / np.maximum(letters, 1), per[:, _DIGIT] / chars,
         np.minimum(per[:, _OTHER] / w, 3), np.minimum(per[:, _STOP] / w, 1), again[has] / w, repeated[has], w < 3,
         np.minimum(chars / w, 20) / 10, np.minimum(np.log1p(w), 6)])
-    total = len(raw) - int(sums[_TAIL, -1])
-    return Text(len(words), total - int(sums[_SPACE, -1]), int(sums[_SYMBOL, -1]), int(repeated.sum()), repeated_words(words, ids), out, w)
+    return Text(len(ids), len(raw) - tails - spaces, symbols, int(repeated.sum()), repeated_words(ids), out, w)
 
 
 @dataclass
@@ -138,22 +174,24 @@ class Chain:
         return np.array(states[::-1])
 
 
-def train(sequences: list[tuple[int, np.ndarray]], steps: int = STEPS, penalty: float = PENALTY) -> Chain | None:
-    """A chain from (label of all lines, features); None unless both labels occur.
+def train(sequences: list[tuple[int | np.ndarray, np.ndarray]], steps: int = STEPS, penalty: float = PENALTY, segment: int = SEGMENT) -> Chain | None:
+    """A chain from (labels of the lines, or of all of them, and features); None unless both labels occur.
 
-    Sequences are cut into segments for training; each line weighs the same.
+    Sequences are cut into segments for training (of one line: each by itself); each line weighs the same.
     """
-    parts = [(y, x[i:i + SEGMENT]) for y, x in sequences for i in range(0, len(x), SEGMENT)]
-    if len({y for y, _ in parts}) < 2:
+    whole = [(np.broadcast_to(y, len(x)), x) for y, x in sequences]
+    parts = [(y[i:i + segment], x[i:i + segment]) for y, x in whole for i in range(0, len(x), segment)]
+    if not parts or len(np.unique(np.concatenate([y for y, _ in parts]))) < 2:
         return None
     longest = max(len(x) for _, x in parts)
     n = len(parts)
-    x, mask = np.zeros((n, longest, FEATURES)), np.zeros((n, longest), bool)
-    for i, (_, f) in enumerate(parts):
-        x[i, :len(f)], mask[i, :len(f)] = f, True
-    y = np.array([p[0] for p in parts])
+    x, y, mask = np.zeros((n, longest, FEATURES)), np.zeros((n, longest), int), np.zeros((n, longest), bool)
+    for i, (labels, f) in enumerate(parts):
+        x[i, :len(f)], y[i, :len(f)], mask[i, :len(f)] = f, labels, True
     size = mask.sum(1)
     weight = np.full(n, 1 / size.sum())
+    both = mask[:, 1:]
+    real = np.bincount((2 * y[:, :-1] + y[:, 1:])[both], minlength=4).reshape(2, 2) / size.sum() if longest > 1 else np.zeros((2, 2))
     emit, step = np.zeros(FEATURES), np.zeros((2, 2))
     moments = [np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)]
     for t in range(1, steps + 1):
@@ -169,13 +207,11 @@ def train(sequences: list[tuple[int, np.ndarray]], steps: int = STEPS, penalty:
             backward[:, i] = np.where(mask[:, i + 1, None], new, 0)
         total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
         content = np.exp(forward[:, :, 1] + backward[:, :, 1] - total[:, None])
-        gap = np.where(mask, (y[:, None] - content) * weight[:, None], 0)
+        gap = np.where(mask, (y - content) * weight[:, None], 0)
         grad = [np.einsum("nl,nlf->f", gap, x) - penalty * emit]
         if longest > 1:
             pair = forward[:, :-1, :, None] + step[None, None] + (score[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]
             pair = np.where(mask[:, 1:, None, None], np.exp(pair) * weight[:, None, None, None], 0).sum((0, 1))
-            real = np.zeros((2, 2))
-            np.add.at(real, (y, y), (size - 1) * weight)
             grad.append((real - pair - penalty * step).reshape(-1))
         else:
             grad.append(np.zeros(4))
@@ -186,6 +222,25 @@ def train(sequences: list[tuple[int, np.ndarray]], steps: int = STEPS, penalty:
     return Chain(emit, step)
 
 
+def relabelled(lines: Chain, label: int, features: np.ndarray) -> np.ndarray:
+    """The lines of a document, each judged by itself, or all under the document's label if they deny it."""
+    states = (features @ lines.emit > 0).astype(int)
+    words = np.expm1(features[:, -1])
+    share = (states * words).sum() / words.sum()
+    return states if (share >= SHARE) == bool(label) else np.full(len(features), label)
+
+
+def learn(sequences: list[tuple[int, np.ndarray]], relabellings: int = RELABELLINGS) -> Chain | None:
+    """A chain from (label of the document, features of its lines)."""
+    labelled = [(np.full(len(x), y), x) for y, x in sequences]
+    for _ in range(relabellings):
+        lines = train(labelled, segment=1)
+        if lines is None:
+            return None
+        labelled = [(relabelled(lines, y, x), x) for y, x in sequences]
+    return train(labelled)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Chain | None:
     """The chain from documents with a quality label: one share of all, about ``rows`` of the larger kind, by a hash of their id."""
     known = labels.select("doc_id", "quality").filter("doc_id IS NOT NULL AND quality IN (0, 1)")
@@ -208,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Chain | None:
 
     found = expand(drawn, "doc_id long, quality int, features binary", make).collect()
     found.sort(key=lambda r: (r.doc_id, r.features))
-    return train([(r.quality, np.frombuffer(r.features, np.float32).reshape(-1, FEATURES).astype(float)) for r in found])
+    return learn([(r.quality, np.frombuffer(r.features, np.float32).reshape(-1, FEATURES).astype(float)) for r in found])
 
 
 def with_quality(docs: DataFrame, chain: Chain | None, share: float = SHARE) -> DataFrame:
