@@ -13,10 +13,13 @@ and stretch of the text, so one text with very many parts is spread as well.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stockloom.llm.common import free_name, written
-from stockloom.llm.spans import kept, listed, redacted, with_matches
+from stockloom.llm.spans import kept, listed, overlaps, redacted, with_matches
 
 SCOPE = 200
 MARK = "[secret]"
@@ -66,16 +69,20 @@ def _parts(docs: DataFrame, text: str) -> DataFrame:
     strong = F.concat(_array("assign", F.col("_assign"), "secret", False), _array("access", F.col("_access"), "account", False),
                       _array("hex", F.col("_hex"), "secret", False))
     # A weak match inside a base match is that match, not a part of its own.
-    base = F.concat("_assign", "_access", "_hex")
-    outside = lambda spans, w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    free = lambda name: F.filter(F.col(name), lambda w: outside(base, w))
+    def outside(names: tuple[str, ...], w: Column) -> Column:
+        return reduce(and_, [~overlaps(n, w) for n in names])
+
+    def free(name: str, *more: str) -> Column:
+        return F.filter(F.col(name), lambda w: outside(("_assign", "_access", "_hex", *more), w))
+
     # So is a token inside another weak match, unless it is a password there.
-    whole = F.concat("_account", "_endpoint")
-    unnamed = F.filter(free("_unnamed"), lambda w: outside(whole, w) | F.exists("_login", lambda s: s["end"] + 1 == w["start"]))
-    account = F.concat(free("_account"), F.filter(free("_login"), lambda w: outside(F.col("_account"), w)))
+    after_login = F.transform("_login", lambda s: s["end"] + 1)
+    docs = docs.withColumn("_free", free("_unnamed"))
+    unnamed = F.filter("_free", lambda w: outside(("_account", "_endpoint"), w) | F.array_contains(after_login, w["start"]))
+    account = F.concat(free("_account"), free("_login", "_account"))
     weak = F.concat(_array("account", account, "account", True), _array("unnamed", unnamed, "secret", True),
                     _array("endpoint", free("_endpoint"), "endpoint", True))
-    return docs.withColumn("_weak", weak).withColumn("_parts", F.concat(strong, "_weak"))
+    return docs.withColumn("_weak", weak).withColumn("_parts", F.concat(strong, "_weak")).drop("_free")
 
 
 def linked(parts: DataFrame, key: list[str], scope: int = SCOPE) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 _STEP = 256
+#: Arrays of up to two to this power plus one spans are searched.
+_DEPTH = 26
 _ARRAY = "array<struct<start:long,end:long,text:string>>"
 
 
@@ -54,11 +56,37 @@ def kept(spans: str | Column, kind: str, keep=None) -> Column:
     return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
+def overlaps(spans: str, w: Column) -> Column:
+    """Whether a span overlaps one of an array of spans that do not overlap and are in order: a binary search."""
+    found, size = F.col(spans), F.size(spans)
+    # How many spans end before w begins.
+    steps = F.array(*[F.lit(1 << k) for k in range(_DEPTH, -1, -1)])
+    before = F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= size) & (F.get(found, n + step - 1)["end"] <= w["start"]), n + step).otherwise(n))
+    return F.coalesce(F.get(found, before)["start"] < w["end"], F.lit(False))
+
+
 def redacted(text: str, spans: str, mark: str) -> Column:
-    """``text`` with every place covered by ``spans`` (start, end), in order of start, replaced by ``mark``."""
-    empty = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    last = F.aggregate(F.col(spans), empty, lambda acc, s: F.struct(
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)))
-        .otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
-    whole = last["out"]
-    return F.when(F.size(spans) == 0, F.col(text)).otherwise(F.concat(whole, F.substring(F.col(text), (last["at"] + 1).cast("int"), F.length(text))))
+    """``text`` with every place covered by ``spans`` (start, end), in order of start, replaced by ``mark``.
+
+    Spans are taken in groups, each with its own stretch of the text, so that a text with
+    very many spans stays affordable.
+    """
+    found, zero = F.col(spans), F.lit(0).cast("long")
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _STEP).cast("int")), lambda k: F.slice(found, k * _STEP + 1, _STEP))
+    last = F.transform(groups, lambda g: F.array_max(F.transform(g, lambda s: s["end"])))
+    reached = F.aggregate(last, F.array(zero), lambda acc, e: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), e))))
+
+    def cut(whole: Column, begin: Column, end: Column) -> Column:
+        return F.substring(whole, (begin + 1).cast("int"), F.greatest(zero, end - begin).cast("int"))
+
+    def masked(group: Column, begin: Column, end: Column) -> Column:
+        own = F.struct(F.lit("").alias("out"), begin.alias("at"), cut(F.col(text), begin, end).alias("own"))
+        return F.aggregate(group, own, lambda acc, s: F.struct(
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], cut(acc["own"], acc["at"] - begin, s["start"] - begin), F.lit(mark)))
+            .otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"), acc["own"].alias("own")))["out"]
+
+    pieces = F.transform(F.arrays_zip(groups.alias("g"), F.slice(reached, 1, F.size(groups)).alias("b"), F.slice(reached, 2, F.size(groups)).alias("e")),
+                         lambda p: masked(p["g"], p["b"], p["e"]))
+    end = F.element_at(reached, -1)
+    return F.when(F.size(spans) == 0, F.col(text)).otherwise(
+        F.concat(F.array_join(pieces, ""), F.substring(F.col(text), (end + 1).cast("int"), F.length(text))))
