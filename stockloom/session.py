@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -36,6 +37,27 @@ def build_session(app_name: str = "stockloom", master: str | None = None,
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this library to the Python workers, once an application, wherever the job was started from."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix="run-"), f"{name}.zip")  # the driver's; Spark hands it to the executors
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, files in os.walk(package):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    out.write(path, os.path.join(name, os.path.relpath(path, package)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
