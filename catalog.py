@@ -1106,6 +1106,25 @@ def _(spark, sf_dir):
     return store.read("latest_daily").select("stock_code", "place", "stock_date", F.col("stock_close").cast("double").alias("stock_close"))
 
 
+@query("news_known_keys", needs=["news"],
+       sql="SELECT stock_code, news_link FROM news WHERE sentiment_score > 0")
+def _(spark, sf_dir):
+    """Which keys of all news are stored already, by the sketches and then exactly, where some are."""
+    rows, store = data.news(spark, sf_dir), _store(spark)
+    store.append_new("news", rows.filter("sentiment_score > 0"))
+    return store.known_keys("news", rows)
+
+
+@query("screener_from_latest_rows", needs=FACTOR_NEEDS, ctes=FACTORS, sql=f"SELECT stock_code, stock_close, net_buy_5d FROM ({FACTOR_ROW})")
+def _(spark, sf_dir):
+    """The screener's figures from the newest rows that are kept at hand, without the whole history."""
+    store = _store(spark)
+    update.keep_latest(store, with_indicators(spark, sf_dir, assembled(spark, sf_dir), ["ma20", "ma60"]))
+    latest = store.read("latest_daily").drop("place")
+    latest = latest.withColumns({c: F.col(c).cast("double") for c, kind in latest.dtypes if kind.startswith("decimal")})
+    return screener.screener(latest, data.statement_fact(spark, sf_dir), data.company(spark, sf_dir)).select("stock_code", *r4s("stock_close", "net_buy_5d"))
+
+
 @query("changed_rows", needs=["statement_fact"], ctes=f"{PIVOT},\n{LIMITS}",
        sql="SELECT stock_code, max_debt_ratio + 2 * (1 + CAST(stock_code AS INT) % 3) AS max_debt_ratio FROM limits")
 def _(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -106,10 +107,12 @@ def facts(income: DataFrame, balance: DataFrame, cashflow: DataFrame) -> DataFra
             .unionByName(as_facts(cashflow, "cashflow")))
 
 
-def news(entries: DataFrame, company: DataFrame, marks: DataFrame, stored: DataFrame, today: dt.date,
-         make_scorer=None) -> DataFrame:
+def news(entries: DataFrame, company: DataFrame, marks: DataFrame, stored: DataFrame | Callable[[DataFrame], DataFrame],
+         today: dt.date, make_scorer=None) -> DataFrame:
     """Scored news rows of each company that are not stored yet.
 
+    ``stored`` are the stored news, or a function that gives the stored keys among those of some rows.
+
     A mark covers both the search since the latest stored day and the search of
     the last days, so one pass over the entries does. Repeats and stored links
     are dropped before a model sees them.
@@ -117,6 +120,7 @@ def news(entries: DataFrame, company: DataFrame, marks: DataFrame, stored: DataF
     published = feed_time(F.col("published"))
     found = delta(search(entries, company_keywords(company), None, today), marks, F.to_date(published), today)
     once = keep_first(found, ["stock_code", "link"], [published.desc_nulls_last(), F.col("title")])
-    known = stored.select("stock_code", F.col("news_link").alias("link"))
+    keys = stored(once.select("stock_code", F.col("link").alias("news_link"))) if callable(stored) else stored
+    known = keys.select("stock_code", F.col("news_link").alias("link"))
     fresh = once.join(known, ["stock_code", "link"], "left_anti")
     return news_columns(model_sentiment(fresh, make_scorer))

@@ -158,10 +158,9 @@ def update_fundamentals(store: Warehouse, zone: LandingZone, keys: DataFrame, to
 def update_news(store: Warehouse, zone: LandingZone, today: dt.date,
                 make_scorer: Callable[[], Scorer] | None = None) -> None:
     company = store.read("company")
-    stored = store.read("news")
     latest = store.marks("news").select("stock_code", F.col("latest").alias("publish_time"))
     marks = inc.news_marks(company, latest, today)
-    store.append_new("news", loads.news(zone.entries(), company, marks, stored, today, make_scorer))
+    store.append_new("news", loads.news(zone.entries(), company, marks, lambda rows: store.known_keys("news", rows), today, make_scorer))
 
 
 def init_thresholds(store: Warehouse, keys: DataFrame) -> None:

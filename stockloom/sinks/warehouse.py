@@ -39,6 +39,12 @@ LEDGERS = {
 }
 _LEDGER = "stock_code string, part string, latest date, n_rows bigint"
 
+#: Tables with a Bloom filter of the stored keys beside each partition, its bits, and the bits a key sets.
+SKETCHED = {"news"}
+SKETCH_BITS, SKETCH_HASHES = 1 << 23, 3
+_SLOT = 32_768
+_SKETCH = "part string, slot int, bits binary"
+
 
 class Warehouse:
     """Stored tables below ``root``, a path every executor can reach."""
@@ -128,6 +134,46 @@ class Warehouse:
         self.ledger(name).write(whole, "version")
         return True
 
+    def sketch(self, name: str) -> Parts:
+        return Parts(self.spark, f"{self.root}/_sketch/{name}", _SKETCH)
+
+    def _places(self, table: Table, rows: DataFrame) -> DataFrame:
+        """The key, and part, slot and bit of each of its places in the sketch."""
+        part = F.concat_ws("/", *[F.expr(table.layout[c]).cast("string") for c in table.key_layout])
+        places = F.array(*[F.pmod(F.xxhash64(*table.key, F.lit(i)), F.lit(SKETCH_BITS)) for i in range(SKETCH_HASHES)])
+        return (rows.select(*table.key, part.alias("part"), F.explode(places).alias("place"))
+                .select(*table.key, "part", F.floor(F.col("place") / _SLOT).cast("int").alias("slot"), (F.col("place") % _SLOT).alias("bit")))
+
+    def _united(self, name: str) -> DataFrame:
+        sketch = self.sketch(name)
+        found = sketch.listing()
+        base = sketch.base(found)
+        both = base.unionByName(sketch.changes(found).select(*base.columns)) if found.changes else base
+        return both.groupBy("part", "slot").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+    def _note_keys(self, table: Table, rows: DataFrame) -> None:
+        """Adds keys to the sketch. Before they are stored: a key too many costs a look, one too few would be stored twice."""
+        sketch = self.sketch(table.name)
+        sketch.write(self._places(table, rows).groupBy("part", "slot").agg(F.bitmap_construct_agg("bit").alias("bits")))
+        sketch.compact(lambda: self._united(table.name))
+
+    def probable(self, name: str, rows: DataFrame) -> DataFrame:
+        """The keys of ``rows`` that may be stored: all that are, and few others while the sketches have room."""
+        table = TABLES[name]
+        keys = rows.select(*table.key).distinct()
+        if not self.sketch(name).listing().used:
+            return keys
+        is_set = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 AS INT) + 1, 1)), 16, 10) AS INT), cast(bit % 8 AS INT)) & 1")
+        met = self._places(table, keys).join(self._united(name), ["part", "slot"])
+        return met.groupBy(*table.key).agg(F.sum(is_set).alias("n")).filter(F.col("n") == SKETCH_HASHES).select(*table.key)
+
+    def known_keys(self, name: str, rows: DataFrame) -> DataFrame:
+        """Stored keys among those of ``rows``: of the partitions that may hold one, and none if the sketches say so."""
+        table = TABLES[name]
+        with_layout = self.probable(name, rows)
+        existing = self._existing_keys(table, with_layout)
+        return existing.join(with_layout, list(table.key), "left_semi")
+
     def append_new(self, name: str, batch: DataFrame) -> None:
         """Insert the rows whose key the table lacks; existing rows win, as does the first of a repeat.
 
@@ -154,7 +200,16 @@ class Warehouse:
                 self.append_new("landed_reject", lacking.select(F.lit(name).alias("dataset"), F.lit("").alias("file"), F.lit("no full key").alias("reason"),
                                                                 F.md5(raw).alias("digest"), raw.alias("raw")))
             staged = write(keep_first(whole.dropna(subset=list(table.key)), table.key, order))
-            fresh = write(staged.join(self._existing_keys(table, staged), list(table.key), "left_anti").select(*table.columns))
+            if name in SKETCHED:
+                hits = write(self.probable(name, staged))
+                known = self._existing_keys(table, hits).join(hits, list(table.key), "left_semi")
+            else:
+                known = self._existing_keys(table, staged)
+            fresh = write(staged.join(known, list(table.key), "left_anti").select(*table.columns))
+            if name in SKETCHED:
+                if not self.sketch(name).listing().used:
+                    self._note_keys(table, self.read(name).select(*table.key))  # of rows from before there were sketches
+                self._note_keys(table, fresh)
             self._write(table, fresh)
             self._note(name, staged, fresh)
 

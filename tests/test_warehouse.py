@@ -274,3 +274,39 @@ def test_queries_by_day_read_the_years_they_need(spark, store):
     for df in (inc.row_counts(keys, daily, DAYS[0]), inc.stale_keys(keys, daily, DAYS[0]), reports.recent_prices(daily, DAYS[0])):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert any("stock_year" in part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:])
+
+
+def test_sketches_let_new_keys_skip_the_stored_ones(spark, store, monkeypatch):
+    schema = "stock_code string, news_link string, publish_time timestamp"
+    news = lambda ids: spark.createDataFrame([("a", f"l{i}", dt.datetime(2026, 7, 1)) for i in ids], schema)
+    store.append_new("news", news(range(3_000)))
+    hits = {r.news_link for r in store.probable("news", news(range(2_500, 23_000))).collect()}
+    assert {f"l{i}" for i in range(2_500, 3_000)} <= hits and len(hits) < 520  # of 20,000 new keys nearly all skip the exact join
+    looked = []
+    existing = Warehouse._existing_keys
+    monkeypatch.setattr(Warehouse, "_existing_keys", lambda self, table, staged: (looked.append(staged.count()), existing(self, table, staged))[1])
+    store.append_new("news", news(range(2_990, 6_000)))
+    store.append_new("news", news(range(2_990, 6_000)))
+    assert looked[0] < 40 and looked[1] == 3_010 and store.read("news").count() == 6_000
+    assert {r.news_link for r in store.known_keys("news", news([5, 7_000])).collect()} == {"l5"}
+
+
+def test_sketches_of_broken_and_older_stores_lose_nothing(spark, store, monkeypatch):
+    schema = "stock_code string, news_link string"
+    news = lambda ids: spark.createDataFrame([("a", f"l{i}") for i in ids], schema)
+    with monkeypatch.context() as m:
+        m.setattr("stockloom.sinks.warehouse.SKETCHED", set())
+        store.append_new("news", news(range(50)))  # a store without sketches
+    store.append_new("news", news(range(40, 60)))
+    assert store.read("news").count() == 60
+
+    def broken(*_):
+        raise RuntimeError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(Warehouse, "_write", broken)  # keys noted, rows not stored
+        with pytest.raises(RuntimeError):
+            store.append_new("news", news(range(55, 70)))
+    store.append_new("news", news(range(55, 70)))
+    store.append_new("news", news(range(70)))
+    assert store.read("news").count() == 70
