@@ -6,12 +6,14 @@ left out by the engine and counted (:func:`late_rows`); the batch loads take suc
 
 from __future__ import annotations
 
-import datetime as dt
 import sys
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,12 +25,26 @@ from stockloom.sinks.warehouse import Warehouse
 #: State of many keys does not fit the heap of an executor; this store keeps it on disk.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 OUTPUT = "stock_code string, stock_date date, stock_close double, " + ", ".join(f"{n} double" for n in INDICATORS)
-_NAMES = ["stock_code", "stock_date", "stock_close", *INDICATORS]
-_VALUES = "n_rows bigint, k_state double, d_state double, ema_fast double, ema_slow double, ema_signal double"
+_VALUES = "n_rows bigint, k_state double, d_state double, ema_fast double, ema_slow double, ema_signal double, closes binary"
+#: A row that waits or is looked back on, and how many of them a piece holds at most.
+_PAIR = np.dtype([("day", "<i4"), ("close", "<f8")])
+_PIECE = 10_000
 
 
-def _milliseconds(day: dt.date) -> int:
-    return (day - dt.date(1970, 1, 1)).days * 86_400_000
+def _milliseconds(day: int) -> int:
+    return day * 86_400_000
+
+
+def _days(dates: pd.Series) -> np.ndarray:
+    """Dates as days since 1970."""
+    return dates.to_numpy().astype("datetime64[D]").astype(np.int32)
+
+
+def _packed(days: np.ndarray, closes: np.ndarray) -> bytes:
+    """Days and closes (NaN: missing) as one state value."""
+    out = np.empty(len(days), _PAIR)
+    out["day"], out["close"] = days, closes
+    return out.tobytes()
 
 
 class IndicatorProcessor(StatefulProcessor):
@@ -37,88 +53,107 @@ class IndicatorProcessor(StatefulProcessor):
     Rows wait in a list until the watermark has passed their day; a timer on that day
     then lets them through, so files may come in any order within the watermark. A day
     that repeats keeps its first row. The first rows of a key come out with its fifth: a
-    shorter series has no indicators. The running values are a value, the closes that
-    frames look back on another list, at most 60 long.
+    shorter series has no indicators. The running values and the closes that frames look
+    back on, at most 60, are one value; of a shorter series these are all its rows.
+
+    Rows travel and wait in packed pieces, as each call to the state store is a round trip.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.values = handle.getValueState("values", _VALUES)
-        self.closes = handle.getListState("closes", "day date, close double")
-        self.waiting = handle.getListState("waiting", "day date, close double")
-        self.early = handle.getListState("early", OUTPUT.partition(", ")[2])
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        rows = [(r.stock_date, r.stock_close) for r in rows]
-        for r in rows:
-            self.waiting.appendValue(r)
-        self.wake(min(day for day, _ in rows))
+        self.values = handle.getValueState("running", _VALUES)
+        self.waiting = handle.getListState("pieces", "rows binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for piece in rows:
+            days = _days(piece["stock_date"])
+            self.waiting.appendValue((_packed(days, piece["stock_close"].to_numpy(dtype=float)),))
+            first = int(days.min()) if first is None else min(first, int(days.min()))
+        self.wake(first)
         return iter([])
 
-    def wake(self, day: dt.date) -> None:
+    def wake(self, day: int) -> None:
         """Timers of times before the watermark fire; that of the last day must not wait for another one."""
         self.handle.registerTimer(_milliseconds(day) - 1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Lets all rows through whose day the watermark has reached; one timer waits for the first of the others."""
-        reached = timerValues.getCurrentWatermarkInMs()
-        waiting = [tuple(r) for r in self.waiting.get()]
-        later = [r for r in waiting if _milliseconds(r[0]) > reached]
-        ready = {}
-        for day, close in waiting:
-            if _milliseconds(day) <= reached:
-                ready.setdefault(day, close)
-        if not ready:
+        last_day = timerValues.getCurrentWatermarkInMs() // _milliseconds(1)
+        pieces = [np.frombuffer(r[0], _PAIR) for r in self.waiting.get()] if self.waiting.exists() else []
+        waiting = np.concatenate(pieces) if pieces else np.empty(0, _PAIR)
+        is_ready = waiting["day"] <= last_day
+        if not is_ready.any():
             return
-        if later:
-            self.waiting.put(later)
-            self.wake(min(day for day, _ in later))
+        later = waiting[~is_ready]
+        if len(later):
+            self.waiting.put([(later[i:i + _PIECE].tobytes(),) for i in range(0, len(later), _PIECE)])
+            self.wake(int(later["day"].min()))
         else:
             self.waiting.clear()
-        closes = [tuple(r) for r in self.closes.get()]
-        early = [Row(**dict(zip(_NAMES, (key[0], *r)))) for r in self.early.get()] if self.early.exists() else []
-        values = list(self.values.get()) if self.values.exists() else [0, STOCHASTIC_NEUTRAL, STOCHASTIC_NEUTRAL, 0.0, 0.0, 0.0]
-        for day in sorted(ready):
-            if closes and day <= closes[-1][0]:
-                continue
-            closes = [*closes[1 - MA_LONG:], (day, ready[day])]
-            row = Row(stock_code=key[0], stock_date=day, stock_close=ready[day], **self.step(values, [c for _, c in closes]))
-            early.append(row)
+        ready = waiting[is_ready]
+        ready = ready[np.unique(ready["day"], return_index=True)[1]]  # of each day the first, by day
+        if self.values.exists():
+            *values, known = self.values.get()
+            before = np.frombuffer(known, _PAIR)
+        else:
+            values, before = [0, STOCHASTIC_NEUTRAL, STOCHASTIC_NEUTRAL, 0.0, 0.0, 0.0], np.empty(0, _PAIR)
+        if len(before):
+            ready = ready[ready["day"] > before["day"][-1]]
+        for i in range(0, len(ready), _PIECE):
+            new = ready[i:i + _PIECE]
+            held, shown = values[0], self.steps(values, before["close"], new["close"])
+            rows = np.concatenate([before, new])
+            if held < SHORT_SERIES_ROWS <= values[0]:  # the first rows come out with the fifth
+                self.early(rows[:held], shown)
             if values[0] >= SHORT_SERIES_ROWS:
-                yield from early
-                early = []
-        if early:
-            self.early.put([tuple(r)[1:] for r in early])
-        elif self.early.exists():
-            self.early.clear()
-        self.closes.put(closes)
-        self.values.update(tuple(values))
-
-    def step(self, values: list, closes: list[float | None]) -> dict[str, float | None]:
-        """Takes the running values on by the last close; the indicators of its day."""
+                out = rows if held < SHORT_SERIES_ROWS else new
+                yield pd.DataFrame({"stock_code": key[0], "stock_date": out["day"].astype("datetime64[D]").astype(object), "stock_close": out["close"], **shown})
+            before = rows[-MA_LONG:]
+        self.values.update((*values, before.tobytes()))
+
+    def early(self, rows: np.ndarray, shown: dict[str, np.ndarray]) -> None:
+        """Puts the indicators of the rows that were held back in front: worked out again, as they are few."""
+        if len(rows):
+            held = self.steps([0, STOCHASTIC_NEUTRAL, STOCHASTIC_NEUTRAL, 0.0, 0.0, 0.0], np.empty(0), rows["close"])
+            for name in INDICATORS:
+                shown[name] = np.concatenate([held[name], shown[name]])
+
+    def steps(self, values: list, before: np.ndarray, closes: np.ndarray) -> dict[str, np.ndarray]:
+        """Takes the running values on by some closes after known ones; the indicators of their days, NaN where there are none."""
+        start, series = len(before), np.concatenate([before, closes])
+
+        def frames(of: np.ndarray, rows: int, fill: float) -> np.ndarray:
+            """The frames of so many rows that end with the new ones, filled up in front."""
+            return sliding_window_view(np.concatenate([np.full(rows - 1, fill), of]), rows)[start:]
+
+        frame = frames(series, STOCHASTIC_ROWS, np.nan)
+        low, high = frame.min(axis=1), frame.max(axis=1)  # NaN unless the frame is whole
+        spread = high - low
+        raw = np.where(spread > 0, (closes - low) / np.where(spread > 0, spread, 1.0) * 100, STOCHASTIC_NEUTRAL)
         n, k, d, fast, slow, signal = values
-        n, close = n + 1, closes[-1] or 0.0
-        frame = closes[-STOCHASTIC_ROWS:]
-        whole = len(frame) == STOCHASTIC_ROWS and None not in frame
-        spread = max(frame) - min(frame) if whole else 0.0
-        raw = (closes[-1] - min(frame)) / spread * 100 if spread else STOCHASTIC_NEUTRAL
-        k = raw / 3 + k * 2 / 3
-        d = k / 3 + d * 2 / 3
-        if n == 1:
-            fast = slow = close
-        else:
-            fast, slow = (m + (close - m) * 2 / (span + 1) for m, span in ((fast, EMA_FAST), (slow, EMA_SLOW)))
-            signal += (fast - slow - signal) * 2 / (EMA_SIGNAL + 1)
+        k_values, d_values, hist = [], [], []
+        for r, close in zip(raw.tolist(), np.nan_to_num(closes).tolist()):
+            n += 1
+            k = r / 3 + k * 2 / 3
+            d = k / 3 + d * 2 / 3
+            if n == 1:
+                fast = slow = close
+            else:
+                fast += (close - fast) * 2 / (EMA_FAST + 1)
+                slow += (close - slow) * 2 / (EMA_SLOW + 1)
+                signal += (fast - slow - signal) * 2 / (EMA_SIGNAL + 1)
+            k_values.append(k)
+            d_values.append(d)
+            hist.append(fast - slow - signal)
+        moves = np.nan_to_num(np.diff(series, prepend=np.nan))
+        gain = frames(np.maximum(moves, 0.0), RSI_ROWS, 0.0).sum(axis=1)
+        loss = frames(np.maximum(-moves, 0.0), RSI_ROWS, 0.0).sum(axis=1)
+        defined = (values[0] + np.arange(1, len(closes) + 1) >= RSI_ROWS) & (loss > 0)
+        strength = np.where(defined, 100 - 100 / (1 + gain / np.where(loss > 0, loss, 1.0)), 0.0)
         values[:] = [n, k, d, fast, slow, signal]
-        def mean(rows: int) -> float | None:
-            last = closes[-rows:]
-            return sum(last) / rows if len(last) == rows and None not in last else None
-
-        last = closes[-RSI_ROWS - 1:]
-        moves = [0.0 if a is None or b is None else b - a for a, b in zip(last, last[1:])]
-        gain, loss = sum(m for m in moves if m > 0), -sum(m for m in moves if m < 0)
-        strength = 100 - 100 / (1 + gain / loss) if n >= RSI_ROWS and loss else 0.0
-        return {"ma20": mean(MA_SHORT), "ma60": mean(MA_LONG), "k_value": k, "d_value": d, "rsi14": strength, "macd_hist": fast - slow - signal}
+        return {"ma20": frames(series, MA_SHORT, np.nan).sum(axis=1) / MA_SHORT, "ma60": frames(series, MA_LONG, np.nan).sum(axis=1) / MA_LONG,
+                "k_value": np.array(k_values), "d_value": np.array(d_values), "rsi14": strength, "macd_hist": np.array(hist)}
 
     def close(self) -> None:
         pass
@@ -136,7 +171,7 @@ def indicator_stream(prices: DataFrame, delay: str = "0 seconds") -> DataFrame:
     own = sys.modules[__name__]
     cloudpickle.register_pickle_by_value(own)
     try:
-        return rows.groupBy("stock_code").transformWithState(
+        return rows.groupBy("stock_code").transformWithStateInPandas(
             statefulProcessor=IndicatorProcessor(), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime")
     finally:
         cloudpickle.unregister_pickle_by_value(own)

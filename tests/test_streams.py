@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from stockloom.operators.indicators import INDICATORS, indicators
@@ -114,3 +115,46 @@ def test_daily_means_once_the_watermark_has_passed(spark, tmp_path):
     want = daily_sentiment(spark.createDataFrame([r for r in first + second + third if r[3] != "l7"], NEWS)).filter("stock_date < '2026-07-05'")
     rows = lambda df: sorted((r.stock_code, r.stock_date, round(r.avg_sentiment, 9)) for r in df.collect())
     assert rows(store.read("daily_sentiment")) == rows(want) and len(rows(want)) == 4 and late == 1
+
+
+class _Stored:
+    """A state variable in memory that counts its calls."""
+
+    def __init__(self):
+        self.kept, self.calls = [], 0
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.calls += 1
+            if name in ("appendValue", "put", "update"):
+                self.kept = [*self.kept, given[0]] if name == "appendValue" else list(given[0])
+            elif name == "clear":
+                self.kept = []
+            return {"exists": bool(self.kept), "get": self.kept}.get(name)
+        return call
+
+
+def test_rows_of_a_key_wait_in_pieces():
+    """A state call is a round trip: their number does not follow the rows."""
+    class Handle:
+        stored, timers = {}, []
+
+        def getValueState(self, name, _):
+            return self.stored.setdefault(name, _Stored())
+
+        getListState = getValueState
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Timer:
+        def getCurrentWatermarkInMs(self):
+            return (START + dt.timedelta(days=2500) - dt.date(1970, 1, 1)).days * 86_400_000
+
+    processor, handle = stateful.IndicatorProcessor(), Handle()
+    processor.init(handle)
+    piece = pd.DataFrame({"stock_code": "a", "stock_date": [START + dt.timedelta(days=i) for i in range(3000)], "stock_close": [float(i % 97) for i in range(3000)]})
+    list(processor.handleInputRows(("a",), iter([piece[:1500], piece[1500:]]), None))
+    out = pd.concat(list(processor.handleExpiredTimer(("a",), Timer(), None)))
+    assert len(out) == 2501 and sum(s.calls for s in handle.stored.values()) < 20 and len(handle.timers) == 2
+    assert out["ma20"].iloc[100] == pytest.approx(sum(i % 97 for i in range(81, 101)) / 20)
