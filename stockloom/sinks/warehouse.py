@@ -44,6 +44,7 @@ SKETCHED = {"news"}
 SKETCH_BITS, SKETCH_HASHES = 1 << 23, 3
 _SLOT = 32_768
 _SKETCH = "part string, slot int, bits binary"
+_ALONE = "__alone"
 
 
 class Warehouse:
@@ -119,6 +120,7 @@ class Warehouse:
         if name not in LEDGERS:
             return
         day, part = LEDGERS[name]
+        staged, fresh = conform(staged, TABLES[name]), conform(fresh, TABLES[name])
         both = staged.withColumn("n", F.lit(0)).unionByName(fresh.withColumn("n", F.lit(1)))
         ledger = self.ledger(name)
         ledger.write(both.groupBy("stock_code", F.expr(part).alias("part")).agg(F.max(F.expr(day)).alias("latest"), F.sum("n").alias("n_rows")))
@@ -191,21 +193,23 @@ class Warehouse:
             rows = keep_first(whole.dropna(subset=list(table.key)), table.key, order)
             self._change(name, rows.join(self.read(name).select(*table.key), list(table.key), "left_anti"))
             return
-        # The batch, and what is new of it, as written tables: computed once, then cheap to look at again.
+        # The batch, once, as a written table of the columns it has. Dealt out by key before it is sorted, a task sorts
+        # its share of the batch, not a whole split. A row that lacks a key is a repeat of its likes only.
+        no_key = " OR ".join(f"{k} IS NULL" for k in table.key)
         with self.stage(name) as write:
-            whole = write(whole)
-            lacking = whole.filter(" OR ".join(f"{k} IS NULL" for k in table.key))
+            alone = [*table.key, _ALONE]
+            both = given.withColumn(_ALONE, F.when(F.expr(no_key), F.md5(F.to_json(F.struct(*given.columns)))))
+            both = write(keep_first(both.repartition(*alone), alone, order).drop(_ALONE))
+            lacking = both.filter(no_key)
             if name != "landed_reject" and not lacking.isEmpty():
                 raw = F.to_json(F.struct(*table.columns))
-                self.append_new("landed_reject", lacking.select(F.lit(name).alias("dataset"), F.lit("").alias("file"), F.lit("no full key").alias("reason"),
-                                                                F.md5(raw).alias("digest"), raw.alias("raw")))
-            staged = write(keep_first(whole.dropna(subset=list(table.key)), table.key, order))
-            if name in SKETCHED:
-                hits = write(self.probable(name, staged))
-                known = self._existing_keys(table, hits).join(hits, list(table.key), "left_semi")
-            else:
-                known = self._existing_keys(table, staged)
-            fresh = write(staged.join(known, list(table.key), "left_anti").select(*table.columns))
+                self.append_new("landed_reject", conform(lacking, table).select(
+                    F.lit(name).alias("dataset"), F.lit("").alias("file"), F.lit("no full key").alias("reason"), F.md5(raw).alias("digest"), raw.alias("raw")))
+            staged = both.dropna(subset=list(table.key))
+            hits = write(self.probable(name, staged)) if name in SKETCHED else staged
+            # Only the keys that are known are written again, not the rows that are new.
+            known = write(self._existing_keys(table, hits).join(hits.select(*table.key), list(table.key), "left_semi"))
+            fresh = staged if known.isEmpty() else staged.join(known, list(table.key), "left_anti")
             if name in SKETCHED:
                 if not self.sketch(name).listing().used:
                     self._note_keys(table, self.read(name).select(*table.key))  # of rows from before there were sketches
@@ -239,12 +243,16 @@ class Warehouse:
         return existing.select(*table.key)
 
     def _write(self, table: Table, rows: DataFrame) -> None:
-        """Append, files rebalanced per partition so that a full one is split and small ones are joined."""
+        """Append, files rebalanced per partition so that a full one is split and small ones are joined.
+
+        Columns the rows lack are added once they are sorted.
+        """
         parts = list(table.layout)
         out = rows.withColumns({c: F.expr(e) for c, e in table.layout.items()}) if parts else rows
         out = out.hint("rebalance", *parts) if parts else out.hint("rebalance")
         if table.sort:
-            out = out.sortWithinPartitions(*parts, *table.sort)
+            out = out.sortWithinPartitions(*parts, *[c for c in table.sort if c in rows.columns])
+        out = out.withColumns({c: F.lit(None).cast(table.schema[c].dataType) for c in table.columns if c not in rows.columns}).select(*table.columns, *parts)
         writer = out.write.mode("append")
         (writer.partitionBy(*parts) if parts else writer).parquet(self.path(table.name))
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -310,3 +311,26 @@ def test_sketches_of_broken_and_older_stores_lose_nothing(spark, store, monkeypa
     store.append_new("news", news(range(55, 70)))
     store.append_new("news", news(range(70)))
     assert store.read("news").count() == 70
+
+
+def test_an_append_stages_the_columns_it_has_once(spark, store, monkeypatch):
+    staged, stage = [], Warehouse.stage
+
+    @contextmanager
+    def spied(self, label):
+        with stage(self, label) as write:
+            yield lambda df: (staged.append(df.columns), write(df))[1]
+
+    monkeypatch.setattr(Warehouse, "stage", spied)
+    store.append_new("daily_metrics", closes(spark, (DAYS[0], 100), (DAYS[1], 200), (None, 1), (None, 2)))
+    store.append_new("daily_metrics", closes(spark, (DAYS[1], 0), (DAYS[2], 300)))
+    assert stored(store) == {DAYS[0]: 100.0, DAYS[1]: 200.0, DAYS[2]: 300.0}
+    wide = [c for c in staged if len(c) > 3 and "digest" not in c]
+    assert not wide and staged.count(["stock_code", "stock_date", "stock_close"]) == 2
+    assert sorted(r.raw.count('"stock_close":2') for r in store.read("landed_reject").collect()) == [0, 1]
+    assert [(r.latest, r.n_rows) for r in store.marks("daily_metrics").collect()] == [(DAYS[2], 3)]
+
+
+def test_news_without_a_time_can_be_appended(spark, store):
+    store.append_new("news", spark.createDataFrame([("a", "l1"), ("a", "l2"), ("a", "l1")], "stock_code string, news_link string"))
+    assert store.read("news").count() == 2
