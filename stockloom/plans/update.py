@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stockloom import constants as C
 from stockloom.operators import state
@@ -124,12 +124,17 @@ def keep_latest(store: Warehouse, rows: DataFrame, n: int = C.LATEST_ROWS) -> No
     """Keep the newest rows of each key up, from those that were the newest and the ones just appended.
 
     A row older than the n newest can never be among them again, and a row the view has
-    is the stored one, so neither late nor repeated rows need the table.
+    is the stored one, so neither late nor repeated rows need the table. The batch is cut to
+    the newest days of each key first, as it came, in one pass; only what is left is typed, merged and ranked.
     """
-    before = store.read("latest_daily").drop("place").join(rows.select("stock_code").distinct(), "stock_code", "left_semi")
     daily = TABLES["daily_metrics"]
-    both = union_keep_first([before, conform(rows, daily)], daily.key)
-    store.upsert("latest_daily", latest_rows(both, ["stock_code"], ["stock_date"], n, rank_as="place"))
+    rows = rows.withColumns({"stock_code": F.col("stock_code").cast("string"), "stock_date": F.col("stock_date").try_cast("date")})
+    days = Window.partitionBy("stock_code").orderBy(F.col("stock_date").desc_nulls_last())
+    with store.stage("latest") as staged:
+        newest = staged(rows.withColumn("__day", F.dense_rank().over(days)).filter(F.col("__day") <= n).drop("__day"))
+        before = store.read("latest_daily").drop("place").join(newest.select("stock_code").distinct(), "stock_code", "left_semi")
+        both = union_keep_first([before, conform(newest, daily)], daily.key)
+        store.upsert("latest_daily", latest_rows(both, ["stock_code"], ["stock_date"], n, rank_as="place"))
 
 
 def update_weekly(store: Warehouse, zone: LandingZone, keys: DataFrame, today: dt.date) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stockloom.operators import state
 from stockloom.operators.indicators import INDICATORS, indicators, update_indicators
-from stockloom.plans import screener
+from stockloom.plans import screener, update
 from stockloom.plans.update import append_daily, keep_latest
 from stockloom.schemas import TABLES
 from stockloom.sinks.warehouse import Warehouse
@@ -127,3 +127,17 @@ def test_screener_over_the_latest_rows(spark, tmp_path):
     company = spark.createDataFrame([("a", "A"), ("b", "B")], "stock_code string, company_name string")
     over = [sorted(map(tuple, screener.factor_metrics(d, facts, company).collect()), key=str) for d in (store.read("daily_metrics"), store.read("latest_daily").drop("place"))]
     assert over[0] == over[1] and len(over[0]) == 2
+
+
+def test_latest_rows_merge_few_rows_of_a_batch(spark, tmp_path, monkeypatch):
+    store, merged, start = Warehouse(spark, str(tmp_path / "store")), [], dt.date(2026, 1, 1)
+    union = update.union_keep_first
+    monkeypatch.setattr(update, "union_keep_first", lambda frames, keys: (merged.append(frames[1].count()), union(frames, keys))[1])
+    days = [start + dt.timedelta(days=i) for i in range(200)]
+    rows = [("a", d, float(i)) for i, d in enumerate(days)] + [("a", days[199], 900.0), ("b", None, 5.0), ("b", days[0], 1.0)]
+    batch = spark.createDataFrame(rows, "stock_code string, stock_date date, stock_close double")
+    update.keep_latest(store, batch)
+    update.keep_latest(store, batch.filter("stock_close < 195"))
+    got = {(r.stock_code, r.place): (r.stock_date, float(r.stock_close)) for r in store.read("latest_daily").collect()}
+    want = {("a", 10 - i): (days[190 + i], 190.0 + i) for i in range(10)} | {("b", 1): (days[0], 1.0), ("b", 2): (None, 5.0)}
+    assert got == want and merged == [13, 12]
