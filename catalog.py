@@ -679,13 +679,14 @@ def _(spark, sf_dir):
 @query("news_stream_load", needs=["feed"], ctes=CLEANED,
        sql="""SELECT stock_code, title, strftime(published, '%Y-%m-%d %H:%M') AS publish_minute, link AS news_link FROM accepted""")
 def _(spark, sf_dir):
-    """Entries landed as JSON responses, streamed into the stored table, one response file at a time, twice over."""
+    """Entries landed as JSON responses, streamed into the stored table, two thirds of the files and then the rest, twice over."""
     entries = data.feed(spark, sf_dir).withColumn("source", F.struct(F.col("source_name").alias("title"))).drop("source_name")
     landing, store = fresh_path(spark, "landing"), _store(spark)
     response = F.array(F.struct("title", "published", "link", "source")).alias("entries")
-    entries.select("stock_code", response).repartition(3).write.json(landing)
+    n_files = max(3, entries.rdd.getNumPartitions())  # as the input has splits
+    entries.select("stock_code", response).repartition(n_files).write.json(landing)
     for attempt in ("first", "again"):
-        rows = stream_loads.news_stream(spark, landing, files_per_batch=2)
+        rows = stream_loads.news_stream(spark, landing, files_per_batch=-(-2 * n_files // 3))
         stream_loads.append_stream(rows, store, "news", fresh_path(spark, f"checkpoint-{attempt}")).awaitTermination()
     return store.read("news").select(
         "stock_code", "title", dates.minute_text(F.col("publish_time")).alias("publish_minute"), "news_link")
@@ -984,12 +985,19 @@ def _store(spark: SparkSession) -> Warehouse:
     return Warehouse(spark, fresh_path(spark, "store"))
 
 
+def _written(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows several batches are cut from, derived once."""
+    path = fresh_path(spark, "input")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 @query("idempotent_append", needs=["daily_price"],
        sql="""SELECT stock_code, stock_date, CASE WHEN trading_volume > 25 THEN stock_close ELSE CAST(1 AS DOUBLE) END AS stock_close
               FROM daily_price WHERE trading_volume > 25 OR trading_volume < 35""")
 def _(spark, sf_dir):
     """Two overlapping batches, the second one sent twice: existing rows stay, new ones are added once."""
-    prices = data.daily_price(spark, sf_dir).select("stock_code", "stock_date", "stock_close", "trading_volume")
+    prices = _written(spark, data.daily_price(spark, sf_dir).select("stock_code", "stock_date", "stock_close", "trading_volume"))
     store = _store(spark)
     second = prices.filter("trading_volume < 35").withColumn("stock_close", F.lit(1.0))
     store.append_new("daily_metrics", prices.filter("trading_volume > 25"))
@@ -1042,7 +1050,7 @@ EARLIER_DAY, NIGHT = dt.date(2000, 3, 15), dt.date(2001, 12, 31)
 
 def _batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """Prices as three batches: up to a day without every fifth day of a year, up to another day, and the rest with those days, late."""
-    prices = data.daily_price(spark, sf_dir).select("stock_code", "stock_date", "stock_close", "trading_volume")
+    prices = _written(spark, data.daily_price(spark, sf_dir).select("stock_code", "stock_date", "stock_close", "trading_volume"))
     late = (F.year("stock_date") == 1999) & (F.dayofyear("stock_date") % 5 == 0)
     day = F.col("stock_date")
     return [prices.filter((day < F.lit(EARLIER_DAY)) & ~late), prices.filter((day >= F.lit(EARLIER_DAY)) & (day < F.lit(SPLIT_DAY))),
@@ -1070,12 +1078,13 @@ def _(spark, sf_dir):
                JOIN histogram USING (stock_code, stock_date)""")
 def _(spark, sf_dir):
     """All days in three batches, each from the states the one before left."""
-    prices = data.daily_price(spark, sf_dir).select("stock_code", "stock_date", "stock_close")
+    prices = _written(spark, data.daily_price(spark, sf_dir).select("stock_code", "stock_date", "stock_close"))
     states = spark.createDataFrame([], TABLES["indicator_state"].schema)
     night = F.when(F.col("stock_date") < F.lit(EARLIER_DAY), 0).when(F.col("stock_date") < F.lit(SPLIT_DAY), 1).otherwise(2)
     out = None
     for number in range(3):
         done = state.advance(states, prices.filter(night == number))
+        done = state.Advanced(_written(spark, done.rows), done.base)  # looked at three times
         path = fresh_path(spark, "states")
         new = state.latest(done.checkpoints())
         new.unionByName(states.join(new, "stock_code", "left_anti")).write.parquet(path)

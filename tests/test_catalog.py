@@ -50,3 +50,25 @@ def test_entry(spark):
 
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.SQL)
+
+
+def test_a_night_of_states_looks_at_written_rows(spark, monkeypatch):
+    plans, whole = [], catalog.state.Advanced.checkpoints
+    monkeypatch.setattr(catalog.state.Advanced, "checkpoints", lambda self: (plans.append(self.rows._jdf.queryExecution().optimizedPlan().toString()), whole(self))[1])
+    assert catalog.QUERIES["indicators_by_state"](spark, SF_DIR).count() > 0
+    assert len(plans) == 3 and not any("Window" in p for p in plans)
+
+
+def test_news_land_in_as_many_files_as_the_input_has_splits(spark, monkeypatch):
+    files, stream = [], catalog.stream_loads.news_stream
+    monkeypatch.setattr(catalog.stream_loads, "news_stream", lambda spark, path, **more: (files.append(len(glob.glob(f"{path}/*.json"))), stream(spark, path, **more))[1])
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in before:
+            spark.conf.set(c, "16k")
+        splits = catalog.data.feed(spark, SF_DIR).rdd.getNumPartitions()
+        assert catalog.QUERIES["news_stream_load"](spark, SF_DIR).count() > 0
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+    assert splits > 3 and files == [splits, splits]
