@@ -17,25 +17,31 @@ or id: a reader unpacks any range with numpy alone (:meth:`Block.ids`).
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stockloom.llm.common import append, expand, written
 from stockloom.session import fresh_path
 
 END_ID = 2
-#: Words whose ids a task remembers; forgetting them costs time only.
+#: Words whose ids a worker remembers, half of them those met last; forgetting them costs time only.
 CACHE = 600_000
+#: Bytes of texts that are split at once.
+GROUP = 8_000_000
 BLOCK_IDS, BLOCK_DOCS, FILE_BLOCKS = 1 << 20, 1 << 14, 8
 _HEADER = struct.Struct("<4sB3xIIIQQ")
 _MAGIC = b"TID1"
 #: ASCII punctuation but the apostrophe, which may begin a token of letters.
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Lower-case letters of Latin-1 in UTF-8: one token of the splitter, which normalizing leaves alone.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 
 
 def bits_of(vocabulary: int) -> int:
@@ -46,22 +52,27 @@ class Encoder:
     """Ids of texts as little-endian arrays, by a tokenizer whose tokens never cross white space.
 
     Such a tokenizer (``word_bpe_49k.json`` drops white space before it splits) gives a
-    text the ids of its white-space separated words, one after the other. Only words not
-    met before are encoded: words of letters many at a time, as their last id alone ends
-    a word, all others each by itself. ``end`` is appended to every document.
+    text the ids of its white-space separated words, one after the other. Arrow splits a
+    group of texts and finds its distinct words; only these are looked up, and only those
+    not met lately are encoded: words of letters many at a time, as their last id alone
+    ends a word, all others each by itself. ``end`` is appended to every document.
     """
 
     def __init__(self, path: str, end: int | None = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.end = b"" if end is None else np.array([end], self.dtype).tobytes()
         self.last = np.zeros(self.vocabulary, bool)
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
 
     @classmethod
     def shared(cls, path: str, end: int | None = END_ID) -> Encoder:
@@ -70,66 +81,84 @@ class Encoder:
             _ENCODERS[path, end] = cls(path, end)
         return _ENCODERS[path, end]
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encoded(self, tokenizer, texts: list[bytes]) -> list[np.ndarray]:
+        found = tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.dtype) for e in found]
 
-    def _learn_stems(self, new: list[bytes]) -> None:
-        letters, others = [], []
+    def _learn(self, new: list[bytes]) -> None:
+        plain, letters, others = [], [], []
         for w in new:
-            (letters if w.isalpha() or w.decode("utf-8", "replace").isalpha() else others).append(w)
-        groups = [letters[i:i + 500] for i in range(0, len(letters), 500)]
-        for group, ids in zip(groups, self._ids([b" ".join(g).decode("utf-8", "replace") for g in groups]), strict=True):
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(group) and (not len(ids) or ends[-1] == len(ids)):
-                data, at, step = ids.tobytes(), 0, self.dtype.itemsize
-                for w, e in zip(group, ends.tolist(), strict=True):
-                    self.known[w] = data[at * step:e * step]
-                    at = e
+            if _PLAIN(w):
+                plain.append(w)
             else:
-                others += group
-        self.known.update((w, i.tobytes()) for w, i in zip(others, self._ids([w.decode("utf-8", "replace") for w in others]), strict=True))
-
-    def _learn(self, words: set[bytes]) -> None:
+                (letters if w.decode("utf-8", "replace").isalpha() else others).append(w)
+        for tokenizer, words in ((self.plain, plain), (self.tokenizer, letters)):
+            groups = [words[i:i + 500] for i in range(0, len(words), 500)]
+            for group, ids in zip(groups, self._encoded(tokenizer, [b" ".join(g) for g in groups]), strict=True):
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(group) and ends[-1] == len(ids):
+                    data, at, step = ids.tobytes(), 0, self.dtype.itemsize
+                    for w, e in zip(group, (ends * step).tolist(), strict=True):
+                        self.known[w] = data[at:e]
+                        at = e
+                else:
+                    others += group
+        self.known.update((w, i.tobytes()) for w, i in zip(others, self._encoded(self.tokenizer, others), strict=True))
+
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words."""
+        if len(self.known) > CACHE // 2:
+            self.older, self.known = self.known, {b"": b""}
+        known, older, new, tailed = self.known, self.older, {}, []
+        found = list(map(known.get, words))
+        gaps = [k for k, i in enumerate(found) if i is None]
         # Letters with punctuation behind are two tokens of the splitter; the case of ASCII letters makes no difference.
-        known, later, new = self.known, [], set()
-        for w in words:
-            stem = w.rstrip(_PUNCTUATION)
-            if stem.isalpha():
-                stem = stem.lower()
-            elif not stem or stem.isascii() or not stem.decode("utf-8", "replace").lower().isalpha():
-                stem = w
-            tail = w[len(stem):]
-            if stem in known and tail in known:
-                known[w] = known[stem] + known[tail]
-            else:
-                later.append((w, stem, tail))
-                new.update((stem, tail))
-        self._learn_stems([x for x in new if x not in known])
-        for w, stem, tail in later:
-            known[w] = known[stem] + known[tail]
+        for k in gaps:
+            w = stem = words[k]
+            if not _PLAIN(w):
+                stem = w.rstrip(_PUNCTUATION)
+                if stem.isalpha():
+                    stem = stem.lower()
+                elif not stem or stem.isascii() or not stem.decode("utf-8", "replace").lower().isalpha():
+                    stem = w
+                tail = w[len(stem):]
+                tailed.append((k, stem, tail))
+                if tail not in known:
+                    new[tail] = None
+            if stem not in known:
+                if stem in older:
+                    known[stem] = older[stem]
+                else:
+                    new[stem] = None
+        self._learn(list(new))
+        for k, stem, tail in tailed:
+            found[k] = known[stem] + known[tail]
+        for k in gaps:
+            if found[k] is None:
+                found[k] = known[words[k]]
+        return found
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Ids of each text (UTF-8; None is empty) with the end id."""
         at = 0
         while at < len(texts):
             group, size = [], 0
-            while at < len(texts) and size < 4_000_000:
+            while at < len(texts) and size < GROUP:
                 data = texts[at] or b""
                 # Unless a combining mark or a special token could follow, ASCII letters may be lower-cased beforehand.
-                group.append((data if b"\xcc" in data or b"\xcd" in data or b"<|" in data else data.lower()).split())
+                group.append(data if b"\xcc" in data or b"\xcd" in data or b"<|" in data else data.lower())
                 size += len(data)
                 at += 1
-            if len(self.known) > CACHE:
-                self.known = {b"": b""}
-            found = [list(map(self.known.get, words)) for words in group]
-            gaps = [[k for k, i in enumerate(ids) if i is None] for ids in found]
-            new = {words[k] for words, gap in zip(group, gaps, strict=True) for k in gap}
-            if new:
-                self._learn(new)
-            for words, ids, gap in zip(group, found, gaps, strict=True):
-                for k in gap:
-                    ids[k] = self.known[words[k]]
-                yield b"".join(ids) + self.end
+            raw = pa.array(group, pa.large_binary())
+            # Bytes are split as they are, valid UTF-8 or not; white space at an end of a text gives an empty word.
+            words = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(raw), raw.buffers()))
+            coded = words.values.dictionary_encode()
+            found = self._look_up(coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+            ids = pa.array(found, pa.large_binary()).take(coded.indices)
+            _, places, data = ids.buffers()
+            places = np.frombuffer(places, np.int64)[words.offsets.to_numpy()].tolist()
+            for a, b in zip(places, places[1:]):
+                yield data[a:b].to_pybytes() + self.end
 
 
 _ENCODERS: dict[tuple[str, int | None], Encoder] = {}

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -150,6 +150,40 @@ def test_encoder_equals_the_library(tokenizer):
     assert all((np.frombuffer(g, "<u2") == encoded(tokenizer, t)).all() for g, t in zip(got, texts, strict=True))
 
 
+def test_encoder_equals_the_library_in_small_groups_and_caches(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 60)
+    monkeypatch.setattr(tokens, "GROUP", 40, raising=False)
+    rng = random.Random(2)
+    parts = ["a", "b", "S", "ß", "ÿ", "ñ", "Ñ", "À", "×", "÷", "µ", "\xad", "ö", "\xa0", " ", "  ", "\t", "\x0b", "\n", ".", "'", "Ā", "\u0308", "<|", "7"]
+    texts = [rng.choice(["", " "]) + "".join(rng.choice(parts) for _ in range(rng.randrange(20))) for _ in range(3_000)] + ["", None, " ", None]
+    encoder = tokens.Encoder(TOKENIZER)
+    got = [g for i in range(0, len(texts), 700) for g in encoder.encode([None if t is None else t.encode() for t in texts[i:i + 700]])]
+    assert all((np.frombuffer(g, "<u2") == encoded(tokenizer, t)).all() for g, t in zip(got, texts, strict=True))
+    assert list(encoder.encode([])) == [] and list(encoder.encode([b"a\xff b", b"\xe2\x82"])) == list(encoder.encode(["a\ufffd b".encode(), "\ufffd".encode()]))
+
+
+def test_encoder_keeps_words_in_use(tokenizer, monkeypatch):
+    sent = Counter()
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **options):
+            sent.update(w for t in texts for w in t.split())
+            return self.inner.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(tokens, "CACHE", 200)
+    encoder = tokens.Encoder(TOKENIZER)
+    encoder.tokenizer, encoder.plain = Counting(tokenizer), Counting(getattr(encoder, "plain", tokenizer))
+    rng = random.Random(3)
+    for _ in range(50):
+        text = "kept, kept; wörter WORD " + " ".join("".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(40))
+        assert (np.frombuffer(next(encoder.encode([text.encode()])), "<u2") == encoded(tokenizer, text)).all()
+    assert sent["kept"] == sent["wörter"] == sent["word"] == 1
+    assert len(encoder.known) <= 200
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17, 32])
 def test_bit_packing_round_trip_and_random_access(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 70_001, dtype=np.uint64).astype(np.uint32)
