@@ -27,6 +27,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` to be joined by a shuffle at every size.
+
+    Spark takes what an explode or an aggregate makes for no larger than the file it came from,
+    and would build a table many times its limit in the driver to broadcast it.
+    """
+    return df.hint("merge")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stockloom.llm.common import append, free_name, written
+from stockloom.llm.common import append, free_name, shuffled, written
 from stockloom.llm.components import connected_components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -85,7 +85,7 @@ def links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         part = differs.bitwiseAND(F.lit(_signed(_mask(start, length))))
         first |= bit.between(start, start + length - 1) & earlier & ((part != 0) | (bit == start))
         earlier &= F.bit_count(part) > 1
-    return (left.join(right, "variant")
+    return (left.join(shuffled(right), "variant")
             .filter((F.col("a") < F.col("b")) & (F.bit_count(differs) <= distance) & first)
             .select("a", "b"))
 

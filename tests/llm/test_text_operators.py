@@ -13,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from stockloom.llm import components, decontamination, packing, queries, secrets, simhash, tokens
+from stockloom.llm import common, components, decontamination, packing, queries, secrets, simhash, tokens
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -116,6 +116,12 @@ def test_simhash_links_and_components_match_brute_force(spark):
     assert {r.fp: r.component for r in simhash.groups(fps).collect()} == want
 
 
+def test_no_exploded_fingerprints_in_the_driver(spark):
+    """64 rows a fingerprint, which Spark takes for no more than the file they came from."""
+    plan = simhash.links(common.written(spark.createDataFrame([(1,), (3,)], "fp long"), "prints"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_long_paths(spark):
     path = [(i, i + 1) for i in range(0, 90)] + [(200, 150), (150, 200), (7, 7)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(path, "a long, b long")).collect()}
