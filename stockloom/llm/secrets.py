@@ -18,7 +18,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stockloom.llm.common import free_name, written
+from stockloom.llm.common import free_name, shuffled, written
 from stockloom.llm.spans import kept, listed, overlaps, redacted, with_matches
 
 SCOPE = 200
@@ -101,7 +101,7 @@ def linked(parts: DataFrame, key: list[str], scope: int = SCOPE) -> DataFrame:
             | ((F.col("role") == "endpoint") & (F.col("o_role") == "secret")))
     near = (F.col("o_start") <= F.col("end") + scope) & (F.col("start") <= F.col("o_end") + scope)
     apart = (F.col("o_end") <= F.col("start")) | (F.col("end") <= F.col("o_start"))
-    found = weak.join(other.distinct(), [*key, "at"]).filter(fits & near & apart)
+    found = weak.join(shuffled(other.distinct()), [*key, "at"]).filter(fits & near & apart)
     return found.select(*key, "kind", "start", "end").distinct()
 
 

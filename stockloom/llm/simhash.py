@@ -132,7 +132,7 @@ def without_near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int
     key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", tie)
     first = _labelled(prints, "doc_id", fp, distance).groupBy("component").agg(F.min(key).alias("first")).select("first.doc_id", f"first.{tie}")
     times = prints.groupBy("doc_id", tie).agg(F.count("*").alias(repeats))
-    kept = written(_same_document(first.distinct(), times, tie, "inner").select(first["doc_id"], first[tie], repeats), "kept")
+    kept = written(_same_document(first.distinct(), shuffled(times), tie, "inner").select(first["doc_id"], first[tie], repeats), "kept")
     own = docs.withColumn(tie, F.xxhash64("text"))
     # The same join at every size: the kept documents grow with the table.
     once = _same_document(own, kept.filter(F.col(repeats) == 1).hint("merge"), tie, "left_semi")

@@ -128,6 +128,21 @@ def test_components_of_long_paths(spark):
     assert got == {**{i: 0 for i in range(91)}, 150: 150, 200: 150}
 
 
+def test_pipeline_tables_that_grow_with_documents_stay_out_of_the_driver(spark, monkeypatch):
+    plans = {}
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return common.written(df, label)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, "x y z")], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.without_near_duplicates(docs).collect()} == {1, 3}
+    assert re.search("LeftSemi|SortMergeJoin", plans["kept"]) and not re.search(r"BroadcastHashJoin \[coalesce\(doc_id", plans["kept"])
+    parts = spark.createDataFrame([(1, "k", 0, 5, "account", True)], "key long, kind string, start long, end long, role string, weak boolean")
+    assert "Broadcast" not in secrets.linked(common.written(parts, "parts"), ["key"], 60)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame(ODD, SCHEMA)
     kept = simhash.without_near_duplicates(docs)
