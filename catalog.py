@@ -14,7 +14,7 @@ from stockloom.operators import flows, indicators, keyed, news, ownership, state
 from stockloom.plans import incremental, loads, reports, screener, update
 from stockloom.schemas import LANDINGS, TABLES
 from stockloom.sinks.warehouse import Warehouse
-from stockloom.session import fresh_path
+from stockloom.session import fresh_path, shuffles_removed
 from stockloom.sources import checked, files, landed, news_feed
 from stockloom.streaming import loads as stream_loads, stateful
 
@@ -1193,8 +1193,10 @@ def _(spark, sf_dir):
 
 
 def _land_once(rows: DataFrame, root: str, dataset: str) -> None:
-    """Rows as responses of a landing folder."""
-    rows.select(F.array(F.struct(*rows.columns)).alias("data")).write.mode("append").json(f"{root}/{dataset}")
+    """Rows as responses of a landing folder: JSON lines, compressed."""
+    responses = rows.select(F.array(F.struct(*rows.columns)).alias("data")).write.mode("append")
+    with shuffles_removed(rows.sparkSession):
+        responses.json(f"{root}/{dataset}", compression="gzip")
 
 
 def _land_prices(rows: DataFrame, root: str) -> None:
@@ -1327,8 +1329,9 @@ LOAD_YEAR = "BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'"
 
 def _land(rows: DataFrame, root: str, name: str) -> None:
     """Rows as responses of a landing folder, twice over, as overlapping requests leave them."""
-    for _ in range(2):
-        rows.select(F.array(F.struct(*rows.columns)).alias("data")).write.mode("append").json(f"{root}/{name}")
+    _land_once(rows, root, name)
+    landed_ = rows.sparkSession.read.text(f"{root}/{name}")  # of the files there are now
+    landed_.write.mode("append").text(f"{root}/{name}", compression="gzip")
 
 
 def _zone(spark: SparkSession) -> update.LandingZone:

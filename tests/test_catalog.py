@@ -52,6 +52,16 @@ def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.SQL)
 
 
+def test_rows_land_twice_and_compressed(spark, tmp_path):
+    rows = spark.createDataFrame([("2026-07-01", "a", 1.0, 2.0), ("2026-07-02", "a", 3.0, None)],
+                                 "date string, stock_id string, MarginPurchaseTodayBalance double, ShortSaleTodayBalance double")
+    catalog._land(rows, str(tmp_path), "margin")
+    files = glob.glob(f"{tmp_path}/margin/part-*")
+    assert files and all(f.endswith(".gz") for f in files)
+    landed = catalog.update.LandingZone(spark, str(tmp_path)).dataset("margin").select(*rows.columns).collect()
+    assert sorted(map(tuple, landed)) == [("2026-07-01", "a", 1.0, 2.0)] * 2 + [("2026-07-02", "a", 3.0, 0.0)] * 2
+
+
 def test_a_night_of_states_looks_at_written_rows(spark, monkeypatch):
     plans, whole = [], catalog.state.Advanced.checkpoints
     monkeypatch.setattr(catalog.state.Advanced, "checkpoints", lambda self: (plans.append(self.rows._jdf.queryExecution().optimizedPlan().toString()), whole(self))[1])
