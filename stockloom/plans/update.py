@@ -82,10 +82,13 @@ def update_daily(store: Warehouse, zone: LandingZone, keys: DataFrame, today: dt
     """Daily rows from the marks on, with indicators from the stored states (``tail_rows``: over the latest rows alone)."""
     marks = inc.high_water_marks(keys, store.marks("daily_metrics"), "latest", today, C.DAILY_DEFAULT_YEARS)
     landed = (zone.dataset("price"), zone.dataset("investor"), zone.dataset("margin"))
-    if tail_rows:
-        store.append_new("daily_metrics", loads.daily_metrics(*landed, store.read("daily_metrics"), marks, today, tail_rows))
-    else:
-        append_daily(store, loads.daily_batch(*landed, marks, today))
+    with store.stage("marks") as staged:
+        # As a written table their size is known beforehand, and landed rows need not be dealt out by key to be cut.
+        marks = staged(marks)
+        if tail_rows:
+            store.append_new("daily_metrics", loads.daily_metrics(*landed, store.read("daily_metrics"), marks, today, tail_rows))
+        else:
+            append_daily(store, loads.daily_batch(*landed, marks, today))
 
 
 def append_daily(store: Warehouse, batch: DataFrame) -> None:
@@ -96,23 +99,9 @@ def append_daily(store: Warehouse, batch: DataFrame) -> None:
     before the year, over the stored rows of that year and later ones.
     """
     with store.stage("daily") as staged:
-        batch = staged(batch.drop(*INDICATORS))
-        states, marks = store.read("indicator_state"), store.marks("daily_metrics")
-        # The last day is landed again each night; it is known where state and table agree.
-        known = states.join(marks, "stock_code").filter(F.col("last_day") == F.col("latest")).select("stock_code", F.col("last_day").alias("stock_date"))
-        batch = batch.join(known, ["stock_code", "stock_date"], "left_anti")
-        late = staged(state.late_keys(states, marks, batch))
-        rows = batch
-        if not late.isEmpty():
-            first = late.agg(F.min(F.year("first")).alias("y")).first().y
-            stored = store.read("daily_metrics", with_layout=True).filter(F.col("stock_year") >= first)
-            stored = stored.withColumns({c: F.col(c).cast("double") for c, kind in stored.dtypes if kind.startswith("decimal")})
-            rows = (batch.join(late, "stock_code", "left_anti").withColumn(state.NEW, F.lit(True))
-                    .unionByName(state.replayed(late, stored, batch)))
-            states = (states.join(late, "stock_code", "left_anti")
-                      .unionByName(state.states_before(late, store.read("indicator_checkpoint"))))
-        done = state.advance(states, rows)
-        done = state.Advanced(staged(done.rows), done.base)
+        with store.stage("batch") as first_staged:  # gone before the rows are appended
+            done = _advanced(store, batch.drop(*INDICATORS), first_staged)
+            done = state.Advanced(staged(done.rows), done.base)
         store.append_new("daily_metrics", done.indicators())
         checkpoints = staged(done.checkpoints())
         store.upsert("indicator_checkpoint", checkpoints)
@@ -120,6 +109,26 @@ def append_daily(store: Warehouse, batch: DataFrame) -> None:
         keep_latest(store, done.indicators())
 
 
+def _advanced(store: Warehouse, batch: DataFrame, staged: Callable[[DataFrame], DataFrame]) -> state.Advanced:
+    """Indicators of the rows of a batch the table does not have yet, from the states, or of late keys from a checkpoint."""
+    batch = staged(batch)
+    states, marks = store.read("indicator_state"), store.marks("daily_metrics")
+    # The last day is landed again each night; it is known where state and table agree.
+    known = states.join(marks, "stock_code").filter(F.col("last_day") == F.col("latest")).select("stock_code", F.col("last_day").alias("stock_date"))
+    batch = batch.join(known, ["stock_code", "stock_date"], "left_anti")
+    late = staged(state.late_keys(states, marks, batch))
+    rows = batch
+    if not late.isEmpty():
+        first = late.agg(F.min(F.year("first")).alias("y")).first().y
+        stored = store.read("daily_metrics", with_layout=True).filter(F.col("stock_year") >= first)
+        stored = stored.withColumns({c: F.col(c).cast("double") for c, kind in stored.dtypes if kind.startswith("decimal")})
+        rows = (batch.join(late, "stock_code", "left_anti").withColumn(state.NEW, F.lit(True))
+                .unionByName(state.replayed(late, stored, batch)))
+        states = (states.join(late, "stock_code", "left_anti")
+                  .unionByName(state.states_before(late, store.read("indicator_checkpoint"))))
+    return state.advance(states, rows)
+
+
 def keep_latest(store: Warehouse, rows: DataFrame, n: int = C.LATEST_ROWS) -> None:
     """Keep the newest rows of each key up, from those that were the newest and the ones just appended.
 

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stockloom.session import shuffles_removed
+
 #: Changes a table gathers before it is compacted.
 MOST_CHANGES = 16
 #: Which change a row comes from.
@@ -90,7 +92,8 @@ class Parts:
         number = self.listing().next
         out = rows.hint("rebalance", *self.layout) if self.layout else rows.hint("rebalance")
         writer = out.write.partitionBy(*self.layout) if self.layout else out.write
-        writer.parquet(f"{self.path}/{kind}={number}")
+        with shuffles_removed(self.spark):
+            writer.parquet(f"{self.path}/{kind}={number}")
         return number
 
     def compact(self, whole: Callable[[], DataFrame], most: int = MOST_CHANGES) -> bool:

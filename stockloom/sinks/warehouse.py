@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from stockloom.operators.keyed import keep_first, stable_order, union_keep_first
 from stockloom.operators.statements import apply_threshold_changes
 from stockloom.schemas import TABLES, Table, conform
+from stockloom.session import shuffles_removed
 from stockloom.sinks.parts import MOST_CHANGES, Parts
 
 REPLACED = {"warning_threshold", "warning_indicator", "daily_sentiment", "indicator_state", "indicator_checkpoint", "latest_daily"}
@@ -225,7 +226,8 @@ class Warehouse:
 
         def write(df: DataFrame) -> DataFrame:
             path = f"{stage}/{next(numbers)}"
-            df.write.parquet(path)
+            with shuffles_removed(self.spark):
+                df.write.parquet(path)
             return self.spark.read.schema(df.schema).parquet(path)
 
         try:
@@ -254,7 +256,8 @@ class Warehouse:
             out = out.sortWithinPartitions(*parts, *[c for c in table.sort if c in rows.columns])
         out = out.withColumns({c: F.lit(None).cast(table.schema[c].dataType) for c in table.columns if c not in rows.columns}).select(*table.columns, *parts)
         writer = out.write.mode("append")
-        (writer.partitionBy(*parts) if parts else writer).parquet(self.path(table.name))
+        with shuffles_removed(self.spark):
+            (writer.partitionBy(*parts) if parts else writer).parquet(self.path(table.name))
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Insert or replace by key; the new row wins. Writes the rows of these keys only."""

@@ -1,6 +1,7 @@
 """Indicators from stored states: the same values as over the whole history, however the days are cut."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -117,6 +118,15 @@ def test_a_night_reads_no_stored_day(spark, tmp_path, monkeypatch):
     assert store.read("daily_metrics").count() == 200
 
 
+def test_a_batch_is_gone_when_its_rows_are_appended(spark, tmp_path, monkeypatch):
+    store, stages = Warehouse(spark, str(tmp_path)), []
+    append = Warehouse.append_new
+    monkeypatch.setattr(Warehouse, "append_new", lambda self, *a: (stages.extend(sorted(p.parts[-2:] for p in tmp_path.glob("_stage/*/*"))), append(self, *a))[1])
+    append_daily(store, spark.createDataFrame(series(5, (("a", 80),)), SCHEMA))
+    assert [(stage.split("-")[0], number) for stage, number in stages] == [("daily", "0")]
+    assert os.listdir(tmp_path / "_stage") == [] and store.read("daily_metrics").count() == 80
+
+
 def test_screener_over_the_latest_rows(spark, tmp_path):
     store = Warehouse(spark, str(tmp_path))
     rows = spark.createDataFrame(series(4, (("a", 120), ("b", 90))), SCHEMA).withColumns(

@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import time
 from contextlib import contextmanager
 
 import pytest
@@ -35,6 +36,24 @@ def test_existing_rows_win_and_a_repeat_changes_nothing(spark, store):
     assert stored(store) == dict(zip(DAYS, (100.0, 200.0, 300.0)))
 
 
+def shuffles(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {name for name in (found.apply(i).name() for i in range(found.size())) if name.startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark, store):
+    before, rows = shuffles(spark), closes(spark, (DAYS[0], 100), (DAYS[1], 200))
+    with store.stage("some") as write:
+        write(rows.repartition(3, "stock_date"))
+    store._write(TABLES["daily_metrics"], rows)
+    store.parts("warning_threshold").write(rows.select("stock_code"))
+    until = time.time() + 20
+    while shuffles(spark) - before and time.time() < until:  # they go in the background
+        time.sleep(0.2)
+    assert not shuffles(spark) - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_batch_may_repeat_a_key_and_hold_text_dates(spark, store):
     batch = spark.createDataFrame([("a", "2026-07-01", 2.0), ("a", "2026-07-01 00:00:00", 1.0), ("a", "never", 3.0)],
                                   "stock_code string, stock_date string, stock_close double")
