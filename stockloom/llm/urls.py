@@ -103,7 +103,8 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
         F.count_if((F.col("part") == "train") & (F.col("ruled") == "allow")).alias("a"),
         F.count_if((F.col("part") == "train") & (F.col("ruled") == "block")).alias("b"),
         F.count_if(F.col("part") != "train").alias("needed")), "grams")
-    ratios = _ratios(counted.filter("needed > 0").select("gram"), counted.filter("a + b > 0"))
+    # Written: what is grouped by gram would be joined as it lies, and Spark could not split a gram of every URL.
+    ratios = written(_ratios(counted.filter("needed > 0").select("gram"), counted.filter("a + b > 0")), "ratios")
     score = (occurrences.filter("part <> 'train'").select("row", "gram").join(shuffled(ratios), "gram")
              .groupBy("row").agg(F.avg("ratio").alias("score")))
     scored = written(pages_.join(score, "row", "left"), "scores")
